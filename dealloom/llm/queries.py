@@ -42,8 +42,26 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from dealloom.llm.packing import packed
+
+    out = packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ["doc_id"], 2048)
+    return out.select("row.doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op9_cross_polytope_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dealloom.llm.cross_polytope import search
+
+    return search(_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", 20)
+
+
+QUERIES = (op1_ngram_jaccard_join, op4_token_counts, op5_quality_rules, op7_bpe_round_trip, op8_best_fit_packing, op9_cross_polytope_neighbours)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op4_token_counts, op5_quality_rules, op7_bpe_round_trip)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
