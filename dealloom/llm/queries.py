@@ -17,6 +17,14 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return JaccardJoin(_table(spark, sf_dir, "documents"), width=3, percent=90).components()
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dealloom.llm.language_id import held_out, predictions, train
+
+    docs = _table(spark, sf_dir, "documents")
+    out = predictions(docs, ["doc_id"], train(docs, ~held_out("doc_id", 4, 2)))
+    return out.select("row.doc_id", held_out("row.doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,7 +73,7 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra))
 
 
-QUERIES = (op1_ngram_jaccard_join, op4_token_counts, op5_quality_rules, op7_bpe_round_trip, op8_best_fit_packing, op9_cross_polytope_neighbours, op10_chat_windows)
+QUERIES = (op1_ngram_jaccard_join, op2_language_id, op4_token_counts, op5_quality_rules, op7_bpe_round_trip, op8_best_fit_packing, op9_cross_polytope_neighbours, op10_chat_windows)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
