@@ -25,6 +25,15 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", held_out("row.doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dealloom.llm.language_id import held_out
+    from dealloom.llm.quality_gam import scores, train
+
+    docs = _table(spark, sf_dir, "documents")
+    model = train(docs, _table(spark, sf_dir, "labels"), ~held_out("doc_id", 5, 0))
+    return scores(docs, ["doc_id"], model).select("row.doc_id", held_out("row.doc_id", 5, 0).alias("held_out"), "score", "predicted")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -73,7 +82,7 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra))
 
 
-QUERIES = (op1_ngram_jaccard_join, op2_language_id, op4_token_counts, op5_quality_rules, op7_bpe_round_trip, op8_best_fit_packing, op9_cross_polytope_neighbours, op10_chat_windows)
+QUERIES = (op1_ngram_jaccard_join, op2_language_id, op3_quality_classifier, op4_token_counts, op5_quality_rules, op7_bpe_round_trip, op8_best_fit_packing, op9_cross_polytope_neighbours, op10_chat_windows)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
