@@ -13,9 +13,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,23 +57,32 @@ def _described(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> I
             )
 
 
-def _cross_pairs(pdf: pd.DataFrame, percent: int, all_links: bool) -> pd.DataFrame:
-    """Pairs of one pair of blocks that sizes and bitmaps do not exclude."""
-    bits = np.frombuffer(b"".join(pdf["bitmap"]), np.uint64).reshape(len(pdf), -1)
-    ids, n, label, side = (pdf[c].to_numpy() for c in ("id", "n", "label", "side"))
-    one, two = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    out_a, out_b = [], []
-    for i in one:
-        a = ids[i]
-        rest = two[(ids[two] != a) if all_links else (label[two] != label[i])]
-        if side[i] == 2:
-            rest = rest[ids[rest] > a]
-        rest = rest[np.minimum(n[rest], n[i]) * 100 >= np.maximum(n[rest], n[i]) * percent]
-        apart = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1)
-        rest = rest[apart * (100 + percent) <= (n[rest] + n[i]) * (100 - percent)]
-        out_a.append(np.minimum(ids[rest], a))
-        out_b.append(np.maximum(ids[rest], a))
-    return pd.DataFrame({"a": np.concatenate([np.zeros(0, np.int64), *out_a]), "b": np.concatenate([np.zeros(0, np.int64), *out_b])}).drop_duplicates()
+def _cross_pairs(batches: Iterator[pa.RecordBatch], percent: int, all_links: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of blocks, one after another in sorted rows: the pairs of classes that sizes and bitmaps do not exclude."""
+    rest = None
+    for batch in chain(batches, [None]):
+        table = pa.Table.from_batches([x for x in (rest, batch) if x is not None]).combine_chunks() if rest is not None or batch is not None else None
+        if table is None or not table.num_rows:
+            continue
+        key = np.stack([table.column(c).to_numpy() for c in ("sign", "x", "y")])
+        run = np.concatenate([[0], np.cumsum((key[:, 1:] != key[:, :-1]).any(axis=0))])
+        whole = len(run) if batch is None else int(np.searchsorted(run, run[-1]))
+        rest = table.slice(whole).combine_chunks().to_batches()[0] if whole < len(run) else None
+        run = run[:whole]
+        ids, n, label, side = (table.column(c).to_numpy()[:whole] for c in ("id", "n", "label", "side"))
+        bits = np.frombuffer(b"".join(table.column("bitmap").slice(0, whole).to_pylist()), np.uint64).reshape(whole, -1)
+        one, step, out = np.arange(whole), 1, [np.zeros((2, 0), np.int64)]
+        while len(one := one[one + step < whole]) and len(one := one[run[one] == run[one + step]]):
+            two = one + step
+            ok = ((side[one] != side[two]) | (side[one] == 2)) & (ids[one] != ids[two]) & (all_links | (label[one] != label[two]))
+            ok &= np.minimum(n[one], n[two]) * 100 >= np.maximum(n[one], n[two]) * percent
+            a, b = one[ok], two[ok]
+            apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1)
+            near = apart * (100 + percent) <= (n[a] + n[b]) * (100 - percent)
+            out.append(np.sort(np.stack([ids[a[near]], ids[b[near]]]), axis=0))
+            step += 1
+        a, b = np.unique(np.concatenate(out, axis=1), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -154,8 +163,8 @@ class JaccardJoin:
         # Block x meets block y for x <= y; side 2 marks a block that meets itself.
         met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda y: F.struct(F.least(F.col("block"), y).alias("x"), F.greatest(F.col("block"), y).alias("y"), F.when(F.col("block") == y, 2).when(F.col("block") < y, 0).otherwise(1).alias("side")))
         rows = rows.select("sign", "id", "n", "label", "bitmap", F.explode(met).alias("m")).select("sign", "id", "n", "label", "bitmap", "m.x", "m.y", "m.side")
-        cut = partial(_cross_pairs, percent=self.percent, all_links=label is None)
-        return rows.groupBy("sign", "x", "y").applyInPandas(lambda pdf: cut(pdf), "a long, b long").distinct()
+        rows = rows.repartition("sign", "x", "y").sortWithinPartitions("sign", "x", "y")
+        return rows.mapInArrow(partial(_cross_pairs, percent=self.percent, all_links=label is None), "a long, b long").distinct()
 
     def links(self) -> DataFrame:
         """All links (a, b), a < b, between classes; a class is named by its smallest doc_id."""
