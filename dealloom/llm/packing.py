@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dealloom.llm.annotate import annotate
-from dealloom.llm.word_bpe import WordBpe, text_blocks
+from dealloom.llm.word_bpe import load, text_blocks
 
 GROUP = 4096
 END = 0  # id after each document
@@ -130,14 +130,14 @@ def pieces(docs: DataFrame, path: str, keep: list[str], size: int) -> DataFrame:
     """row, piece, start, length and ids_crc32 of each piece of each document's ids and the closing id."""
 
     def compute():
-        encode = WordBpe(path).encoder(lambda ids: ids.astype("<u4").tobytes(), b"".join)
+        bpe = load(path)
         end = int(END).to_bytes(4, "little")
 
         def of(texts: pa.Array) -> Iterator[tuple[int, int, list]]:
             for lo, part in text_blocks(texts):
                 at, sizes, crcs = [0], [], []
-                for ids in encode(part):
-                    ids += end
+                for forms in bpe.encode_texts(part):
+                    ids = b"".join([*forms, end])
                     for k in range(0, len(ids), 4 * size):
                         cut = ids[k : k + 4 * size]
                         sizes.append(len(cut) // 4)

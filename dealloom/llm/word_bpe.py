@@ -14,6 +14,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +25,10 @@ from pyspark.sql import DataFrame
 from dealloom.llm.annotate import annotate
 from dealloom.llm.words import blocks
 
-CACHE = 120_000  # chunks that a worker keeps; it starts anew when they are full
+CACHE = 200_000  # chunks that a worker keeps; it starts anew when they are full
 LONGEST = 64  # characters of the longest chunk that is kept
-CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
+# Runs without white space; a full stop or comma between a letter or digit and white space is a run of its own.
+CHUNK = re.compile(r"[^\W_]++(?=[.,](?:[\x20\x09-\x0D]|$))|[^\x20\x09-\x0D]+")
 
 
 def byte_symbols() -> list[str]:
@@ -36,6 +38,13 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def normal(text: str) -> str:
+    """Composed and in lower case; white space makes no tokens, so its kind makes no difference."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # the end of a word makes no difference here
+    return text.lower()
+
+
 class WordBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -44,49 +53,49 @@ class WordBpe:
         vocab = model["vocab"]
         self.special = {t["content"]: t["id"] for t in whole["added_tokens"]}
         self.names = {i: s for s, i in (vocab | self.special).items()}
-        self.pretoken = regex.compile(whole["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.pretoken = regex.compile(whole["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] + "|\n")
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.size = len(vocab)
-        symbols = byte_symbols()
-        self.inner = np.array([vocab[s] for s in symbols], np.int64)
-        self.last = np.array([vocab[s + end] for s in symbols], np.int64)
         merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in model["merges"]]
         made = [m for _, _, m in merges]
         if len(set(made)) < len(made) or model["dropout"] or model["unk_token"]:
             raise ValueError("merge rounds need merges that each make a symbol of their own")
+        self.none = len(made)
         key = np.array([a * self.size + b for a, b, _ in merges], np.int64)
         order = np.argsort(key)
-        self.keys, self.rank, self.made = key[order], order.astype(np.int64), np.array(made, np.int64)
-
-    def words(self, chunk: str) -> list[bytes]:
-        """Words of a chunk without white space, as the normaliser and the pre-tokenizer give them."""
-        if not chunk.isascii():
-            chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")  # the end of a word makes no difference here
-        return [w.encode() for w in self.pretoken.findall(chunk.lower())]
-
-    def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word."""
+        self.keys, self.rank, self.made = key[order], order.astype(np.int32), np.array(made, np.int32)
+        # Bytes within a word, then bytes at its end; ranks of all pairs of them.
+        symbols = byte_symbols()
+        self.symbol = np.array([vocab[s] for s in symbols] + [vocab[s + end] for s in symbols], np.int32)
+        self.byte_rank = self.ranks(self.symbol[:256].repeat(512), np.tile(self.symbol, 256)).reshape(256, 512)
+        self.caches: dict[object, dict] = {}
+
+    def ranks(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Rank of each pair of symbols, by binary search; none where they do not merge."""
+        key = one.astype(np.int64) * self.size + two
+        at = np.searchsorted(self.keys, key)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == key, self.rank[at], np.int32(self.none))
+
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, as little-endian 32-bit numbers."""
         if not words:
             return []
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        flat = np.frombuffer(b"".join(words), np.uint8)
+        byte = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
         ends = np.cumsum(sizes) - 1
-        ids = self.inner[flat]
-        ids[ends] = self.last[flat[ends]]
-        owner = np.repeat(np.arange(len(words)), sizes)
-        done_ids, done_owner, none = [], [], np.int64(len(self.made))
+        owner = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        last = byte.copy()
+        last[ends] += 256
+        ids = self.symbol[last]
+        rank = np.full(len(ids), self.none, np.int32)  # of each symbol with the next one
+        rank[:-1] = self.byte_rank[byte[:-1], last[1:]]
+        rank[ends] = self.none
+        done_ids, done_owner = [], []
         while len(ids):
-            inside = np.flatnonzero(owner[1:] == owner[:-1])
-            key = ids[inside] * self.size + ids[inside + 1]
-            at = np.searchsorted(self.keys, key)
-            at[at == len(self.keys)] = 0
-            rank = np.full(len(ids), none)
-            rank[inside] = np.where(self.keys[at] == key, self.rank[at], none)
             first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-            lowest = np.minimum.reduceat(rank, first)
-            size = np.diff(np.append(first, len(ids)))
-            best = np.repeat(lowest, size)
-            live = best < none
+            best = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(ids))))
+            live = best < self.none
             if not live.all():
                 done_ids.append(ids[~live])
                 done_owner.append(owner[~live])
@@ -94,67 +103,82 @@ class WordBpe:
                 if not len(ids):
                     break
             hit = rank == best
-            # Of neighbouring hits, which share a symbol, every second one counts.
-            place = np.arange(len(hit))
-            begins = hit & ~np.concatenate([[False], hit[:-1]])
-            since = np.maximum.accumulate(np.where(begins, place, 0))
-            hit &= (place - since) % 2 == 0
-            ids = np.where(hit, self.made[np.minimum(rank, none - 1)], ids)
+            if (hit[1:] & hit[:-1]).any():
+                # Of neighbouring hits, which share a symbol, every second one counts.
+                place = np.arange(len(hit))
+                begins = hit & ~np.concatenate([[False], hit[:-1]])
+                hit &= (place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 0
+            ids[hit] = self.made[rank[hit]]
             stay = ~np.concatenate([[False], hit[:-1]])
-            ids, owner = ids[stay], owner[stay]
+            ids, owner, rank = ids[stay], owner[stay], rank[stay]
+            # Only pairs with a new symbol have new ranks.
+            new = np.flatnonzero(hit[stay])
+            near = np.zeros(len(ids) + 1, bool)
+            near[new], near[new - 1] = True, True
+            new = np.flatnonzero(near[:-1])
+            pair = new[new < len(ids) - 1]
+            pair = pair[owner[pair] == owner[pair + 1]]
+            rank[new] = self.none
+            rank[pair] = self.ranks(ids[pair], ids[pair + 1])
         owner = np.concatenate(done_owner)
-        order = np.argsort(owner, kind="stable")
-        ids = np.concatenate(done_ids)[order]
-        return np.split(ids, np.cumsum(np.bincount(owner, minlength=len(words)))[:-1])
-
-    def encode_chunks(self, chunks: list[str]) -> list[np.ndarray]:
-        """Ids of each chunk."""
-        parts = [self.words(c) for c in chunks]
-        place: dict[bytes, int] = {}
-        for words in parts:
-            for w in words:
-                place.setdefault(w, len(place))
-        ids = self.encode_words(list(place))
-        empty = np.zeros(0, np.int64)
-        return [ids[place[w[0]]] if len(w) == 1 else np.concatenate([ids[place[x]] for x in w]) if w else empty for w in parts]
+        raw = np.concatenate(done_ids)[np.argsort(owner, kind="stable")].astype("<u4").tobytes()
+        cut = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)) * 4)]).tolist()
+        return [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk without white space, as little-endian 32-bit numbers."""
+        found = self.pretoken.findall("\n".join(chunks))
+        distinct = list(dict.fromkeys(w for w in found if w != "\n"))
+        ids = dict(zip(distinct, self.encode_words([w.encode() for w in distinct]), strict=True))
+        out, part = [], []
+        for w in found:
+            if w == "\n":
+                out.append(part[0] if len(part) == 1 else b"".join(part))
+                part = []
+            else:
+                part.append(ids[w])
+        if chunks:
+            out.append(b"".join(part))
+        return out
 
     def chunks(self, text: str) -> list[str]:
-        """Chunks of a text; a special token in it is one of them."""
+        """Normalised chunks of a text; a special token in it is one of them."""
         if "<|" not in text:
-            return CHUNK.findall(text)
-        return [c for k, part in enumerate(self.cut.split(text)) for c in ([part] if k % 2 else CHUNK.findall(part))]
+            return CHUNK.findall(normal(text))
+        return [c for k, part in enumerate(self.cut.split(text)) for c in ([part] if k % 2 else CHUNK.findall(normal(part)))]
 
     def encode(self, text: str) -> list[int]:
-        return self.encoder(lambda ids: ids.tolist(), list)([text])[0]
+        return memoryview(b"".join(self.encode_texts([text])[0])).cast("I").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """Without a decoder in the vocabulary's file, the symbols are joined by spaces."""
         return " ".join([self.names[i] for i in ids])
 
-    def encoder(self, form, whole):
-        """Encodes texts; form turns a chunk's ids into what is kept, whole joins a text's forms in order.
-
-        whole gets an iterable of the forms and returns the text's result, or list for their sum.
-        """
-        fixed = {s: form(np.array([i], np.int64)) for s, i in self.special.items()}
-        cache: dict[str, object] = dict(fixed)
-
-        def of(texts: list[str]) -> list:
-            parts = [self.chunks(t) for t in texts]
-            if len(cache) > CACHE:
-                cache.clear()
-                cache.update(fixed)
-            found = {c for p in parts for c in p if c not in cache}
-            extra: dict[str, object] = {}
-            wanted = list(found)
-            for c, ids in zip(wanted, self.encode_chunks(wanted), strict=True):
-                (cache if len(c) <= LONGEST else extra)[c] = form(ids)
-            get = (lambda c: cache[c] if c in cache else extra[c]) if extra else cache.__getitem__
-            if whole is list:
-                return [[i for c in p for i in get(c)] for p in parts]
-            return [whole(map(get, p)) for p in parts]
-
-        return of
+    def digestible(self, ids: bytes) -> tuple[int, bytes, bytes]:
+        """Number of ids, the ids in decimal, and their decoded form."""
+        numbers = memoryview(ids).cast("I").tolist()
+        return len(numbers), " ".join(map(str, numbers)).encode(), self.decode(numbers).encode()
+
+    def encode_texts(self, texts: list[str], form=bytes) -> list[list]:
+        """For each text, form(ids as bytes) of its chunks in order. Forms are kept for later calls."""
+        fixed = {s: form(i.to_bytes(4, "little")) for s, i in self.special.items()}
+        cache = self.caches.setdefault(form, dict(fixed))
+        if len(cache) > CACHE:
+            cache.clear()
+            cache.update(fixed)
+        parts = [self.chunks(t) for t in texts]
+        wanted = list(set().union(*parts).difference(cache))
+        extra = {}
+        for c, ids in zip(wanted, self.encode_chunks(wanted), strict=True):
+            (cache if len(c) <= LONGEST else extra)[c] = form(ids)
+        get = (lambda c: cache[c] if c in cache else extra[c]) if extra else cache.__getitem__
+        return [list(map(get, p)) for p in parts]
+
+
+@lru_cache(maxsize=2)
+def load(path: str) -> WordBpe:
+    """The vocabulary in path, once for each worker."""
+    return WordBpe(path)
 
 
 def text_blocks(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
@@ -167,22 +191,17 @@ def text_blocks(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
 
 def _round_trip(path: str):
     def compute():
-        bpe = WordBpe(path)
-
-        def form(ids: np.ndarray) -> tuple[int, bytes, bytes]:
-            ids = ids.tolist()
-            return len(ids), " ".join(map(str, ids)).encode(), bpe.decode(ids).encode()
-
-        def whole(forms) -> tuple[int, str, str]:
-            forms = [f for f in forms if f[0]]
-            return sum(f[0] for f in forms), hashlib.sha256(b" ".join([f[1] for f in forms])).hexdigest(), hashlib.sha256(b" ".join([f[2] for f in forms])).hexdigest()
-
-        encode = bpe.encoder(form, whole)
+        bpe = load(path)
 
         def of(texts: pa.Array) -> Iterator[tuple[int, int, list]]:
             for lo, part in text_blocks(texts):
-                out = encode(part)
-                yield lo, len(out), [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.string())]
+                n, one, two = [], [], []
+                for forms in bpe.encode_texts(part, bpe.digestible):
+                    forms = [f for f in forms if f[0]]
+                    n.append(sum(f[0] for f in forms))
+                    one.append(hashlib.sha256(b" ".join([f[1] for f in forms])).hexdigest())
+                    two.append(hashlib.sha256(b" ".join([f[2] for f in forms])).hexdigest())
+                yield lo, len(n), [pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())]
 
         return of
 
@@ -201,11 +220,11 @@ def encoded(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
     """row and the ids of each whole text."""
 
     def compute():
-        encode = WordBpe(path).encoder(lambda ids: ids.astype("<u4").tobytes(), b"".join)
+        bpe = load(path)
 
         def of(texts: pa.Array) -> Iterator[tuple[int, int, list]]:
             for lo, part in text_blocks(texts):
-                yield lo, len(part), [pa.array([np.frombuffer(b, "<u4").astype(np.int32) for b in encode(part)], pa.list_(pa.int32()))]
+                yield lo, len(part), [pa.array([np.frombuffer(b"".join(f), "<i4") for f in bpe.encode_texts(part)], pa.list_(pa.int32()))]
 
         return of
 
