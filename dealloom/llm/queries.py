@@ -50,6 +50,17 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate")
 
 
+def op6_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from dealloom.llm.attention_lm import scores
+    from dealloom.llm.language_id import held_out
+
+    docs = _table(spark, sf_dir, "documents")
+    out = scores(docs, public_tokenizers.path("word_bpe_49k.json"), ["doc_id"], ~held_out("doc_id", 5, 1))
+    return out.select("row.doc_id", held_out("row.doc_id", 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -88,7 +99,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = (op1_ngram_jaccard_join, op2_language_id, op3_quality_classifier, op4_token_counts, op5_quality_rules, op7_bpe_round_trip, op8_best_fit_packing, op9_cross_polytope_neighbours, op10_chat_windows, pipeline)
+QUERIES = (op1_ngram_jaccard_join, op2_language_id, op3_quality_classifier, op4_token_counts, op5_quality_rules, op6_attention_lm, op7_bpe_round_trip, op8_best_fit_packing, op9_cross_polytope_neighbours, op10_chat_windows, pipeline)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
