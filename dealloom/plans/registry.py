@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("deal_queries",)
+MODULES = ("deal_queries", "page_queries")
 
 
 def query(sql: str | None = None, name: str | None = None):
