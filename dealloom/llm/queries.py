@@ -47,7 +47,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dealloom.llm.host_rules import host_verdicts
 
     out = host_verdicts(_table(spark, sf_dir, "documents"), ["doc_id"])
-    return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate")
+    return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op6_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +99,26 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+# The rules and the host rates of op5 in SQL: windows of three words are counted per document, and the words in repeated ones.
+OP5_SQL = r"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
+l AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, text FROM d),
+w AS (SELECT r, unnest(ws) AS w1, generate_subscripts(ws, 1) AS i FROM l),
+t AS (SELECT r, i, w1, lead(w1) OVER p AS w2, lead(w1, 2) OVER p AS w3 FROM w WINDOW p AS (PARTITION BY r ORDER BY i)),
+c AS (SELECT r, i, count(*) OVER (PARTITION BY r, w1, w2, w3) AS n FROM t WHERE w3 IS NOT NULL),
+rep AS (SELECT r, count(DISTINCT i + k) AS n FROM c, (VALUES (0), (1), (2)) v(k) WHERE n > 1 GROUP BY r),
+ln AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+dup AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+m AS (SELECT d.doc_id, d.source, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(d.text, '[#*$%&|<>]')) AS n_symbols,
+ coalesce(n_dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines FROM d JOIN l ON l.r = d.r LEFT JOIN rep ON rep.r = d.r LEFT JOIN dup ON dup.r = d.r),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+f AS (SELECT *, base_failed OR 100 * n_symbols > 10 * word_chars OR 100 * n_dup_lines > 30 * n_lines AS failed FROM b),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (failed) AS k FROM f WHERE source IS NOT NULL GROUP BY source),
+p AS (SELECT sum(k) / sum(n) AS mean, var_samp(k / n) AS spread, avg(1.0 / n) AS inv, count(*) AS hosts FROM h),
+s AS (SELECT mean, CASE WHEN hosts > 1 AND spread - mean * (1 - mean) * inv > 0 THEN least(greatest(mean * (1 - mean) / (spread - mean * (1 - mean) * inv) - 1, 1.0), 1e6) WHEN hosts > 1 THEN 1e6 ELSE 1.0 END AS strength FROM p),
+q AS (SELECT source, (k + mean * strength) / (n + strength) AS rate FROM h, s)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT failed AND coalesce(rate, 0) <= 0.5 AS kept FROM f LEFT JOIN q ON q.source = f.source"""
+
+
 QUERIES = (op1_ngram_jaccard_join, op2_language_id, op3_quality_classifier, op4_token_counts, op5_quality_rules, op6_attention_lm, op7_bpe_round_trip, op8_best_fit_packing, op9_cross_polytope_neighbours, op10_chat_windows, pipeline)
 
 
@@ -107,4 +127,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_quality_rules": OP5_SQL}
