@@ -1,5 +1,6 @@
 """Every registered query gives the rows of its SQL on the smallest tables."""
 
+import os
 from pathlib import Path
 
 import duckdb
@@ -7,7 +8,7 @@ import pytest
 
 from dealloom.plans import registry
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("ORACLE_SF", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
