@@ -118,3 +118,59 @@ def representative_score(confidence: Column, has_time: Column, has_days: Column,
         + F.least(F.coalesce(text_length, F.lit(0)) / 200, F.lit(1.0)) * 0.2
         + F.when(F.coalesce(preferred, F.lit(False)), 0.8).otherwise(0.5) * 0.1
     )
+
+
+def price_list(text: Column) -> Column:
+    """'$5 Beers, $8 Wines and $10 Cocktails' as a list."""
+    parts = F.split(F.regexp_replace(text, r"(?i)\s*(?:,|&|\band\b)\s*(?=\$)", "\u0001"), "\u0001")
+    clean = F.transform(parts, lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, r"[,&]+$", ""), r"\s+", " ")))
+    return F.filter(clean, lambda p: p.rlike(r"^\$\d+"))
+
+
+def without_prices(description: Column, prices: Column) -> Column:
+    """The description less the prices that are listed apart."""
+    return F.trim(F.regexp_replace(F.aggregate(prices, description, lambda a, p: F.replace(a, p, F.lit(""))), r"\s+", " "))
+
+
+def page_deal_confidence(n: Column, has_context: Column, n_priced: Column, n_kinds: Column) -> Column:
+    """Deals of a page: up to 0.5 for their number, 0.3 for the context, 0.2 and 0.1 each for prices, 0.05 for each category."""
+    score = F.least(n * 0.1, F.lit(0.5)) + F.when(has_context, 0.3).otherwise(0.0) + F.when(n_priced > 0, 0.2).otherwise(0.0) + n_priced * 0.1 + n_kinds * 0.05
+    return F.when(n == 0, 0.0).otherwise(F.round(F.least(score, F.lit(1.0)), 6))
+
+
+def type_prior(name: Column, cuisine: Column, good: tuple[str, ...] = ("bar", "pub", "tavern", "grill", "brew", "cantina"), dear: tuple[str, ...] = ("steakhouse", "fine", "french")) -> Column:
+    """How likely a restaurant has deals, by its name and cuisine, between 0 and 1."""
+    n, c = F.lower(F.coalesce(name, F.lit(""))), F.lower(F.coalesce(cuisine, F.lit("")))
+    add = lambda cond, w: F.when(cond, w).otherwise(0.0)
+    score = F.lit(0.5) + add(has_any(n, good), 0.2) + add(has_any(c, good), 0.15) - add(has_any(n, dear) | has_any(c, dear), 0.1)
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6)
+
+
+def source_quality(text: Column) -> Column:
+    """0.5, and more for length, a phone number, a street and opening hours; 0 without text."""
+    add = lambda cond, w: F.when(cond, w).otherwise(0.0)
+    score = F.lit(0.5) + add(F.length(text) > 1000, 0.2) + add(text.rlike(r"\d{3}[-.\s]?\d{3}[-.\s]?\d{4}"), 0.1) + add(text.rlike(r"(?i)\d+\s+[a-z\s]+(?:street|st|avenue|ave)"), 0.1)
+    score = score + add(F.lower(text).rlike("hours|open|monday|tuesday"), 0.1)
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0.0).otherwise(F.round(F.least(score, F.lit(1.0)), 6))
+
+
+def insights(total: Column, food: Column, drink: Column, drink_price: Column, cuisine: Column) -> Column:
+    """Remarks on a restaurant's deals, in a fixed order."""
+    found = F.array(
+        F.when(total > 100, "deal leader").when(total > 50, "strong offering").when(total < 10, "limited data"),
+        F.when(drink_price > 0, F.when(drink_price < 10, "excellent value").when(drink_price > 15, "premium").otherwise("balanced pricing")),
+        F.when(cuisine == "Italian", "wine and aperitivo").when(cuisine == "Steakhouse", "premium dining"),
+        F.when(drink > food * 2, "drink-focused").when(food > drink, "food-forward"),
+    )
+    return F.filter(found, lambda x: x.isNotNull())
+
+
+def display_line(days: Column, start: Column, end: Column, price: Column) -> Column:
+    """'Mon-Fri • 3 pm - 6 pm • $5 beer'; what is missing is left out."""
+    return F.concat_ws(" • ", F.nullif(days, F.lit("")), F.when(start.isNotNull() & end.isNotNull(), F.concat_ws(" - ", start, end)), F.nullif(price, F.lit("")))
+
+
+def street_parts(text: Column) -> list[Column]:
+    """Number, street and unit of an address line."""
+    part = lambda k: F.nullif(F.trim(F.regexp_extract(text, r"^\s*(\d+)\s+([^,#]+?)(?:\s*(?:#|unit|suite)\s*(\w+))?\s*(?:,|$)", k)), F.lit(""))
+    return [part(1).alias("number"), part(2).alias("street"), part(3).alias("unit")]

@@ -98,7 +98,8 @@ def day_mask(days: Column) -> Column:
 def compact_days(days: Column) -> Column:
     """'Mon-Fri', 'Sun-Thu' (ranges wrap round the week), 'Mon, Wed': runs of three days or more become ranges."""
     mask = day_mask(days)
-    bit = lambda i: mask.bitwiseAND(F.shiftleft(F.lit(1), F.pmod(i, F.lit(7)))) != 0
+    on = F.array(*[F.coalesce(F.array_contains(days, d), F.lit(False)) for d in WEEK])
+    bit = lambda i: F.element_at(on, (F.pmod(i, F.lit(7)) + 1).cast("int"))
     # A run begins where a day is set and the one before is not; Monday leads if all days are.
     first = lambda i: bit(i) & ~bit(i + 6)
     length = lambda i: F.aggregate(F.sequence(F.lit(0), F.lit(6)), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda a, k: F.struct((a["n"] + F.when(a["on"] & bit(i + k), 1).otherwise(0)).alias("n"), (a["on"] & bit(i + k)).alias("on")), lambda a: a["n"])
@@ -107,3 +108,60 @@ def compact_days(days: Column) -> Column:
     text = lambda i: F.when(length(i) >= 3, F.concat(name(i), F.lit("-"), name(i + length(i) - 1))).when(length(i) == 2, F.concat(name(i), F.lit(", "), name(i + 1))).otherwise(name(i))
     runs = F.transform(F.filter(F.sequence(F.lit(0), F.lit(6)), first), text)
     return F.when(mask == 127, "Daily").when(mask == 0, "").otherwise(F.array_join(runs, ", "))
+
+
+def loose_time_24h(time: Column) -> Column:
+    """HH:MM of a time written in any usual way; a bare hour from 3 to 11 is in the afternoon, 12 is noon, 1 and 2 are at night."""
+    t = F.upper(F.trim(time))
+    pick = lambda p, k: F.regexp_extract(t, p, k)
+    pad = lambda h, m: F.concat(F.lpad(h.cast("string"), 2, "0"), F.lit(":"), F.lpad(m.cast("string"), 2, "0"))
+    half = r"(\d{1,2})(?::(\d{2}))?\s*(AM|PM)"
+    hour = pick(half, 1).try_cast("int") % 12 + F.when(pick(half, 3) == "PM", 12).otherwise(0)
+    with_half = F.when(pick(half, 0) != "", pad(hour, F.coalesce(pick(half, 2).try_cast("int"), F.lit(0))))
+    full = r"(\d{1,2})[:.](\d{2})"
+    plain = F.when((pick(full, 0) != "") & (pick(full, 1).try_cast("int") < 24) & (pick(full, 2).try_cast("int") < 60), pad(pick(full, 1).try_cast("int"), pick(full, 2).try_cast("int")))
+    bare = F.when(t.rlike(r"^\d{1,2}$"), t.try_cast("int"))
+    guess = F.when(bare.between(3, 11), bare + 12).when(bare == 12, 12).when(bare.between(1, 2), bare)
+    return F.coalesce(with_half, plain, F.when(guess.isNotNull(), pad(guess, F.lit(0))))
+
+
+def shown_time(time: Column) -> Column:
+    """'3pm' as '3:00 PM'; a bare hour from 2 to 11 is in the afternoon; other text stays."""
+    t = F.trim(time)
+    bare = F.when(t.rlike(r"^\d{1,2}$"), t.try_cast("int"))
+    return F.coalesce(F.when(bare.between(2, 11), F.concat(bare.cast("string"), F.lit(":00 PM"))), time_12h(t))
+
+
+def timeframe(text: Column) -> Column:
+    """'3:00 PM - 6:00 PM' of a range of times; afternoon where neither end says; null for impossible ones."""
+    t = F.trim(text)
+    p = r"(?i)(\d{1,2})(?::(\d{2}))?\s*(am|pm)?\s*-\s*(\d{1,2})(?::(\d{2}))?\s*(am|pm)?"
+    g = lambda k: F.regexp_extract(t, p, k)
+    hour = lambda k: g(k).try_cast("int")
+    minute = lambda k: F.when(g(k) == "", "00").otherwise(g(k))
+    late = F.when(g(6) == "", "PM").otherwise(F.upper(g(6)))
+    early = F.when(g(3) == "", late).otherwise(F.upper(g(3)))
+    ok = (g(0) != "") & hour(1).between(1, 12) & hour(4).between(1, 12) & (minute(2) < "60") & (minute(5) < "60")
+    shown = F.concat(hour(1).cast("string"), F.lit(":"), minute(2), F.lit(" "), early, F.lit(" - "), hour(4).cast("string"), F.lit(":"), minute(5), F.lit(" "), late)
+    return F.when(F.lower(t).rlike(r"all\s*day"), "All Day").when(ok, shown)
+
+
+def day_titles(days: Column) -> Column:
+    """Days as 'Monday', in order of first mention, without what is no day."""
+    return F.transform(F.filter(day_list(days), lambda d: d.isin(*WEEK)), F.initcap)
+
+
+def hours_map(periods: Column) -> Column:
+    """Map of day to (open, close) of periods (day 0 is Sunday, open and close as HHMM); the last period of a day counts."""
+    name = lambda p: F.element_at(F.array(*[F.lit(d) for d in (WEEK[6], *WEEK[:6])]), (p["day"] + 1).cast("int"))
+    clock = lambda c: F.concat(F.substring(c, 1, 2), F.lit(":"), F.substring(c, 3, 2))
+    # The earlier of two entries gives way: entries of later periods of the same day are looked for.
+    last = F.filter(periods, lambda p, i: ~F.exists(F.slice(periods, i + 2, F.greatest(F.size(periods) - i - 1, F.lit(0))), lambda q: q["day"] == p["day"]))
+    return F.map_from_entries(F.transform(last, lambda p: F.struct(name(p).alias("day"), F.struct(clock(p["open"]).alias("open"), clock(p["close"]).alias("close")).alias("hours"))))
+
+
+def ago(then: Column, now: Column) -> Column:
+    """'3 hours ago' and the like."""
+    m = F.floor((now.cast("timestamp").cast("double") - then.cast("timestamp").cast("double")) / 60)
+    unit = lambda n, u: F.concat(n.cast("string"), F.lit(f" {u}"), F.when(n == 1, "").otherwise("s"), F.lit(" ago"))
+    return F.when(then.isNull(), "never").when(m < 60, unit(m, "minute")).when(m < 1440, unit(F.floor(m / 60), "hour")).otherwise(unit(F.floor(m / 1440), "day"))
