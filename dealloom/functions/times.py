@@ -165,3 +165,25 @@ def ago(then: Column, now: Column) -> Column:
     m = F.floor((now.cast("timestamp").cast("double") - then.cast("timestamp").cast("double")) / 60)
     unit = lambda n, u: F.concat(n.cast("string"), F.lit(f" {u}"), F.when(n == 1, "").otherwise("s"), F.lit(" ago"))
     return F.when(then.isNull(), "never").when(m < 60, unit(m, "minute")).when(m < 1440, unit(F.floor(m / 60), "hour")).otherwise(unit(F.floor(m / 1440), "day"))
+
+
+# Day lists and what they are shortened to, longest first.
+SHORTER = (
+    (r"\bMon(?:day)?,\s*Tue(?:sday)?,\s*Wed(?:nesday)?,\s*Thu(?:rsday)?,\s*Fri(?:day)?,\s*Sat(?:urday)?,\s*Sun(?:day)?\b", "Daily"),
+    (r"\bMon(?:day)?,\s*Tue(?:sday)?,\s*Wed(?:nesday)?,\s*Thu(?:rsday)?,\s*Fri(?:day)?\b", "Mon - Fri"),
+    (r"\bSat(?:urday)?,\s*Sun(?:day)?\b", "Sat - Sun"),
+    (r"\bMon,\s*Tue,\s*Wed\b", "Mon - Wed"),
+    (r"\bThu,\s*Fri,\s*Sat\b", "Thu - Sat"),
+    (r"\bFri,\s*Sat\b", "Fri - Sat"),
+    (r"\bTue,\s*Wed,\s*Thu\b", "Tue - Thu"),
+)
+
+
+def shortened_days(text: Column) -> Column:
+    """Day lists in a text as ranges, day names as three letters, dashes and bars with one space around."""
+    for pattern, short in SHORTER:
+        text = F.regexp_replace(text, f"(?i){pattern}", short)
+    for d in WEEK:
+        text = F.regexp_replace(text, rf"(?i)\b{d}\b", d[:3].title())
+    text = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"\s*-\s*", " - ")
+    return F.trim(F.regexp_replace(text, r"\s*\|\s*", " | "))

@@ -105,3 +105,28 @@ def contacts(pages: DataFrame, key: Sequence[str], text: str = "text") -> DataFr
     phones = F.slice(F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(r"\(?\d{3}\)?[-. ]\d{3}[-. ]\d{4}"), F.lit(0)), lambda p: F.regexp_replace(p, r"\D", ""))), 1, 2)
     mails = F.slice(F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit(r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}"), F.lit(0))), 1, 3)
     return pages.select(*key, phones.alias("phones"), mails.alias("emails"), social("instagram").alias("instagram"), social("facebook").alias("facebook"))
+
+
+def document_deals(lines: DataFrame, doc: str = "page_id", pos: str = "pos", line: str = "line", words: str = "happy hour|special", around: int = 5) -> DataFrame:
+    """Priced lines at most so many lines away from a line with one of the words; documents without such lines give all their priced lines.
+
+    near says which of the two a line is.
+    """
+    from pyspark.sql import Window
+
+    hit = F.lower(F.col(line)).rlike(words)
+    near = F.max(hit).over(Window.partitionBy(doc).orderBy(pos).rowsBetween(-around, around))
+    rows = lines.withColumn("near", near)
+    rows = rows.withColumn("any", F.max("near").over(Window.partitionBy(doc))).filter(F.col("near") | ~F.col("any")).drop("any")
+    return priced_lines(rows, (doc, pos, "near"), line, 3, 200)
+
+
+def legacy_entries(rows: DataFrame, key: Sequence[str], text: str = "text") -> DataFrame:
+    """Entries between bars: days and a time range, a bare time range, or all day; anything else with the confidence 0.1."""
+    parts = rows.select(*key, F.posexplode(F.split(F.col(text), r"\s*\|\s*")).alias("pos", "entry")).filter("trim(entry) <> ''")
+    time = r"(\d{1,2}(?::\d{2})?\s*(?:am|pm)?\s*-\s*(?:\d{1,2}(?::\d{2})?\s*(?:am|pm)|close))"
+    e = F.lower("entry")
+    span = F.nullif(F.regexp_extract(e, time, 1), F.lit(""))
+    days = F.nullif(F.regexp_extract(e, DAYS, 0), F.lit(""))
+    sure = F.when(span.isNotNull() & days.isNotNull(), 0.9).when(span.isNotNull(), 0.7).when(e.contains("all day"), 0.6).otherwise(0.1)
+    return parts.select(*key, "pos", days.alias("days"), span.alias("time"), e.contains("all day").alias("is_all_day"), sure.alias("confidence"))

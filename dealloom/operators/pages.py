@@ -149,3 +149,17 @@ def repaired(rows: DataFrame, paths: Sequence[str], known: DataFrame, base: str
     tried = rows.select(base, each).withColumn("url", F.concat(F.col(base), F.col("path")))
     found = tried.join(known.select("url").distinct(), "url").groupBy(base).agg(F.min_by("url", "ord").alias("found"))
     return rows.join(found, base, "left").withColumn("url", F.coalesce("found", base)).drop("found")
+
+
+def content_score(text: Column, words: Sequence[str]) -> Column:
+    """Score of a page's content: 0.2 for each word, up to 0.3 for times and 0.2 for prices, 0.3 for menus with deals; at most 1."""
+    low = F.lower(text)
+    score = sum((F.when(low.contains(w), 0.2).otherwise(0.0) for w in words), F.lit(0.0))
+    score = score + F.least(F.regexp_count(low, F.lit(r"\d{1,2}\s*(?::\d{2})?\s*(?:am|pm)")) * 0.1, F.lit(0.3)) + F.least(F.regexp_count(low, F.lit(r"\$\d+")) * 0.05, F.lit(0.2))
+    return F.round(F.least(score + F.when(low.contains("happy hour") & low.rlike("menu|specials|deals"), 0.3).otherwise(0.0), F.lit(1.0)), 6)
+
+
+def menu_documents(pages: DataFrame, url: str = "url", kind: str = "content_type") -> DataFrame:
+    """Pages that are PDF files by type or name, and look like a menu by their address."""
+    low = F.lower(F.col(url))
+    return pages.filter((F.coalesce(F.col(kind), F.lit("")).contains("pdf") | low.endswith(".pdf")) & low.rlike("menu|food|drink|happy"))

@@ -41,7 +41,7 @@ def h14_day_titles(spark, sf_dir):
     return view(spark, sf_dir, "raw_x").select("seq", F.array_join(T.day_titles(F.array("raw_day", F.upper("raw_day"), F.lit("holiday"))), ",").alias("days"))
 
 
-@query("SELECT s_suppkey, CASE WHEN s_suppkey % 7 IN (1, 2, 3, 4, 5) THEN 'Mon-Fri' ELSE 'Sun-Tue, Thu' END AS days FROM supplier")
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 7 IN (1, 2, 3, 4, 5) THEN 'Mon-Fri' ELSE 'Thu, Sun-Tue' END AS days FROM supplier")
 def h9_compact_days(spark, sf_dir):
     some = F.when((F.col("s_suppkey") % 7).between(1, 5), F.array(*map(F.lit, T.WEEK[:5]))).otherwise(F.array(*map(F.lit, ("sunday", "monday", "tuesday", "thursday"))))
     x = view(spark, sf_dir, "supplier").select("s_suppkey", some.alias("d"))
@@ -213,3 +213,55 @@ def s14_website_export(spark, sf_dir):
     c = sure.groupBy("slug").agg(F.count("*").alias("n_deals"), F.max_by("raw_title", F.struct("confidence_score", (-F.col("seq")).alias("early"))).alias("best"))
     x = view(spark, sf_dir, "restaurant_x").select("slug", "district", "metro").join(c, "slug", "left")
     return x.withColumn("n_deals", F.coalesce("n_deals", F.lit(0)))
+
+
+@query(oracle("SELECT seq, CASE WHEN seq % 3 = 0 THEN 'Daily | 3 - 6' WHEN seq % 3 = 1 THEN 'Mon - Fri 3 - 6' ELSE 'Sat - Sun: Thu' END AS days FROM raw_x", "raw_x"))
+def h10_shortened_days(spark, sf_dir):
+    text = F.when(F.col("seq") % 3 == 0, "Monday, Tuesday, Wednesday,  Thursday, Friday, Saturday, Sunday|3-6").when(F.col("seq") % 3 == 1, "Mon, Tue, Wed, Thu, Fri 3 -6").otherwise("Saturday, Sunday: thursday")
+    return view(spark, sf_dir, "raw_x").select("seq", T.shortened_days(text).alias("days"))
+
+
+@query("SELECT doc_id, round(least(1.0, CASE WHEN contains(lower(text), 'the ') THEN 0.2 ELSE 0 END + CASE WHEN contains(lower(text), ' und ') THEN 0.2 ELSE 0 END + least(len(regexp_extract_all(lower(text), '\\d{1,2}[ \\t\\n\\x0B\\f\\r]*(:\\d{2})?[ \\t\\n\\x0B\\f\\r]*(am|pm)')) * 0.1, 0.3) + least(len(regexp_extract_all(lower(text), '\\$\\d+')) * 0.05, 0.2)), 6)::DOUBLE AS score FROM documents")
+def h22_content_score(spark, sf_dir):
+    from dealloom.operators.pages import content_score
+
+    return view(spark, sf_dir, "documents").select("doc_id", content_score(F.col("text"), ("the ", " und ")).alias("score"))
+
+
+@query(oracle("""SELECT seq, CAST(0 AS INT) AS pos, 'mon-fri' AS days, raw_start || '-' || raw_end AS time, false AS is_all_day, 0.9::DOUBLE AS confidence FROM raw_x WHERE raw_start IS NOT NULL
+ UNION ALL SELECT seq, CASE WHEN raw_start IS NULL THEN 0 ELSE 1 END, NULL, NULL, true, 0.6 FROM raw_x UNION ALL SELECT seq, CASE WHEN raw_start IS NULL THEN 1 ELSE 2 END, NULL, NULL, false, 0.1 FROM raw_x""", "raw_x"))
+def h17_legacy_entries(spark, sf_dir):
+    from dealloom.operators.extract import legacy_entries
+
+    first = F.concat(F.lit("Mon-Fri "), F.col("raw_start"), F.lit("-"), F.col("raw_end"))
+    text = F.concat_ws(" | ", first, F.lit("ALL DAY"), F.lit("ask inside"))
+    return legacy_entries(view(spark, sf_dir, "raw_x").select("seq", text.alias("text")), ("seq",))
+
+
+@query(oracle(r"""n AS (SELECT *, max(CASE WHEN lower(line) LIKE '%steel%' THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 1 AS near FROM menu_x),
+a AS (SELECT *, bool_or(near) OVER (PARTITION BY page_id) AS hit FROM n)
+SELECT page_id, pos, near, CAST(regexp_extract(line, '\$(\d+)', 1) AS DOUBLE) AS price FROM a WHERE (near OR NOT hit) AND regexp_matches(line, '\$\d') AND CAST(regexp_extract(line, '\$(\d+)', 1) AS DOUBLE) BETWEEN 3 AND 200""", "menu_x"))
+def x9_document_deals(spark, sf_dir):
+    from dealloom.operators.extract import document_deals
+
+    return document_deals(view(spark, sf_dir, "menu_x"), words="steel", around=1).select("page_id", "pos", "near", "price")
+
+
+@query(oracle("""j AS (SELECT x.district, x.slug, count(r.seq) AS n, avg(r.confidence_score) AS c FROM restaurant_x x LEFT JOIN raw_x r ON r.slug = x.slug GROUP BY ALL)
+SELECT district, count(*) AS n_restaurants, CAST(sum(n) AS BIGINT) AS n_deals, string_agg(slug || '=' || CAST(n AS VARCHAR), ',' ORDER BY slug) AS profiles FROM j GROUP BY district""", "raw_x", "restaurant_x"))
+def s15_dashboard(spark, sf_dir):
+    """District summary with a profile of each of its restaurants."""
+    n = view(spark, sf_dir, "raw_x").groupBy("slug").agg(F.count("*").alias("n"))
+    x = view(spark, sf_dir, "restaurant_x").select("slug", "district").join(n, "slug", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    profiles = F.array_sort(F.collect_list(F.struct("slug", "n")))
+    out = x.groupBy("district").agg(F.count("*").alias("n_restaurants"), F.sum("n").alias("n_deals"), profiles.alias("p"))
+    return out.select("district", "n_restaurants", "n_deals", F.array_join(F.transform("p", lambda s: F.concat(s["slug"], F.lit("="), s["n"].cast("string"))), ",").alias("profiles"))
+
+
+@query("SELECT page_id FROM pages WHERE page_id % 3 = 0 AND page_id % 2 = 0")
+def s7_menu_documents(spark, sf_dir):
+    from dealloom.operators.pages import menu_documents
+
+    k = F.col("page_id")
+    x = view(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("https://x.org/"), F.when(k % 3 == 0, "Menu").otherwise("about"), F.when(k % 2 == 0, ".PDF").otherwise("")).alias("url"), F.lit(None).cast("string").alias("content_type"))
+    return menu_documents(x).select("page_id")
