@@ -187,3 +187,9 @@ def shortened_days(text: Column) -> Column:
         text = F.regexp_replace(text, rf"(?i)\b{d}\b", d[:3].title())
     text = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"\s*-\s*", " - ")
     return F.trim(F.regexp_replace(text, r"\s*\|\s*", " | "))
+
+
+def weekly_schedule(curated: Column) -> Column:
+    """Curated map of days to times ('monday_tuesday' -> '3-6 pm, 9 pm-close') as a list of (days, times); joined keys give several days."""
+    days = lambda k: F.transform(F.split(k, "_"), lambda d: F.initcap(day_name(d)))
+    return F.transform(F.map_entries(curated), lambda e: F.struct(days(e["key"]).alias("days"), F.transform(F.split(e["value"], r"\s*,\s*"), F.trim).alias("times")))

@@ -89,3 +89,22 @@ def address(parts: str = "address_struct", fallback: str = "neighborhood") -> Co
     street = F.concat_ws(" ", p("street_number"), p("street_name"))
     built = F.concat_ws(", ", F.nullif(street, F.lit("")), p("city"), F.nullif(F.concat_ws(" ", p("state"), p("zip_code")), F.lit("")))
     return F.coalesce(p("formatted_address"), F.nullif(built, F.lit("")), F.col(fallback))
+
+
+def address_checks(street: str = "street", city: str = "city", state: str = "state", zip_code: str = "zip_code") -> dict[str, Column]:
+    """Which parts of an address have a usual form."""
+    return {
+        street: F.col(street).rlike(r"^\d+\s+[A-Za-z0-9 .'-]+$"), city: F.col(city).rlike(r"^[A-Z][A-Za-z .'-]+$"), state: F.upper(F.col(state)).rlike("^[A-Z]{2}$"), zip_code: F.col(zip_code).rlike(r"^\d{5}(-\d{4})?$"),
+    }
+
+
+def enhanced_profiles(profiles: DataFrame, weights: dict[str, float], confidence: str = "confidence_score") -> DataFrame:
+    """Phones and websites in their usual form or null, and the completeness and confidence that follow, in one pass."""
+    from dealloom.operators.overlay import us_phone
+    from dealloom.operators.pages import normal_url
+
+    better = lambda new, old: F.when(new.isNotNull() & ~new.eqNullSafe(F.col(old)), 1).otherwise(0)
+    phone, site = us_phone(F.col("phone")), normal_url(F.col("website"))
+    out = profiles.withColumns({"n_enhanced": better(phone, "phone") + better(site, "website"), "new_phone": phone, "new_site": site})
+    out = out.withColumns({"phone": F.col("new_phone"), "website": F.col("new_site")}).drop("new_phone", "new_site")
+    return out.withColumns({"completeness_score": completeness(weights), confidence: F.round(boosted(F.col(confidence), F.col("n_enhanced")), 6)})

@@ -265,3 +265,26 @@ def s7_menu_documents(spark, sf_dir):
     k = F.col("page_id")
     x = view(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("https://x.org/"), F.when(k % 3 == 0, "Menu").otherwise("about"), F.when(k % 2 == 0, ".PDF").otherwise("")).alias("url"), F.lit(None).cast("string").alias("content_type"))
     return menu_documents(x).select("page_id")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'Monday,Tuesday=3-6 pm|9 pm-close' ELSE 'Friday=4-7 pm' END AS schedule FROM supplier")
+def h15_weekly_schedule(spark, sf_dir):
+    curated = F.create_map(F.when(F.col("s_suppkey") % 2 == 0, "monday_tue").otherwise("fri"), F.when(F.col("s_suppkey") % 2 == 0, "3-6 pm, 9 pm-close").otherwise("4-7 pm"))
+    x = view(spark, sf_dir, "supplier").select("s_suppkey", T.weekly_schedule(curated).alias("w"))
+    return x.select("s_suppkey", F.array_join(F.transform("w", lambda s: F.concat(F.array_join(s["days"], ","), F.lit("="), F.array_join(s["times"], "|"))), ";").alias("schedule"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey AS VARCHAR) || ' Main St.' END AS street, CASE WHEN c_custkey % 3 = 0 THEN '80202' END AS zip_code FROM customer")
+def p7_address_parts(spark, sf_dir):
+    k = F.col("c_custkey")
+    x = view(spark, sf_dir, "customer").select("c_custkey", F.when(k % 2 == 0, F.concat(k.cast("string"), F.lit(" Main St."))).otherwise("Main St.").alias("street"), F.when(k % 3 == 0, "80202").otherwise("8020").alias("zip_code"), F.lit("Denver").alias("city"), F.lit("CO").alias("state"))
+    out, _ = Q.with_invalid_nulled(x, Q.address_checks())
+    return out.select("c_custkey", "street", "zip_code")
+
+
+@query(oracle(f"""p AS (SELECT slug, phone, website, CASE WHEN phone IS NULL THEN 0 ELSE 1 END + CASE WHEN website IS NULL THEN 0 ELSE 1 END AS n FROM restaurant_x)
+SELECT slug, CASE WHEN phone IS NOT NULL THEN '(' || substr(phone, 3, 3) || ') ' || substr(phone, 7) END AS phone, {NORMAL.format('website')} AS website, CAST(n AS INT) AS n_enhanced,
+ round(CASE WHEN phone IS NULL THEN 0 ELSE 0.6 END + CASE WHEN website IS NULL THEN 0 ELSE 0.4 END, 6)::DOUBLE AS completeness_score, round(CASE WHEN n > 0 THEN least(0.95, 0.8 + least(0.2, n * 0.05)) ELSE 0.8 END, 6)::DOUBLE AS confidence_score FROM p""", "restaurant_x"))
+def x13_enhanced_profiles(spark, sf_dir):
+    x = view(spark, sf_dir, "restaurant_x").select("slug", "phone", "website", F.lit(0.8).alias("confidence_score"))
+    return Q.enhanced_profiles(x, {"phone": 0.6, "website": 0.4}).select("slug", "phone", "website", "n_enhanced", "completeness_score", "confidence_score")
