@@ -32,3 +32,12 @@ def test_verdicts(spark):
     rates = {r.host: r.rate for r in host_rates(rule_counts(docs, ["source"]), "source").collect()}
     assert 0.05 < rates["fine"] < 0.2 and rates["awful"] > 0.9 and rates["fine"] > 0.1 - 0.02 and rates["one"] > 0
     assert host_verdicts(docs.limit(0), ["doc_id"]).count() == 0
+
+
+def test_shuffled_hosts_give_the_same(spark, monkeypatch):
+    from dealloom.llm import host_rules
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    one = {(r.row.doc_id, r.kept) for r in host_verdicts(docs, ["doc_id"]).collect()}
+    monkeypatch.setattr(host_rules, "BROADCAST_HOSTS", 0)
+    assert one == {(r.row.doc_id, r.kept) for r in host_verdicts(docs, ["doc_id"]).collect()}

@@ -85,3 +85,13 @@ def test_linked_sets_share_a_signature(percent):
         same = len(np.intersect1d(one, two))
         if len(two) and 100 * same >= percent * (len(one) + len(two) - same) and set(one) != set(two):
             assert set(partenum.signatures(one, percent)) & set(partenum.signatures(two, percent))
+
+
+def test_shuffled_ids_give_the_same(spark, monkeypatch):
+    from dealloom.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)  # several blocks for each signature
+    rows = list(enumerate(family(3, 60, 6, 60)))
+    got = {tuple(r) for r in JaccardJoin(spark.createDataFrame(rows, "doc_id long, text string")).components().collect()}
+    assert got == brute(rows)
