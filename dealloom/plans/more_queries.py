@@ -109,7 +109,7 @@ def h34_district_metro(spark, sf_dir):
 
 @query("SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS number, 'Main Street' AS street, CASE WHEN c_custkey % 2 = 0 THEN '4B' END AS unit FROM customer")
 def h42_streets(spark, sf_dir):
-    line = F.concat(F.col("c_custkey").cast("string"), F.lit(" Main Street"), F.when(F.col("c_custkey") % 2 == 0, " #4B").otherwise(""), F.lit(", Denver"))
+    line = F.concat(F.col("c_custkey").cast("string"), F.lit(" Main Street"), F.when(F.col("c_custkey") % 2 == 0, " #4B").otherwise(""), F.lit(", Springfield"))
     return view(spark, sf_dir, "customer").select("c_custkey", *D.street_parts(line))
 
 
@@ -277,7 +277,7 @@ def h15_weekly_schedule(spark, sf_dir):
 @query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey AS VARCHAR) || ' Main St.' END AS street, CASE WHEN c_custkey % 3 = 0 THEN '80202' END AS zip_code FROM customer")
 def p7_address_parts(spark, sf_dir):
     k = F.col("c_custkey")
-    x = view(spark, sf_dir, "customer").select("c_custkey", F.when(k % 2 == 0, F.concat(k.cast("string"), F.lit(" Main St."))).otherwise("Main St.").alias("street"), F.when(k % 3 == 0, "80202").otherwise("8020").alias("zip_code"), F.lit("Denver").alias("city"), F.lit("CO").alias("state"))
+    x = view(spark, sf_dir, "customer").select("c_custkey", F.when(k % 2 == 0, F.concat(k.cast("string"), F.lit(" Main St."))).otherwise("Main St.").alias("street"), F.when(k % 3 == 0, "80202").otherwise("8020").alias("zip_code"), F.lit("Springfield").alias("city"), F.lit("CO").alias("state"))
     out, _ = Q.with_invalid_nulled(x, Q.address_checks())
     return out.select("c_custkey", "street", "zip_code")
 
