@@ -111,7 +111,9 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20, i
     component take no part, nor do rows without an id; vectors meet those of the same length only.
     Rows that repeat an id and a vector count once. Empty tables give empty results.
     """
-    v = F.transform(F.col(vector_column), lambda x: x.cast("double"))
+    # Single-precision vectors travel as they are; all arithmetic is in double precision.
+    number = "float" if vectors.schema[vector_column].dataType.simpleString() == "array<float>" else "double"
+    v = F.transform(F.col(vector_column), lambda x: x.cast(number))
     good = (F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), v.alias("vector")).filter("id IS NOT NULL AND vector IS NOT NULL").filter(good)
     rows = rows.withColumn("dim", F.size("vector"))
@@ -123,13 +125,13 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20, i
     lead = few.groupBy("vector").agg(F.min("id").alias("class"))
     members = few.join(lead, "vector").select("class", "id")
     index = lead.select(F.col("class").alias("id"), "vector", F.size("vector").alias("dim"))
-    most = index.agg(F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)))).first()[0] or 1.0
+    most = index.agg(F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))).first()[0] or 1.0
     asked = rows.filter(is_query.replace(id_column, "id")).select("id", "vector").distinct()
     asking = asked.groupBy("vector").agg(F.min("id").alias("query"))
     asker = asked.join(asking, "vector").select("query", F.col("id").alias("query_id"))
     probes = asking.select(F.col("query").alias("id"), "vector", F.size("vector").alias("dim"))
 
-    schema = "id long, dim int, vector array<double>, bucket long"
+    schema = f"id long, dim int, vector array<{number}>, bucket long"
     index = written(index.select("id", "dim", "vector").mapInArrow(_hashed(1, most), schema))
     probes = written(probes.select("id", "dim", "vector").mapInArrow(_hashed(PROBES, None), schema))
     # Chunks of a bucket: each chunk of queries meets each chunk of the index.
