@@ -125,6 +125,7 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20, i
     lead = few.groupBy("vector").agg(F.min("id").alias("class"))
     members = few.join(lead, "vector").select("class", "id")
     index = lead.select(F.col("class").alias("id"), "vector", F.size("vector").alias("dim"))
+    whole = index
     most = index.agg(F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))).first()[0] or 1.0
     asked = rows.filter(is_query.replace(id_column, "id")).select("id", "vector").distinct()
     asking = asked.groupBy("vector").agg(F.min("id").alias("query"))
@@ -143,8 +144,21 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20, i
     probes = probes.join(size.toDF(*size.columns), ["dim", "bucket"]).withColumn("query_part", place("query_parts")).withColumn("part", every("parts")).drop("parts", "query_parts")
     by = ["dim", "bucket", "part", "query_part"]
     found = probes.groupBy(*by).cogroup(index.groupBy(*by)).applyInArrow(_compare(k + 1), "query long, id long, score double")
+    found = written(found.distinct())
+    # Queries for which the buckets held fewer than k + 1 classes, as in tiny tables, meet all of the index in chunks.
+    enough = found.groupBy("query").agg(F.count("*").alias("n")).filter(F.col("n") > k).select(F.col("query").alias("id"))
+    short = written(asking.select(F.col("query").alias("id"), F.size("vector").alias("dim"), "vector").join(enough, "id", "left_anti"))
+    if not short.isEmpty():
+        n, m = (max(1, -(-x.count() // CHUNK)) for x in (whole, short))
+        block = lambda count: F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
+        all_of = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+        ask = short.select("id", "dim", "vector", block(m).alias("query_part"), all_of(n).alias("part"))
+        rows_ = whole.select("id", "dim", "vector", block(n).alias("part"), all_of(m).alias("query_part"))
+        by = ["dim", "part", "query_part"]
+        rest = ask.groupBy(*by).cogroup(rows_.groupBy(*by)).applyInArrow(_compare(k + 1), "query long, id long, score double")
+        found = found.unionByName(rest).distinct()
     # The k + 1 best classes of a query hold its k best other rows.
-    found = found.distinct().withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).filter(F.col("r") <= k + 1)
+    found = found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).filter(F.col("r") <= k + 1)
     pairs = found.select("query", F.col("id").alias("class"), "score").join(members, "class").select("query", "id", "score")
     pairs = pairs.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).filter(F.col("r") <= k + 1)
     out = pairs.join(asker, "query").filter("id <> query_id")

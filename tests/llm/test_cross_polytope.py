@@ -54,3 +54,17 @@ def test_copies_norms_and_odd_rows(spark):
         assert [i for i, _ in got[q]] == [i for i, _ in want[q]] and np.allclose([s for _, s in got[q]], [s for _, s in want[q]])
     assert set(got) <= set(want) and got[400] == [(401, 3.0)]
     assert search(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 15, 40])
+def test_tiny_tables_are_whole(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(n, 64)).astype(np.float32).tolist())]
+    want = exact(rows)
+    got = {}
+    for r in search(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for q, best in want.items():
+        assert len(got.get(q, [])) == len(best)
+        if n <= 21:
+            assert got.get(q, []) == [i for i, _ in best]
