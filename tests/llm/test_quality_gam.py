@@ -1,6 +1,5 @@
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import functions as F
 
 from dealloom.llm.language_id import held_out
 from dealloom.llm.quality_gam import FEATURES, QualityModel, features, scores, train
