@@ -89,7 +89,7 @@ def token_counts(docs: DataFrame, path: str, keep: list[str], limit: int = 4096)
     A null or empty text has no bytes and no tokens. Texts of any length are counted whole. Rows are
     independent, so repeated rows and rows without an id get the same counts.
     """
-    sample = docs.select(F.col("text").cast("string").alias("text")).filter("text IS NOT NULL AND instr(text, '\\0') = 0").limit(SAMPLE_ROWS)
+    sample = docs.select(F.col("text").cast("string").alias("text")).sample(min(1.0, SAMPLE_ROWS / max(1, docs.count())), 7).filter("text IS NOT NULL AND instr(text, '\\0') = 0")
     table = docs.sparkSession.sparkContext.broadcast(_frequent(sample, load(path)))
 
     def compute():
