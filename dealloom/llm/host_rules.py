@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dealloom.llm.annotate import annotate
+from dealloom.llm.scratch import written
 from dealloom.llm.words import SPACE, shingles, utf8, words
 
 MIN_WORDS = 50
@@ -75,7 +76,7 @@ def rule_counts(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
 def host_rates(counts: DataFrame, host: str) -> DataFrame:
     """host, n_docs, n_failed and the shrunk rate; a null host is left out."""
     hosts = counts.select(F.col(f"row.`{host}`").alias("host"), "failed").filter("host IS NOT NULL")
-    hosts = hosts.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed"))
+    hosts = written(hosts.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed")))
     p = F.col("n_failed") / F.col("n_docs")
     # The spread of the rates less what chance alone gives hosts of these sizes.
     m = hosts.agg(F.sum("n_failed") / F.sum("n_docs"), F.var_samp(p), F.avg(F.lit(1) / F.col("n_docs")), F.count("*")).first()
