@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dealloom.llm import partenum
+from dealloom.llm.annotate import small_batches
 from dealloom.llm.scratch import components, written
 from dealloom.llm.words import mix, shingles, utf8, words
 
@@ -120,7 +121,7 @@ class JaccardJoin:
 
     def __init__(self, docs: DataFrame, width: int = 3, percent: int = 90):
         self.width, self.percent = width, percent
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        self.docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         self.described = written(self.docs.mapInArrow(partial(_described, width=width, percent=percent), "doc_id long, n long, h1 long, h2 long, signs array<long>, bitmap binary"))
         full = self.described.filter("n > 0 AND doc_id IS NOT NULL")
         self.classes = written(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")))

@@ -62,8 +62,7 @@ def weighted(count: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def train_ftrl(x: np.ndarray, y: np.ndarray, classes: int, seed: int = 0) -> np.ndarray:
-    """Weights (features and a constant, classes) after EPOCHS passes in small batches."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    """Weights (features, classes) after EPOCHS passes in small batches; the last feature is a constant."""
     z, n = np.zeros((x.shape[1], classes)), np.zeros((x.shape[1], classes))
 
     def weights() -> np.ndarray:
@@ -153,15 +152,17 @@ def train(docs: DataFrame, learn: Column | None = None) -> LanguageModel:
 
     sample = drawn.limit(2 * SAMPLE * len(languages)).mapInArrow(features, "lang string, n binary, at binary").collect()
     sample.sort(key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["n"])))
-    x = np.zeros((len(sample), 1 << BITS), np.float32)
+    x = np.ones((len(sample), (1 << BITS) + 1), np.float32)
     for row, r in zip(x, sample, strict=True):
-        row[np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["n"], "<u4")
-    x, y = weighted(x, idf), np.array([languages.index(r["lang"]) for r in sample])
+        count = np.zeros(1 << BITS, np.float32)
+        count[np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["n"], "<u4")
+        row[:-1] = weighted(count, idf)
+    y = np.array([languages.index(r["lang"]) for r in sample])
     aside = np.arange(len(x)) % 5 == 4
     if not len(x):
         return LanguageModel([], idf, np.zeros(((1 << BITS) + 1, 1)), 1.0)
     weights = train_ftrl(x[~aside], y[~aside], len(languages))
-    heat = temperature(x[aside] @ weights[:-1] + weights[-1], y[aside]) if aside.any() else 1.0
+    heat = temperature(x[aside] @ weights, y[aside]) if aside.any() else 1.0
     return LanguageModel(languages, idf.astype(np.float32), weights.astype(np.float32), heat)
 
 

@@ -44,9 +44,8 @@ def test_parts():
     assert counts("").sum() <= 2 and counts("aaa").sum() == counts("AAA!?").sum()
     rng = np.random.default_rng(0)
     y = rng.integers(0, 3, 300)
-    x = np.eye(6, dtype=np.float32)[y * 2 + rng.integers(0, 2, 300)]
-    w = train_ftrl(x, y, 3)
-    assert ((x @ w[:-1] + w[-1]).argmax(1) == y).all()
+    x = np.hstack([np.eye(6, dtype=np.float32)[y * 2 + rng.integers(0, 2, 300)], np.ones((300, 1), np.float32)])
+    assert ((x @ train_ftrl(x, y, 3)).argmax(1) == y).all()
     logits = rng.normal(size=(4000, 3))
     y = np.array([rng.choice(3, p=p) for p in softmax(logits)])
     assert abs(temperature(logits * 5, y) - 5) < 1
