@@ -1,9 +1,11 @@
 """Operator 9: nearest neighbours by inner product, with cross-polytope hashing and exact reranking.
 
-Vectors are scaled by the largest norm and lifted by one coordinate onto the unit sphere, where the
-largest inner product with a query is the smallest angle. Each table turns them by three rounds of
+Rows are split into bands of like norm. A band's vectors are scaled by its largest norm and lifted by
+one coordinate onto the unit sphere, where the largest inner product with a query is the smallest
+angle; without bands, one long vector would push all others to one pole. Bands of at most WHOLE rows
+are compared whole, which takes less than their probes. Each table turns vectors by three rounds of
 random signs and a fast Hadamard transform; the bucket is the nearest signed axis. A query looks in
-the PROBES buckets whose axes are nearest to it, in each of TABLES tables. Buckets are compared in
+the PROBES buckets whose axes are nearest to it, in each of TABLES tables of each band. Buckets are compared in
 chunks of bounded size, by exact inner products on the original vectors.
 
 Equal vectors form one class, of which the smallest k + 1 ids are kept: no query can return more of
@@ -12,6 +14,7 @@ them. All other rows are indexed.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +27,8 @@ from dealloom.llm.scratch import written
 TABLES = 16
 PROBES = 12
 CHUNK = 4096  # index rows, or queries, of a bucket that one task compares
+WHOLE = CHUNK  # rows of a band up to which all queries meet all of it
+BAND = 1.15  # largest ratio of norms in a band
 SALTS = 64
 SEED = 20
 
@@ -49,12 +54,15 @@ def turned(x: np.ndarray, table: int) -> np.ndarray:
     return y
 
 
-def lifted(x: np.ndarray, most: float | None) -> np.ndarray:
-    """Points on the unit sphere; most is the largest norm of the index, None for queries."""
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
+def lifted(x: np.ndarray, most: np.ndarray | None) -> np.ndarray:
+    """Points on the unit sphere; most is the log of the largest norm of each row's band, None for queries."""
+    scale = np.abs(x).max(axis=1, keepdims=True)
+    norm = np.linalg.norm(x / scale, axis=1, keepdims=True)
+    unit = x / scale / norm
     if most is None:
-        return np.hstack([x / norm, np.zeros_like(norm)])
-    return np.hstack([x / most, np.sqrt(np.maximum(0.0, 1 - (norm / most) ** 2))])
+        return np.hstack([unit, np.zeros_like(norm)])
+    share = np.minimum(1.0, np.exp(np.log(scale) + np.log(norm) - most[:, None]))
+    return np.hstack([unit * share, np.sqrt(1 - share**2)])
 
 
 def nearest_axes(x: np.ndarray, n: int) -> np.ndarray:
@@ -69,18 +77,19 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _hashed(probes: int, most: float | None):
+def _hashed(probes: int, banded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column("dim").to_numpy()
             for dim in np.unique(sizes):
                 part = batch.filter(pa.array(sizes == dim))
-                points = lifted(_matrix(part.column("vector")), most)
+                points = lifted(_matrix(part.column("vector")), part.column("most").to_numpy() if banded else None)
                 buckets = [nearest_axes(turned(points, t), probes).reshape(-1) + t * 1_000_000 for t in range(TABLES)]
                 rows = np.repeat(np.arange(len(part)), len(buckets[0]) // len(part))
                 for found in buckets:
                     out = part.take(pa.array(rows))
-                    yield pa.RecordBatch.from_arrays([out.column("id"), out.column("dim"), out.column("vector"), pa.array(found, pa.int64())], ["id", "dim", "vector", "bucket"])
+                    names = ["id", "dim", "vector", *(["band"] if banded else [])]
+                    yield pa.RecordBatch.from_arrays([*(out.column(c) for c in names), pa.array(found, pa.int64())], [*names, "bucket"])
 
     return run
 
@@ -125,38 +134,51 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20, i
     lead = few.groupBy("vector").agg(F.min("id").alias("class"))
     members = few.join(lead, "vector").select("class", "id")
     index = lead.select(F.col("class").alias("id"), "vector", F.size("vector").alias("dim"))
+    # Bands by the log of the norm; the largest component is taken out, so no square overflows.
+    peak = F.array_max(F.transform("vector", lambda x: F.abs(x.cast("double"))))
+    index = index.withColumn("peak", peak).withColumn("log", F.log("peak") + F.log(F.aggregate("vector", F.lit(0.0), lambda a, x: a + (x / F.col("peak")) * (x / F.col("peak")))) / 2)
+    index = written(index.select("id", "dim", "vector", "log"))
+    longest = index.agg(F.max("log")).first()[0] or 0.0
+    index = index.withColumn("band", F.floor((F.lit(longest) - F.col("log")) / math.log(BAND)))
+    bands = written(index.groupBy("dim", "band").agg(F.max("log").alias("most"), (F.count("*") <= WHOLE).alias("whole")))
     whole = index
-    most = index.agg(F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))).first()[0] or 1.0
+    index = index.join(bands, ["dim", "band"])
     asked = rows.filter(is_query.replace(id_column, "id")).select("id", "vector").distinct()
     asking = asked.groupBy("vector").agg(F.min("id").alias("query"))
     asker = asked.join(asking, "vector").select("query", F.col("id").alias("query_id"))
     probes = asking.select(F.col("query").alias("id"), "vector", F.size("vector").alias("dim"))
 
-    schema = f"id long, dim int, vector array<{number}>, bucket long"
-    index = written(index.select("id", "dim", "vector").mapInArrow(_hashed(1, most), schema))
-    probes = written(probes.select("id", "dim", "vector").mapInArrow(_hashed(PROBES, None), schema))
+    def met_whole(asking: DataFrame, rows: DataFrame) -> DataFrame:
+        """All of the rows for each of the queries, in chunks."""
+        n, m = (max(1, -(-x.count() // CHUNK)) for x in (rows, asking))
+        block = lambda count: F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
+        all_of = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+        ask = asking.select("id", "dim", "vector", block(m).alias("query_part"), all_of(n).alias("part"))
+        rows = rows.select("id", "dim", "vector", block(n).alias("part"), all_of(m).alias("query_part"))
+        by = ["dim", "part", "query_part"]
+        return ask.groupBy(*by).cogroup(rows.groupBy(*by)).applyInArrow(_compare(k + 1), "query long, id long, score double")
+
+    few = written(index.filter("whole").select("id", "dim", "vector"))
+    met = None if few.isEmpty() else met_whole(probes, few)
+    schema = f"id long, dim int, vector array<{number}>, %sbucket long"
+    index = written(index.filter("NOT whole").select("id", "dim", "vector", "band", "most").mapInArrow(_hashed(1, True), schema % "band long, "))
+    probes = probes.join(F.broadcast(bands.filter("NOT whole").select("dim").distinct()), "dim", "left_semi")
+    probes = written(probes.select("id", "dim", "vector").mapInArrow(_hashed(PROBES, False), schema % ""))
     # Chunks of a bucket: each chunk of queries meets each chunk of the index.
-    chunks = lambda df, name: df.groupBy("dim", "bucket").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias(name))
-    size = written(chunks(index, "parts").join(chunks(probes, "query_parts"), ["dim", "bucket"]))
+    chunks = lambda df, name, *by: df.groupBy("dim", "bucket", *by).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias(name))
+    size = written(chunks(index, "parts", "band").join(chunks(probes, "query_parts"), ["dim", "bucket"]))
     place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    index = index.join(size.toDF(*size.columns), ["dim", "bucket"]).withColumn("part", place("parts")).withColumn("query_part", every("query_parts")).drop("parts", "query_parts")
+    index = index.join(size.toDF(*size.columns), ["dim", "bucket", "band"]).withColumn("part", place("parts")).withColumn("query_part", every("query_parts")).drop("parts", "query_parts")
     probes = probes.join(size.toDF(*size.columns), ["dim", "bucket"]).withColumn("query_part", place("query_parts")).withColumn("part", every("parts")).drop("parts", "query_parts")
-    by = ["dim", "bucket", "part", "query_part"]
+    by = ["dim", "band", "bucket", "part", "query_part"]
     found = probes.groupBy(*by).cogroup(index.groupBy(*by)).applyInArrow(_compare(k + 1), "query long, id long, score double")
-    found = written(found.distinct())
+    found = written((found if met is None else found.unionByName(met)).distinct())
     # Queries for which the buckets held fewer than k + 1 classes, as in tiny tables, meet all of the index in chunks.
     enough = found.groupBy("query").agg(F.count("*").alias("n")).filter(F.col("n") > k).select(F.col("query").alias("id"))
     short = written(asking.select(F.col("query").alias("id"), F.size("vector").alias("dim"), "vector").join(enough, "id", "left_anti"))
     if not short.isEmpty():
-        n, m = (max(1, -(-x.count() // CHUNK)) for x in (whole, short))
-        block = lambda count: F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
-        all_of = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-        ask = short.select("id", "dim", "vector", block(m).alias("query_part"), all_of(n).alias("part"))
-        rows_ = whole.select("id", "dim", "vector", block(n).alias("part"), all_of(m).alias("query_part"))
-        by = ["dim", "part", "query_part"]
-        rest = ask.groupBy(*by).cogroup(rows_.groupBy(*by)).applyInArrow(_compare(k + 1), "query long, id long, score double")
-        found = found.unionByName(rest).distinct()
+        found = found.unionByName(met_whole(short, whole)).distinct()
     # The k + 1 best classes of a query hold its k best other rows.
     found = found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).filter(F.col("r") <= k + 1)
     pairs = found.select("query", F.col("id").alias("class"), "score").join(members, "class").select("query", "id", "score")

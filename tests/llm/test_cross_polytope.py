@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pytest
 
+from dealloom.llm import cross_polytope
 from dealloom.llm.cross_polytope import hadamard, search, turned
 
 SCHEMA = "vec_id long, embedding array<float>, bucket string"
@@ -68,3 +69,18 @@ def test_tiny_tables_are_whole(spark, n):
         assert len(got.get(q, [])) == len(best)
         if n <= 21:
             assert got.get(q, []) == [i for i, _ in best]
+
+
+@pytest.mark.parametrize("norms, whole", [("one", 4096), ("one", 500), ("log-normal", 4096), ("log-normal", 200)])
+def test_recall_where_norms_differ(spark, monkeypatch, norms, whole):
+    monkeypatch.setattr(cross_polytope, "WHOLE", whole, raising=False)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x *= np.exp(rng.normal(size=(len(x), 1)) / 2) if norms == "log-normal" else np.where(np.arange(len(x)) == 7, 5, 1)[:, None]
+    rows = [(i, v) for i, v in enumerate(x.astype(np.float32).tolist())]
+    want, got = exact(rows), {}
+    for r in search(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert all(len(got[q]) == 20 for q in want)
+    assert np.mean([len({i for i, _ in want[q]} & got[q]) for q in want]) / 20 >= 0.9
