@@ -1,10 +1,10 @@
 """Operator 10: conversations as budgeted, turn-aligned training windows with a loss mask.
 
-Prefix sums of turn tokens cut a conversation into spans of turns whose new tokens stay within the
-budget (a longer turn is a span of its own). A window repeats the system turn and the last turns
-before its span, up to a limit, then has its own turns; only its own assistant turns carry loss, so
-each assistant text is a target once. Everything is a window function or a join on the conversation
-and a span; nothing needs a conversation in one place but its prefix sum, which Spark streams.
+A fold over the turns of a conversation cuts it into spans that fit the budget whole (a longer turn
+is a span of its own). A window repeats the system turn and the last turns before its span, as far as
+the budget and a limit allow, then has its own turns; only its own assistant turns carry loss, so
+each assistant text is a target once. All else is a window function or a join on the conversation
+and a span; nothing needs a conversation in one place but its order and its fold, which are streamed.
 
 Template: <|im_start|>role, line feed, text, <|im_end|>, line feed. Inside roles and texts a backslash
 becomes two, and "<|" becomes "<", backslash, "|": control strings cannot arise, and parse() reverses it.
@@ -15,13 +15,16 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUDGET = 1024  # tokens of new turns in a window, counted as four characters each
-HISTORY = 256  # tokens of repeated turns
+from dealloom.llm.annotate import small_batches
+
+BUDGET = 1024  # tokens of a window, counted as four characters each; room for the system turn and history is set aside
+HISTORY = 256  # most tokens of repeated turns besides the system turn
 START, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -33,7 +36,23 @@ def unescaped(text: str) -> str:
     return re.sub(r"\\([\\|])", r"\1", text)
 
 
-def turn_spans(turns: DataFrame, budget: int = BUDGET) -> DataFrame:
+def _spans(batches: Iterator[pa.RecordBatch], budget: int, history: int) -> Iterator[pa.RecordBatch]:
+    """Turns in order, with their span and the tokens of the conversation's system turn; only running sums are kept."""
+    system = span = used = before = 0
+    for batch in batches:
+        out = []
+        for seq, role, tokens in zip(*(batch.column(c).to_pylist() for c in ("seq", "role", "tokens"))):
+            if seq == 1:
+                system, span, used, before = tokens if role == "system" else 0, 0, 0, 0
+            elif used + tokens > (budget - system - history if span else budget):
+                span, used = span + 1, 0
+            out.append((before, span, system))
+            used, before = used + tokens, before + tokens
+        added = [pa.array([o[i] for o in out], pa.int64()) for i in range(3)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "before", "span", "system"])
+
+
+def turn_spans(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """Turns in order with their formatted text, its tokens, and the span of the conversation they are in.
 
     Order is by turn, then role and text, so ties and repeated rows have one defined order (a null
@@ -41,13 +60,13 @@ def turn_spans(turns: DataFrame, budget: int = BUDGET) -> DataFrame:
     their own.
     """
     clean = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    clean = small_batches(clean).repartition("conv_id")
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     form = F.concat(F.lit(START), escaped(F.col("role")), F.lit("\n"), escaped(F.col("text")), F.lit(END + "\n"))
     rows = clean.withColumn("seq", F.row_number().over(order)).withColumn("form", form).drop("text")
     rows = rows.withColumn("tokens", F.ceil(F.length("form") / 4))
-    through = F.sum("tokens").over(Window.partitionBy("conv_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    # Turns whose prefix sums start in the same stretch of the budget share a span.
-    return rows.withColumn("before", through - F.col("tokens")).withColumn("span", F.floor(F.col("before") / budget))
+    rows = rows.withColumn("tokens", F.ceil(F.length("form") / 4)).sortWithinPartitions("conv_id", "seq")
+    return rows.mapInArrow(partial(_spans, budget=budget, history=history), "conv_id long, turn long, role string, seq int, form string, tokens long, before long, span long, system long")
 
 
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
@@ -56,20 +75,20 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
     A window is the rows of one (conv_id, span) by place. repeated marks the system turn and history,
     target the turns with loss: the window's own assistant turns.
     """
-    rows = turn_spans(turns, budget)
+    rows = turn_spans(turns, budget, history)
     own = rows.withColumns({"repeated": F.lit(False), "target": F.col("role") == "assistant"})
-    first = rows.groupBy("conv_id", "span").agg(F.min("seq").alias("first_seq"), F.min("before").alias("first_before"))
+    first = rows.groupBy("conv_id", "span").agg(F.min("seq").alias("first_seq"), F.min("before").alias("first_before"), F.greatest(F.lit(0), F.least(F.lit(history), budget - F.max("system") - F.sum("tokens"))).alias("room"))
     later = first.filter("first_seq > 1")
     # The system turn of a conversation is its first turn, if it has that role.
     system = rows.filter("seq = 1 AND role = 'system'")
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     system = later.select(F.col("conv_id").alias("c"), F.col("span").alias("s")).join(system.drop("span"), same("c", "conv_id")).select("conv_id", F.col("s").alias("span"), "seq", "role", "form")
-    # History: turns of this or the one earlier stretch that end within reach of the span's start.
+    # History: turns that start within the room before the span's start; they lie in the stretches of the budget next to it.
     reach = -(-history // budget)
-    old = rows.filter(F.col("tokens") <= history).filter(~((F.col("seq") == 1) & (F.col("role") == "system")))
+    old = rows.drop("span").withColumn("stretch", F.floor(F.col("before") / budget)).filter(F.col("tokens") <= history).filter(~((F.col("seq") == 1) & (F.col("role") == "system")))
     near = later.withColumn("near", F.explode(F.sequence(F.floor((F.col("first_before") - history) / budget), F.floor(F.col("first_before") / budget)))) if reach else None
-    old = near.select(F.col("conv_id").alias("c"), F.col("span").alias("s"), "near", "first_seq", "first_before").join(old, same("c", "conv_id") & (F.col("near") == F.col("span")))
-    old = old.filter("seq < first_seq AND before >= first_before - %d" % history).select("conv_id", F.col("s").alias("span"), "seq", "role", "form")
+    old = near.select(F.col("conv_id").alias("c"), F.col("span").alias("s"), "near", "first_seq", "first_before", "room").join(old, same("c", "conv_id") & (F.col("near") == F.col("stretch")))
+    old = old.filter("seq < first_seq AND before >= first_before - room").select("conv_id", F.col("s").alias("span"), "seq", "role", "form")
     again = system.unionByName(old).withColumns({"repeated": F.lit(True), "target": F.lit(False)})
     names = ["conv_id", "span", F.col("seq").alias("place"), "form", "repeated", "target"]
     return own.select(*names).unionByName(again.select(*names))

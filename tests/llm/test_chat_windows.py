@@ -42,3 +42,22 @@ def test_windows_keep_the_budget(spark):
         repeats += len(old)
         systems += any(t.repeated and role == "system" for t, (role, _) in zip(w.turns, turns))
     assert repeats and systems
+
+
+def test_whole_windows_fit_the_budget(spark):
+    # Two turns of 150 tokens of a budget of 200, and a longer turn in the middle of the budget.
+    rows = [(1, 0, "user", "a" * 570), (1, 1, "assistant", "b" * 570), (2, 0, "system", "s" * 40), (2, 1, "user", "c" * 300), (2, 2, "assistant", "d" * 2000), (2, 3, "user", "e" * 100)]
+    df = spark.createDataFrame([(*r, 1) for r in [*conversations(), *rows]], SCHEMA)
+    alone = histories = 0
+    for w in formatted(df, 200, 60).collect():
+        tokens = [-(-(t.end - t.start) // 4) for t in w.turns]
+        own = sum(not t.repeated for t in w.turns)
+        if own == 1 and sum(tokens) > 200:
+            # A turn that does not fit beside the system turn: nothing else is repeated.
+            assert len(tokens) <= 2 and all(role == "system" for role, _ in parse(w.text)[:-1])
+            alone += 1
+        else:
+            assert sum(tokens) <= 200
+        histories += len(tokens) - own > 1
+    assert alone and histories
+    assert [[t.repeated for t in w.turns].count(False) for w in formatted(df.filter("conv_id = 1"), 200, 60).orderBy("span").collect()] == [1, 1]
