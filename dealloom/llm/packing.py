@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dealloom.llm.annotate import annotate
+from dealloom.llm.scratch import written
 from dealloom.llm.word_bpe import load, text_blocks
 
 GROUP = 4096
@@ -159,8 +160,10 @@ def packed(docs: DataFrame, path: str, keep: list[str], size: int = 2048, group:
     A null or empty text is the closing id alone. Repeated rows are packed each by itself. An empty
     table gives an empty result. No piece is cut further and no document is left out.
     """
-    groups = max(1, round(docs.count() / group))
-    rows = pieces(docs, path, keep, size).withColumn("group", F.pmod(F.xxhash64("row", "piece", "ids_crc32"), F.lit(groups)))
+    # Written, so that the numbers of rows stay as they are; they deal equal rows to different groups.
+    rows = written(pieces(docs, path, keep, size).withColumn("salt", F.monotonically_increasing_id()))
+    groups = max(1, round(rows.count() / group))
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("row", "piece", "ids_crc32", "salt"), F.lit(groups))).drop("salt")
 
     def place(table: pa.Table) -> pa.Table:
         bin_of, offset = pack(table.column("length").to_numpy(), size)

@@ -55,3 +55,12 @@ def test_job(spark):
             at += length
         assert at <= 512
     assert packing.packed(docs.limit(0), WORDS, ["doc_id"]).count() == 0
+
+
+def test_repeated_rows_and_long_documents_are_dealt_out(spark):
+    copies = spark.createDataFrame([(1, "same words here")] * 300 + [(None, "same words here")] * 300, "doc_id long, text string")
+    long = spark.createDataFrame([(2, "some words " * 5000)], "doc_id long, text string")
+    for docs, least in ((copies, 600), (long, 300)):
+        rows = packing.packed(docs, WORDS, ["doc_id"], 32, group=20).collect()
+        groups = np.unique([r.sequence_id >> 32 for r in rows], return_counts=True)[1]
+        assert len(rows) >= least and groups.max() <= 60
