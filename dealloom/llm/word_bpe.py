@@ -141,6 +141,12 @@ class WordBpe:
             out.append(b"".join(part))
         return out
 
+    def encode_raw(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word in UTF-8, in which strings of special tokens are ordinary text."""
+        parts = [CHUNK.findall(normal(w.decode())) for w in words]
+        ids = iter(self.encode_chunks([c for p in parts for c in p]))
+        return [next(ids) if len(p) == 1 else b"".join([next(ids) for _ in p]) for p in parts]
+
     def chunks(self, text: str) -> list[str]:
         """Normalised chunks of a text; a special token in it is one of them."""
         if "<|" not in text:
