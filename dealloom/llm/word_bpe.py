@@ -3,7 +3,8 @@
 Symbols of many words lie in one flat array. In each round the keys of all neighbouring pairs are
 looked up by binary search among the sorted keys of the merges; each word merges all places of its
 lowest-ranked pair, from left to right; words without a known pair are finished and leave the array.
-Each merge of this vocabulary makes a symbol of its own, so a symbol takes part in later merges
+Words of Latin letters are normalised and split here; words with other characters, whose Unicode
+tables differ between versions, are normalised and split by the vocabulary's own library. Each merge of this vocabulary makes a symbol of its own, so a symbol takes part in later merges
 only, and this gives what merging one place after another gives (load() checks it).
 """
 
@@ -14,7 +15,8 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +25,14 @@ import regex
 from pyspark.sql import DataFrame
 
 from dealloom.llm.annotate import annotate
-from dealloom.llm.words import blocks
+from dealloom.llm.words import LOWER, SPACE, blocks
 
-CACHE = 200_000  # chunks that a worker keeps; it starts anew when they are full
-LONGEST = 64  # characters of the longest chunk that is kept
-# Runs without white space; a full stop or comma between a letter or digit and white space is a run of its own.
-CHUNK = re.compile(r"[^\W_]++(?=[.,](?:[\x20\x09-\x0D]|$))|[^\x20\x09-\x0D]+")
+CACHE = 200_000  # words that a worker keeps; it starts anew when they are full
+LONGEST = 64  # bytes of the longest word that is kept
+PLAIN = re.compile("[\0-\u024f]*")  # characters that are handled here just as the library does (tests compare all of them)
+
+
+_ALNUM = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz0123456789"))
 
 
 def byte_symbols() -> list[str]:
@@ -38,6 +42,9 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+BYTE_OF = {c: b for b, c in enumerate(byte_symbols())}
+
+
 def normal(text: str) -> str:
     """Composed and in lower case; white space makes no tokens, so its kind makes no difference."""
     if not text.isascii():
@@ -51,10 +58,12 @@ class WordBpe:
             whole = json.load(f)
         model, end = whole["model"], whole["model"]["end_of_word_suffix"]
         vocab = model["vocab"]
-        self.special = {t["content"]: t["id"] for t in whole["added_tokens"]}
-        self.names = {i: s for s, i in (vocab | self.special).items()}
+        special = {t["content"]: t["id"] for t in whole["added_tokens"]}
+        self.special = {s.encode(): i for s, i in special.items()}
+        self.names = {i: s for s, i in (vocab | special).items()}
+        self.path = path
         self.pretoken = regex.compile(whole["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] + "|\n")
-        self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
+        self.cut = re.compile(b"(" + b"|".join(map(re.escape, self.special)) + b")")
         self.size = len(vocab)
         merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in model["merges"]]
         made = [m for _, _, m in merges]
@@ -125,36 +134,59 @@ class WordBpe:
         cut = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)) * 4)]).tolist()
         return [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]
 
-    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        """Ids of each chunk without white space, as little-endian 32-bit numbers."""
-        found = self.pretoken.findall("\n".join(chunks))
-        distinct = list(dict.fromkeys(w for w in found if w != "\n"))
-        ids = dict(zip(distinct, self.encode_words([w.encode() for w in distinct]), strict=True))
-        out, part = [], []
-        for w in found:
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def split_by_library(self, word: str) -> list[bytes]:
+        """Pre-tokens of a word, normalised and split by the library; it gives bytes as symbols."""
+        pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(word))
+        return [bytes(map(BYTE_OF.__getitem__, piece)) for piece, _ in pieces]
+
+    def encode_raw(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word in UTF-8 without white space, as little-endian 32-bit numbers; strings of special tokens are ordinary text."""
+        letters = [w.lower() for w in words if w.isalpha()]  # of A to Z: one pre-token each
+        alone = iter(self.encode_words(letters))
+        if len(letters) == len(words):
+            return list(alone)
+        rest = [w.decode() for w in words if not w.isalpha()]
+        plain = [PLAIN.fullmatch(t) is not None for t in rest]
+        parts: list[list[str | bytes]] = [[]]
+        for w in self.pretoken.findall("\n".join([normal(t) if p else "" for t, p in zip(rest, plain, strict=True)])):
             if w == "\n":
-                out.append(part[0] if len(part) == 1 else b"".join(part))
-                part = []
+                parts.append([])
             else:
-                part.append(ids[w])
-        if chunks:
-            out.append(b"".join(part))
+                parts[-1].append(w)
+        parts = [x if p else self.split_by_library(t) for x, t, p in zip(parts, rest, plain, strict=True)]
+        distinct = list(dict.fromkeys(chain.from_iterable(parts)))
+        ids = dict(zip(distinct, self.encode_words([w.encode() if isinstance(w, str) else w for w in distinct]), strict=True))
+        several = iter([b"".join(map(ids.__getitem__, x)) for x in parts])
+        return [next(alone) if w.isalpha() else next(several) for w in words]
+
+    def units(self, texts: list[bytes]) -> list[list[bytes]]:
+        """Words of each text, and full stops and commas after a letter or digit, which are tokens of their own; the string of a special token is one of them.
+
+        Case of A to Z makes no difference to ids, but it may to composition with a mark that follows.
+        """
+        raw = np.frombuffer(b"".join(texts), np.uint8)
+        data = LOWER[raw]
+        before = np.flatnonzero(raw[1:] >= 0x80)
+        data[before] = raw[before]
+        at = np.flatnonzero((data[1:-1] == 46) | (data[1:-1] == 44)) + 1
+        at = at[_ALNUM[data[at - 1]] & SPACE[data[at + 1]]]
+        data = np.insert(data, at, 32).tobytes()
+        ends = np.cumsum([0, *map(len, texts)])
+        ends = (ends + np.searchsorted(at, ends)).tolist()
+        out = [data[a:b].split() for a, b in zip(ends, ends[1:], strict=False)]
+        for i, text in enumerate(texts):
+            if b"<|" in text:
+                out[i] = [u for k, part in enumerate(self.cut.split(text)) for u in ([part] if k % 2 else part.split())]
         return out
 
-    def encode_raw(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word in UTF-8, in which strings of special tokens are ordinary text."""
-        parts = [CHUNK.findall(normal(w.decode())) for w in words]
-        ids = iter(self.encode_chunks([c for p in parts for c in p]))
-        return [next(ids) if len(p) == 1 else b"".join([next(ids) for _ in p]) for p in parts]
-
-    def chunks(self, text: str) -> list[str]:
-        """Normalised chunks of a text; a special token in it is one of them."""
-        if "<|" not in text:
-            return CHUNK.findall(normal(text))
-        return [c for k, part in enumerate(self.cut.split(text)) for c in ([part] if k % 2 else CHUNK.findall(normal(part)))]
-
     def encode(self, text: str) -> list[int]:
-        return memoryview(b"".join(self.encode_texts([text])[0])).cast("I").tolist()
+        return memoryview(b"".join(self.encode_texts([text.encode()])[0])).cast("I").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """Without a decoder in the vocabulary's file, the symbols are joined by spaces."""
@@ -165,17 +197,17 @@ class WordBpe:
         numbers = memoryview(ids).cast("I").tolist()
         return len(numbers), " ".join(map(str, numbers)).encode(), self.decode(numbers).encode()
 
-    def encode_texts(self, texts: list[str], form=bytes) -> list[list]:
-        """For each text, form(ids as bytes) of its chunks in order. Forms are kept for later calls."""
+    def encode_texts(self, texts: list[bytes], form=bytes) -> list[list]:
+        """For each text in UTF-8, form(ids as bytes) of its words in order. Forms are kept for later calls."""
         fixed = {s: form(i.to_bytes(4, "little")) for s, i in self.special.items()}
         cache = self.caches.setdefault(form, dict(fixed))
         if len(cache) > CACHE:
             cache.clear()
             cache.update(fixed)
-        parts = [self.chunks(t) for t in texts]
+        parts = self.units(texts)
         wanted = list(set().union(*parts).difference(cache))
         extra = {}
-        for c, ids in zip(wanted, self.encode_chunks(wanted), strict=True):
+        for c, ids in zip(wanted, self.encode_raw(wanted), strict=True):
             (cache if len(c) <= LONGEST else extra)[c] = form(ids)
         get = (lambda c: cache[c] if c in cache else extra[c]) if extra else cache.__getitem__
         return [list(map(get, p)) for p in parts]
@@ -187,9 +219,9 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def text_blocks(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
-    """Consecutive texts of about a megabyte together; nulls become empty texts."""
-    texts = texts.fill_null("")
+def text_blocks(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """Consecutive texts of about a megabyte together, in UTF-8; nulls become empty texts."""
+    texts = texts.fill_null("").cast(pa.binary())
     at = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))]).astype(np.int64)
     for lo, hi in blocks(None, at):
         yield lo, texts.slice(lo, hi - lo).to_pylist()

@@ -33,6 +33,23 @@ def test_word_bpe_equals_the_library():
         assert bpe.decode(ids) == want.decode(ids, skip_special_tokens=False)
 
 
+def test_word_bpe_equals_the_library_on_all_of_unicode():
+    """Every code point alone, within a word and twice, and pairs of Latin characters and of marks."""
+    from tokenizers import Tokenizer
+
+    want, bpe = Tokenizer.from_file(WORDS), word_bpe.WordBpe(WORDS)
+    points = [c for c in range(1, 0x30000) if not 0xD800 <= c <= 0xDFFF] + [*range(0xE0000, 0xE0200), 0x10FFFF]
+    rng = random.Random(8)
+    texts = [" ".join(f"{chr(c)} a{chr(c)}b {chr(c)}{chr(c)}, 1{chr(c)}." for c in points[k : k + 64]) for k in range(0, len(points), 64)]
+    latin, marks = [chr(c) for c in range(1, 0x250)], [chr(c) for c in [*range(0x300, 0x370), 0x7FD, *range(0x898, 0x8A0), *range(0x8CA, 0x8D4), 0xC3C, *range(0x1ABF, 0x1ACE), *range(0x1DC0, 0x1E00), *range(0x3099, 0x309B)]]
+    texts += [" ".join(a + b for b in latin) for a in latin]
+    texts += ["".join(rng.choice(latin + marks) for _ in range(60)) for _ in range(1500)]
+    texts += [" ".join(rng.choice("aeoκ가か") + "".join(rng.choice(marks) for _ in range(3)) for _ in range(20)) for _ in range(500)]
+    texts += ["".join(chr(rng.choice(points)) for _ in range(30)) for _ in range(1500)]
+    for t, e in zip(texts, want.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert bpe.encode(t) == e.ids, ascii(t)
+
+
 def test_piece_counts_equal_the_library():
     model = token_counts.load(PIECES)
     lengths = token_counts.Lengths(model, {})
