@@ -1,10 +1,13 @@
 """Operator 8: packing of token pieces into sequences of a fixed length, by swap-based local search.
 
 Documents are encoded once; pieces of the full length have a sequence of their own. All pieces are
-dealt by hash to groups of about GROUP pieces, and each group is packed by itself in one task: best
-fit on falling lengths first, then moves and exchanges (one for one, two for one) between underfull
-sequences that raise the sum of squared fills, so that the emptiest ones run empty. A group of this
-size wastes less than one sequence, and its memory does not depend on the size of the table.
+dealt by hash to groups of about GROUP pieces, and each group is packed by itself in one task. Pieces
+are first placed in the order in which they come; then a local search takes the emptiest sequence
+again and again and moves its pieces to others, best fit first, or exchanges them, one for one or two
+for one. Each step raises the sum of squared fills, so sequences run empty. The search ends at the
+least number of sequences that can hold the tokens, or where the STUCK emptiest ones cannot be
+improved. A group of this size wastes a few sequences of some 2,000, and its memory does not depend on
+the size of the table.
 """
 
 from __future__ import annotations
@@ -24,27 +27,17 @@ from dealloom.llm.word_bpe import load, text_blocks
 GROUP = 4096
 END = 0  # id after each document
 STUCK = 16  # the search ends when so many of the emptiest sequences in turn cannot be improved
+BREADTH = 24  # longest pieces of a sequence that are tried for exchanges
 
 
-def best_fit(length: list[int], size: int) -> np.ndarray:
-    """Bin of each piece: longest first, each goes to the fullest bin that has room for it."""
-    bin_of = np.zeros(len(length), np.int64)
-    rooms: list[list[int]] = [[] for _ in range(size + 1)]
-    open_rooms, bins = 0, 0  # bit r of open_rooms: some bin has room r
-    for i in sorted(range(len(length)), key=lambda i: -length[i]):
-        n = length[i]
-        above = open_rooms >> n
-        if above and n < size:
-            room = n + (above & -above).bit_length() - 1
-            b = rooms[room].pop()
-            if not rooms[room]:
-                open_rooms &= ~(1 << room)
-        else:
-            b, room, bins = bins, size, bins + 1
+def in_order(length: list[int], size: int) -> np.ndarray:
+    """Bin of each piece as they come: a new bin where the last one has no room."""
+    bin_of, b, room = np.zeros(len(length), np.int64), -1, 0
+    for i, n in enumerate(length):
+        if n > room:
+            b, room = b + 1, size
         bin_of[i] = b
-        if room > n:
-            rooms[room - n].append(b)
-            open_rooms |= 1 << (room - n)
+        room -= n
     return bin_of
 
 
@@ -65,7 +58,7 @@ def _step(n: np.ndarray, bin_of: np.ndarray, fill: np.ndarray, size: int, source
         return None
     # One for one: the smallest piece elsewhere that i can replace.
     best, gain = None, 0
-    for i in own[:24]:
+    for i in own[:BREADTH]:
         ok = usable[(n[usable] < n[i]) & (n[usable] + room[usable] >= n[i])]
         if len(ok) and n[i] - n[ok].min() > gain:
             a = int(ok[n[ok].argmin()])
@@ -73,8 +66,8 @@ def _step(n: np.ndarray, bin_of: np.ndarray, fill: np.ndarray, size: int, source
     if best:
         return best
     # Two for one, either way round.
-    for x, i in enumerate(own[:24]):
-        for j in own[x + 1 : 24]:
+    for x, i in enumerate(own[:BREADTH]):
+        for j in own[x + 1 : BREADTH]:
             both = n[i] + n[j]
             ok = usable[(n[usable] < both) & (n[usable] + room[usable] >= both)]
             if len(ok) and both - n[ok].min() > gain:
@@ -85,7 +78,7 @@ def _step(n: np.ndarray, bin_of: np.ndarray, fill: np.ndarray, size: int, source
     near = bin_of[one] == bin_of[two]
     one, two = one[near], two[near]
     pair = n[one] + n[two]
-    for i in own[:24]:
+    for i in own[:BREADTH]:
         ok = np.flatnonzero((pair < n[i]) & (pair + room[one] >= n[i]))
         if len(ok) and n[i] - pair[ok].min() > gain:
             a = ok[pair[ok].argmin()]
@@ -94,20 +87,20 @@ def _step(n: np.ndarray, bin_of: np.ndarray, fill: np.ndarray, size: int, source
 
 
 def local_search(length: np.ndarray, bin_of: np.ndarray, size: int) -> np.ndarray:
-    """Bin of each piece after moves and swaps, each of which raises the sum of squared fills."""
+    """Bin of each piece after moves and exchanges, each of which raises the sum of squared fills."""
     if not len(length):
         return bin_of
     fill = np.bincount(bin_of, length).astype(np.int64)
     least = -(-int(length.sum()) // size)
-    stuck: set[int] = set()
-    while len(stuck) < STUCK and np.count_nonzero(fill) > least:
-        under = [b for b in np.flatnonzero((fill > 0) & (fill < size)).tolist() if b not in stuck]
-        if len(under) < 2:
+    stuck = np.zeros(len(fill), bool)
+    while stuck.sum() < STUCK and np.count_nonzero(fill) > least:
+        under = (fill > 0) & (fill < size) & ~stuck
+        if np.count_nonzero(under) < 2:
             break
-        source = min(under, key=fill.__getitem__)
+        source = int(np.where(under, fill, size).argmin())
         step = _step(length, bin_of, fill, size, source)
         if step is None:
-            stuck.add(source)
+            stuck[source] = True
             continue
         for i, b in step:
             fill[bin_of[i]] -= length[i]
@@ -118,7 +111,7 @@ def local_search(length: np.ndarray, bin_of: np.ndarray, size: int) -> np.ndarra
 
 def pack(length: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each piece."""
-    bin_of = local_search(length, best_fit(length.tolist(), size), size)
+    bin_of = local_search(length, in_order(length.tolist(), size), size)
     order = np.argsort(bin_of, kind="stable")
     before = np.cumsum(length[order]) - length[order]
     first = np.concatenate([[True], np.diff(bin_of[order]) != 0]) if len(order) else np.zeros(0, bool)
