@@ -2,7 +2,7 @@
 
 Documents are encoded once; pieces of the full length have a sequence of their own. All pieces are
 dealt by hash to groups of about GROUP pieces, and each group is packed by itself in one task. Pieces
-are first placed in the order in which they come; then a local search takes the emptiest sequence
+are first placed best fit in the order in which they come; then a local search takes the emptiest sequence
 again and again and moves its pieces to others, best fit first, or exchanges them, one for one or two
 for one. Each step raises the sum of squared fills, so sequences run empty. The search ends at the
 least number of sequences that can hold the tokens, or where the STUCK emptiest ones cannot be
@@ -31,13 +31,23 @@ BREADTH = 24  # longest pieces of a sequence that are tried for exchanges
 
 
 def in_order(length: list[int], size: int) -> np.ndarray:
-    """Bin of each piece as they come: a new bin where the last one has no room."""
-    bin_of, b, room = np.zeros(len(length), np.int64), -1, 0
+    """Bin of each piece as they come: the fullest bin that has room for it, or a new one."""
+    bin_of = np.zeros(len(length), np.int64)
+    rooms: list[list[int]] = [[] for _ in range(size + 1)]
+    open_rooms, bins = 0, 0  # bit r of open_rooms: some bin has room r
     for i, n in enumerate(length):
-        if n > room:
-            b, room = b + 1, size
+        above = open_rooms >> n
+        if above and n < size:
+            room = n + (above & -above).bit_length() - 1
+            b = rooms[room].pop()
+            if not rooms[room]:
+                open_rooms &= ~(1 << room)
+        else:
+            b, room, bins = bins, size, bins + 1
         bin_of[i] = b
-        room -= n
+        if room > n:
+            rooms[room - n].append(b)
+            open_rooms |= 1 << (room - n)
     return bin_of
 
 
