@@ -2,17 +2,19 @@
 
 Features are hashed counts of 1- to 3-grams of letters and word edges, weighted by 1 + log(count) and
 inverse document frequency, with unit length. The document frequencies come from all training texts;
-the weights are learned from at most SAMPLE texts per language by follow-the-regularised-leader with
-an elastic net, which leaves most weights at zero; a temperature is then fitted on texts kept aside.
+the weights are learned from about SAMPLE distinct texts per language, drawn by hash, by
+follow-the-regularised-leader with an elastic net, which leaves most weights at zero; a temperature is
+then fitted on texts kept aside. The driver holds the sample's sparse features and a column of weights
+for each language.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ SAMPLE = 600  # training texts per language for the weights and the temperature
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-5
 EPOCHS = 3
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 _HASH = [np.uint32(x) for x in (2654435761, 2246822519, 3266489917)]
 
 
@@ -33,6 +35,12 @@ def held_out(doc_id: str = "doc_id", modulus: int = 4, remainder: int = 2) -> Co
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+def drawn(key: Column, share: Column | float) -> Column:
+    """Whether a row is in a sample of this share: its 64-bit key lies in the share's part of all keys."""
+    share = F.lit(share) if isinstance(share, float) else share
+    return F.shiftrightunsigned(key, 1) <= F.least(F.lit(float(1 << 63)), share * float(1 << 63)).cast("long")
+
+
 def counts(text: str) -> np.ndarray:
     """How often each hashed feature is found in the whole text."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
@@ -61,7 +69,24 @@ def weighted(count: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return (x / np.maximum(norm, 1e-12)).astype(np.float32)
 
 
-def train_ftrl(x: np.ndarray, y: np.ndarray, classes: int, seed: int = 0) -> np.ndarray:
+class Sparse:
+    """Rows of weighted features, dense only where they are read; the last feature is a constant."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
+        self.rows, self.shape = rows, (len(rows), (1 << BITS) + 1)
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, part: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(part), self.shape[1]), np.float32)
+        out[:, -1] = 1
+        for row, i in zip(out, part, strict=True):
+            row[self.rows[i][0]] = self.rows[i][1]
+        return out
+
+
+def train_ftrl(x: np.ndarray | Sparse, y: np.ndarray, classes: int, seed: int = 0) -> np.ndarray:
     """Weights (features, classes) after EPOCHS passes in small batches; the last feature is a constant."""
     z, n = np.zeros((x.shape[1], classes)), np.zeros((x.shape[1], classes))
 
@@ -132,8 +157,8 @@ def _pieces(texts: pa.Array) -> Iterator[str]:
 
 def train(docs: DataFrame, learn: Column | None = None) -> LanguageModel:
     """Learns from rows of docs (doc_id, text, lang) where learn holds, and text and lang are not null."""
-    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", F.lit(7)).alias("draw"), (F.lit(True) if learn is None else learn).alias("learn"))
-    rows = rows.filter("learn AND text IS NOT NULL AND lang IS NOT NULL")
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), (F.lit(True) if learn is None else learn).alias("learn"))
+    rows = rows.filter("learn AND text IS NOT NULL AND lang IS NOT NULL").select("text", "lang", F.xxhash64("text", F.lit(7)).alias("draw"))
     size = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(size)
     if not languages:
@@ -141,28 +166,29 @@ def train(docs: DataFrame, learn: Column | None = None) -> LanguageModel:
     parts = rows.select("text").mapInArrow(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     seen = {r["feature"]: r["n"] for r in parts}
     idf = np.log((1 + seen.pop(-1)) / (1.0 + np.array([seen.get(i, 0) for i in range(1 << BITS)]))) + 1
-    # A text is drawn by its id's hash, at its language's rate; the limit only bounds chance.
-    rate = F.create_map(*[x for lang, n in size.items() for x in (F.lit(lang), F.lit(int(min(1.0, SAMPLE / n) * (1 << 20))))])
-    drawn = rows.filter(F.pmod("draw", F.lit(1 << 20)) < rate[F.col("lang")]).select("lang", "text")
+    # A text is drawn by its own hash, at its language's rate; equal texts count once, however many there are.
+    rate = F.create_map(*[x for lang, n in size.items() for x in (F.lit(lang), F.lit(min(1.0, SAMPLE / n)))])
+    some = rows.filter(drawn(F.col("draw"), rate[F.col("lang")])).groupBy("lang", "draw").agg(F.min("text").alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [counts(t) for t in _pieces(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([c.astype("<u4")[np.flatnonzero(c)].tobytes() for c in found], pa.binary()), pa.array([np.flatnonzero(c).astype("<u2").tobytes() for c in found], pa.binary())], ["lang", "n", "at"])
-
-    sample = drawn.limit(2 * SAMPLE * len(languages)).mapInArrow(features, "lang string, n binary, at binary").collect()
-    sample.sort(key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["n"])))
-    x = np.ones((len(sample), (1 << BITS) + 1), np.float32)
-    for row, r in zip(x, sample, strict=True):
-        count = np.zeros(1 << BITS, np.float32)
-        count[np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["n"], "<u4")
-        row[:-1] = weighted(count, idf)
-    y = np.array([languages.index(r["lang"]) for r in sample])
-    aside = np.arange(len(x)) % 5 == 4
-    if not len(x):
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("draw"), pa.array([c.astype("<u4")[np.flatnonzero(c)].tobytes() for c in found], pa.binary()), pa.array([np.flatnonzero(c).astype("<u2").tobytes() for c in found], pa.binary())], ["lang", "draw", "n", "at"])
+
+    sample = some.select("lang", "draw", "text").mapInArrow(features, "lang string, draw long, n binary, at binary").collect()
+    sample.sort(key=lambda r: (r["lang"], r["draw"]))
+    if not sample:
         return LanguageModel([], idf, np.zeros(((1 << BITS) + 1, 1)), 1.0)
-    weights = train_ftrl(x[~aside], y[~aside], len(languages))
-    heat = temperature(x[aside] @ weights, y[aside]) if aside.any() else 1.0
+    each = []
+    for r in sample:
+        at = np.frombuffer(r["at"], "<u2")
+        each.append((at, weighted(np.frombuffer(r["n"], "<u4"), idf[at])))
+    y = np.array([languages.index(r["lang"]) for r in sample])
+    aside = np.arange(len(each)) % 5 == 4
+    weights = train_ftrl(Sparse([x for x, a in zip(each, aside, strict=True) if not a]), y[~aside], len(languages))
+    kept = Sparse([x for x, a in zip(each, aside, strict=True) if a])
+    logits = [kept[np.arange(k, min(k + 64, len(kept)))] @ weights for k in range(0, len(kept), 64)]
+    heat = temperature(np.concatenate(logits), y[aside]) if logits else 1.0
     return LanguageModel(languages, idf.astype(np.float32), weights.astype(np.float32), heat)
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealloom.llm.annotate import annotate
+from dealloom.llm.language_id import drawn
 from dealloom.llm.words import shingles, utf8, words
 
 SAMPLE = 20_000  # labelled rows that the model is fitted on
@@ -174,15 +175,15 @@ def _measured():
 def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> QualityModel:
     """Learns labels.quality from the labelled documents where learn (on doc_id) holds.
 
-    Labels other than 0 and 1 are not used. Without labels every text gets the score 0.5.
+    Labels other than 0 and 1 are not used. A document with both labels counts once with each. Without
+    labels every text gets the score 0.5. Equal values of a feature fall in one bin.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("quality IN (0, 1) AND doc_id IS NOT NULL")
     marks = marks.filter(F.lit(True) if learn is None else learn)
     n = marks.count()
-    # A label is drawn by its id's hash; the limit only bounds chance.
-    drawn = marks.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < int(min(1.0, SAMPLE / max(1, n)) * (1 << 20)))
-    drawn = drawn.limit(2 * SAMPLE)
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")
+    # A label is drawn by its id's hash; equal labels of one id count once.
+    marks = marks.filter(drawn(F.xxhash64("doc_id", F.lit(3)), min(1.0, SAMPLE / max(1, n)))).distinct()
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marks), "doc_id")
     rows = annotate(some, ["doc_id", "quality"], _measured, "x array<double>").select("row.doc_id", "row.quality", "x").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["quality"], r["x"]))
     return QualityModel(np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES)), np.array([r["quality"] for r in rows], np.float64))

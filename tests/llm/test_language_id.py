@@ -35,6 +35,9 @@ def test_odd_rows(spark):
     out = {r.row.doc_id: r for r in predictions(docs, ["doc_id", "lang_pred"], train(docs)).collect()}
     assert [out[i].lang_pred for i in (3, 4, 5)] == ["und"] * 3 and out[3].score == 0
     assert out[None].lang_pred in ("en", "de") and out[6].lang_pred in ("en", "de") and out[1].row.lang_pred == 1
+    # Numerals are no letters; one letter of any script is enough.
+    numerals = spark.createDataFrame([(i, t, None, 1) for i, t in enumerate(["\u00bd \u00be", "\u00b2\u00b3 \u2460", "\u2167", "\u3007", "_ 1", "\u4e2d", "\u01c5", "\u00aa"])], schema)
+    assert [r.lang_pred == "und" for r in predictions(numerals, ["doc_id"], train(docs)).orderBy("row.doc_id").collect()] == [True] * 5 + [False] * 3
     empty = spark.createDataFrame([], schema)
     assert predictions(empty, ["doc_id"], train(empty)).count() == 0
     assert {r.lang_pred for r in predictions(docs, ["doc_id"], train(empty)).collect()} == {"und"}
@@ -49,3 +52,44 @@ def test_parts():
     logits = rng.normal(size=(4000, 3))
     y = np.array([rng.choice(3, p=p) for p in softmax(logits)])
     assert abs(temperature(logits * 5, y) - 5) < 1
+
+
+def plain_prediction(model, text):
+    """A prediction feature by feature, from the text's own characters."""
+    import math
+
+    total = counts(text)
+    x = {i: math.log1p(n) * model.idf[i] for i, n in enumerate(total) if n}
+    norm = math.sqrt(sum(v * v for v in x.values()))
+    z = [sum(v / norm * float(model.weights[i, k]) for i, v in x.items()) + float(model.weights[-1, k]) for k in range(len(model.languages))]
+    e = [math.exp((v - max(z)) / model.heat) for v in z]
+    best = max(range(len(z)), key=z.__getitem__)
+    return model.languages[best], e[best] / sum(e)
+
+
+def test_predictions_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = train(docs, ~held_out())
+    for r in predictions(docs, ["doc_id", "text"], model).collect():
+        lang, score = plain_prediction(model, r.row.text)
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-3
+
+
+def test_copies_count_once_in_the_sample(spark, monkeypatch):
+    from dealloom.llm import language_id
+
+    monkeypatch.setattr(language_id, "SAMPLE", 30)
+    seen = []
+    monkeypatch.setattr(language_id, "train_ftrl", lambda x, y, n: seen.append(len(x)) or train_ftrl(x, y, n))
+    rows = [(None, "the same text for all", "en")] * 3000 + [(None, f"un texte {i} ici", "fr") for i in range(2000)]
+    model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert seen[0] <= 60 and model.languages == ["en", "fr"]
+
+
+def test_large_tables_still_give_a_sample(spark):
+    from dealloom.llm.language_id import drawn
+
+    keys = spark.range(200000).select(F.xxhash64("id").alias("k"))
+    assert 150 < keys.filter(drawn(F.col("k"), 0.001)).count() < 250
+    assert keys.filter(drawn(F.col("k"), 1.0)).count() == 200000
+    assert spark.range(1).select(drawn(F.lit(5000), 600 / 10**14).alias("x")).first().x  # a share of 6e-12 is not nothing

@@ -42,3 +42,35 @@ def test_odd_rows(spark):
         assert len(rows) == 5 and all(0 <= r.score <= 1 for r in rows)
     assert scores(docs.limit(0), ["doc_id"], train(docs, labels.limit(0))).count() == 0
     assert np.isfinite(next(features(pa.array(["", "one", " \n", "x" * 50000])))[1]).all()
+
+
+def test_scores_against_brute_force(spark):
+    """Each score is the base and the looked up values of the text's features, one by one."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = train(docs, labels, ~held_out("doc_id", 5, 0))
+    rows = scores(docs, ["doc_id", "text"], model).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        ((_, x),) = features(pa.array([r.row.text]))
+        at = lambda edges, v: sum(e <= v for e in edges)
+        z = model.base + sum(t[at(e, v)] for t, e, v in zip(model.tables, model.edges, x[0]))
+        z += sum(t[at(model.coarse[i], x[0][i]), at(model.coarse[j], x[0][j])] for i, j, t in model.pairs)
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-9 and r.predicted == (r.score >= 0.3)
+
+
+def test_features_against_plain_ones():
+    text = "Aa bb,  aa bb cc! \n\nbb 12 ### aa bb cc\naa bb cc"
+    x = dict(zip(FEATURES, next(features(pa.array([text])))[1][0]))
+    words = text.split()
+    lines = [t for t in text.split("\n") if t.strip()]
+    assert np.isclose(x["log_words"], np.log1p(len(words))) and np.isclose(x["word_length"], np.mean([len(w) for w in words]))
+    assert np.isclose(x["symbols"], text.count("#") / len(text)) and np.isclose(x["words_in_line"], len(words) / len(lines))
+    assert np.isclose(x["top_word"], max(words.count(w) for w in words) / len(words)) and np.isclose(x["distinct_lines"], len(set(lines)) / len(lines))
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    assert np.isclose(x["repeated_windows"], sum(windows.count(w) > 1 for w in windows) / len(windows))
+
+
+def test_contradicting_labels(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 5} text") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i in range(40) for q in (0, 1, 1)], "doc_id long, quality int")
+    assert all(abs(r.score - 0.5) < 0.05 for r in scores(docs, ["doc_id"], train(docs, labels)).collect())
