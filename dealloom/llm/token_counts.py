@@ -2,8 +2,9 @@
 
 Pieces of this kind of vocabulary hold the space mark at their start only, and no line feed, so a
 text falls into pre-tokens that are encoded independently: runs of spaces with the characters after
-them, and line feeds with the characters after them. Counts of frequent pre-tokens come from a
-broadcast table; others are encoded once and kept in a bounded cache of the worker.
+them, and line feeds with the characters after them. Lengths of frequent pre-tokens come from a
+broadcast table; others are encoded once and kept in a bounded cache of the worker. The table's entries
+are chosen from bounded summaries that tasks make of a sample; pre-tokens are never shuffled.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from dealloom.llm.words import blocks
 
 FREQUENT = 50_000  # entries of the broadcast table
 SAMPLE_ROWS = 3_000  # documents that choose its entries; counts do not depend on them
+SUMMARY = 5_000  # most frequent pre-tokens of the sampled documents of one task
 CACHE = 200_000  # entries of a worker's cache
 LONGEST = 48  # characters of the longest pre-token that is kept
 MARK = "▁"
@@ -73,11 +75,15 @@ def _frequent(sample: DataFrame, model) -> tuple[str, bytes]:
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 found.update(x for x in PRETOKEN.findall(" " + (text or "")) if len(x) <= LONGEST)
-        best = found.most_common(2 * FREQUENT)
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in best], pa.string()), pa.array([n for _, n in best], pa.int64())], ["pretoken", "n"])
-
-    rows = sample.mapInArrow(part, "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n"))
-    best = sorted(r[0] for r in rows.orderBy(F.desc("n"), "pretoken").limit(FREQUENT).collect())
+        best = found.most_common(SUMMARY)
+        if best:
+            yield pa.RecordBatch.from_arrays([pa.array([[x for x, _ in best]], pa.list_(pa.string())), pa.array([[n for _, n in best]], pa.list_(pa.int64()))], ["pretokens", "counts"])
+
+    total: Counter = Counter()
+    for r in sample.mapInArrow(part, "pretokens array<string>, counts array<long>").collect():
+        for x, n in zip(r["pretokens"], r["counts"], strict=True):
+            total[x] += n
+    best = sorted(x for x, _ in sorted(total.items(), key=lambda i: (-i[1], i[0]))[:FREQUENT])
     lengths = [length(model, x) for x in best]
     kept = [(x, n) for x, n in zip(best, lengths, strict=True) if n < 256]
     return "\0".join(x for x, _ in kept), bytes(n for _, n in kept)
