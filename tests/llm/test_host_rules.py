@@ -41,3 +41,10 @@ def test_shuffled_hosts_give_the_same(spark, monkeypatch):
     one = {(r.row.doc_id, r.kept) for r in host_verdicts(docs, ["doc_id"]).collect()}
     monkeypatch.setattr(host_rules, "BROADCAST_HOSTS", 0)
     assert one == {(r.row.doc_id, r.kept) for r in host_verdicts(docs, ["doc_id"]).collect()}
+
+
+def test_words_that_a_weak_hash_confuses_do_not_repeat(spark):
+    a = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, f"p q {a} z p q {b}", "s"), (2, f"p q {a} z p q {a}", "s")], "doc_id long, text string, source string")
+    assert {r.row.doc_id: r.n_repeat_words for r in host_verdicts(docs, ["doc_id"]).collect()} == {1: 0, 2: 6}

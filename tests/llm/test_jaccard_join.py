@@ -18,8 +18,8 @@ def shingle_set(text, width=3):
     return frozenset(tuple(words[i : i + width]) for i in range(len(words) - width + 1))
 
 
-def brute(rows, percent=90):
-    sets = {i: shingle_set(t) for i, t in rows}
+def brute(rows, percent=90, width=3):
+    sets = {i: shingle_set(t, width) for i, t in rows}
     parent = {i: i for i in sets}
 
     def find(x):
@@ -95,3 +95,24 @@ def test_shuffled_ids_give_the_same(spark, monkeypatch):
     rows = list(enumerate(family(3, 60, 6, 60)))
     got = {tuple(r) for r in JaccardJoin(spark.createDataFrame(rows, "doc_id long, text string")).components().collect()}
     assert got == brute(rows)
+
+
+def test_texts_that_a_weak_hash_joins(spark):
+    """No shingle is shared; the words differ, though polynomial hashes modulo a power of two take them for equal."""
+    a = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"x y {a}"), (2, f"x y {b}"), (3, f"x y {a}")]
+    assert {tuple(r) for r in JaccardJoin(spark.createDataFrame(rows, "doc_id long, text string")).components().collect()} == {(1, 1, 1), (2, 1, 2), (3, 1, 1)}
+
+
+def test_a_very_long_text(spark):
+    long = " ".join(f"w{i}" for i in range(600_000))
+    rows = [(1, long), (2, long + " more"), (3, "short text here")]
+    got = {tuple(r) for r in JaccardJoin(spark.createDataFrame(rows, "doc_id long, text string")).components().collect()}
+    assert got == {(1, 599_998, 1), (2, 599_999, 1), (3, 1, 3)}
+
+
+def test_five_words_at_80_per_cent(spark):
+    rows = list(enumerate([*family(5, 120, 9, 50), *family(6, 8, 2, 20)]))
+    got = {tuple(r) for r in JaccardJoin(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).components().collect()}
+    assert got == brute(rows, 80, 5)

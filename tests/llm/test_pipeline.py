@@ -29,7 +29,7 @@ def test_stages_against_plain_versions(spark):
 
     docs = spark.createDataFrame(good, docs.schema)
     unique = near(spark, docs, sf).collect()
-    assert {r.doc_id for r in unique} == {c for _, _, c in brute([(r.doc_id, r.text) for r in good])}
+    assert {r.doc_id for r in unique} == {c for _, _, c in brute([(r.doc_id, r.text) for r in good], percent=80, width=5)}
 
     from tokenizers import Tokenizer
 
@@ -55,3 +55,23 @@ def test_repeated_and_empty_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
     assert docs.count() == 0
+
+
+def test_odd_documents_and_clashing_columns(spark):
+    """Null, empty and very long texts, ties, and columns named like those of the operators."""
+    words = " ".join(f"word{i % 400} and the other text {i % 61}" for i in range(400))
+    long = " ".join(f"the long text goes on with number{i} here" for i in range(60000))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, host int, found string, kept string, n int, failed string, score double, piece string"
+    more = ("r", 1, "f", "k", 2, "x", 0.5, "p")
+    rows = [(i, t, "en", s, 1, *more) for i, (t, s) in enumerate([(None, "a"), ("", "a"), (words, None), (words, "a"), (words + " end", "b"), (long, "b"), ("123 456", "b")])]
+    docs = spark.createDataFrame(rows, schema)
+    learned = spark.createDataFrame([(100 + i, f"{words} {i}", "en", "c", 1, *more) for i in range(30)], schema)
+    known = corpus_pipeline.language(spark, docs.unionByName(learned), "")
+    assert known.columns == docs.columns and not {0, 1, 6} & {r.doc_id for r in known.collect()}
+    good = corpus_pipeline.quality(spark, docs, "")
+    assert good.columns == docs.columns and not {0, 1, 6} & {r.doc_id for r in good.collect()}
+    unique = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert unique.columns == docs.columns and sorted(r.doc_id for r in unique.collect()) == [0, 1, 2, 5, 6]
+    pieces = corpus_pipeline.packing(spark, docs, "").collect()
+    assert {p.doc_id for p in pieces} == set(range(7)) and max(p.length for p in pieces) == 2048
+    assert sum(p.length for p in pieces if p.doc_id in (0, 1)) == 2
