@@ -1,7 +1,8 @@
 """A corpus pipeline over documents: language, quality rules, near-duplicates, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. The first three
-return the columns of documents; the last returns the places of pieces in training sequences.
+return the columns of documents; the last returns the places of pieces in training sequences. An
+empty table gives an empty one. Columns that documents may have besides, of any name, are carried along.
 """
 
 from __future__ import annotations
@@ -17,26 +18,31 @@ from dealloom.llm.packing import packed
 from dealloom.llm.scratch import written
 
 LEAST_SURE = 0.5  # calibrated probability below which a document's language is in doubt
+WIDTH, PERCENT = 5, 80  # words of a shingle, and the similarity of near-duplicates in per cent
 SEQUENCE = 2048
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language: those without a letter, or with a score below LEAST_SURE, go."""
+    """Documents in a known language: those without a letter (null and empty texts too), or with a score below LEAST_SURE, go.
+
+    Equal texts have equal scores, so repeated rows stay or go together.
+    """
     out = predictions(docs, docs.columns, train(docs))
     return out.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SURE)).select("row.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules and whose host does."""
+    """Documents that pass the quality rules and whose host does; one without a host stands by itself. Repeated rows are judged alike."""
     return host_verdicts(docs, docs.columns).filter("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one whose doc_id names the group.
+    """One document of each group of near-duplicates: the one with the smallest doc_id, which names the group.
 
-    Rows that repeat a doc_id are one document, of which one row stays; rows without a doc_id stay.
+    Texts without words are near nothing. Rows that repeat a doc_id are one document, of which one
+    row stays; rows without a doc_id stay.
     """
-    found = JaccardJoin(docs).components()
+    found = JaccardJoin(docs, WIDTH, PERCENT).components()
     gone = written(found.filter("doc_id <> component_id").select("doc_id").distinct())
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
