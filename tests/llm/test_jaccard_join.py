@@ -116,3 +116,24 @@ def test_five_words_at_80_per_cent(spark):
     rows = list(enumerate([*family(5, 120, 9, 50), *family(6, 8, 2, 20)]))
     got = {tuple(r) for r in JaccardJoin(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).components().collect()}
     assert got == brute(rows, 80, 5)
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_small_and_sparse_sets_share_a_signature(percent):
+    """Few features leave many parts empty; every allowed number of differences is tried."""
+    rng = np.random.default_rng(9)
+    for n in [*range(1, 40), 60, 100]:
+        for _ in range(60):
+            base = rng.integers(0, 1 << 63, 3 * n + 4, dtype=np.uint64)
+            one, two = base[:n], np.concatenate([base[int(rng.integers(0, max(1, n // 4))) : n], base[n : n + int(rng.integers(0, n // 4 + 1))]])
+            one, two = np.unique(one), np.unique(two)
+            same = len(np.intersect1d(one, two))
+            if len(two) and 100 * same >= percent * (len(one) + len(two) - same) and set(one) != set(two):
+                assert set(partenum.signatures(one, percent)) & set(partenum.signatures(two, percent)), (n, len(one), len(two), same)
+
+
+def test_sets_without_common_features_share_few_signatures():
+    rng = np.random.default_rng(10)
+    signs = [partenum.signatures(np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64)), 80) for _ in range(300)]
+    _, n = np.unique(np.concatenate([np.unique(s) for s in signs]), return_counts=True)
+    assert (n * (n - 1) // 2).sum() < 0.02 * 300 * 299 / 2
