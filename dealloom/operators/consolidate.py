@@ -38,13 +38,14 @@ def consolidated(keyed: DataFrame) -> DataFrame:
     """Deals that are the best of their time cluster and, with a description, of their content group.
 
     The best of each cluster come from max_by aggregations, which combine on the map side, so a
-    restaurant with most of the deals is no hot window; two joins on small results mark the rows.
+    restaurant with most of the deals is no hot window. The best of a time cluster is carried as a whole
+    row, so only these few rows are joined.
     """
     order = F.struct(F.col("score"), (-F.col("seq")).alias("early"))
-    best_time = keyed.groupBy("restaurant_slug", "time_signature").agg(F.max_by("seq", order).alias("best_time"))
+    best = keyed.groupBy("restaurant_slug", "time_signature").agg(F.max_by(F.struct(*keyed.columns), order).alias("k")).select("k.*")
     best_text = keyed.filter("content_key IS NOT NULL").groupBy("restaurant_slug", "content_key").agg(F.max_by("seq", order).alias("best_text"))
-    out = keyed.join(best_time, ["restaurant_slug", "time_signature"]).join(best_text, ["restaurant_slug", "content_key"], "left")
-    return out.filter((F.col("seq") == F.col("best_time")) & (F.col("content_key").isNull() | (F.col("seq") == F.col("best_text")))).drop("best_time", "best_text")
+    out = best.join(best_text, ["restaurant_slug", "content_key"], "left").filter(F.col("content_key").isNull() | (F.col("seq") == F.col("best_text")))
+    return out.select(keyed.columns)
 
 
 def best_of(keyed: DataFrame, *by: str) -> DataFrame:

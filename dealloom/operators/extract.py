@@ -20,15 +20,19 @@ DEAL_WORDS = {"drink": ("beer", "wine", "cocktail", "drink", "margarita", "marti
 def matches(text: Column, pattern: str) -> Column:
     """All matches with their places (from 0): array of (start, text).
 
-    Matches are put between two marks, the text is split at the first, and lengths are summed.
+    Matches are put between two marks (those already in the text become spaces), the text is split at
+    the first, and one pass sums the lengths.
     """
-    parts = F.split(F.regexp_replace(text, f"({pattern})" if not pattern.startswith("(?i)") else f"(?i)({pattern[4:]})", "\u0001$1\u0002"), "\u0001")
-    plain = F.transform(parts, lambda p: F.length(F.replace(p, F.lit("\u0002"), F.lit(""))))
-    found = F.transform(
-        F.sequence(F.lit(1), F.size(parts) - 1),
-        lambda i: F.struct(F.aggregate(F.slice(plain, F.lit(1), i), F.lit(0), lambda a, n: a + n).alias("start"), F.split(F.get(parts, i), "\u0002")[0].alias("text")),
-    )
-    return F.when(F.size(parts) > 1, found).otherwise(F.array().cast("array<struct<start:int,text:string>>"))
+    parts = F.split(F.regexp_replace(F.translate(text, "\u0001\u0002", "  "), f"({pattern})" if not pattern.startswith("(?i)") else f"(?i)({pattern[4:]})", "\u0001$1\u0002"), "\u0001")
+    none = F.array().cast("array<struct<start:int,text:string>>")
+    begin = F.struct(F.length(F.get(parts, F.lit(0))).alias("at"), none.alias("found"))
+
+    def step(state: Column, part: Column) -> Column:
+        one = F.struct(state["at"].alias("start"), F.get(F.split(part, "\u0002"), F.lit(0)).alias("text")).cast("struct<start:int,text:string>")
+        return F.struct((state["at"] + F.length(part) - 1).alias("at"), F.array_append(state["found"], one).alias("found"))
+
+    found = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), begin, step, lambda state: state["found"])
+    return F.when(F.size(parts) > 1, found).otherwise(none)
 
 
 def mentions(sections: DataFrame, key: Sequence[str], patterns: dict[str, str], text: str = "text") -> DataFrame:

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 # Patterns that tell pages with deals, menus and prices.
 DEAL_PATTERNS = (r"\bhappy\s*hour\b", r"\bspecials?\b", r"\bdeals?\b", r"\bapr[eè]s\b", r"\bearly\s*bird\b", r"\blate\s*night\b", r"\bdrink\s*specials?\b", r"\bfood\s*specials?\b", r"\bdaily\s*specials?\b")
-MENU_PATTERNS = (r"\bmenu\b", r"\bfood\b", r"\bdining\b", r"\beat\b", r"\bbrunch\b", r"\blunch\b", r"\bdinner\b", r"\bcocktails?\b", r"\bwine\s*list\b", r"\bprix\s*fixe\b", r"\btasting\s*menu\b")
+MENU_PATTERNS = (r"\bmenu\b", r"\bfood\b", r"\bdining\b", r"\beat\b", r"\bbrunch\b", r"\blunch\b", r"\bdinner\b", r"\bappetizers?\b", r"\bentr[eé]es?\b", r"\bmains?\b", r"\bdesserts?\b", r"\bbeverage\b", r"\bcocktails?\b", r"\bwine\s*list\b", r"\bprix\s*fixe\b", r"\btasting\s*menu\b", r"\bchef.*menu\b", r"\bseasonal\s*menu\b")
 PRICE_PATTERNS = (r"\$\d+", r"\$\d+\.\d{2}", r"\$\d+\s*[-–]\s*\$?\d+", r"market\s*price", r"seasonal\s*price", r"mp\b")
-URL_PATTERNS = ("happy.*hour", "specials?", "deals?", "menu", "food", "dining", "eat", "drink", "apr[eè]s", "bar", "lounge", "brunch", "lunch", "dinner", "prix.*fixe", "tasting.*menu")
+URL_PATTERNS = ("happy.*hour", "specials?", "deals?", "menu", "food", "dining", "eat", "drink", "apr[eè]s", "bar", "lounge", "brunch", "lunch", "dinner", "prix.*fixe", "tasting.*menu", "chef.*menu")
+STRONG_TERMS = ("happy hour", "specials", "deals", "menu")
+MENU_TERMS = ("food menu", "dinner menu", "lunch menu", "brunch menu", "drink menu", "cocktail menu", "wine list", "prix fixe", "tasting menu", "chef menu", "seasonal menu")
+PRICE_TERMS = ("prices", "pricing", "cost", "$", "price list")
 CONTAINERS = ("main", "article", "section", "aside", "div", "p", "li")
 
 
@@ -72,12 +75,14 @@ def likelihood(text: Column, url: Column, page_title: Column, deals: Sequence[st
     return F.round(F.least(score, F.lit(1.0)), 6)
 
 
-def relevance(url: Column, anchor: Column, deals: Sequence[str] = DEAL_PATTERNS, menus: Sequence[str] = MENU_PATTERNS, strong: Sequence[str] = ("happy hour", "specials", "deals", "menu")) -> Column:
+def relevance(url: Column, anchor: Column, deals: Sequence[str] = DEAL_PATTERNS, menus: Sequence[str] = MENU_PATTERNS, strong: Sequence[str] = STRONG_TERMS) -> Column:
     """How likely a link leads to deals, at most 1."""
     low = F.lower(url)
     has = lambda text, words: sum((F.when(text.contains(w), 1).otherwise(0) for w in words), F.lit(0))
     score = _hits(anchor, deals) * 0.4 + _hits(anchor, menus) * 0.35 + _hits(low, URL_PATTERNS) * 0.3 + has(anchor, strong) * 0.5 + has(low, strong) * 0.3
-    return F.round(F.least(score + F.when(low.endswith(".pdf"), 0.5).otherwise(0.0), F.lit(1.0)), 6)
+    score = score + has(anchor, MENU_TERMS) * 0.6 + has(low, MENU_TERMS) * 0.4 + has(anchor, PRICE_TERMS) * 0.4 + has(low, PRICE_TERMS) * 0.3
+    document = F.when(low.endswith(".pdf"), F.when(low.rlike("menu|food|drink|price"), 0.8).otherwise(0.5)).otherwise(0.0)
+    return F.round(F.least(score + document, F.lit(1.0)), 6)
 
 
 def keywords(text: Column, patterns: Sequence[str], most: int = 20) -> Column:

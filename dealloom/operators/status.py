@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dealloom.functions.times import WEEK, minute_of_day
@@ -53,3 +53,36 @@ def freshness(rows: DataFrame, as_of: Column, updated: str, fresh_days: int = 2)
     fresh = F.col(updated) > as_of - F.make_dt_interval(F.lit(fresh_days))
     out = rows.agg(F.count("*").alias("n"), F.count(updated).alias("n_updated"), F.count_if(fresh).alias("n_fresh"))
     return out.withColumn("fresh_share", F.round(F.coalesce(F.try_divide("n_fresh", "n"), F.lit(0.0)), 4))
+
+
+# Words that tell a specific offer.
+OFFER_WORDS = ("$", "%", "off", "price", "special", "discount", "maki", "sake", "cocktail", "beer", "wine")
+
+
+def relevant_now(deals: DataFrame, today: str, minute: int, most: int = 3) -> DataFrame:
+    """The most relevant deals of each slug on a day at a minute, with relevance and rank.
+
+    deals has slug, seq, days, is_all_day, start_minute, end_minute, title, description and
+    confidence_score. Deals below 0.25 go, and sure ones (0.5 or more) of other days; unsure ones stay
+    as a fallback. All day gives 50, now 150, within two hours 75, within six 25, a specific offer 25.
+    """
+    on = (F.size("days") <= 0) | F.array_contains("days", today)
+    sure = F.coalesce("confidence_score", F.lit(0.0))
+    start, end = F.col("start_minute"), F.col("end_minute")
+    end = F.when(end < start, end + 1440).otherwise(end)
+    wait = start - minute
+    now = F.when(F.lit(minute).between(start, end), 150).when(wait.between(1, 120), 75).when(wait.between(121, 360), 25).otherwise(0)
+    timed = F.when(F.col("is_all_day"), 50).when(start.isNotNull() & end.isNotNull(), now).otherwise(0)
+    words = F.lower(F.concat_ws(" ", "title", "description"))
+    offer = F.when(F.exists(F.array(*map(F.lit, OFFER_WORDS)), lambda w: F.contains(words, w)), 25).otherwise(0)
+    rows = deals.filter((sure >= 0.25) & (on | (sure < 0.5))).withColumn("relevance", F.round(100.0 + timed + offer + sure * 20, 6))
+    rank = F.row_number().over(Window.partitionBy("slug").orderBy(F.desc("relevance"), "seq"))
+    return rows.withColumn("rank", rank).filter(F.col("rank") <= most)
+
+
+def failure_reasons(rows: DataFrame, reason: str, name: str, examples: int = 5) -> DataFrame:
+    """Reason, n and the first names of each reason of failure; rows without one do not count."""
+    failed = rows.select(F.col(reason).alias("reason"), F.col(name).alias("name")).filter("reason <> ''")
+    first = failed.withColumn("r", F.row_number().over(Window.partitionBy("reason").orderBy("name"))).filter(F.col("r") <= examples)
+    shown = first.groupBy("reason").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("examples"))
+    return failed.groupBy("reason").agg(F.count("*").alias("n")).join(shown, "reason")

@@ -175,10 +175,13 @@ def j10_merge_rules(spark, sf_dir):
     return x.select("seq", F.concat(F.coalesce("prefix", F.lit("")), "raw_description").alias("description"))
 
 
-@query(oracle("b AS (SELECT slug, count(*) AS n, string_agg(CAST(seq AS VARCHAR), ',' ORDER BY seq) AS seqs FROM raw_x WHERE seq % 50 = 0 GROUP BY slug) SELECT x.slug, coalesce(n, 0) AS n, seqs FROM restaurant_x x LEFT JOIN b ON b.slug = x.slug", "raw_x", "restaurant_x"))
+@query(oracle("b AS (SELECT slug, count(*) AS n FROM raw_x GROUP BY slug) SELECT x.slug, r.seq, coalesce(n, 0) AS n FROM restaurant_x x LEFT JOIN b ON b.slug = x.slug LEFT JOIN raw_x r ON r.slug = x.slug", "raw_x", "restaurant_x"))
 def j19_deals_by_restaurant(spark, sf_dir):
-    some = view(spark, sf_dir, "raw_x").filter("seq % 50 = 0").groupBy("slug").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("seq")), lambda s: s.cast("string")), ",").alias("seqs"))
-    return view(spark, sf_dir, "restaurant_x").select("slug").join(some, "slug", "left").select("slug", F.coalesce("n", F.lit(0)).alias("n"), "seqs")
+    """Each deal beside its restaurant's number of deals; restaurants without deals have one row."""
+    x = view(spark, sf_dir, "raw_x").select("slug", "seq")
+    n = x.groupBy("slug").agg(F.count("*").alias("n"))
+    out = view(spark, sf_dir, "restaurant_x").select("slug").join(n, "slug", "left").join(x, "slug", "left")
+    return out.select("slug", "seq", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query(oracle("SELECT 'no_website' AS need, count(*) AS n FROM restaurant_x WHERE website IS NULL HAVING count(*) > 0 UNION ALL SELECT 'no_phone', count(*) FROM restaurant_x WHERE phone IS NULL HAVING count(*) > 0 UNION ALL SELECT 'no_cuisine', count(*) FROM restaurant_x WHERE cuisine IS NULL HAVING count(*) > 0", "restaurant_x"))
@@ -200,10 +203,10 @@ def l5_day_order(spark, sf_dir):
     return view(spark, sf_dir, "raw_x").select(day.alias("day"), F.array_position(F.array(*map(F.lit, T.WEEK)), day).cast("int").alias("number")).distinct()
 
 
-@query(oracle(f"a AS (SELECT slug, list_distinct(list({DAY.format('raw_day')}) FILTER (seq % 2 = 0)) AS x, list_distinct(list({DAY.format('raw_day')}) FILTER (seq % 3 = 0)) AS y FROM raw_x WHERE value < 40 GROUP BY slug) SELECT slug, coalesce(len(list_intersect(x, y)), 0)::INT AS common, (coalesce(len(x), 0) + coalesce(len(y), 0) - coalesce(len(list_intersect(x, y)), 0))::INT AS either FROM a", "raw_x"))
+@query(oracle(f"a AS (SELECT slug, list_distinct(list({DAY.format('raw_day')}) FILTER (seq % 2 = 0)) AS x, list_distinct(list({DAY.format('raw_day')}) FILTER (seq % 3 = 0)) AS y FROM raw_x GROUP BY slug) SELECT slug, coalesce(len(list_intersect(x, y)), 0)::INT AS common, (coalesce(len(x), 0) + coalesce(len(y), 0) - coalesce(len(list_intersect(x, y)), 0))::INT AS either FROM a", "raw_x"))
 def u4_day_sets(spark, sf_dir):
     day = T.day_name(F.col("raw_day"))
-    a = view(spark, sf_dir, "raw_x").filter("value < 40").groupBy("slug").agg(F.collect_set(F.when(F.col("seq") % 2 == 0, day)).alias("x"), F.collect_set(F.when(F.col("seq") % 3 == 0, day)).alias("y"))
+    a = view(spark, sf_dir, "raw_x").groupBy("slug").agg(F.collect_set(F.when(F.col("seq") % 2 == 0, day)).alias("x"), F.collect_set(F.when(F.col("seq") % 3 == 0, day)).alias("y"))
     return a.select("slug", F.size(F.array_intersect("x", "y")).alias("common"), F.size(F.array_union("x", "y")).alias("either"))
 
 
@@ -247,15 +250,14 @@ def x9_document_deals(spark, sf_dir):
     return document_deals(view(spark, sf_dir, "menu_x"), words="steel", around=1).select("page_id", "pos", "near", "price")
 
 
-@query(oracle("""j AS (SELECT x.district, x.slug, count(r.seq) AS n, avg(r.confidence_score) AS c FROM restaurant_x x LEFT JOIN raw_x r ON r.slug = x.slug GROUP BY ALL)
-SELECT district, count(*) AS n_restaurants, CAST(sum(n) AS BIGINT) AS n_deals, string_agg(slug || '=' || CAST(n AS VARCHAR), ',' ORDER BY slug) AS profiles FROM j GROUP BY district""", "raw_x", "restaurant_x"))
+@query(oracle("""j AS (SELECT x.district, x.slug, count(r.seq) AS n, round(avg(r.confidence_score), 6) AS confidence FROM restaurant_x x LEFT JOIN raw_x r ON r.slug = x.slug GROUP BY ALL)
+SELECT district, slug, n, confidence, count(*) OVER d AS n_restaurants, CAST(sum(n) OVER d AS BIGINT) AS n_deals FROM j WINDOW d AS (PARTITION BY district)""", "raw_x", "restaurant_x"))
 def s15_dashboard(spark, sf_dir):
-    """District summary with a profile of each of its restaurants."""
-    n = view(spark, sf_dir, "raw_x").groupBy("slug").agg(F.count("*").alias("n"))
+    """A profile of each restaurant beside the totals of its district."""
+    n = view(spark, sf_dir, "raw_x").groupBy("slug").agg(F.count("*").alias("n"), F.round(F.avg("confidence_score"), 6).alias("confidence"))
     x = view(spark, sf_dir, "restaurant_x").select("slug", "district").join(n, "slug", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    profiles = F.array_sort(F.collect_list(F.struct("slug", "n")))
-    out = x.groupBy("district").agg(F.count("*").alias("n_restaurants"), F.sum("n").alias("n_deals"), profiles.alias("p"))
-    return out.select("district", "n_restaurants", "n_deals", F.array_join(F.transform("p", lambda s: F.concat(s["slug"], F.lit("="), s["n"].cast("string"))), ",").alias("profiles"))
+    total = x.groupBy("district").agg(F.count("*").alias("n_restaurants"), F.sum("n").alias("n_deals"))
+    return x.join(total, "district").select("district", "slug", "n", "confidence", "n_restaurants", "n_deals")
 
 
 @query("SELECT page_id FROM pages WHERE page_id % 3 = 0 AND page_id % 2 = 0")

@@ -8,8 +8,6 @@ from dealloom.operators import pages as P
 from dealloom.plans.registry import query
 from dealloom.plans.views import view
 
-# Patterns that the driver's pages hold.
-WORDS = ("the ", "und ", "que ")
 TEXT = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)\b[^>]*>.*?</(script|style)>', ' ', 'gis'), '<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\n\x0B\f\r]+', ' ', 'g'))"""
 TITLE = r"nullif(trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')), '')"
 N = "len(regexp_extract_all({0}, '(?i){1}'))"
@@ -34,22 +32,11 @@ def s9_sections(spark, sf_dir):
     return P.sections(view(spark, sf_dir, "pages"), tags=("p",), distinct=False).select("page_id", "url", "tag", "pos", F.md5("text").alias("text_md5"))
 
 
-LIKE = " + ".join(N.format("t", w) for w in WORDS)
-
-
-@query(f"""WITH x AS (SELECT page_id, url, coalesce({TITLE}, '') AS title, {TEXT} AS t FROM pages)
-SELECT page_id, round(CAST(least(1.0, ({LIKE}) * 0.002 + {N.format('t', '[0-9]{1,2}[ ]*(:[0-9]{2})?[ ]*(am|pm)')} * 0.1) AS DOUBLE), 6) AS likelihood FROM x""")
-def h20_likelihood(spark, sf_dir):
-    """The weights of words are the driver's: its pages hold none of the usual patterns."""
-    x = P.page_text(view(spark, sf_dir, "pages"))
-    times = F.regexp_count("text", F.lit("(?i)[0-9]{1,2}[ ]*(:[0-9]{2})?[ ]*(am|pm)"))
-    return x.select("page_id", F.round(F.least(F.lit(1.0), P._count(F.col("text"), WORDS) * 0.002 + times * 0.1), 6).alias("likelihood"))
-
-
 REL = " + ".join(f"CASE WHEN regexp_matches(lower(url), '{p}') THEN 0.3 ELSE 0 END" for p in P.URL_PATTERNS)
 HITS = lambda c, ps, w: " + ".join(f"CASE WHEN regexp_matches({c}, '(?i){p}') THEN {w} ELSE 0 END" for p in ps)
-HAS = " + ".join(f"CASE WHEN contains(anchor_text, '{w}') THEN 0.5 ELSE 0 END + CASE WHEN contains(lower(url), '{w}') THEN 0.3 ELSE 0 END" for w in ("happy hour", "specials", "deals", "menu"))
-RELEVANCE = f"round(CAST(least(1.0, {REL} + {HITS('anchor_text', P.DEAL_PATTERNS, 0.4)} + {HITS('anchor_text', P.MENU_PATTERNS, 0.35)} + {HAS} + CASE WHEN lower(url) LIKE '%.pdf' THEN 0.5 ELSE 0 END) AS DOUBLE), 6)"
+HAS = " + ".join(f"CASE WHEN contains(anchor_text, '{w}') THEN 0.5 ELSE 0 END + CASE WHEN contains(lower(url), '{w}') THEN 0.3 ELSE 0 END" for w in P.STRONG_TERMS)
+MORE = " + ".join([f"CASE WHEN contains(anchor_text, '{w}') THEN {a} ELSE 0 END + CASE WHEN contains(lower(url), '{w}') THEN {b} ELSE 0 END" for ws, a, b in ((P.MENU_TERMS, 0.6, 0.4), (P.PRICE_TERMS, 0.4, 0.3)) for w in ws])
+RELEVANCE = f"round(CAST(least(1.0, {REL} + {HITS('anchor_text', P.DEAL_PATTERNS, 0.4)} + {HITS('anchor_text', P.MENU_PATTERNS, 0.35)} + {HAS} + {MORE} + CASE WHEN lower(url) LIKE '%.pdf' THEN CASE WHEN regexp_matches(lower(url), 'menu|food|drink|price') THEN 0.8 ELSE 0.5 END ELSE 0 END) AS DOUBLE), 6)"
 
 
 @query(f"WITH {ANCHORS} SELECT page_id, pos, url, {RELEVANCE} AS relevance FROM links")
@@ -91,14 +78,16 @@ def j14_known_hosts(spark, sf_dir):
     return P.of_known_hosts(P.links(pages), known).select("page_id", "pos", "url")
 
 
-@query("""WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), e AS (SELECT page_id AS a, (page_id * 7 + k) % n AS b FROM pages, n, (VALUES (1), (2), (3)) v(k)),
-r(node, depth) AS (SELECT page_id, 0 FROM pages WHERE page_id = 0 UNION SELECT b, depth + 1 FROM r JOIN e ON e.a = r.node WHERE depth < 3)
+@query(f"""WITH RECURSIVE {ANCHORS}, e AS (SELECT DISTINCT source_url AS a, url AS b FROM links WHERE {RELEVANCE} > 0.3), s AS (SELECT min(url) AS node FROM pages GROUP BY lower(regexp_extract(url, '^https?://([^/:?#]+)', 1))),
+r(node, depth) AS (SELECT node, 0 FROM s UNION SELECT b, depth + 1 FROM r JOIN e ON e.a = r.node WHERE depth < 3)
 SELECT node, min(depth) AS depth FROM r GROUP BY node""")
 def j16_reachable(spark, sf_dir):
+    """Addresses within three relevant links of the first page of each host."""
     pages = view(spark, sf_dir, "pages")
-    n = pages.count()
-    edges = pages.select(F.col("page_id").alias("a"), F.explode(F.array(*[(F.col("page_id") * 7 + k) % n for k in (1, 2, 3)])).alias("b"))
-    return P.reachable(edges, pages.filter("page_id = 0").select(F.col("page_id").alias("node")), 3)
+    links = P.links(pages)
+    edges = links.filter(P.relevance(F.col("url"), F.col("anchor_text")) > 0.3).select(F.col("source_url").alias("a"), F.col("url").alias("b")).distinct()
+    seeds = pages.groupBy(F.lower(F.regexp_extract("url", "^https?://([^/:?#]+)", 1))).agg(F.min("url").alias("node"))
+    return P.reachable(edges, seeds, 3)
 
 
 @query(f"WITH {ANCHORS}, s AS (SELECT page_id, url, min(pos) AS pos, max({RELEVANCE}) AS score FROM links GROUP BY page_id, url) SELECT page_id, url, score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, url) AS r FROM s) WHERE r <= 5")

@@ -170,11 +170,12 @@ def p21_p22_subset(spark, sf_dir):
     return view(spark, sf_dir, "restaurant_x").filter(F.lower("district").isin("france", "germany", "india", "china", "canada") & F.col("website").isNotNull()).select("slug", "name")
 
 
-@query(oracle("d AS (SELECT slug, count(*) AS n FROM raw_x GROUP BY slug) SELECT CASE WHEN n > 30 THEN 'many' WHEN n > 5 THEN 'some' ELSE 'few' END AS class, count(*) AS n_restaurants, round(avg(n), 4) AS average, string_agg(slug, ',' ORDER BY slug) AS slugs FROM d GROUP BY ALL", "raw_x"))
+@query(oracle("d AS (SELECT slug, count(*) AS n FROM raw_x GROUP BY slug), c AS (SELECT slug, n, CASE WHEN n > 30 THEN 'many' WHEN n > 5 THEN 'some' ELSE 'few' END AS class FROM d) SELECT slug, n, class, count(*) OVER w AS n_restaurants, round(avg(n) OVER w, 4) AS average FROM c WINDOW w AS (PARTITION BY class)", "raw_x"))
 def a31_classes(spark, sf_dir):
+    """Restaurants by their number of deals, beside the totals of the class."""
     d = view(spark, sf_dir, "raw_x").groupBy("slug").agg(F.count("*").alias("n"))
-    kind = F.when(F.col("n") > 30, "many").when(F.col("n") > 5, "some").otherwise("few")
-    return d.groupBy(kind.alias("class")).agg(F.count("*").alias("n_restaurants"), F.round(F.avg("n"), 4).alias("average"), F.array_join(F.array_sort(F.collect_list("slug")), ",").alias("slugs"))
+    d = d.withColumn("class", F.when(F.col("n") > 30, "many").when(F.col("n") > 5, "some").otherwise("few"))
+    return d.join(d.groupBy("class").agg(F.count("*").alias("n_restaurants"), F.round(F.avg("n"), 4).alias("average")), "class").select("slug", "n", "class", "n_restaurants", "average")
 
 
 @query(oracle("SELECT count(*) AS n, round(count(*) * 0.049, 4)::DOUBLE AS cost FROM restaurant_x", "restaurant_x"))
@@ -187,10 +188,20 @@ def a35_run_results(spark, sf_dir):
     return view(spark, sf_dir, "events").groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("average"))
 
 
-@query(oracle("b AS (SELECT slug, raw_title, confidence_score >= 0.6 AND raw_start IS NOT NULL AS good FROM raw_x WHERE seq % 13 = 0) SELECT x.slug FROM restaurant_x x WHERE x.slug NOT IN (SELECT slug FROM b WHERE good)", "raw_x", "restaurant_x"))
+VIEWS["fallback_x"] = """SELECT 'user-' || CAST(s_suppkey AS STRING) AS slug, 'House special' AS raw_title, CASE WHEN s_suppkey % 2 = 0 THEN '$' || CAST(5 + s_suppkey % 9 AS STRING) END AS raw_price FROM {supplier}"""
+
+
+@query(oracle("""g AS (SELECT DISTINCT slug FROM raw_x WHERE confidence_score >= 0.6 AND (raw_start IS NOT NULL OR (raw_price <> '' AND confidence_score >= 0.9)))
+SELECT slug, seq, raw_title, raw_price, confidence_score FROM raw_x WHERE slug IN (SELECT slug FROM g)
+UNION ALL SELECT slug, NULL, raw_title, raw_price, 0.3::DOUBLE FROM fallback_x WHERE slug NOT IN (SELECT slug FROM g)""", "raw_x", "fallback_x"))
 def j11_fallback(spark, sf_dir):
-    good = view(spark, sf_dir, "raw_x").filter("seq % 13 = 0 AND confidence_score >= 0.6 AND raw_start IS NOT NULL").select("slug")
-    return view(spark, sf_dir, "restaurant_x").select("slug").join(good, "slug", "left_anti")
+    """Restaurants without a good deal get their static ones, with a low confidence; others keep their own."""
+    x = view(spark, sf_dir, "raw_x").select("slug", "seq", "raw_title", "raw_price", "confidence_score", "raw_start")
+    sure = F.col("confidence_score")
+    good = x.filter((sure >= 0.6) & (F.col("raw_start").isNotNull() | ((F.col("raw_price") != "") & (sure >= 0.9)))).select("slug").distinct()
+    own = x.drop("raw_start").join(good, "slug", "left_semi")
+    other = view(spark, sf_dir, "fallback_x").join(good, "slug", "left_anti")
+    return own.unionByName(other.select("slug", F.lit(None).cast("long").alias("seq"), "raw_title", "raw_price", F.lit(0.3).alias("confidence_score")))
 
 
 @query(oracle("o AS (SELECT slug, 'http://www.s' || substr(slug, 6) || '.example.com/menu/' AS old, website AS new FROM overlay_x WHERE website IS NOT NULL) SELECT x.slug, coalesce(o.new, x.website) AS website FROM restaurant_x x LEFT JOIN o ON o.old = x.website", "restaurant_x", "overlay_x"))

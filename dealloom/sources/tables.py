@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir; a temporary folder only where that is unset."""
+    """A reliable checkpoint in spark.checkpoint.dir; a temporary folder only where that is unset and all tasks run on this machine."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     spark.sparkContext.setCheckpointDir(folder)
@@ -80,3 +83,13 @@ def route(rows: DataFrame, kind: str, sinks: dict[str, str]) -> None:
 def write_snapshots(rows: DataFrame, path: str, date: str = "snapshot_date") -> None:
     """Replaces only the dates that rows has."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date).parquet(path)
+
+
+def counters(rows: DataFrame, conditions: dict[str, Column]) -> tuple[DataFrame, Callable[[], dict[str, int]]]:
+    """rows, and a function that gives the number of all rows and of those that meet each condition once an action on rows is over.
+
+    The counts are observed while the rows pass; no job of its own runs for them.
+    """
+    seen = Observation()
+    counted = rows.observe(seen, F.count("*").alias("rows"), *[F.count_if(c).alias(name) for name, c in conditions.items()])
+    return counted, lambda: dict(seen.get)
