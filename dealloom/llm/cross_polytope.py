@@ -4,9 +4,12 @@ Rows are split into bands of like norm. A band's vectors are scaled by its large
 one coordinate onto the unit sphere, where the largest inner product with a query is the smallest
 angle; without bands, one long vector would push all others to one pole. Bands of at most WHOLE rows
 are compared whole, which takes less than their probes. Each table turns vectors by three rounds of
-random signs and a fast Hadamard transform; the bucket is the nearest signed axis. A query looks in
-the PROBES buckets whose axes are nearest to it, in each of TABLES tables of each band. Buckets are compared in
-chunks of bounded size, by exact inner products on the original vectors.
+random signs and a fast Hadamard transform; the bucket is the nearest signed axis. From ROWS rows a
+bucket on, the nearest of some axes of a second turn is added, so that buckets grow in number with
+the rows, up to the square of the signed axes. A query looks in the buckets nearest to it in each of
+TABLES tables of each band: in as many as hold the share RECALL of the neighbours of SAMPLE queries,
+which meet all rows once for this fit. Buckets are compared in chunks of bounded size, by exact inner
+products on the original vectors.
 
 Equal vectors form one class, of which the smallest k + 1 ids are kept: no query can return more of
 them. All other rows are indexed.
@@ -24,8 +27,10 @@ from pyspark.sql import functions as F
 
 from dealloom.llm.scratch import written
 
-TABLES = 16
-PROBES = 12
+TABLES = 8
+ROWS = 1024  # rows of a bucket from which on buckets are made finer
+SAMPLE = 64  # queries of each vector length on which the number of probes is fitted
+RECALL = 0.95  # share of their neighbours that the probes reach
 CHUNK = 4096  # index rows, or queries, of a bucket that one task compares
 WHOLE = CHUNK  # rows of a band up to which all queries meet all of it
 BAND = 1.15  # largest ratio of norms in a band
@@ -65,35 +70,117 @@ def lifted(x: np.ndarray, most: np.ndarray | None) -> np.ndarray:
     return np.hstack([unit * share, np.sqrt(1 - share**2)])
 
 
-def nearest_axes(x: np.ndarray, n: int) -> np.ndarray:
-    """The n signed axes nearest to each row, as numbers; axis d + i is the opposite of axis i."""
-    both = np.hstack([x, -x])
-    n = min(n, both.shape[1])
-    best = np.argpartition(-both, n - 1, axis=1)[:, :n]
-    return np.take_along_axis(best, np.argsort(-np.take_along_axis(both, best, 1), axis=1, kind="stable"), 1)
+def signed_axes(x: np.ndarray, table: int, fine: int) -> list[np.ndarray]:
+    """Each row on the signed axes of a table, and of its second turn if that has fine axes; axis d + i is the opposite of axis i."""
+    turns = [turned(x, table), *([turned(x, TABLES + table)[:, :fine]] if fine else [])]
+    return [np.hstack([y, -y]) for y in turns]
+
+
+def bucket_of(x: np.ndarray, table: int, fine: int) -> np.ndarray:
+    """The bucket of each row."""
+    first, *second = (y.argmax(axis=1) for y in signed_axes(x, table, fine))
+    return first * 2 * fine + second[0] if second else first
+
+
+def distances(x: np.ndarray, table: int, fine: int) -> np.ndarray:
+    """How far each row (down) is from the axes of each bucket (across); 0 for its own bucket."""
+    first, *second = ((y.max(axis=1, keepdims=True) - y) ** 2 for y in signed_axes(x, table, fine))
+    return (first[:, :, None] + second[0][:, None, :]).reshape(len(x), -1) if second else first
+
+
+def nearest_buckets(x: np.ndarray, table: int, fine: int, n: int) -> np.ndarray:
+    """The n buckets nearest to each row, in stretches of rows so that the distances stay small."""
+    out, step = [], max(1, 2**22 // max(1, 4 * x.shape[1] * max(1, 4 * fine)))
+    for at in range(0, len(x), step):
+        far = distances(x[at : at + step], table, fine)
+        out.append(np.argpartition(far, min(n, far.shape[1]) - 1, axis=1)[:, :n])
+    return np.concatenate(out)
+
+
+def probes_needed(query: np.ndarray, rows: np.ndarray, fine: int) -> np.ndarray:
+    """How many buckets of each table a query has to look in until one table shows it each of the rows; both lifted."""
+    need = np.full(len(rows), np.iinfo(np.int64).max)
+    for table in range(TABLES):
+        far = np.sort(mine := distances(query[None], table, fine)[0])
+        need = np.minimum(need, np.searchsorted(far, mine[bucket_of(rows, table, fine)], "right"))
+    return need
+
+
+def axes_of_second_turn(rows: int, dim: int) -> int:
+    """Axes (a power of two, or 0) that bring buckets of this many rows near ROWS rows each."""
+    axes = 1 << max(1, dim.bit_length())  # of the lifted vectors
+    share = rows / ROWS / (2 * axes)
+    return min(axes, 1 << int(math.log2(share) - 1)) if share >= 2 else 0
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _hashed(probes: int, banded: bool):
+def _hashed(fits: dict[int, tuple[int, int]], banded: bool):
+    """Rows with each bucket that holds them (banded), or that they look in; fits has the second axes and probes by vector length."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column("dim").to_numpy()
             for dim in np.unique(sizes):
                 part = batch.filter(pa.array(sizes == dim))
+                fine, probes = fits[int(dim)]
                 points = lifted(_matrix(part.column("vector")), part.column("most").to_numpy() if banded else None)
-                buckets = [nearest_axes(turned(points, t), probes).reshape(-1) + t * 1_000_000 for t in range(TABLES)]
-                rows = np.repeat(np.arange(len(part)), len(buckets[0]) // len(part))
-                for found in buckets:
-                    out = part.take(pa.array(rows))
-                    names = ["id", "dim", "vector", *(["band"] if banded else [])]
-                    yield pa.RecordBatch.from_arrays([*(out.column(c) for c in names), pa.array(found, pa.int64())], [*names, "bucket"])
+                names = ["id", "dim", "vector", *(["band"] if banded else [])]
+                for t in range(TABLES):
+                    found = bucket_of(points, t, fine)[:, None] if banded else nearest_buckets(points, t, fine, probes)
+                    out = part.take(pa.array(np.repeat(np.arange(len(part)), found.shape[1])))
+                    yield pa.RecordBatch.from_arrays([*(out.column(c) for c in names), pa.array(found.reshape(-1) + (t << 40), pa.int64())], [*names, "bucket"])
+
+    return run
+
+
+def _probes_of_sample(sample: dict[int, np.ndarray], fine: dict[int, int], k: int):
+    """For each sampled query, the k best rows of the task: score and probes needed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            sizes = batch.column("dim").to_numpy()
+            for dim in set(np.unique(sizes).tolist()) & set(sample):
+                part = batch.filter(pa.array(sizes == dim))
+                x, most = _matrix(part.column("vector")), part.column("most").to_numpy()
+                points = lifted(x, most)
+                for i, near in enumerate(sample[dim] @ x.T):
+                    top = np.argpartition(-near, min(k, len(near)) - 1)[:k]
+                    score, rows = near[top], points[top]
+                    if (dim, i) in best:
+                        score, rows = np.concatenate([best[dim, i][0], score]), np.concatenate([best[dim, i][1], rows])
+                        top = np.argsort(-score, kind="stable")[:k]
+                        score, rows = score[top], rows[top]
+                    best[dim, i] = score, rows
+        for (dim, i), (score, rows) in best.items():
+            need = probes_needed(lifted(sample[dim][i : i + 1], None)[0], rows, fine[dim])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(need), dim), pa.int32()), pa.array(np.full(len(need), i), pa.int32()), pa.array(score), pa.array(need, pa.int64())], ["dim", "query", "score", "need"])
 
     return run
 
 
+def fitted(index: DataFrame, probes: DataFrame, k: int) -> dict[int, tuple[int, int]]:
+    """By vector length: axes of the second turn, from the rows of the largest band, and probes, from a sample of queries.
+
+    Every length here has more than WHOLE rows; SAMPLE queries of each and these figures go to the driver.
+    """
+    sizes = index.groupBy("dim", "band").count().groupBy("dim").agg(F.max("count").alias("n")).collect()
+    fine = {r.dim: axes_of_second_turn(r.n, r.dim) for r in sizes}
+    drawn = Window.partitionBy("dim").orderBy(F.xxhash64("id"), "id")
+    some: dict[int, list] = {}
+    for r in probes.withColumn("r", F.row_number().over(drawn)).filter(F.col("r") <= SAMPLE).select("dim", "vector").collect():
+        some.setdefault(r.dim, []).append(r.vector)
+    sample = {dim: np.array(v, np.float64) for dim, v in some.items()}
+    pairs = index.select("dim", "vector", "most").mapInArrow(_probes_of_sample(sample, fine, k + 1), "dim int, query int, score double, need long")
+    # The best row is the query itself and needs one probe only.
+    pairs = pairs.withColumn("r", F.row_number().over(Window.partitionBy("dim", "query").orderBy(F.desc("score")))).filter(F.col("r").between(2, k + 1))
+    need = {r.dim: math.ceil(r.need) for r in pairs.groupBy("dim").agg(F.percentile("need", F.lit(RECALL)).alias("need")).collect()}
+    return {dim: (fine[dim], need.get(dim, 1)) for dim in fine}
+
+
 def _compare(k: int):
     def run(key: tuple, queries: pa.Table, index: pa.Table) -> pa.Table:
         if not queries.num_rows or not index.num_rows:
@@ -161,9 +248,11 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20, i
     few = written(index.filter("whole").select("id", "dim", "vector"))
     met = None if few.isEmpty() else met_whole(probes, few)
     schema = f"id long, dim int, vector array<{number}>, %sbucket long"
-    index = written(index.filter("NOT whole").select("id", "dim", "vector", "band", "most").mapInArrow(_hashed(1, True), schema % "band long, "))
-    probes = probes.join(F.broadcast(bands.filter("NOT whole").select("dim").distinct()), "dim", "left_semi")
-    probes = written(probes.select("id", "dim", "vector").mapInArrow(_hashed(PROBES, False), schema % ""))
+    index = index.filter("NOT whole").select("id", "dim", "vector", "band", "most")
+    probes = probes.join(bands.filter("NOT whole").select("dim").distinct(), "dim", "left_semi").select("id", "dim", "vector")
+    fits = fitted(index, probes, k)
+    index = written(index.mapInArrow(_hashed(fits, True), schema % "band long, "))
+    probes = written(probes.mapInArrow(_hashed(fits, False), schema % ""))
     # Chunks of a bucket: each chunk of queries meets each chunk of the index.
     chunks = lambda df, name, *by: df.groupBy("dim", "bucket", *by).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias(name))
     size = written(chunks(index, "parts", "band").join(chunks(probes, "query_parts"), ["dim", "bucket"]))

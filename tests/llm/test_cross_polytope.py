@@ -84,3 +84,38 @@ def test_recall_where_norms_differ(spark, monkeypatch, norms, whole):
         got.setdefault(r.query_id, set()).add(r.vec_id)
     assert all(len(got[q]) == 20 for q in want)
     assert np.mean([len({i for i, _ in want[q]} & got[q]) for q in want]) / 20 >= 0.9
+
+
+def test_buckets_grow_with_the_rows_and_probes_are_fitted(spark, monkeypatch):
+    assert [cross_polytope.axes_of_second_turn(n, 64) for n in (1, 500_000, 1_100_000, 5_000_000, 10**12)] == [0, 0, 2, 8, 128]
+    monkeypatch.setattr(cross_polytope, "WHOLE", 500)
+    monkeypatch.setattr(cross_polytope, "ROWS", 1)
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(100, 32)), 40, axis=0) + rng.normal(size=(4000, 32)) / 3
+    rows = [(i, v) for i, v in enumerate(x.astype(np.float32).tolist())]
+    fits, fitted = [], cross_polytope.fitted
+    monkeypatch.setattr(cross_polytope, "fitted", lambda *a: fits.append(fitted(*a)) or fits[-1])
+    want, got = exact(rows), {}
+    for r in search(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert np.mean([len({i for i, _ in want[q]} & got.get(q, set())) for q in want]) / 20 >= 0.9
+    fine, probes = fits[0][32]
+    assert fine >= 2 and probes <= 64 * fine
+
+
+def test_ties_of_different_vectors_go_to_the_smaller_id(spark):
+    rows = [(0, [1.0, 0.0]), *((i, [1.0, float(-i if i % 2 else i)]) for i in range(1, 40))]
+    got = [(r.vec_id, r.score) for r in search(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)).filter("query_id = 0").orderBy("rank").collect()]
+    assert got == [(i, 1.0) for i in range(1, 21)]
+
+
+def test_probes_needed_counts_the_buckets_up_to_a_row():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(50, 16))
+    points, query = cross_polytope.lifted(x, np.full(50, 3.0)), cross_polytope.lifted(x[:1], None)
+    for fine in (0, 4):
+        need = cross_polytope.probes_needed(query[0], points, fine)
+        for n in (1, 5, 20):
+            seen = {(t, b) for t in range(cross_polytope.TABLES) for b in cross_polytope.nearest_buckets(query, t, fine, n)[0]}
+            held = [any((t, cross_polytope.bucket_of(points[i : i + 1], t, fine)[0]) in seen for t in range(cross_polytope.TABLES)) for i in range(50)]
+            assert held == (need <= n).tolist()
