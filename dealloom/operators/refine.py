@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealloom.functions import deals as D
 from dealloom.functions import times as T
 
+MENU = ("item_count", "categories", "menu_type", "price_range")
+
 
 def with_schedule_id(raw: DataFrame) -> DataFrame:
     """raw (restaurant_slug, raw_title, raw_description, raw_times, raw_days, ...) with its schedule's fields.
@@ -26,8 +28,8 @@ def with_schedule_id(raw: DataFrame) -> DataFrame:
     return out.withColumns({"schedule_id": key, "data_quality": D.quality_tier(F.col("confidence_score"), *present)})
 
 
-def schedules(keyed: DataFrame) -> DataFrame:
-    """One row per schedule: the first raw row's fields, counts and means of all, and the first source.
+def schedules(keyed: DataFrame, **more: Column) -> DataFrame:
+    """One row per schedule: the first raw row's fields, counts and means of all, the first source, and more aggregates by name.
 
     Which raw rows a schedule has stays a relation (with_schedule_id), so no list grows with a group:
     all is one aggregation with partial sums on the map side.
@@ -36,11 +38,12 @@ def schedules(keyed: DataFrame) -> DataFrame:
     out = keyed.groupBy("schedule_id").agg(
         F.min_by(first, "seq").alias("f"), F.count("*").alias("n_raw"), F.avg("confidence_score").alias("average_confidence"),
         F.max(F.substring(F.col("extracted_at").cast("string"), 1, 10)).alias("last_verified"),
+        *(c.alias(name) for name, c in more.items()),
     )
     kind = F.initcap(F.replace(F.col("f.deal_type"), F.lit("_"), F.lit(" ")))
     return out.select(
         F.col("schedule_id"), "f.restaurant_slug", "f.deal_type", F.coalesce(D.clean_title(F.col("f.raw_title")), kind).alias("name"), "f.days", "f.start_time", "f.end_time",
-        D.all_day(F.col("f.raw_title"), F.col("f.raw_description")).alias("is_all_day"), "f.data_quality", F.col("f.source_url").alias("menu_url"), "n_raw", "average_confidence", "last_verified",
+        D.all_day(F.col("f.raw_title"), F.col("f.raw_description")).alias("is_all_day"), "f.data_quality", F.col("f.source_url").alias("menu_url"), "n_raw", "average_confidence", "last_verified", *more,
     )
 
 
@@ -49,22 +52,34 @@ def consistent(rows: DataFrame) -> DataFrame:
     return rows.filter((F.col("restaurant_slug") != "") & ((F.size("days") > 0) | F.col("start_time").isNotNull() | F.col("end_time").isNotNull()))
 
 
+def with_items(keyed: DataFrame) -> DataFrame:
+    """The priced items of each raw row."""
+    return keyed.withColumn("items", F.filter(F.transform("raw_prices", D.price_item), lambda x: x.isNotNull()))
+
+
+def last_items() -> Column:
+    """The items of the last raw row that has some; null if none has."""
+    return F.max_by("items", F.when(F.size("items") > 0, F.col("seq")))
+
+
 def menus(keyed: DataFrame) -> DataFrame:
     """The last raw row with prices gives a schedule its menu: items, kind, categories and price range."""
-    items = F.filter(F.transform("raw_prices", D.price_item), lambda x: x.isNotNull())
-    rows = keyed.withColumn("items", items).filter(F.size("items") > 0)
-    out = rows.groupBy("schedule_id").agg(F.max_by("items", "seq").alias("items"))
+    return with_menu(with_items(keyed).groupBy("schedule_id").agg(last_items().alias("items")).filter("items IS NOT NULL")).select("schedule_id", "items", *MENU)
+
+
+def with_menu(rows: DataFrame) -> DataFrame:
+    """Kind, categories and price range of the items; null where items is null."""
     prices = F.transform("items", lambda x: x["price"])
     whole = lambda c: F.bround(c, 0).cast("int").cast("string")
-    return out.select(
-        "schedule_id", "items", F.size("items").alias("item_count"), F.array_sort(F.array_distinct(F.transform("items", lambda x: x["category"]))).alias("categories"),
-        D.menu_kind(F.transform("items", lambda x: x["category"])).alias("menu_type"), F.concat(F.lit("$"), whole(F.array_min(prices)), F.lit("-"), whole(F.array_max(prices))).alias("price_range"),
-    )
+    return rows.withColumns({
+        "item_count": F.when(F.col("items").isNotNull(), F.size("items")), "categories": F.array_sort(F.array_distinct(F.transform("items", lambda x: x["category"]))),
+        "menu_type": F.when(F.col("items").isNotNull(), D.menu_kind(F.transform("items", lambda x: x["category"]))),
+        "price_range": F.concat(F.lit("$"), whole(F.array_min(prices)), F.lit("-"), whole(F.array_max(prices))),
+    })
 
 
-def public_deals(kept: DataFrame, menu: DataFrame, top: int = 3) -> DataFrame:
-    """Schedules as shown: label, the cheapest items, confidence tier."""
-    rows = kept.join(menu, "schedule_id", "left")
+def public_deals(rows: DataFrame, top: int = 3) -> DataFrame:
+    """Schedules with their menus as shown: label, the cheapest items, confidence tier."""
     cheap = F.slice(F.array_sort(F.transform("items", lambda x: F.struct(x["price"].alias("price"), x["name"].alias("name")))), 1, top)
     shown = F.transform(cheap, lambda x: F.concat(F.lit("$"), F.bround(x["price"], 0).cast("int").cast("string"), F.lit(" "), x["name"]))
     return rows.select(
@@ -81,6 +96,5 @@ def public_summary(public: DataFrame) -> DataFrame:
 
 
 def refined(raw: DataFrame) -> DataFrame:
-    """Raw extractions to public deals in one plan."""
-    keyed = with_schedule_id(raw)
-    return public_deals(consistent(schedules(keyed)), menus(keyed))
+    """Raw extractions to public deals: one scan and one aggregation give both the schedules and their menus."""
+    return public_deals(with_menu(consistent(schedules(with_items(with_schedule_id(raw)), items=last_items()))))

@@ -27,6 +27,11 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "ReadSchema: struct<event_id:bigint,event_type:string>" in plan
 
 
+def test_public_deals_take_one_scan_and_no_join(spark):
+    plan = R.refined(raw_extractions(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_consolidation(spark):
     keyed = C.signed(deals(spark, SF))
     once = C.consolidated(keyed)
