@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dealloom.functions import times as T
 from dealloom.operators import pages as P
+from dealloom.operators import profiles as R
 from dealloom.operators import prose as X
 from dealloom.operators import status as S
 from dealloom.plans.deal_queries import DAY
@@ -186,3 +187,42 @@ def p8_issue_counts(spark, sf_dir):
     x = view(spark, sf_dir, "restaurant_x").select("slug", "website", "phone")
     _, counts = Q.with_invalid_nulled(x, {"website": F.col("website").rlike(r"s[0-9]+[02468]\."), "phone": F.col("phone").rlike("[13579]$")})
     return counts.unpivot([], ["website", "phone"], "field", "n")
+
+
+VIEWS["focus_x"] = VIEWS["notice_x"].replace("END AS text", """END
+ || chr(10) || CASE CAST(user_id % 6 AS INT) WHEN 0 THEN 'Our patio is romantic! Book at resy.com/user' || CAST(user_id AS STRING) WHEN 1 THEN 'Kids eat free. Trivia and live music' WHEN 2 THEN 'Reserve on OpenTable. A refined garden? Yes'
+    WHEN 3 THEN 'Summer discount. Birthday offer' WHEN 4 THEN 'market price' ELSE '' END
+ || CASE WHEN event_id % 2 = 0 THEN chr(10) || 'Draft beer $' || CAST(3 + event_id % 48 AS STRING) || ' - house pour' || chr(10) || '$' || CAST(user_id % 90 AS STRING) || '.50 oysters. Happy hour at $4' ELSE '' END AS text,
+ CASE WHEN user_id % 5 = 0 THEN array('https://www.resy.com/a', 'https://tock.com/' || CAST(user_id AS STRING), '/menu') END AS links""")
+
+
+def _held(words, text="low"):
+    """SQL of the list of words that a text holds."""
+    return f"list_filter([{', '.join(map(repr, words))}], lambda w: contains({text}, w))"
+
+
+def _some(words):
+    return "(" + " OR ".join(f"contains(low, {w!r})" for w in words) + ")"
+
+
+@query(oracle(rf"""b AS (SELECT seq, text, lower(text) AS low, links FROM focus_x),
+p AS (SELECT *, regexp_extract_all(text, '{R.PRICED_ITEM}', 1) AS price, regexp_extract_all(text, '{R.PRICED_ITEM}', 2) AS item,
+ CASE {' '.join(f"WHEN {_some(w)} THEN '{k}'" for k, w in R.PRICE_WORDS.items())} END AS price_range,
+ {', '.join(f"array_to_string({_held(w)}, ',') AS {k}" for k, w in R.EVENT_WORDS.items())},
+ concat_ws(',', {', '.join(f"CASE WHEN {_some(w)} THEN '{k}' END" for k, w in R.MOOD_WORDS.items())}) AS atmosphere,
+ array_to_string(list_transform(regexp_extract_all(low, '{R.HAPPY_PRICE}', 1), lambda x: '$' || x), ',') AS happy_prices,
+ array_to_string(list_transform(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda x: contains(lower(x), 'happy hour'))[1:3], lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), '|') AS context,
+ array_to_string({_held(R.DEAL_WORDS)}, ',') AS deal_types,
+ {' + '.join(f"len(list_filter(coalesce(links, []), lambda x: contains(x, '{s}')))" for s in R.SERVICES)} AS n_links,
+ {' + '.join(f"CAST(contains(low, '{s}') AS INT) + CAST(regexp_matches(low, '{s}[.]com/[^/[:space:]]') AS INT)" for s in R.SERVICES)} AS n_named FROM b)
+SELECT seq, CAST(least(len(price), 10) AS INT) AS n_prices, '$' || price[1] AS first_price, regexp_replace(item[1], '^\s+|\s+$', '', 'g') AS first_item, price_range, {', '.join(R.EVENT_WORDS)}, atmosphere, happy_prices, md5(context) AS context_md5, deal_types,
+ CAST(n_links + n_named + CAST(len(price) > 0 AS INT) + CAST(price_range IS NOT NULL AS INT) + CAST({' || '.join(R.EVENT_WORDS)} <> '' AS INT) + CAST(atmosphere <> '' AS INT)
+  + CAST(contains(low, 'happy hour') AS INT) + CAST(contains(low, 'happy hour') OR deal_types <> '' AS INT) AS INT) AS fields_extracted FROM p""", "focus_x").replace("array('https", "list_value('https"))
+def x12_deal_focus(spark, sf_dir):
+    out = R.deal_focus(view(spark, sf_dir, "focus_x"), links="links")
+    joined = lambda c, by=",": F.array_join(c, by)
+    first = F.try_element_at("menu_pricing", F.lit(1))
+    return out.select(
+        "seq", F.size("menu_pricing").alias("n_prices"), first["price"].alias("first_price"), first["item"].alias("first_item"), "price_range", *(joined(f"special_events.{k}").alias(k) for k in R.EVENT_WORDS),
+        joined("atmosphere").alias("atmosphere"), joined("happy_hour_prices").alias("happy_prices"), F.md5(joined("happy_hour_context", "|")).alias("context_md5"), joined("deal_types").alias("deal_types"), "fields_extracted",
+    )

@@ -2,6 +2,7 @@
 
 import re
 
+from dealloom.operators import profiles
 from dealloom.operators import prose as X
 
 
@@ -32,3 +33,11 @@ def test_priced_forms(spark):
     got = {(r.id, r.title.lower(), r.price, r.kind) for r in X.priced_forms(rows, ("id",)).collect()}
     assert {(0, "craft cocktails", "$9", "drink"), (1, "wine", "Half", "drink"), (7, "house red wine", "$8", "drink")} <= got
     assert any(i == 5 and p == "$12" and k == "food" for i, _, p, k in got) and not {2, 3, 4} & {i for i, *_ in got}
+
+
+def test_deal_focus_on_odd_rows(spark):
+    rows = [(1, None, None), (2, "", []), (3, "Happy hour! $5 beer", ["https://resy.com/x", None])]
+    got = {r.i: r for r in profiles.deal_focus(spark.createDataFrame(rows, "i int, text string, links array<string>"), links="links").collect()}
+    assert [got[i].fields_extracted for i in (1, 2)] == [0, 0] and got[1].price_range is None and got[2].menu_pricing == []
+    assert got[3].happy_hour_context == ["Happy hour"] and got[3].reservation_services[0].url == "https://resy.com/x"
+    assert got[3].fields_extracted == 5  # price, level, happy hour, sign of a deal, link
