@@ -93,6 +93,16 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra))
 
 
+def op11_winnowed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from dealloom.llm.decontamination import contamination
+
+    out = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), ["doc_id"])
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return out.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -118,8 +128,17 @@ s AS (SELECT mean, CASE WHEN hosts > 1 AND spread - mean * (1 - mean) * inv > 0
 q AS (SELECT source, (k + mean * strength) / (n + strength) AS rate FROM h, s)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT failed AND coalesce(rate, 0) <= 0.5 AS kept FROM f LEFT JOIN q ON q.source = f.source"""
 
+# Every window of ten words as text, of documents and items alike, without hashes or prints.
+OP11_SQL = r"""WITH t AS (SELECT 'd' AS side, doc_id AS id, row_number() OVER () AS r, text FROM documents UNION ALL SELECT 'b', item_id, 0, text FROM benchmark WHERE item_id IS NOT NULL),
+w AS (SELECT side, id, r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM t),
+b AS (SELECT DISTINCT id::VARCHAR AS item, n, array_to_string(ws[i:i + n - 1], ' ') AS x FROM (SELECT id, ws, least(len(ws), 10) AS n FROM w WHERE side = 'b' AND len(ws) > 0), unnest(range(1, len(ws) - n + 2)) u(i)),
+hit AS (SELECT r, i, n, x FROM (SELECT r, i, n, array_to_string(ws[i:i + n - 1], ' ') AS x FROM w, (SELECT DISTINCT n FROM b), unnest(range(1, len(ws) - n + 2)) u(i) WHERE side = 'd') WHERE x IN (SELECT x FROM b)),
+p AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest(range(i, i + n)) AS k FROM hit) GROUP BY r),
+m AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hit JOIN b USING (x)) GROUP BY r)
+SELECT id AS doc_id, len(ws)::BIGINT AS n_words, coalesce(p.n, 0) AS n_hit, coalesce(m.n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(p.n, 0) > 0 AS contaminated
+FROM w LEFT JOIN p ON p.r = w.r LEFT JOIN m ON m.r = w.r WHERE side = 'd'"""
 
-QUERIES = (op1_ngram_jaccard_join, op2_language_id, op3_quality_classifier, op4_token_counts, op5_quality_rules, op6_attention_lm, op7_bpe_round_trip, op8_best_fit_packing, op9_cross_polytope_neighbours, op10_chat_windows, pipeline)
+QUERIES = (op1_ngram_jaccard_join, op2_language_id, op3_quality_classifier, op4_token_counts, op5_quality_rules, op6_attention_lm, op7_bpe_round_trip, op8_best_fit_packing, op9_cross_polytope_neighbours, op10_chat_windows, op11_winnowed_decontamination, pipeline)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -127,4 +146,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": OP5_SQL}
+    return {"op5_quality_rules": OP5_SQL, "op11_winnowed_decontamination": OP11_SQL}
