@@ -103,6 +103,22 @@ def op11_winnowed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dealloom.llm.importance import resampled
+
+    out = resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), ["doc_id"])
+    return out.select("row.doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from dealloom.llm.hard_negatives import hard_negatives
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -138,7 +154,34 @@ m AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM
 SELECT id AS doc_id, len(ws)::BIGINT AS n_words, coalesce(p.n, 0) AS n_hit, coalesce(m.n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(p.n, 0) > 0 AS contaminated
 FROM w LEFT JOIN p ON p.r = w.r LEFT JOIN m ON m.r = w.r WHERE side = 'd'"""
 
-QUERIES = (op1_ngram_jaccard_join, op2_language_id, op3_quality_classifier, op4_token_counts, op5_quality_rules, op6_attention_lm, op7_bpe_round_trip, op8_best_fit_packing, op9_cross_polytope_neighbours, op10_chat_windows, op11_winnowed_decontamination, pipeline)
+# CRC-32 byte by byte, for each distinct feature once.
+OP12_SQL = r"""WITH tab AS (SELECT list(list_reduce([i::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END) ORDER BY i) AS tab FROM range(256) r(i)),
+t AS (SELECT 'd' AS side, doc_id, row_number() OVER () AS r, text FROM documents UNION ALL SELECT 'b', NULL, -row_number() OVER (), text FROM benchmark),
+w AS (SELECT side, doc_id, r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM t),
+f AS (SELECT side, r, unnest(list_transform(range(1, len(ws) - n + 2), lambda i: array_to_string(ws[i:i + n - 1], ' '))) AS x FROM w, range(1, 4) k(n)),
+g AS (SELECT side, r, x, count(*) AS n FROM f GROUP BY ALL),
+u AS (SELECT x, flatten(list_transform(regexp_extract_all(x, '(?s).'), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] WHEN unicode(c) < 2048 THEN [192 + unicode(c) // 64, 128 + unicode(c) % 64]
+ WHEN unicode(c) < 65536 THEN [224 + unicode(c) // 4096, 128 + unicode(c) // 64 % 64, 128 + unicode(c) % 64] ELSE [240 + unicode(c) // 262144, 128 + unicode(c) // 4096 % 64, 128 + unicode(c) // 64 % 64, 128 + unicode(c) % 64] END)) AS bytes FROM (SELECT DISTINCT x FROM g)),
+c AS (SELECT x, (xor(list_reduce(list_prepend(4294967295::UBIGINT, bytes::UBIGINT[]), lambda a, b: xor(a >> 8, tab[1 + (xor(a, b) & 255)::BIGINT])), 4294967295::UBIGINT) % 10000)::BIGINT AS bucket FROM u, tab),
+h AS (SELECT side, r, bucket, sum(n) AS n FROM g JOIN c USING (x) GROUP BY ALL),
+s AS (SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0) AS s, coalesce(sum(n) FILTER (side = 'b'), 0) AS t FROM h GROUP BY bucket),
+a AS (SELECT sum(s) AS s, sum(t) AS t FROM s),
+gain AS (SELECT bucket, floor(1000 * ln((s.t + 1)::DOUBLE * (a.s + 10000)::DOUBLE / ((s.s + 1)::DOUBLE * (a.t + 10000)::DOUBLE)))::BIGINT AS gain FROM s, a),
+e AS (SELECT r, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM h JOIN gain USING (bucket) WHERE side = 'd' GROUP BY r),
+o AS (SELECT doc_id, w.r, len(ws) >= 20 AS able, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+ coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM w LEFT JOIN e ON e.r = w.r WHERE side = 'd'),
+k AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM o WHERE able)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 5 * n // 100 THEN rank END AS rank FROM o LEFT JOIN k USING (r)"""
+
+OP13_SQL = """WITH v AS (SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+ WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.id AS anchor_id, b.id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM v a JOIN v b ON len(a.v) = len(b.v) WHERE a.id % 100 = 0),
+pos AS (SELECT * FROM p WHERE same AND anchor_id <> id QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT pos.anchor_id, pos.id AS positive_id, p.id AS negative_id, pos.score AS positive_score, p.score AS negative_score, row_number() OVER (PARTITION BY pos.anchor_id, pos.id ORDER BY p.score DESC, p.id) AS rank
+ FROM pos JOIN p ON p.anchor_id = pos.anchor_id AND NOT p.same AND 80 * pos.score <= 100 * p.score AND p.score <= pos.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
+
+QUERIES = (op1_ngram_jaccard_join, op2_language_id, op3_quality_classifier, op4_token_counts, op5_quality_rules, op6_attention_lm, op7_bpe_round_trip, op8_best_fit_packing, op9_cross_polytope_neighbours, op10_chat_windows, op11_winnowed_decontamination, op12_importance_resampling, op13_hard_negatives, pipeline)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -146,4 +189,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": OP5_SQL, "op11_winnowed_decontamination": OP11_SQL}
+    return {"op5_quality_rules": OP5_SQL, "op11_winnowed_decontamination": OP11_SQL, "op12_importance_resampling": OP12_SQL, "op13_hard_negatives": OP13_SQL}
