@@ -57,7 +57,7 @@ def read(form: Column, text: Column, place: Column) -> Column:
     bare, bare_start, bare_end = _span(text, rf"({H})\s*-\s*({H})\s*pm")
     full, full_start, full_end = _span(text, rf"({T})\s*-\s*({T})")
     late = text.rlike(FORMS[7][1])
-    share = F.initcap(F.regexp_extract(text, r"(\d+%\s*off|half-off)", 1))
+    share = F.regexp_replace(F.initcap(F.regexp_extract(text, r"(\d+%\s*off|half-off)", 1)), "-off$", "-Off")
     named = F.regexp_extract(text, rf"every\s+({ANY_DAY})", 1)
     share_title = F.when(text.contains("vegan") & text.contains("maki"), "Vegan Maki Special").when(text.contains("sake"), "Sake Special").otherwise(F.concat(share, F.lit(" Special")))
     edge = lambda k: F.array_position(week, F.regexp_extract(text, FORMS[1][1], k)).cast("int")

@@ -59,14 +59,17 @@ def first_tier(choices: Sequence[DataFrame], by: str) -> DataFrame:
     return both.join(best, [by, "tier"])
 
 
-def transformed(rows: DataFrame, rules: DataFrame, text: str, key: str, most_rules: int = 1000) -> DataFrame:
-    """The first rule whose pattern is found in each row's text, by a join with a short table of rules.
+def transformed(rows: DataFrame, rules: DataFrame, text: str, most_rules: int = 1000) -> DataFrame:
+    """Rows with what the first rule gives whose pattern is found in their text; null where none is.
 
-    rules has ord and pattern and what a match gives. It is broadcast, so its size is checked.
+    rules has ord and pattern and what a match gives. The short table becomes one expression of
+    constant patterns, each compiled once in a task: no join, and a row stops at its first rule.
     """
-    if (n := rules.count()) > most_rules:
-        raise ValueError(f"{n} rules: a table of patterns has to be short")
-    names = [c for c in rules.columns if c not in ("ord", "pattern")]
-    hit = rows.select(key, text).join(F.broadcast(rules), F.expr(f"{text} RLIKE pattern"))
-    best = hit.groupBy(key).agg(F.min_by(F.struct(*names), "ord").alias("_rule"))
-    return rows.join(best, key, "left").select(*rows.columns, *[F.col(f"_rule.{c}").alias(c) for c in names])
+    short = rules.orderBy("ord").limit(most_rules + 1).collect()
+    if len(short) > most_rules:
+        raise ValueError(f"more than {most_rules} rules: a table of patterns has to be short")
+    given = [f for f in rules.schema if f.name not in ("ord", "pattern")]
+    none = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in given])
+    hits = [F.when(F.col(text).rlike(r.pattern), F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in given])) for r in short]
+    out = rows.withColumn("_rule", F.coalesce(*hits, none))
+    return out.select(*rows.columns, *[F.col(f"_rule.{f.name}").alias(f.name) for f in given])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dealloom.functions.deals import has_any
 from dealloom.operators.extract import DAYS, matches, nearest_day
+from dealloom.operators.rules import rule_errors
 
 # Words that tell deals, noise, and forms of hours and priced lines.
 KEYWORDS = ("happy hour", "happii hour", "drink specials", "bar specials", "cocktail hour", "wine hour", "discounted drinks", "deals", "all day happy", "daily specials")
@@ -119,8 +120,10 @@ def ruled_deals(texts: DataFrame, rules: DataFrame, key: Sequence[str], text: st
 
     What matches exclude is removed first. Each range of hours is a deal with all days that the day
     pattern finds; without hours the days are one deal. A range with one am or pm has it at both
-    ends, one without any is pm. The sizes of both tables decide how they are joined.
+    ends, one without any is pm. The sizes of both tables decide how they are joined. Rules with a
+    pattern that doesn't compile give nothing.
     """
+    rules = rule_errors(rules, (), ("time_pattern", "day_pattern", "exclude")).filter("size(errors) = 0")
     rows = texts.join(rules.select("slug", "time_pattern", "day_pattern", "exclude"), "slug")
     body = F.when(F.col("exclude").isNotNull(), F.regexp_replace(F.col(text), F.concat(F.lit("(?i)"), "exclude"), F.lit(""))).otherwise(F.col(text))
     all_of = lambda p: F.coalesce(F.regexp_extract_all("_body", F.concat(F.lit("(?i)"), p), F.lit(0)), F.array().cast("array<string>"))
@@ -132,25 +135,3 @@ def ruled_deals(texts: DataFrame, rules: DataFrame, key: Sequence[str], text: st
     end = F.concat_ws(" ", part(3), F.coalesce(two, F.lit("PM")))
     timed = F.col("_span").isNotNull()
     return rows.select(*key, F.when(timed, start).alias("start_time"), F.when(timed, end).alias("end_time"), F.array_join("_days", ",").alias("days"))
-
-
-def well_formed(pattern: Column) -> Column:
-    """Whether a pattern's brackets close, nothing is repeated that is not there, and no escape is left open; null is well formed.
-
-    These are the faults that stop a pattern from compiling; the check is one expression, so it runs on a whole table.
-    """
-    p = F.coalesce(pattern, F.lit(""))
-    bare = F.regexp_replace(F.regexp_replace(p, r"\\.", "x"), r"\[\^?\]?[^\]]*\]", "x")
-    depth = F.aggregate(
-        F.split(bare, ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("least")),
-        lambda s, c: F.struct((s["now"] + F.when(c == "(", 1).when(c == ")", -1).otherwise(0)).alias("now"), F.least(s["least"], s["now"] + F.when(c == ")", -1).otherwise(0)).alias("least")),
-    )
-    repeats = bare.rlike(r"(^|[(|])([*+]|\?(?![:=!<>a-zA-Z-]))")
-    return (depth["now"] == 0) & (depth["least"] == 0) & ~repeats & ~bare.contains("[") & ~bare.endswith("\\")
-
-
-def rule_errors(rules: DataFrame, required: Sequence[str] = ("name", "slug"), patterns: Sequence[str] = ("time_pattern", "day_pattern")) -> DataFrame:
-    """The rules table with an array of errors: missing fields, and patterns that do not compile."""
-    missing = [F.when(F.coalesce(F.trim(c), F.lit("")) == "", F.lit(f"Missing required field: {c}")) for c in required]
-    invalid = [F.when(~well_formed(F.col(c)), F.lit(f"Invalid regex in {c}")) for c in patterns]
-    return rules.withColumn("errors", F.filter(F.array(*missing, *invalid), lambda e: e.isNotNull()))

@@ -171,7 +171,7 @@ def p32_picked_fields(spark, sf_dir):
 def j10_merge_rules(spark, sf_dir):
     """Rules for all deals or for a title put text in front of a description."""
     rules = spark.createDataFrame([(1, "^Taco Night$", "Two for one. ")], "ord int, pattern string, prefix string")
-    x = O.transformed(view(spark, sf_dir, "raw_x").select("seq", "raw_title", "raw_description"), rules, "raw_title", "seq")
+    x = O.transformed(view(spark, sf_dir, "raw_x").select("seq", "raw_title", "raw_description"), rules, "raw_title")
     return x.select("seq", F.concat(F.coalesce("prefix", F.lit("")), "raw_description").alias("description"))
 
 

@@ -9,6 +9,7 @@ from dealloom.operators import pages as P
 from dealloom.operators import profiles as R
 from dealloom.operators import prose as X
 from dealloom.operators import status as S
+from dealloom.operators.rules import rule_errors
 from dealloom.plans.deal_queries import DAY
 from dealloom.plans.registry import query
 from dealloom.plans.views import VIEWS, oracle, view
@@ -102,7 +103,7 @@ VIEWS["rule_x"] = RULES
 
 @query(oracle("SELECT slug, concat_ws(';', CASE WHEN name = '' THEN 'Missing required field: name' END, CASE WHEN day_pattern = '(sunday' THEN 'Invalid regex in day_pattern' END) AS errors FROM rule_x", "rule_x").replace("\\\\", "\\"))
 def s5_rule_errors(spark, sf_dir):
-    return X.rule_errors(view(spark, sf_dir, "rule_x")).select("slug", F.array_join("errors", ";").alias("errors"))
+    return rule_errors(view(spark, sf_dir, "rule_x")).select("slug", F.array_join("errors", ";").alias("errors"))
 
 
 @query(oracle(r"""k AS (SELECT * REPLACE (coalesce(time_pattern, '(x)(x)(x)(x)\bnone') AS time_pattern) FROM rule_x WHERE day_pattern <> '(sunday'),
@@ -113,8 +114,7 @@ u AS (SELECT seq, unnest(spans) AS s, array_to_string(days, ',') AS days FROM a
 g AS (SELECT seq, days, s, regexp_extract(s, '(?i)(\d\d?)(?::\d\d)? ?(am|pm)? ?- ?(\d\d?)(?::\d\d)? ?(am|pm)?', ['h1', 'a1', 'h2', 'a2']) AS x FROM u)
 SELECT seq, CASE WHEN s IS NOT NULL THEN x.h1 || ' ' || upper(coalesce(nullif(x.a1, ''), nullif(x.a2, ''), 'pm')) END AS start_time, CASE WHEN s IS NOT NULL THEN x.h2 || ' ' || upper(coalesce(nullif(x.a2, ''), 'pm')) END AS end_time, days FROM g""", "notice_x", "rule_x").replace("\\\\", "\\"))
 def x4_ruled_deals(spark, sf_dir):
-    rules = X.rule_errors(view(spark, sf_dir, "rule_x")).filter(~F.array_contains("errors", "Invalid regex in day_pattern"))
-    return X.ruled_deals(view(spark, sf_dir, "notice_x"), rules, ("seq",))
+    return X.ruled_deals(view(spark, sf_dir, "notice_x"), view(spark, sf_dir, "rule_x"), ("seq",))
 
 
 VIEWS["site_x"] = """SELECT event_id AS page_id,

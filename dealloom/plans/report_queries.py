@@ -10,6 +10,7 @@ from dealloom.operators import overlay as O  # noqa: E741
 from dealloom.operators import pricing as M
 from dealloom.operators import status as S
 from dealloom.operators.pages import normal_url
+from dealloom.operators.ranks import ranked
 from dealloom.plans.registry import query
 from dealloom.plans.views import oracle, view
 
@@ -117,7 +118,7 @@ def j6_fill_missing(spark, sf_dir):
 @query(oracle("SELECT r.seq, r.raw_title, CASE WHEN regexp_matches(raw_title, 'Night') THEN 'night' WHEN regexp_matches(raw_title, 'Hour|Brunch') THEN 'day' END AS new_title FROM raw_x r", "raw_x"))
 def j9_first_rule(spark, sf_dir):
     rules = spark.createDataFrame([(1, "Night", "night"), (2, "Hour|Brunch", "day"), (3, "Late", "late")], "ord int, pattern string, new_title string")
-    return O.transformed(view(spark, sf_dir, "raw_x").select("seq", "raw_title"), rules, "raw_title", "seq")
+    return O.transformed(view(spark, sf_dir, "raw_x").select("seq", "raw_title"), rules, "raw_title")
 
 
 @query(oracle("""t AS (SELECT 0 AS tier, slug, seq FROM raw_x WHERE seq % 97 = 0 UNION ALL SELECT 1, slug, seq FROM raw_x WHERE seq % 31 = 0 UNION ALL SELECT 2, slug, seq FROM raw_x WHERE seq % 7 = 0),
@@ -238,9 +239,9 @@ def a18_p12_p17_issues(spark, sf_dir):
 
 @query(oracle("SELECT slug, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, slug) AS rank FROM raw_x GROUP BY slug", "raw_x"))
 def w1_ranks(spark, sf_dir):
-    """The rank of all restaurants: one row each meets in the window, after the sums."""
+    """The rank of all restaurants by ranges of their sums: no task meets all of them."""
     out = view(spark, sf_dir, "raw_x").groupBy("slug").agg(F.count("*").alias("n"))
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "slug")))
+    return ranked(out, [F.desc("n"), F.col("slug").asc()])
 
 
 @query(oracle("r AS (SELECT raw_title, lower(raw_title) AS slugged, seq FROM raw_x) SELECT seq, trim(regexp_replace(regexp_replace(slugged, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug FROM r", "raw_x"))

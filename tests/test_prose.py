@@ -1,22 +1,27 @@
 """Plain-text operators on small made texts."""
 
-import re
+import pytest
 
-from dealloom.operators import profiles
+from dealloom.operators import profiles, rules
 from dealloom.operators import prose as X
 
 
-def test_well_formed_patterns(spark):
-    good = ["", "a", "(a|b)*", r"\\(", r"[(]", r"(?:am|pm)?", r"(?i)x", r"\\d{1,2}", "[]a]", "a|b", r"(?<=x)y", "(?!x)"]
-    bad = ["(", "a)", ")(", "*a", "(+b)", "a|*", "[a", "(?:x", "x\\", "((a)"]
-    rows = spark.createDataFrame([(p.replace("\\\\", "\\"), ok) for ps, ok in ((good, True), (bad, False)) for p in ps] + [(None, True)], "p string, ok boolean")
-    for r in rows.select("p", "ok", X.well_formed(rows["p"]).alias("found")).collect():
-        assert r.found == r.ok, r.p
-        try:
-            re.compile(r.p or "")
-            assert r.ok, r.p
-        except re.error:
-            assert not r.ok, r.p
+def test_patterns_that_do_not_compile(spark):
+    good = ["", "a", "(a|b)*", r"\(", r"[(]", r"(?:am|pm)?", r"(?i)x", r"\d{1,2}", "a|b", r"(?<=x)y", "(?!x)"]
+    bad = ["(", "a)", ")(", "*a", "(+b)", "[a", "(?:x", "x\\", "((a)", "a{2,1}", "[z-a]", "(?<n)", r"\k<x>", r"\p{Foo}"]
+    rows = [(str(i), "n", p, None) for i, p in enumerate(good + bad)] + [("x", None, None, None)]
+    found = {r.slug: list(r.errors) for r in rules.rule_errors(spark.createDataFrame(rows, "slug string, name string, time_pattern string, day_pattern string")).collect()}
+    assert [found[str(i)] for i in range(len(good))] == [[]] * len(good)
+    assert [found[str(len(good) + i)] for i in range(len(bad))] == [["Invalid regex in time_pattern"]] * len(bad)
+    assert found["x"] == ["Missing required field: name"]
+    with pytest.raises(ValueError):
+        rules.rule_errors(spark.createDataFrame(rows, "slug string, name string, time_pattern string, day_pattern string"), most=3)
+
+
+def test_a_broken_rule_costs_its_own_rows_only(spark):
+    texts = spark.createDataFrame([(1, "a", "3 - 6 pm"), (2, "b", "3 - 6 pm")], "id long, slug string, text string")
+    table = spark.createDataFrame([("a", r"(\d+)()? ?- ?(\d+) ?(pm)", "x", None), ("b", "(x", "x", None)], "slug string, time_pattern string, day_pattern string, exclude string")
+    assert [(r.id, r.start_time, r.end_time) for r in X.ruled_deals(texts, table, ("id",)).collect()] == [(1, "3 PM", "6 PM")]
 
 
 def test_contexts_and_odd_texts(spark):
