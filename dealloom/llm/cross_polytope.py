@@ -2,8 +2,7 @@
 
 Rows are split into bands of like norm. A band's vectors are scaled by its largest norm and lifted by
 one coordinate onto the unit sphere, where the largest inner product with a query is the smallest
-angle; without bands, one long vector would push all others to one pole. Bands of at most WHOLE rows
-are compared whole, which takes less than their probes. Each table turns vectors by three rounds of
+angle; without bands, one long vector would push all others to one pole. Each table turns vectors by three rounds of
 random signs and a fast Hadamard transform; the bucket is the nearest signed axis. From ROWS rows a
 bucket on, the nearest of some axes of a second turn is added, so that buckets grow in number with
 the rows, up to the square of the signed axes. A query looks in the buckets nearest to it in each of
@@ -32,7 +31,6 @@ ROWS = 1024  # rows of a bucket from which on buckets are made finer
 SAMPLE = 64  # queries of each vector length on which the number of probes is fitted
 RECALL = 0.95  # share of their neighbours that the probes reach
 CHUNK = 4096  # index rows, or queries, of a bucket that one task compares
-WHOLE = CHUNK  # rows of a band up to which all queries meet all of it
 BAND = 1.15  # largest ratio of norms in a band
 SALTS = 64
 SEED = 20
@@ -165,7 +163,7 @@ def _probes_of_sample(sample: dict[int, np.ndarray], fine: dict[int, int], k: in
 def fitted(index: DataFrame, probes: DataFrame, k: int) -> dict[int, tuple[int, int]]:
     """By vector length: axes of the second turn, from the rows of the largest band, and probes, from a sample of queries.
 
-    Every length here has more than WHOLE rows; SAMPLE queries of each and these figures go to the driver.
+    SAMPLE queries of each length and these figures go to the driver.
     """
     sizes = index.groupBy("dim", "band").count().groupBy("dim").agg(F.max("count").alias("n")).collect()
     fine = {r.dim: axes_of_second_turn(r.n, r.dim) for r in sizes}
@@ -227,7 +225,7 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20, i
     index = written(index.select("id", "dim", "vector", "log"))
     longest = index.agg(F.max("log")).first()[0] or 0.0
     index = index.withColumn("band", F.floor((F.lit(longest) - F.col("log")) / math.log(BAND)))
-    bands = written(index.groupBy("dim", "band").agg(F.max("log").alias("most"), (F.count("*") <= WHOLE).alias("whole")))
+    bands = written(index.groupBy("dim", "band").agg(F.max("log").alias("most")))
     whole = index
     index = index.join(bands, ["dim", "band"])
     asked = rows.filter(is_query.replace(id_column, "id")).select("id", "vector").distinct()
@@ -245,11 +243,8 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20, i
         by = ["dim", "part", "query_part"]
         return ask.groupBy(*by).cogroup(rows.groupBy(*by)).applyInArrow(_compare(k + 1), "query long, id long, score double")
 
-    few = written(index.filter("whole").select("id", "dim", "vector"))
-    met = None if few.isEmpty() else met_whole(probes, few)
     schema = f"id long, dim int, vector array<{number}>, %sbucket long"
-    index = index.filter("NOT whole").select("id", "dim", "vector", "band", "most")
-    probes = probes.join(bands.filter("NOT whole").select("dim").distinct(), "dim", "left_semi").select("id", "dim", "vector")
+    index, probes = index.select("id", "dim", "vector", "band", "most"), probes.select("id", "dim", "vector")
     fits = fitted(index, probes, k)
     index = written(index.mapInArrow(_hashed(fits, True), schema % "band long, "))
     probes = written(probes.mapInArrow(_hashed(fits, False), schema % ""))
@@ -262,7 +257,7 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20, i
     probes = probes.join(size.toDF(*size.columns), ["dim", "bucket"]).withColumn("query_part", place("query_parts")).withColumn("part", every("parts")).drop("parts", "query_parts")
     by = ["dim", "band", "bucket", "part", "query_part"]
     found = probes.groupBy(*by).cogroup(index.groupBy(*by)).applyInArrow(_compare(k + 1), "query long, id long, score double")
-    found = written((found if met is None else found.unionByName(met)).distinct())
+    found = written(found.distinct())
     # Queries for which the buckets held fewer than k + 1 classes, as in tiny tables, meet all of the index in chunks.
     enough = found.groupBy("query").agg(F.count("*").alias("n")).filter(F.col("n") > k).select(F.col("query").alias("id"))
     short = written(asking.select(F.col("query").alias("id"), F.size("vector").alias("dim"), "vector").join(enough, "id", "left_anti"))

@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from dealloom.llm import cross_polytope
+from dealloom.llm import cross_polytope, queries
 from dealloom.llm.cross_polytope import hadamard, search, turned
 
 SCHEMA = "vec_id long, embedding array<float>, bucket string"
@@ -71,9 +71,22 @@ def test_tiny_tables_are_whole(spark, n):
             assert got.get(q, []) == [i for i, _ in best]
 
 
-@pytest.mark.parametrize("norms, whole", [("one", 4096), ("one", 500), ("log-normal", 4096), ("log-normal", 200)])
-def test_recall_where_norms_differ(spark, monkeypatch, norms, whole):
-    monkeypatch.setattr(cross_polytope, "WHOLE", whole, raising=False)
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_recall_of_the_registered_query(spark, monkeypatch, sf):
+    """Through the tables and probes: the fit covers every vector length, and no query takes the way of short ones."""
+    fits, fitted = [], cross_polytope.fitted
+    monkeypatch.setattr(cross_polytope, "fitted", lambda *a: fits.append(fitted(*a)) or fits[-1])
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    want, got = exact(rows), {}
+    for r in queries.queries()["op9_cross_polytope_neighbours"](spark, f"/root/testdata/sf{sf}").collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    assert set(fits[0]) == {64} and 0 < fits[0][64][1] < 128
+    assert set(got) == set(want) and all(sorted(g) == list(range(1, 21)) for g in got.values())
+    assert np.mean([len({i for i, _ in want[q]} & {i for i, _ in got[q].values()}) for q in want]) / 20 >= 0.9
+
+
+@pytest.mark.parametrize("norms", ["one", "log-normal"])
+def test_recall_where_norms_differ(spark, norms):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(2000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -88,7 +101,6 @@ def test_recall_where_norms_differ(spark, monkeypatch, norms, whole):
 
 def test_buckets_grow_with_the_rows_and_probes_are_fitted(spark, monkeypatch):
     assert [cross_polytope.axes_of_second_turn(n, 64) for n in (1, 500_000, 1_100_000, 5_000_000, 10**12)] == [0, 0, 2, 8, 128]
-    monkeypatch.setattr(cross_polytope, "WHOLE", 500)
     monkeypatch.setattr(cross_polytope, "ROWS", 1)
     rng = np.random.default_rng(5)
     x = np.repeat(rng.normal(size=(100, 32)), 40, axis=0) + rng.normal(size=(4000, 32)) / 3
