@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dealloom.functions.arrays import running_sums
 from dealloom.functions.deals import first_match
 from dealloom.functions.times import WEEK, day_name
 
+# Forms of times, days and prices.
 TIME_RANGE = r"(?i)(\d{1,2})(?::(\d{2}))?\s*(am|pm)?\s*[-–~]\s*(\d{1,2})(?::(\d{2}))?\s*(am|pm)|(\d{1,2})(?::(\d{2}))?\s*(am|pm)\s*[-–~]\s*close|all\s+day"
 DAYS = r"(?i)(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\s*[-–~]\s*(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*|weekdays?|weekends?|every\s+day|daily|(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?"
 PRICE = r"\$\d+(?:\.\d{2})?"
@@ -21,18 +23,19 @@ def matches(text: Column, pattern: str) -> Column:
     """All matches with their places (from 0): array of (start, text).
 
     Matches are put between two marks (those already in the text become spaces), the text is split at
-    the first, and one pass sums the lengths.
+    the first, and the places are running sums of the lengths.
     """
     parts = F.split(F.regexp_replace(F.translate(text, "\u0001\u0002", "  "), f"({pattern})" if not pattern.startswith("(?i)") else f"(?i)({pattern[4:]})", "\u0001$1\u0002"), "\u0001")
-    none = F.array().cast("array<struct<start:int,text:string>>")
-    begin = F.struct(F.length(F.get(parts, F.lit(0))).alias("at"), none.alias("found"))
+    kind = "array<struct<start:int,text:string>>"
 
-    def step(state: Column, part: Column) -> Column:
-        one = F.struct(state["at"].alias("start"), F.get(F.split(part, "\u0002"), F.lit(0)).alias("text")).cast("struct<start:int,text:string>")
-        return F.struct((state["at"] + F.length(part) - 1).alias("at"), F.array_append(state["found"], one).alias("found"))
+    def placed(parts: Column) -> Column:
+        # Each part but the first begins with a match and one mark behind it.
+        sizes = F.transform(parts, lambda part, i: F.length(part) - F.when(i > 0, 1).otherwise(0))
+        ends = running_sums(F.slice(sizes, F.lit(1), F.size(sizes) - 1))
+        return F.zip_with(ends, F.slice(parts, F.lit(2), F.size(parts) - 1), lambda at, part: F.struct(at.alias("start"), F.get(F.split(part, "\u0002"), F.lit(0)).alias("text"))).cast(kind)
 
-    found = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), begin, step, lambda state: state["found"])
-    return F.when(F.size(parts) > 1, found).otherwise(none)
+    found = F.get(F.transform(F.array(parts), lambda p: F.when(F.size(p) > 1, placed(p))), F.lit(0))
+    return F.coalesce(found, F.array().cast(kind))
 
 
 def mentions(sections: DataFrame, key: Sequence[str], patterns: dict[str, str], text: str = "text") -> DataFrame:

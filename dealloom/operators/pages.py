@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dealloom.functions.arrays import running_sums
+
 # Patterns that tell pages with deals, menus and prices.
 DEAL_PATTERNS = (r"\bhappy\s*hour\b", r"\bspecials?\b", r"\bdeals?\b", r"\bapr[eè]s\b", r"\bearly\s*bird\b", r"\blate\s*night\b", r"\bdrink\s*specials?\b", r"\bfood\s*specials?\b", r"\bdaily\s*specials?\b")
 MENU_PATTERNS = (r"\bmenu\b", r"\bfood\b", r"\bdining\b", r"\beat\b", r"\bbrunch\b", r"\blunch\b", r"\bdinner\b", r"\bappetizers?\b", r"\bentr[eé]es?\b", r"\bmains?\b", r"\bdesserts?\b", r"\bbeverage\b", r"\bcocktails?\b", r"\bwine\s*list\b", r"\bprix\s*fixe\b", r"\btasting\s*menu\b", r"\bchef.*menu\b", r"\bseasonal\s*menu\b")
@@ -57,6 +60,76 @@ def sections(pages: DataFrame, tags: Sequence[str] = CONTAINERS, longer_than: in
     return rows.groupBy("page_id", "url", F.xxhash64("text").alias("key")).agg(F.min_by(F.struct("tag", "pos", "text"), F.struct("pos", "tag")).alias("s")).select("page_id", "url", "s.*")
 
 
+# Tags whose elements may hold others of their kind, with or without a class or an id.
+NESTING = ("main", "article", "section", "aside", "header", "footer", "nav", "div", "span", "ul", "ol", "table", "form")
+
+
+def _selected(piece: Column, tag: str, selector: str) -> Column:
+    """Whether an opening tag is meant by a selector: a tag, .class, #id, or a tag with one of these."""
+    name, mark, value = re.fullmatch(r"([A-Za-z][\w-]*)?(?:([.#])([\w-]+))?", selector).groups()
+    out = F.lit(name is None or name.lower() == tag)
+    if mark:
+        attribute = "class" if mark == "." else "id"
+        own = F.regexp_extract(piece, rf"(?is)\s{attribute}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1)
+        tokens = F.split(F.trim(F.regexp_replace(own, "[\"']", "")), r"\s+")
+        out = out & (F.array_contains(tokens, value) if mark == "." else F.regexp_replace(own, "[\"']", "") == value)
+    return out
+
+
+def containers(pages: DataFrame, key: Sequence[str], selectors: Sequence[str], html: str = "html", longer_than: int = 20, first: int | None = None, tags: Sequence[str] = NESTING) -> DataFrame:
+    """key, selector, pos and text of the elements that a selector means, whatever is nested in them.
+
+    pos counts a selector's elements of a page in the order in which they open, from 0, before short texts
+    are left out; first keeps so many of each. The page is cut at its tags. The depth of each tag within
+    its own kind is a running sum; of the tags of one kind and depth, the one after an opening tag
+    closes it. An element that is not closed goes to the end of the page. Scripts, styles and comments hold no tags.
+    """
+    clean = F.regexp_replace(F.regexp_replace(F.col(html), r"(?is)<(script|style)\b[^>]*>.*?</(script|style)>", " "), r"(?s)<!--.*?-->", " ")
+    rows = pages.select(*key, F.split(clean, "<").alias("_pieces"))
+    rows = rows.withColumn("_names", F.transform("_pieces", lambda p: F.lower(F.regexp_extract(p, r"^(/?[A-Za-z][A-Za-z0-9]*)", 1))))
+    total = F.size("_pieces")
+
+    def elements(tag: str) -> Column:
+        """Opening and closing place of each element of a tag; pieces count from 1."""
+        named = F.filter(F.transform("_names", lambda n, i: F.struct((i + 1).alias("at"), F.when(n == tag, 1).when(n == f"/{tag}", -1).alias("step"))), lambda m: m["step"].isNotNull())
+
+        def levels(marks: Column) -> Column:
+            depth = running_sums(F.transform(marks, lambda m: m["step"]))
+            return F.zip_with(marks, depth, lambda m, d: F.struct(F.when(m["step"] > 0, d).otherwise(d + 1).alias("level"), m["at"].alias("at"), m["step"].alias("step")))
+
+        def closed(marks: Column) -> Column:
+            after = F.slice(marks, F.lit(2), F.size(marks))
+            pairs = F.zip_with(marks, after, lambda m, x: F.struct(m["at"].alias("open"), m["step"].alias("step"), F.when((x["level"] == m["level"]) & (x["step"] < 0), x["at"]).otherwise(total + 1).alias("close")))
+            return F.transform(F.filter(pairs, lambda p: p["step"] > 0), lambda p: F.struct(p["open"].alias("open"), p["close"].alias("close")))
+
+        once = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
+        return once(named, lambda marks: F.when(F.size(marks) > 0, once(F.array_sort(levels(marks)), closed)))
+
+    none = F.array().cast("array<struct<open:int,close:int>>")
+    rows = rows.withColumns({f"_{t}": F.coalesce(elements(t), none) for t in tags})
+    piece = lambda e: F.element_at("_pieces", e["open"])
+
+    def meant(selector: str) -> Column:
+        some = [F.filter(f"_{t}", _one(lambda e, t=t: _selected(piece(e), t, selector))) for t in tags]
+        found = F.array_sort(F.concat(*some))
+        return F.slice(found, 1, first) if first else found
+
+    inner = lambda e: visible_text(F.concat(F.lit("<"), F.array_join(F.slice("_pieces", e["open"], e["close"] - e["open"]), "<")))
+    each = F.flatten(F.array(*[F.transform(meant(s), _pair(lambda e, i, s=s: F.struct(F.lit(s).alias("selector"), i.alias("pos"), e["open"].alias("open"), e["close"].alias("close")))) for s in selectors]))
+    out = rows.select(*key, "_pieces", F.explode(each).alias("e")).select(*key, "e.selector", "e.pos", inner(F.col("e")).alias("text"))
+    return out.filter(F.length("text") > longer_than)
+
+
+def _one(f):
+    """A function of exactly one parameter, as filter counts them."""
+    return lambda x: f(x)
+
+
+def _pair(f):
+    """A function of exactly two parameters, as transform counts them."""
+    return lambda x, i: f(x, i)
+
+
 def _count(text: Column, patterns: Sequence[str]) -> Column:
     """Matches of all patterns, each counted by itself."""
     return sum((F.regexp_count(text, F.lit("(?i)" + p)) for p in patterns), F.lit(0))

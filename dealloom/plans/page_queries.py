@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dealloom.operators import pages as P
 from dealloom.plans.registry import query
-from dealloom.plans.views import view
+from dealloom.plans.views import VIEWS, oracle, view
 
 TEXT = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)\b[^>]*>.*?</(script|style)>', ' ', 'gis'), '<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\n\x0B\f\r]+', ' ', 'g'))"""
 TITLE = r"nullif(trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')), '')"
@@ -32,6 +32,30 @@ def s9_sections(spark, sf_dir):
     return P.sections(view(spark, sf_dir, "pages"), tags=("p",), distinct=False).select("page_id", "url", "tag", "pos", F.md5("text").alias("text_md5"))
 
 
+W, E = "CAST(user_id AS STRING)", "CAST(event_id AS STRING)"
+VIEWS["nest_x"] = f"""SELECT event_id AS page_id, '<html><body><div class="wrap content" id="top"><p>alpha ' || {W} || ' beta gamma delta</p><DIV class=''specials''>inner <b>deal</b> number ' || {E} || ' for all</DIV> tail of the outer part</div>'
+ || '<section id=content>start of the section' || CASE WHEN event_id % 3 = 0 THEN '<section class="x content"><div>deep inside words ' || {E} || '</div></section>' ELSE '' END || ' and its end</section>'
+ || '<!-- <div class="content">hidden words that are long</div> --><script>var a="<div class=content> more hidden words";</script><div>short</div><div>left open with long words ' || {W} || CASE WHEN event_id % 2 = 0 THEN '</div>' ELSE '' END || ' the end' AS html FROM {{events}}"""
+VIEWS["nest_parts"] = "SELECT event_id, user_id FROM {events}"
+NEST = f"""d AS (SELECT event_id AS page_id, 'alpha ' || {W} || ' beta gamma delta inner deal number ' || {E} || ' for all tail of the outer part' AS outer_text, 'inner deal number ' || {E} || ' for all' AS inner_text, 'deep inside words ' || {E} AS deep, event_id % 3 = 0 AS has_deep,
+ 'start of the section' || CASE WHEN event_id % 3 = 0 THEN ' deep inside words ' || {E} ELSE '' END || ' and its end' AS section, 'left open with long words ' || {W} || CASE WHEN event_id % 2 = 0 THEN '' ELSE ' the end' END AS last_text FROM nest_parts),
+r AS (SELECT page_id, '.content' AS selector, 0 AS pos, outer_text AS text FROM d UNION ALL SELECT page_id, '.content', 1, deep FROM d WHERE has_deep UNION ALL SELECT page_id, '#content', 0, section FROM d UNION ALL SELECT page_id, 'div.specials', 0, inner_text FROM d
+ UNION ALL SELECT page_id, 'section', 0, section FROM d UNION ALL SELECT page_id, 'section', 1, deep FROM d WHERE has_deep
+ UNION ALL SELECT page_id, 'div', 0, outer_text FROM d UNION ALL SELECT page_id, 'div', 1, inner_text FROM d UNION ALL SELECT page_id, 'div', 2, deep FROM d WHERE has_deep UNION ALL SELECT page_id, 'div', CASE WHEN has_deep THEN 4 ELSE 3 END, last_text FROM d)"""
+
+
+@query(oracle(f"{NEST} SELECT page_id, selector, CAST(pos AS INT) AS pos, text FROM r WHERE length(text) > 20", "nest_parts"))
+def s9_containers(spark, sf_dir):
+    """Texts of elements by tag, class and id, with what is nested in them."""
+    return P.containers(view(spark, sf_dir, "nest_x"), ("page_id",), (".content", "#content", "div.specials", "section", "div"))
+
+
+@query(f"WITH a AS (SELECT page_id, regexp_extract(html, '<article>(.*)</article>', 1, 'is') AS html FROM pages), t AS (SELECT page_id, {TEXT} AS text FROM a) SELECT page_id, md5(text) AS text_md5 FROM t WHERE length(text) > 20")
+def s9_articles(spark, sf_dir):
+    """The article of each web page."""
+    return P.containers(view(spark, sf_dir, "pages"), ("page_id",), ("article",)).select("page_id", F.md5("text").alias("text_md5"))
+
+
 REL = " + ".join(f"CASE WHEN regexp_matches(lower(url), '{p}') THEN 0.3 ELSE 0 END" for p in P.URL_PATTERNS)
 HITS = lambda c, ps, w: " + ".join(f"CASE WHEN regexp_matches({c}, '(?i){p}') THEN {w} ELSE 0 END" for p in ps)
 HAS = " + ".join(f"CASE WHEN contains(anchor_text, '{w}') THEN 0.5 ELSE 0 END + CASE WHEN contains(lower(url), '{w}') THEN 0.3 ELSE 0 END" for w in P.STRONG_TERMS)
