@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dealloom.sources import folders
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in spark.checkpoint.dir; a temporary folder only where that is unset and all tasks run on this machine."""
@@ -74,10 +77,29 @@ def export_with_envelope(rows: DataFrame, path: str, field: str) -> None:
     rows.agg(F.count("*").alias(f"total_{field}")).write.mode("overwrite").json(f"{path}/{field}_meta")
 
 
-def route(rows: DataFrame, kind: str, sinks: dict[str, str]) -> None:
-    """Each kind of row to its own folder."""
-    for name, path in sinks.items():
-        rows.filter(F.col(kind) == name).drop(kind).write.mode("overwrite").parquet(path)
+def route(rows: DataFrame, kind: str, sinks: dict[str, str]) -> dict[str, int]:
+    """Each kind of row to its own Parquet folder, in one pass; gives the counters of the pass: rows, each kind, and other.
+
+    The rows are written once, in folders by kind beside the first sink, which are then moved; all
+    sinks are on one file system. A kind without rows gets an empty folder, rows of other kinds are counted only.
+    """
+    spark = rows.sparkSession
+    names = list(sinks)
+    counted, seen = counters(rows, {f"kind {n}": F.coalesce(F.col(kind) == n, F.lit(False)) for n in names})
+    draft = f"{sinks[names[0]].rstrip('/')}._{uuid.uuid4().hex}"
+    place = F.coalesce(*[F.when(F.col(kind) == n, F.lit(i)) for i, n in enumerate(names)], F.lit(-1))
+    # Rows of other kinds pass the counters too; they are dropped behind them.
+    counted.withColumn("_sink", place).filter("_sink >= 0").drop(kind).write.partitionBy("_sink").parquet(draft)
+    found = seen()
+    empty = spark.createDataFrame([], rows.drop(kind).schema)
+    for i, n in enumerate(names):
+        if folders.exists(spark, f"{draft}/_sink={i}"):
+            folders.replace(spark, f"{draft}/_sink={i}", sinks[n])
+        else:
+            empty.write.mode("overwrite").parquet(sinks[n])
+    folders.delete(spark, draft)
+    each = {n: found[f"kind {n}"] for n in names}
+    return {"rows": found["rows"], **each, "other": found["rows"] - sum(each.values())}
 
 
 def write_snapshots(rows: DataFrame, path: str, date: str = "snapshot_date") -> None:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from dealloom.operators.consolidate import signed
+from dealloom.sources.tables import route
+from dealloom.streaming.keyed_table import PARTITIONS, merge
 
 
 def best_so_far(deals: DataFrame) -> DataFrame:
@@ -25,26 +29,25 @@ def without_repeats(deals: DataFrame, keys: list[str], time: str = "scraped_at",
     return deals.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def fan_out(items: DataFrame, kind: str, sinks: dict[str, str], checkpoint: str) -> StreamingQuery:
-    """Each kind of item to its own Parquet folder, one subfolder per batch, so that a repeated batch overwrites itself."""
+def fan_out(items: DataFrame, kind: str, sinks: dict[str, str], checkpoint: str, counted: Callable[[int, dict[str, int]], None] | None = None) -> StreamingQuery:
+    """Each kind of item to its own Parquet folder, one subfolder per batch, so that a repeated batch overwrites itself.
+
+    A batch is read and written once, in folders by kind that are then moved to their sinks. counted
+    gets the number of each batch and its counters, observed on the way: rows, one for each kind, and other.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        for name, path in sinks.items():
-            batch.filter(F.col(kind) == name).drop(kind).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        seen = route(batch, kind, {name: f"{path}/batch={number}" for name, path in sinks.items()})
+        if counted:
+            counted(number, seen)
 
     return items.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert(updates: DataFrame, path: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
-    """Update-mode results merged into a keyed table; two folders take turns, so that a reader never sees half a table."""
+def upsert(updates: DataFrame, path: str, checkpoint: str, keys: list[str], partitions: int = PARTITIONS) -> StreamingQuery:
+    """Update-mode results merged into a keyed table: a batch rewrites the partitions that hold its keys, readers see whole versions (keyed_table.current)."""
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old, new = f"{path}/{(number + 1) % 2}", f"{path}/{number % 2}"
-        merged = batch
-        if number:
-            before = spark.read.schema(batch.schema).parquet(old)
-            merged = before.join(batch.select(*keys), keys, "left_anti").select(batch.columns).unionByName(batch)
-        merged.write.mode("overwrite").parquet(new)
+        merge(batch, number, path, keys, partitions)
 
     return updates.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
