@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dealloom.operators import rules as R
+from dealloom.operators.extractors import extracted
 from dealloom.plans.registry import query
 from dealloom.plans.views import VIEWS, oracle, view
 
@@ -81,3 +82,28 @@ def x4_grouped_deals(spark, sf_dir):
     """Deals by the named groups of each restaurant's rules: pairs of bar and tables, several deals of a match, deals from loose parts."""
     rules = view(spark, sf_dir, "group_x").withColumns({"groups": F.split("groups", ";"), "days": F.split("days", ";")})
     return R.grouped_deals(view(spark, sf_dir, "talk_x"), rules, ("seq",)).withColumn("days", F.array_join("days", ","))
+
+
+def _pairs(text):
+    """Times around a dash."""
+    import re
+
+    return [{"title": "Pair", "start_time": a, "end_time": b, "confidence": 0.7} for a, b in re.findall(r"(\d+)\s*-\s*(\d+)", text)]
+
+
+def _named_days(text):
+    """Weekdays by name; texts of Tuesday alone are refused."""
+    if text.startswith("tuesdays"):
+        raise ValueError("no Tuesdays")
+    days = [d for d in ("Monday", "Friday") if d in text]
+    return [{"title": "Days", "days": days, "extra": 1}] if days else []
+
+
+@query(oracle("""t AS (SELECT seq, slug, seq % 6 AS e FROM talk_x)
+SELECT seq, slug, 0 AS pos, 'Pair' AS title, NULL AS days, '3' AS start_time, '6' AS end_time, 0.7::DOUBLE AS confidence, NULL AS error FROM t WHERE slug = 'user-1' AND e = 0 UNION ALL SELECT seq, slug, 1, 'Pair', NULL, '4', '7', 0.7, NULL FROM t WHERE slug = 'user-1' AND e = 0
+UNION ALL SELECT seq, slug, 0, 'Pair', NULL, '30', '6', 0.7, NULL FROM t WHERE slug = 'user-1' AND e = 2 UNION ALL SELECT seq, slug, 0, 'Pair', NULL, '4', '7', 0.7, NULL FROM t WHERE slug = 'user-1' AND e = 3
+UNION ALL SELECT seq, slug, 0, 'Days', 'Monday,Friday', NULL, NULL, NULL, NULL FROM t WHERE slug = 'user-2' AND e = 2 UNION ALL SELECT seq, slug, 0, NULL, NULL, NULL, NULL, NULL, 'ValueError: no Tuesdays' FROM t WHERE slug = 'user-2' AND e = 5""", "talk_x"))
+def u10_extractors(spark, sf_dir):
+    """Two restaurants with extractors of their own, on one table in one pass."""
+    out = extracted(view(spark, sf_dir, "talk_x"), ("seq", "slug"), {"user-1": _pairs, "user-2": _named_days})
+    return out.withColumn("days", F.array_join("days", ",")).drop("description")

@@ -143,11 +143,32 @@ def w15_offers(spark, sf_dir):
     return view(spark, sf_dir, "raw_x").groupBy("slug").agg(F.coalesce(F.nullif(F.array_join(F.array_sort(F.collect_set(title)), ";"), F.lit("")), F.lit("Special")).alias("offers"))
 
 
-@query(name="w7_without_overlaps")
+# Greedy removal in SQL: each restaurant's rows in their order, folded into the list of those that stay.
+CLASH = "(x[1].mask & k.mask) = x[1].mask AND (x[1].s IS NULL OR (k.s IS NOT NULL AND (k.s = x[1].s AND k.e = x[1].e OR least(k.e, x[1].e) - greatest(k.s, x[1].s) >= 0.5 * least(k.e - k.s, x[1].e - x[1].s))))"
+GREEDY = f"""b AS (SELECT slug, mask, s, e, max(c) AS c, arg_min(seq, (-c, seq)) AS seq FROM d GROUP BY slug, mask, s, e),
+l AS (SELECT slug, list([{{'mask': mask, 's': s, 'e': e, 'seq': seq}}] ORDER BY c DESC, (CASE WHEN s IS NULL THEN 0 ELSE 1 END) + (CASE WHEN mask > 0 THEN 1 ELSE 0 END) DESC, seq) AS l FROM b GROUP BY slug),
+r AS (SELECT list_reduce(l, lambda a, x: CASE WHEN len(list_filter(a, lambda k: {CLASH})) > 0 THEN a ELSE list_concat(a, x) END) AS kept FROM l)
+SELECT unnest(kept).seq AS seq FROM r"""
+MINUTE = "(CAST(regexp_extract({0}, '^(\\d+)', 1) AS INT) % 12 + CASE WHEN {0} LIKE '%pm' THEN 12 ELSE 0 END) * 60"
+NUMBER = "CASE lower(substr(raw_day, 1, 3)) WHEN 'mon' THEN 0 WHEN 'tue' THEN 1 WHEN 'wed' THEN 2 WHEN 'thu' THEN 3 WHEN 'fri' THEN 4 WHEN 'sat' THEN 5 ELSE 6 END"
+DATED = f"t AS (SELECT seq, slug, confidence_score AS c, {NUMBER} AS n, {MINUTE.format('raw_start')} AS s, {MINUTE.format('raw_end')} AS e0 FROM raw_x), d AS (SELECT seq, slug, c, {{mask}} AS mask, s, CASE WHEN e0 <= s THEN e0 + 1440 ELSE e0 END AS e FROM t), {GREEDY}"
+
+
+@query(oracle(DATED.replace("{mask}", "1 << n"), "raw_x"), name="w7_without_overlaps")
 def w7(spark, sf_dir):
     return without_overlaps(deals(spark, sf_dir))
 
 
+@query(oracle(DATED.replace("{mask}", "(1 << n) | CASE WHEN seq % 3 > 0 THEN 1 << ((n + 1) % 7) ELSE 0 END | CASE WHEN seq % 3 = 2 THEN 1 << ((n + 3) % 7) ELSE 0 END"), "raw_x"))
+def w7_day_sets(spark, sf_dir):
+    """The same with sets of up to three days."""
+    day = F.get("days", F.lit(0))
+    week = F.array(*map(F.lit, T.WEEK))
+    later = lambda k: F.element_at(week, (F.pmod(F.array_position(week, day) - 1 + k, F.lit(7)) + 1).cast("int"))
+    sets = F.when(F.col("seq") % 3 == 0, F.array(day)).when(F.col("seq") % 3 == 1, F.array(day, later(1))).otherwise(F.array(day, later(1), later(3)))
+    return without_overlaps(deals(spark, sf_dir).withColumn("days", sets))
+
+
 @query(oracle("SELECT slug, min(source) AS source FROM (SELECT slug, 1 AS source FROM restaurant_x UNION ALL SELECT slug, 2 FROM overlay_x) GROUP BY slug", "restaurant_x", "overlay_x"))
 def u2_ordered_union(spark, sf_dir):
     a = view(spark, sf_dir, "restaurant_x").select("slug", F.lit(1).alias("source"))

@@ -1,8 +1,12 @@
 """Prose forms, guides, venues and rules on small texts, with answers written by hand."""
 
+from itertools import accumulate
+
 import pytest
 
-from dealloom.operators import forms, rules, venue
+from dealloom.functions.arrays import running_sums
+from dealloom.operators import extractors, forms, rules, venue
+from dealloom.operators import pages as P
 from dealloom.operators.ranks import ranked
 from dealloom.sources import guide
 from pyspark.sql import functions as F
@@ -131,6 +135,40 @@ def test_rules_in_order(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_extractors(spark):
+    @extractors.register_extractor("a")
+    def fine(text):
+        return [{"title": text.upper(), "days": ["monday"], "confidence": 0.5}] * 2
+
+    extractors.register_extractor("b", lambda text: [{"title": 5}])
+    rows = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (3, "c", "z"), (4, "a", None), (5, None, "w")], "id long, slug string, text string")
+    got = sorted((r.id, r.pos, r.title, r.error is not None) for r in extractors.extracted(rows, ("id",)).collect())
+    assert got == [(1, 0, "X", False), (1, 1, "X", False), (2, 0, None, True)]
+    every = sorted((r.id, r.title) for r in extractors.extracted(rows, ("id",), {"a": fine}, default=lambda t: [{"title": "other"}]).collect())
+    assert every == [(1, "X"), (1, "X"), (2, "other"), (3, "other"), (5, "other")]
+    assert extractors.extracted(rows.limit(0), ("id",)).count() == 0
+
+
+def test_running_sums(spark):
+    arrays = [[], [3], list(range(64)), list(range(65)), [1, -1] * 500, None]
+    got = [r.s for r in spark.createDataFrame([(i, a) for i, a in enumerate(arrays)], "i int, a array<int>").orderBy("i").select(running_sums(F.col("a")).alias("s")).collect()]
+    assert got == [list(accumulate(a)) if a is not None else [] for a in arrays]
+
+
+HTML = """<div id=a><p>one</p><div class="b c"><div>two two</div>three</div>four</div><!-- <div class=b> --><script>"<div class=b>"</script></div><span class='c'>five<SPAN>six</SPAN></span><div class="bc">no</div><section class=b>open"""
+
+
+def test_containers(spark):
+    pages = spark.createDataFrame([(1, HTML), (2, None), (3, ""), (4, "no tags < here")], "id long, html string")
+    want = {"#a": ["one two two three four"], ".b": ["two two three", "open"], "div.b": ["two two three"], ".c": ["two two three", "five six"], "span": ["five six", "six"], "div": ["one two two three four", "two two three", "two two", "no"], "section#a": []}
+    got = {s: [] for s in want}
+    for r in P.containers(pages, ("id",), tuple(want), longer_than=0).orderBy("selector", "pos").collect():
+        assert r.id == 1
+        got[r.selector].append(r.text)
+    assert got == want
+    assert [r.text for r in P.containers(pages, ("id",), ("div",), longer_than=8, first=2).orderBy("pos").collect()] == ["one two two three four", "two two three"]
+
+
 @pytest.mark.parametrize("parts", [1, 5])
 def test_ranks_of_ties_and_hot_values(spark, parts):
     rows = spark.range(0, 3000, 1, parts).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 11).alias("v"), "id")

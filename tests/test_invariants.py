@@ -7,19 +7,31 @@ from dealloom.functions import deals as D
 from dealloom.functions import times as T
 from dealloom.operators import consolidate as C
 from dealloom.operators import quality as Q
+from dealloom.operators import ranks
 from dealloom.operators import refine as R
 from dealloom.operators.overlay import us_phone
 from dealloom.plans import registry
 from dealloom.plans.deal_queries import deals, raw_extractions
+from dealloom.sources import tables
 
 SF = "/root/testdata/sf0.001"
-NATIVE = sorted(set(registry.queries()) - {"w7_without_overlaps", "j16_reachable"})
+NATIVE = sorted(set(registry.queries()) - {"w7_without_overlaps", "w7_day_sets", "u10_extractors"})
+FOREIGN = ("ArrowEval", "BatchEvalPython", "MapInPandas", "MapInArrow", "FlatMapGroups", "CartesianProduct", "BroadcastNestedLoopJoin")
+ONE_ROW = {"a18_quality_report", "a30_consolidation_report"}  # joins with a table of one row
 
 
 @pytest.mark.parametrize("name", NATIVE)
 def test_plan_has_no_python_and_no_cartesian_product(spark, name):
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().toString()
-    assert not any(w in plan for w in ("ArrowEval", "BatchEvalPython", "MapInPandas", "MapInArrow", "FlatMapGroups", "CartesianProduct"))
+    assert not any(w in plan for w in FOREIGN if name not in ONE_ROW or w != "BroadcastNestedLoopJoin")
+
+
+@pytest.mark.parametrize("name, module", [("j16_reachable", tables), ("w1_ranks", ranks)])
+def test_plans_before_checkpoints(spark, monkeypatch, name, module):
+    plans, checkpointed = [], module.checkpointed
+    monkeypatch.setattr(module, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().toString()) or checkpointed(df))
+    registry.queries()[name](spark, SF)
+    assert plans and not any(w in plan for w in (*FOREIGN, "SinglePartition") for plan in plans)
 
 
 def test_filters_and_columns_reach_the_scan(spark):
