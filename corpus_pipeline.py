@@ -25,9 +25,13 @@ SEQUENCE = 2048
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language: those without a letter (null and empty texts too), or with a score below LEAST_SURE, go.
 
-    Equal texts have equal scores, so repeated rows stay or go together.
+    Equal texts have equal scores, so repeated rows stay or go together. Where no document has both a
+    text and a language there is nothing to tell languages by, and all documents stay.
     """
-    out = predictions(docs, docs.columns, train(docs))
+    model = train(docs)
+    if not model.languages:
+        return docs
+    out = predictions(docs, docs.columns, model)
     return out.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SURE)).select("row.*")
 
 
