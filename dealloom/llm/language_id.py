@@ -22,7 +22,8 @@ from dealloom.llm.annotate import annotate
 from dealloom.llm.words import blocks
 
 BITS = 13  # hashed features: 2 ** BITS
-SAMPLE = 600  # training texts per language for the weights and the temperature
+SAMPLE = 600  # distinct training texts per language for the weights and the temperature
+LANGUAGES = 1000  # values of lang that can be learned; the model has a column of weights for each
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-5
 EPOCHS = 3
 UNKNOWN = "und"
@@ -156,18 +157,23 @@ def _pieces(texts: pa.Array) -> Iterator[str]:
 
 
 def train(docs: DataFrame, learn: Column | None = None) -> LanguageModel:
-    """Learns from rows of docs (doc_id, text, lang) where learn holds, and text and lang are not null."""
+    """Learns from rows of docs (doc_id, text, lang) where learn holds, and text and lang are not null.
+
+    More than LANGUAGES values of lang are an error, as such a column is no language. Texts are drawn
+    at a rate from the number of distinct texts, so copies neither crowd out a language nor thin it.
+    """
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), (F.lit(True) if learn is None else learn).alias("learn"))
     rows = rows.filter("learn AND text IS NOT NULL AND lang IS NOT NULL").select("text", "lang", F.xxhash64("text", F.lit(7)).alias("draw"))
-    size = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(size)
-    if not languages:
+    size = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n")).limit(LANGUAGES + 1).collect()}
+    if len(size) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    if not size:
         return LanguageModel([], np.ones(1 << BITS), np.zeros(((1 << BITS) + 1, 1)), 1.0)
     parts = rows.select("text").mapInArrow(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     seen = {r["feature"]: r["n"] for r in parts}
     idf = np.log((1 + seen.pop(-1)) / (1.0 + np.array([seen.get(i, 0) for i in range(1 << BITS)]))) + 1
     # A text is drawn by its own hash, at its language's rate; equal texts count once, however many there are.
-    rate = F.create_map(*[x for lang, n in size.items() for x in (F.lit(lang), F.lit(min(1.0, SAMPLE / n)))])
+    rate = F.create_map(*[x for lang, n in size.items() for x in (F.lit(lang), F.lit(min(1.0, SAMPLE / max(1, n))))])
     some = rows.filter(drawn(F.col("draw"), rate[F.col("lang")])).groupBy("lang", "draw").agg(F.min("text").alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,6 +185,7 @@ def train(docs: DataFrame, learn: Column | None = None) -> LanguageModel:
     sample.sort(key=lambda r: (r["lang"], r["draw"]))
     if not sample:
         return LanguageModel([], idf, np.zeros(((1 << BITS) + 1, 1)), 1.0)
+    languages = sorted({r["lang"] for r in sample})
     each = []
     for r in sample:
         at = np.frombuffer(r["at"], "<u2")

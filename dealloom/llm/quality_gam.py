@@ -175,15 +175,17 @@ def _measured():
 def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> QualityModel:
     """Learns labels.quality from the labelled documents where learn (on doc_id) holds.
 
-    Labels other than 0 and 1 are not used. A document with both labels counts once with each. Without
-    labels every text gets the score 0.5. Equal values of a feature fall in one bin.
+    Labels other than 0 and 1 are not used. A document with both labels counts once with each; of rows
+    that repeat a doc_id one text counts, the first by a hash, so the driver gets a row for each label
+    that is drawn. Without labels every text gets the score 0.5. Equal values of a feature fall in one bin.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("quality IN (0, 1) AND doc_id IS NOT NULL")
     marks = marks.filter(F.lit(True) if learn is None else learn)
-    n = marks.count()
-    # A label is drawn by its id's hash; equal labels of one id count once.
+    n = marks.agg(F.approx_count_distinct(F.xxhash64("doc_id", "quality"))).first()[0]
+    # A label is drawn by its id's hash; equal labels of one id count once. About SAMPLE rows are broadcast.
     marks = marks.filter(drawn(F.xxhash64("doc_id", F.lit(3)), min(1.0, SAMPLE / max(1, n)))).distinct()
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marks), "doc_id")
+    some = some.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text", F.lit(5))).alias("text"))
     rows = annotate(some, ["doc_id", "quality"], _measured, "x array<double>").select("row.doc_id", "row.quality", "x").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["quality"], r["x"]))
     return QualityModel(np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES)), np.array([r["quality"] for r in rows], np.float64))

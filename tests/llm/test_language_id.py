@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from dealloom.llm.language_id import counts, held_out, predictions, softmax, temperature, train, train_ftrl
@@ -80,10 +81,15 @@ def test_copies_count_once_in_the_sample(spark, monkeypatch):
 
     monkeypatch.setattr(language_id, "SAMPLE", 30)
     seen = []
-    monkeypatch.setattr(language_id, "train_ftrl", lambda x, y, n: seen.append(len(x)) or train_ftrl(x, y, n))
-    rows = [(None, "the same text for all", "en")] * 3000 + [(None, f"un texte {i} ici", "fr") for i in range(2000)]
+    monkeypatch.setattr(language_id, "train_ftrl", lambda x, y, n: seen.append(np.bincount(y, minlength=n).tolist()) or train_ftrl(x, y, n))
+    # Nearly all rows of one language are copies of one text; it still has its sample.
+    rows = [(None, "the same text for all", "en")] * 30_000 + [(None, f"an english text number {i} with the words of it", "en") for i in range(300)] + [(None, f"un texte {i} ici dans les mots", "fr") for i in range(2000)]
     model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert seen[0] <= 60 and model.languages == ["en", "fr"]
+    assert model.languages == ["en", "fr"] and all(12 <= n <= 40 for n in seen[0])
+    asked = spark.createDataFrame([(1, "this is an english text with words"), (2, "voici un texte dans les mots"), (3, "number the words of an english text")], "doc_id long, text string")
+    assert [r.lang_pred for r in predictions(asked, ["doc_id"], model).orderBy("row.doc_id").collect()] == ["en", "fr", "en"]
+    with pytest.raises(ValueError):
+        train(spark.range(1500).selectExpr("id AS doc_id", "'text' AS text", "CAST(id AS STRING) AS lang"))
 
 
 def test_large_tables_still_give_a_sample(spark):

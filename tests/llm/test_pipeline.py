@@ -1,6 +1,7 @@
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_host_rules import plain
@@ -75,3 +76,10 @@ def test_odd_documents_and_clashing_columns(spark):
     pieces = corpus_pipeline.packing(spark, docs, "").collect()
     assert {p.doc_id for p in pieces} == set(range(7)) and max(p.length for p in pieces) == 2048
     assert sum(p.length for p in pieces if p.doc_id in (0, 1)) == 2
+
+
+def test_language_stage_without_any_language(spark):
+    docs = spark.createDataFrame([(1, "some words", None, "s", 10), (2, None, None, "s", 0), (3, "more words", None, "s", 10)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()) == [1, 2, 3]
+    named = docs.withColumn("lang", F.when(F.col("text").isNull(), "en"))
+    assert corpus_pipeline.language(spark, named, "").count() == 3

@@ -1,6 +1,8 @@
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from dealloom.llm import quality_gam
 from dealloom.llm.language_id import held_out
 from dealloom.llm.quality_gam import FEATURES, QualityModel, features, scores, train
 
@@ -74,3 +76,19 @@ def test_contradicting_labels(spark):
     docs = spark.createDataFrame([(i, f"word{i % 5} text") for i in range(40)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, q) for i in range(40) for q in (0, 1, 1)], "doc_id long, quality int")
     assert all(abs(r.score - 0.5) < 0.05 for r in scores(docs, ["doc_id"], train(docs, labels)).collect())
+
+
+def test_one_row_comes_to_the_driver_for_each_label(spark, monkeypatch):
+    """A label whose doc_id most rows have, and many repeated labels."""
+    docs = spark.range(60_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("the same words again "), F.col("id").cast("string")).alias("text"))
+    docs = docs.unionByName(spark.range(100, 140).select(F.col("id").alias("doc_id"), F.concat(F.lit("other words "), F.col("id").cast("string")).alias("text")))
+    labels = spark.createDataFrame([(7, 1)] * 5000 + [(i, i % 2) for i in range(100, 140)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality_gam, "QualityModel", lambda x, y: seen.append((x, y)))
+    train(docs, labels)
+    ((x, y),) = seen
+    assert len(x) == 41 and y.sum() == 21
+    # The rate comes from distinct labels, so repeated ones don't thin the sample.
+    monkeypatch.setattr(quality_gam, "SAMPLE", 41)
+    train(docs, labels)
+    assert len(seen[1][0]) > 30
