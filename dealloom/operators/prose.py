@@ -17,9 +17,21 @@ NOISE = (
     "copyright", "privacy policy", "terms of service", "footer", "navigation", "header", "social media", "follow us", "newsletter", "careers", "gift cards", "reservations", "contact", "about us",
     "catering", "private dining", "events", "locations",
 )
-HOURS = r"(\d{1,2})\s*(?::\d{2})?\s*(am|pm)?\s*[–\-~]\s*(\d{1,2})\s*(?::\d{2})?\s*(am|pm)"
-CLOSING = r"(\d{1,2})\s*(am|pm)\s*[–\-~]\s*(close)"
-OPENING = r"(Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday)[\s:]*\d{1,2}:\d{2}\s*[ap]m\s*[\-–]\s*\d{1,2}:\d{2}\s*[ap]m"
+# Times: a range with dash or with "to", one of clock times without am and pm, and one up to the close.
+RANGES = (
+    r"(\d{1,2})\s*(:\d{2})?\s*(am|pm)?\s*[–\-~]\s*(\d{1,2})\s*(:\d{2})?\s*(am|pm)",
+    r"(\d{1,2})\s*(:\d{2})?\s*(am|pm)?\s*to\s*(\d{1,2})\s*(:\d{2})?\s*(am|pm)",
+    r"(\d{1,2})(:\d{2})()\s*[–\-~]\s*(\d{1,2})(:\d{2})()",
+    r"(\d{1,2})\s*(:\d{2})?\s*(am|pm)\s*[–\-~]\s*(close)()()",
+)
+OPENING = (
+    r"(Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday)[\s:]*\d{1,2}:\d{2}\s*[ap]m\s*[\-–]\s*\d{1,2}:\d{2}\s*[ap]m",
+    r"Open\s+\d{1,2}:\d{2}\s*[ap]m\s*[\-–]\s*\d{1,2}:\d{2}\s*[ap]m",
+    r"Hours?[\s:]+.*\d{1,2}:\d{2}\s*[ap]m\s*[\-–]\s*\d{1,2}:\d{2}\s*[ap]m",
+    r"kitchen\s+hours?[\s:]+.*\d{1,2}:\d{2}\s*[ap]m\s*[\-–]\s*\d{1,2}:\d{2}\s*[ap]m",
+    r"dining\s+hours?[\s:]+.*\d{1,2}:\d{2}\s*[ap]m\s*[\-–]\s*\d{1,2}:\d{2}\s*[ap]m",
+    r"restaurant\s+hours?[\s:]+.*\d{1,2}:\d{2}\s*[ap]m\s*[\-–]\s*\d{1,2}:\d{2}\s*[ap]m",
+)
 DRINK_WORDS = ("cocktail", "spritz", "negroni", "martini", "wine", "chardonnay", "rosé", "pinot", "beer", "pilsner", "stout", "brewing")
 FOOD_WORDS = ("food", "panino", "pizza", "oyster")
 # Pattern, then the numbers of its groups: title, price, upper price, description (0: none).
@@ -53,21 +65,34 @@ def keyword_contexts(docs: DataFrame, key: Sequence[str], text: str = "text", wo
     return rows.select(*key, "s.line", "s.section")
 
 
+def time_ranges(text: Column) -> Column:
+    """Ranges of times in any of the usual forms, by their place: array of (start, text, form); of overlapping ones the earlier form stays."""
+    tagged = lambda k: lambda m: F.struct(m["start"].alias("start"), m["text"].alias("text"), F.lit(k).alias("form"))
+    found = F.concat(*[F.transform(matches(text, "(?i)" + p), tagged(k)) for k, p in enumerate(RANGES)])
+    meet = lambda x, y: (x["start"] < y["start"] + F.length(y["text"])) & (y["start"] < x["start"] + F.length(x["text"])) & (x["form"] > y["form"])
+    return F.get(F.transform(F.array(found), lambda all_: F.array_sort(F.filter(all_, lambda x: ~F.exists(all_, lambda y: meet(x, y))))), F.lit(0))
+
+
 def text_deals(docs: DataFrame, key: Sequence[str], text: str = "text") -> DataFrame:
-    """Deals of the contexts of each text: one for each range of hours, with the nearest day; without hours one for the first day.
+    """Deals of the contexts of each text: one for each range of times, with the nearest day; without times one for the first day.
 
-    A range with one am or pm has it at both ends. Equal deals of a text count once.
+    Minutes are kept. A range with one am or pm has it at both ends, one without any is pm. Equal
+    deals of a text count once.
     """
     rows = keyword_contexts(docs, key, text)
     s = F.col("section")
-    spans = F.concat(F.regexp_extract_all(s, F.lit("(?i)" + HOURS), F.lit(0)), F.regexp_extract_all(s, F.lit("(?i)" + CLOSING), F.lit(0)))
-    rows = rows.select(*key, "line", "section", matches(s, DAYS).alias("days"), F.explode_outer(spans).alias("span"))
-    part = lambda p, g: F.regexp_extract("span", "(?i)" + p, g)
-    closing = F.col("span").rlike("(?i)close")
-    start = F.when(closing, F.concat_ws(" ", part(CLOSING, 1), part(CLOSING, 2))).otherwise(F.concat_ws(" ", part(HOURS, 1), F.coalesce(F.nullif(part(HOURS, 2), F.lit("")), part(HOURS, 4))))
-    end = F.when(closing, "Close").otherwise(F.concat_ws(" ", part(HOURS, 3), part(HOURS, 4)))
+    rows = rows.select(*key, "line", matches(s, DAYS).alias("days"), F.explode_outer(time_ranges(s)).alias("span"))
+
+    def part(group: int) -> Column:
+        """A group of the span's own form."""
+        return F.coalesce(*[F.when(F.col("span.form") == k, F.regexp_extract("span.text", "(?i)" + p, group)) for k, p in enumerate(RANGES)])
+
+    some = lambda c: F.nullif(c, F.lit(""))
+    late = F.coalesce(some(part(6)), some(part(3)), F.lit("pm"))
+    start = F.concat(part(1), part(2), F.lit(" "), F.coalesce(some(part(3)), late))
+    end = F.when(F.lower(part(4)) == "close", "Close").otherwise(F.concat(part(4), part(5), F.lit(" "), late))
     timed = F.col("span").isNotNull()
-    day = F.when(timed, nearest_day(F.instr("section", F.col("span")) - 1, F.col("days"))).otherwise(F.get("days", F.lit(0))["text"])
+    day = F.when(timed, nearest_day(F.col("span.start"), F.col("days"))).otherwise(F.get("days", F.lit(0))["text"])
     rows = rows.filter(timed | (F.size("days") > 0)).select(*key, "line", F.when(timed, start).alias("start_time"), F.when(timed, end).alias("end_time"), day.alias("day"))
     return rows.groupBy(*key, "start_time", "end_time", "day").agg(F.min("line").alias("line"))
 
@@ -104,7 +129,7 @@ def priced_forms(lines: DataFrame, key: Sequence[str], line: str = "line", secti
 
 
 def without_noise(text: Column, noise: Sequence[str] = NOISE, keep: Sequence[str] = KEYWORDS, around: int = 50) -> Column:
-    """Text without the noise words, and without opening hours that have no keyword within so many characters."""
+    """Text without the noise words, and without opening hours, in any of their forms, that have no keyword within so many characters."""
     for word in noise:
         text = F.regexp_replace(text, f"(?i){word}", "")
 
@@ -112,7 +137,11 @@ def without_noise(text: Column, noise: Sequence[str] = NOISE, keep: Sequence[str
         near = F.substring(text, F.greatest(m["start"] - around, F.lit(0)) + 1, F.least(m["start"], F.lit(around)) + F.length(m["text"]) + around)
         return F.when(has_any(F.lower(near), tuple(keep)), left).otherwise(F.replace(left, m["text"], F.lit("")))
 
-    return F.trim(F.aggregate(matches(text, "(?i)" + OPENING), text, cut))
+    # Of "Kitchen hours ..." and the "hours ..." in it only the whole counts.
+    end = lambda m: m["start"] + F.length(m["text"])
+    outer = lambda all_: F.filter(all_, lambda m: ~F.exists(all_, lambda x: (x["start"] < m["start"]) & (end(x) >= end(m))))
+    found = F.get(F.transform(F.array(F.concat(*[matches(text, "(?i)" + p) for p in OPENING])), lambda all_: F.array_sort(outer(all_))), F.lit(0))
+    return F.trim(F.aggregate(found, text, cut))
 
 
 def ruled_deals(texts: DataFrame, rules: DataFrame, key: Sequence[str], text: str = "text") -> DataFrame:

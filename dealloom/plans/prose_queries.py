@@ -17,11 +17,11 @@ from dealloom.plans.views import VIEWS, oracle, view
 WEEKDAY = "CASE CAST(event_id % 8 AS INT) WHEN 0 THEN 'Monday' WHEN 1 THEN 'Tuesday' WHEN 2 THEN 'Wednesday' WHEN 3 THEN 'Thursday' WHEN 4 THEN 'Friday' WHEN 5 THEN 'Saturday' WHEN 6 THEN 'Sunday' ELSE 'today' END"
 VIEWS["notice_x"] = f"""SELECT event_id AS seq, 'user-' || CAST(user_id % 40 AS STRING) AS slug,
  'Welcome to table ' || CAST(user_id AS STRING) || chr(10)
- || CASE CAST(event_id % 5 AS INT) WHEN 0 THEN 'Happy Hour ' || {WEEKDAY} || ' ' || CAST(1 + hour(ts) % 6 AS STRING) || ' - ' || CAST(3 + hour(ts) % 7 AS STRING) || ' pm' WHEN 1 THEN 'we pour drinks' WHEN 2 THEN 'daily specials for ' || event_type
+ || CASE CAST(event_id % 5 AS INT) WHEN 0 THEN 'Happy Hour ' || {WEEKDAY} || ' ' || CAST(1 + hour(ts) % 6 AS STRING) || ' - ' || CAST(3 + hour(ts) % 7 AS STRING) || ' pm' WHEN 1 THEN 'we pour 3pm to 6:30pm' WHEN 2 THEN 'daily specials for ' || event_type
     WHEN 3 THEN 'ask for deals on ' || {WEEKDAY} ELSE 'events and newsletter' END || chr(10)
- || CASE CAST(event_id % 4 AS INT) WHEN 0 THEN '4:30pm-7 pm at the bar' WHEN 1 THEN CAST(7 + event_id % 4 AS STRING) || ' PM - Close' WHEN 2 THEN 'more to come' ELSE '' END || chr(10)
+ || CASE CAST(event_id % 4 AS INT) WHEN 0 THEN '4:30pm-7 pm at the bar' WHEN 1 THEN CAST(7 + event_id % 4 AS STRING) || ' PM - Close' WHEN 2 THEN '3:00 - 6:00 and more' ELSE '' END || chr(10)
  || 'line four' || chr(10) || CASE WHEN event_id % 3 = 0 THEN 'brunch 10 am - 2 pm' ELSE 'ask inside' END || chr(10)
- || CASE CAST(event_id % 7 AS INT) WHEN 0 THEN 'Friday 9:00 am - 5:30 pm' WHEN 1 THEN 'about us: happy hour. Sunday: 10:15 am - 9:00 pm' ELSE 'the end' END AS text
+ || CASE CAST(event_id % 7 AS INT) WHEN 0 THEN 'Friday 9:00 am - 5:30 pm' WHEN 1 THEN 'about us: happy hour. Sunday: 10:15 am - 9:00 pm' WHEN 2 THEN 'Open 11:00 am - 9:00 pm' WHEN 3 THEN 'Kitchen hours: daily 11:30 am - 9:30 pm' WHEN 4 THEN 'Hours: 10:00 am - 8:00 pm' ELSE 'the end' END AS text
 FROM {{events}}"""
 MENTION = "(?i)Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday|daily"
 HAS_KEY = " OR ".join(f"contains(lower({{0}}), '{w}')" for w in X.KEYWORDS)
@@ -36,14 +36,17 @@ def x3_w13_contexts(spark, sf_dir):
     return X.keyword_contexts(view(spark, sf_dir, "notice_x"), ("seq",)).select("seq", "line", F.md5("section").alias("section_md5"))
 
 
-@query(oracle(f"""{SECTIONS},
-t AS (SELECT seq, line, section, unnest(list_concat(regexp_extract_all(section, '(?i){X.HOURS}'), regexp_extract_all(section, '(?i){X.CLOSING}'))) AS span FROM s),
+# Written by themselves: the forms as the view has them, each with its own parts.
+SPANS = r"""list_concat(regexp_extract_all(section, '(?i)\d+(:\d\d)? ?([ap]m)? ?- ?\d+(:\d\d)? ?[ap]m'), regexp_extract_all(section, '(?i)\d+pm to \d+:\d\dpm'), regexp_extract_all(section, '\d:00 - \d:00 and'), regexp_extract_all(section, '\d+ PM - Close'))"""
+
+
+@query(oracle(rf"""{SECTIONS},
+t AS (SELECT seq, line, section, unnest({SPANS}) AS span FROM s),
 d AS (SELECT seq, line, section, unnest(regexp_extract_all(section, '{MENTION}')) AS day FROM s),
 j AS (SELECT t.seq, t.line, span, d.day, instr(t.section, span) - instr(d.section, d.day) AS gap, instr(d.section, d.day) AS place FROM t LEFT JOIN d ON d.seq = t.seq AND d.line = t.line),
 n AS (SELECT seq, line, span, coalesce(arg_min(day, place) FILTER (gap BETWEEN 1 AND 20), arg_min(day, abs(gap) * 1000 + place) FILTER (abs(gap) <= 30), CASE WHEN bool_or(lower(day) = 'daily') THEN 'daily' END) AS day FROM j GROUP BY ALL),
-r AS (SELECT seq, line, CASE WHEN span ILIKE '%close%' THEN regexp_extract(span, '(?i){X.CLOSING}', 1) || ' ' || regexp_extract(span, '(?i){X.CLOSING}', 2)
-   ELSE regexp_extract(span, '(?i){X.HOURS}', 1) || ' ' || coalesce(nullif(regexp_extract(span, '(?i){X.HOURS}', 2), ''), regexp_extract(span, '(?i){X.HOURS}', 4)) END AS start_time,
-  CASE WHEN span ILIKE '%close%' THEN 'Close' ELSE regexp_extract(span, '(?i){X.HOURS}', 3) || ' ' || regexp_extract(span, '(?i){X.HOURS}', 4) END AS end_time, day FROM n
+p AS (SELECT seq, line, day, regexp_extract(span, '^[0-9:]+', 0) AS one, nullif(regexp_extract(span, '(?i)^[0-9:]+ ?([ap]m)', 1), '') AS half, CASE WHEN span LIKE '%Close' THEN 'Close' ELSE regexp_extract(span, '(?:-|to) ?([0-9:]+)', 1) END AS two, nullif(regexp_extract(span, '(?i)([ap]m)$', 1), '') AS late FROM n),
+r AS (SELECT seq, line, one || ' ' || coalesce(half, late, 'pm') AS start_time, CASE WHEN two = 'Close' THEN two ELSE two || ' ' || coalesce(late, half, 'pm') END AS end_time, day FROM p
  UNION ALL SELECT seq, line, NULL, NULL, arg_min(day, instr(section, day)) FROM d WHERE (seq, line) NOT IN (SELECT seq, line FROM t) GROUP BY seq, line)
 SELECT seq, start_time, end_time, day, CAST(min(line) AS INT) AS line FROM r GROUP BY ALL""", "notice_x"))
 def x3_text_deals(spark, sf_dir):
@@ -53,8 +56,12 @@ def x3_text_deals(spark, sf_dir):
 NEAR = "substr(t, greatest(p - 50, 1), least(p - 1, 50) + length(m) + 50)"
 
 
+# The opening hours of the view's last line, as they stand there.
+LAST = "CASE CAST(seq % 7 AS INT) WHEN 0 THEN 'Friday 9:00 am - 5:30 pm' WHEN 1 THEN 'Sunday: 10:15 am - 9:00 pm' WHEN 2 THEN 'Open 11:00 am - 9:00 pm' WHEN 3 THEN 'Kitchen hours: daily 11:30 am - 9:30 pm' WHEN 4 THEN 'Hours: 10:00 am - 8:00 pm' ELSE '' END"
+
+
 @query(oracle(rf"""c AS (SELECT seq, regexp_replace(text, '{'|'.join(X.NOISE)}', '', 'gi') AS t FROM notice_x),
-e AS (SELECT seq, t, regexp_extract(t, '(?i){X.OPENING}') AS m, instr(t, regexp_extract(t, '(?i){X.OPENING}')) AS p FROM c)
+e AS (SELECT seq, t, {LAST} AS m, instr(t, {LAST}) AS p FROM c)
 SELECT seq, md5(trim(CASE WHEN m <> '' AND NOT ({HAS_KEY.format(NEAR)}) THEN replace(t, m, '') ELSE t END, ' ')) AS text_md5 FROM e""", "notice_x"))
 def p20_guarded_noise(spark, sf_dir):
     """Opening hours go unless a keyword is near."""

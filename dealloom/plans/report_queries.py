@@ -293,10 +293,10 @@ def a20_freshness(spark, sf_dir):
     return S.freshness(u, F.lit("2024-01-30 16:20:00").cast("timestamp"), "t", 2)
 
 
-@query(oracle("d AS (SELECT slug, bit_or(1 << (CASE lower(substr(raw_day,1,3)) WHEN 'mon' THEN 0 WHEN 'tue' THEN 1 WHEN 'wed' THEN 2 WHEN 'thu' THEN 3 WHEN 'fri' THEN 4 WHEN 'sat' THEN 5 ELSE 6 END)) AS mask FROM raw_x WHERE value < 20 GROUP BY slug) SELECT slug, mask FROM d", "raw_x"))
+@query(oracle("d AS (SELECT slug, raw_title, bit_or(1 << (CASE lower(substr(raw_day,1,3)) WHEN 'mon' THEN 0 WHEN 'tue' THEN 1 WHEN 'wed' THEN 2 WHEN 'thu' THEN 3 WHEN 'fri' THEN 4 WHEN 'sat' THEN 5 ELSE 6 END)) AS mask FROM raw_x GROUP BY slug, raw_title) SELECT slug, raw_title, mask FROM d", "raw_x"))
 def h9_day_masks(spark, sf_dir):
-    x = view(spark, sf_dir, "raw_x").filter("value < 20")
-    return x.groupBy("slug").agg(F.collect_set(T.day_name(F.col("raw_day"))).alias("days")).select("slug", T.day_mask(F.col("days")).alias("mask"))
+    x = view(spark, sf_dir, "raw_x").groupBy("slug", "raw_title").agg(F.collect_set(T.day_name(F.col("raw_day"))).alias("days"))
+    return x.select("slug", "raw_title", T.day_mask(F.col("days")).alias("mask"))
 
 
 @query("""SELECT conv_id, turn, count(*) FILTER (role = 'user') OVER w > 0 AS near_user FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""")

@@ -1,7 +1,9 @@
 """Plain-text operators on small made texts."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from dealloom.functions import times as T
 from dealloom.operators import profiles, rules
 from dealloom.operators import prose as X
 
@@ -46,3 +48,41 @@ def test_deal_focus_on_odd_rows(spark):
     assert [got[i].fields_extracted for i in (1, 2)] == [0, 0] and got[1].price_range is None and got[2].menu_pricing == []
     assert got[3].happy_hour_context == ["Happy hour"] and got[3].reservation_services[0].url == "https://resy.com/x"
     assert got[3].fields_extracted == 5  # price, level, happy hour, sign of a deal, link
+
+
+def test_time_ranges(spark):
+    texts = ["3pm to 6pm", "3:00 - 6:00", "4:30pm-7 pm", "9PM-Close", "3:15 - 6:45 pm", "10:30 AM ~ 2 PM and 9pm - close", "12–2:30pm", "from 5 to 7", None]
+    want = [
+        {("3 pm", "6 pm")}, {("3:00 pm", "6:00 pm")}, {("4:30 pm", "7 pm")}, {("9 PM", "Close")}, {("3:15 pm", "6:45 pm")}, {("10:30 AM", "2 PM"), ("9 pm", "Close")}, {("12 pm", "2:30 pm")}, set(), set(),
+    ]
+    got = [set() for _ in texts]
+    for r in X.text_deals(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), ("id",)).collect():
+        got[r.id].add((r.start_time, r.end_time))
+    assert got == want
+
+
+def test_opening_hours_go_unless_a_keyword_is_near(spark):
+    far = "x" * 60
+    texts = ["Kitchen hours: Mon 11:00 am - 9:00 pm", f"Open 9:00 am - 5:00 pm {far} tail", "Happy hour! Monday: 3:00 pm - 6:00 pm", "Restaurant Hours daily 8:00 am - 9:30 am; Hour: 1:00 pm - 2:00 pm", "Dining hours 5:00 pm – 9:00 pm", "Hours 9 - 5"]
+    got = [r.t for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(X.without_noise(F.col("t")).alias("t")).collect()]
+    assert got == ["", f"{far} tail", "Happy hour! Monday: 3:00 pm - 6:00 pm", "", "", "Hours 9 - 5"]
+
+
+def test_all_sets_of_days_in_short(spark):
+    short = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
+
+    def plain(on):
+        if len(on) in (0, 7):
+            return "Daily" if on else ""
+        out = []
+        for first in (d for d in range(7) if d in on and (d - 1) % 7 not in on):
+            run = [first]
+            while (run[-1] + 1) % 7 in on:
+                run.append((run[-1] + 1) % 7)
+            out.append(f"{short[run[0]]}-{short[run[-1]]}" if len(run) > 2 else ", ".join(short[d] for d in run))
+        return ", ".join(out)
+
+    sets = [[d for d in range(7) if mask >> d & 1] for mask in range(128)]
+    rows = spark.createDataFrame([(i, [T.WEEK[d] for d in on]) for i, on in enumerate(sets)], "i int, days array<string>")
+    got = {r.i: (r.s, r.m) for r in rows.select("i", T.compact_days(F.col("days")).alias("s"), T.day_mask(F.col("days")).alias("m")).collect()}
+    assert got == {i: (plain(set(on)), i) for i, on in enumerate(sets)}
