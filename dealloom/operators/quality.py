@@ -91,6 +91,11 @@ def address(parts: str = "address_struct", fallback: str = "neighborhood") -> Co
     return F.coalesce(p("formatted_address"), F.nullif(built, F.lit("")), F.col(fallback))
 
 
+def map_link(shown: Column, base: str) -> Column:
+    """A link to a map of an address; null without one."""
+    return F.concat(F.lit(base), F.url_encode(shown))
+
+
 def address_checks(street: str = "street", city: str = "city", state: str = "state", zip_code: str = "zip_code") -> dict[str, Column]:
     """Which parts of an address have a usual form."""
     return {

@@ -5,7 +5,7 @@ from itertools import accumulate
 import pytest
 
 from dealloom.functions.arrays import running_sums
-from dealloom.operators import extractors, forms, rules, venue
+from dealloom.operators import extractors, forms, rules, validate, venue
 from dealloom.operators import pages as P
 from dealloom.operators.ranks import ranked
 from dealloom.sources import guide
@@ -177,3 +177,18 @@ def test_ranks_of_ties_and_hot_values(spark, parts):
     assert sorted(got) == [(i + 1, *x) for i, x in enumerate(want)]
     same = ranked(spark.range(1000).select(F.lit(1).alias("v")), [F.desc("v")])
     assert sorted(r["rank"] for r in same.collect()) == list(range(1, 1001)) and ranked(rows.limit(0), [F.desc("v")]).count() == 0
+
+
+def test_validators_on_odd_rows(spark):
+    schema = "title string, start_time string, end_time string, prices array<string>, days array<string>, is_all_day boolean, confidence double"
+    rows = [("Fine", "3 PM", "open late", ["$5", "", None, "$5-8"], [], False, None), (None, None, None, None, None, None, 2.0), ("ok deal", "15h", None, ["?"], ["monday"], None, 0.0)]
+    got = [r.i for r in spark.createDataFrame(rows, schema).select(validate.deal_issues().alias("i")).collect()]
+    assert got == [[], ["Title is too short or empty", "Completely empty deal - no days, times, or all-day flag", "Confidence score out of range: 2.0"], ["Invalid start time format: 15h", "Invalid price format: ?"]]
+
+
+@pytest.mark.parametrize("most", [1000, 0])
+def test_redirects(spark, most):
+    rows = spark.createDataFrame([(1, "a", ["a", "c", "b", None]), (2, "x", []), (3, None, None), (4, "b", ["b", "b"])], "id long, website string, urls array<string>")
+    moved = spark.createDataFrame([("a", "b"), ("c", "d"), ("a", "z")], "old string, new string")
+    got = {r.id: (r.website, r.urls) for r in validate.redirected(rows, moved, most=most).collect()}
+    assert got == {1: ("b", ["b", "d", None]), 2: ("x", []), 3: (None, None), 4: ("b", ["b"])}
