@@ -63,6 +63,15 @@ def restaurant_summary(pages: DataFrame) -> DataFrame:
     )
 
 
+def band_maps(pages: DataFrame) -> DataFrame:
+    """Per restaurant: a map of each kind of menu to the band of its last page, the overall band from that map, and the range of page averages."""
+    banded = pages.withColumn("band", band("menu_type", "average", "highest", "n_items"))
+    some = F.when(F.col("average") > 0, F.col("average"))
+    kinds = banded.groupBy("slug", "menu_type").agg(F.max_by("band", "page_id").alias("band"), F.min(some).alias("least"), F.max(some).alias("most"), F.sum("n_items").alias("n_items"))
+    out = kinds.groupBy("slug").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("menu_type", "band")))).alias("bands"), F.min("least").alias("least_average"), F.max("most").alias("most_average"), F.sum("n_items").alias("n_items"))
+    return out.withColumn("overall_band", F.coalesce(F.try_element_at("bands", F.lit("dinner")), F.array_max(F.map_values("bands"))))
+
+
 def deals_in_range(deals: DataFrame, low: float = 3, high: float = 50, column: str = "prices") -> DataFrame:
     """Prices of an array with a dollar sign in front, within limits; blank and unreadable ones stay."""
     signed = F.transform(column, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lit("$"), p)).otherwise(p))

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from dealloom.functions import times as T
+from dealloom.operators import export as X
+from dealloom.operators import pricing as M
 from dealloom.operators import quality as Q
 from dealloom.operators import validate as V
 from dealloom.plans.registry import query
+from dealloom.plans.report_queries import PAGES, items
 from dealloom.plans.views import VIEWS, oracle, view
 
 CLOCK = "2024-01-30"
@@ -81,3 +85,31 @@ def p30_addresses(spark, sf_dir):
     parts = F.struct(part("9 Whole St, Town ", 0).alias("formatted_address"), part(F.col("s_suppkey").cast("string"), 1).alias("street_number"), part("Oak Ave", 1).alias("street_name"), part("Denver", 1, 2).alias("city"), part("CO", 1, 2).alias("state"), part("80202", 1).alias("zip_code"))
     rows = view(spark, sf_dir, "supplier").select("s_suppkey", parts.alias("address_struct"), F.lit("Old Town").alias("neighborhood"))
     return rows.select("s_suppkey", Q.address().alias("address"), Q.map_link(Q.address(), "https://maps.example.com/?q=").alias("map_link"))
+
+
+VIEWS["hours_x"] = """SELECT 'user-' || CAST(s_suppkey AS STRING) AS slug, s_name AS name, CASE CAST(s_suppkey % 4 AS INT) WHEN 1 THEN 'monday 09:00 17:00;tuesday 09:00 17:00;wednesday 09:00 17:00' WHEN 2 THEN 'wednesday closed;thursday 18:00 23:00' WHEN 3 THEN 'tuesday 20:00 02:00' ELSE 'wednesday 18:30 02:00' END AS hours FROM {supplier} WHERE s_suppkey % 5 <> 0
+UNION ALL SELECT 'user-' || CAST(s_suppkey AS STRING), s_name, NULL FROM {supplier} WHERE s_suppkey % 5 = 0"""
+LINE = """CASE WHEN lower(substr(raw_day, 1, 3)) = 'thu' THEN 'Thu' ELSE upper(substr(raw_day, 1, 1)) || lower(substr(raw_day, 2, 2)) END || CASE WHEN seq % 7 = 0 THEN ' All Day' WHEN raw_start IS NOT NULL THEN ' ' || raw_start || ' - ' || raw_end ELSE '' END || CASE WHEN seq % 2 = 0 THEN ' (' || raw_price || ')' ELSE '' END"""
+
+
+@query(oracle(f"""n AS (SELECT slug, count(*) AS n FROM raw_x GROUP BY slug), r AS (SELECT slug, seq, {LINE} AS line, row_number() OVER (PARTITION BY slug ORDER BY seq) AS k FROM raw_x WHERE confidence_score >= 0.7),
+l AS (SELECT slug, string_agg(line, '; ' ORDER BY k) AS lines FROM r WHERE k <= 3 GROUP BY slug)
+SELECT h.slug, name, coalesce(n, 0) AS n_deals, coalesce(lines, '') AS lines, n IS NOT NULL AS live_data_available, CASE WHEN hours IS NOT NULL THEN hours LIKE 'monday%' END AS is_open_now,
+ CASE WHEN hours LIKE 'wednesday closed%' THEN 'Opens tomorrow at 18:00' WHEN hours LIKE 'tuesday%' THEN 'Opens Tuesday at 20:00' WHEN hours LIKE 'wednesday 18%' THEN 'Opens in 2h 10m' END AS opens
+FROM hours_x h LEFT JOIN n ON n.slug = h.slug LEFT JOIN l ON l.slug = h.slug""", "raw_x", "hours_x"))
+def s14_website_rows(spark, sf_dir):
+    """Restaurants with their state on a Wednesday afternoon and their first three sure deals."""
+    one = lambda x: F.struct(F.split_part(x, F.lit(" "), F.lit(1)).alias("day"), F.struct(F.nullif(F.regexp_extract(x, r" (\d\S+)", 1), F.lit("")).alias("open"), F.nullif(F.regexp_extract(x, r" \S+ (\S+)", 1), F.lit("")).alias("close"), x.endswith("closed").alias("closed")).alias("h"))
+    places = view(spark, sf_dir, "hours_x").withColumn("hours", F.map_from_entries(F.transform(F.split("hours", ";"), one)))
+    prices = F.when(F.col("seq") % 2 == 0, F.array("raw_price"))
+    deals = view(spark, sf_dir, "raw_x").select("seq", "slug", T.day_list(F.array("raw_day")).alias("days"), F.col("raw_start").alias("start_time"), F.col("raw_end").alias("end_time"), (F.col("seq") % 7 == 0).alias("is_all_day"), F.col("confidence_score").alias("confidence"), prices.alias("prices"))
+    out = X.website_rows(places, deals, F.lit("2024-01-17 16:20:00").cast("timestamp"))
+    return out.select("slug", "name", "n_deals", F.array_join("happy_hour_times", "; ").alias("lines"), "live_data_available", "is_open_now", "opens")
+
+
+@query(oracle(f"""{PAGES}, k AS (SELECT slug, menu_type, arg_max(band, page_id) AS band, min(average) FILTER (average > 0) AS least, max(average) FILTER (average > 0) AS most, sum(n_items) AS n FROM banded GROUP BY ALL)
+SELECT slug, string_agg(menu_type || '=' || band, ';' ORDER BY menu_type) AS bands, round(min(least), 4) AS least_average, round(max(most), 4) AS most_average, CAST(sum(n) AS BIGINT) AS n_items, coalesce(max(band) FILTER (menu_type = 'dinner'), max(band)) AS overall_band FROM k GROUP BY slug""", "menu_x"))
+def a8_band_maps(spark, sf_dir):
+    out = M.band_maps(M.page_statistics(items(spark, sf_dir), "page_id", "slug", "menu_type"))
+    shown = F.array_join(F.transform(F.map_entries("bands"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return out.withColumns({"bands": shown, "least_average": F.round("least_average", 4), "most_average": F.round("most_average", 4)})

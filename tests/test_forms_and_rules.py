@@ -5,7 +5,7 @@ from itertools import accumulate
 import pytest
 
 from dealloom.functions.arrays import running_sums
-from dealloom.operators import extractors, forms, rules, validate, venue
+from dealloom.operators import export, extractors, forms, rules, validate, venue
 from dealloom.operators import pages as P
 from dealloom.operators.ranks import ranked
 from dealloom.sources import guide
@@ -192,3 +192,12 @@ def test_redirects(spark, most):
     moved = spark.createDataFrame([("a", "b"), ("c", "d"), ("a", "z")], "old string, new string")
     got = {r.id: (r.website, r.urls) for r in validate.redirected(rows, moved, most=most).collect()}
     assert got == {1: ("b", ["b", "d", None]), 2: ("x", []), 3: (None, None), 4: ("b", ["b"])}
+
+
+def test_open_past_midnight_and_odd_hours(spark):
+    hours = "h map<string, struct<open: string, close: string, closed: boolean>>, at string"
+    late = {"tuesday": ("20:00", "02:00", False), "wednesday": (None, None, True)}
+    rows = [(late, "2024-01-17 01:30:00"), (late, "2024-01-17 02:01:00"), (late, "2024-01-16 20:00:00"), ({"wednesday": ("09:00", None, None)}, "2024-01-17 03:00:00"), ({}, "2024-01-17 03:00:00"), (None, "2024-01-17 03:00:00"), ({"wednesday": (None, None, True)}, "2024-01-17 03:00:00")]
+    at = F.col("at").cast("timestamp")
+    got = [(r.o, r.n) for r in spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"i int, {hours}").orderBy("i").select(export.open_now(F.col("h"), at).alias("o"), export.opens(F.col("h"), at).alias("n")).collect()]
+    assert got == [(True, None), (False, "Opens Tuesday at 20:00"), (True, None), (True, None), (None, None), (None, None), (False, None)]
