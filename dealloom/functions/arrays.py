@@ -1,13 +1,20 @@
-"""Running sums within a row."""
+"""Values that are computed once, and running sums, within a row."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLOCK = 64  # values that one fold appends one by one
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then of a value that is computed once, however often then names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _appended(values: Column) -> Column:
     """Sums of the values up to each; a fold that copies its array with each value, for short arrays."""
     add = lambda sums, v: F.array_append(sums, F.coalesce(F.try_element_at(sums, F.lit(-1)), F.lit(0)) + v)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dealloom.functions.arrays import let
 from dealloom.functions.times import WEEK, day_name, shown_time
 from dealloom.operators.extract import matches
 
@@ -83,7 +84,7 @@ def read(form: Column, text: Column, place: Column) -> Column:
     deal = lambda title, days, start, end, all_day, sure: F.struct(title.alias("title"), days.alias("days"), start.alias("start_time"), end.alias("end_time"), F.lit(all_day).alias("is_all_day"), F.lit(sure).alias("confidence"))
     first = F.coalesce(*[F.when(condition, deal(*values)) for condition, *values in readings])
     whole = lambda d: F.when(d.isNotNull(), F.struct(form.alias("form"), place.alias("place"), d["title"].alias("title"), described.alias("description"), *[d[c].alias(c) for c in ("days", "start_time", "end_time", "is_all_day", "confidence")]).cast(DEAL))
-    return F.get(F.transform(F.array(first), whole), F.lit(0))
+    return let(first, whole)
 
 
 def common_deals(docs: DataFrame, key: Sequence[str], text: str = "text", most: int = MOST, overlaps: bool = False) -> DataFrame:
@@ -111,10 +112,10 @@ def common_deals(docs: DataFrame, key: Sequence[str], text: str = "text", most:
 
 def generic_deal(text: Column) -> Column:
     """One deal from the words happy hour or daily near a range of hours, by the first pattern that is found; null without one."""
-    low = F.lower(text)
-    out = F.lit(None).cast("struct<title:string,description:string,start_time:string,end_time:string,confidence:double>")
-    for pattern in reversed(GENERIC):
-        part = lambda k: F.regexp_extract(low, pattern, k)  # noqa: B023, E731
-        deal = F.struct(F.lit("Happy Hour").alias("title"), F.substring(part(0), 1, 100).alias("description"), shown_time(part(1)).alias("start_time"), shown_time(part(2)).alias("end_time"), F.lit(LOOSE).alias("confidence"))
-        out = F.when(low.rlike(pattern), deal).otherwise(out)
-    return out
+
+    def read_one(low: Column) -> Column:
+        part = lambda p, k: F.regexp_extract(low, p, k)
+        deal = lambda p: F.struct(F.lit("Happy Hour").alias("title"), F.substring(part(p, 0), 1, 100).alias("description"), shown_time(part(p, 1)).alias("start_time"), shown_time(part(p, 2)).alias("end_time"), F.lit(LOOSE).alias("confidence"))
+        return F.coalesce(*[F.when(low.rlike(p), deal(p)) for p in GENERIC])
+
+    return let(F.lower(text), read_one)

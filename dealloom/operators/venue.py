@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dealloom.functions.arrays import let
 from dealloom.functions.times import WEEK, day_name, time_24h
 from dealloom.operators.extract import matches
 from dealloom.operators.overlay import us_phone
@@ -62,11 +63,6 @@ def _first_group(text: Column, groups: dict[str, Sequence[str]]) -> Column:
     return F.coalesce(*[F.when(_any(text, words), F.lit(name)) for name, words in groups.items()])
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then of a value that is computed once, however often then names it."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def emails_by_role(text: Column) -> Column:
     """general, reservations and events: the first address of each role by its own words, in alphabetical order; others are general if that is free."""
     found = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0)), F.lower)))
@@ -76,7 +72,7 @@ def emails_by_role(text: Column) -> Column:
         one = lambda name: F.get(F.filter(tagged, lambda e: e["role"] == name), F.lit(0))["email"]
         return F.struct(F.coalesce(one("general"), one("other")).alias("general"), one("reservations").alias("reservations"), one("events").alias("events"))
 
-    return _let(tagged, roles)
+    return let(tagged, roles)
 
 
 def phones_by_role(text: Column, around: int = AROUND) -> Column:
@@ -89,7 +85,7 @@ def phones_by_role(text: Column, around: int = AROUND) -> Column:
         near = F.array_min(F.filter(F.transform(x["found"], lambda m: F.struct(far(m).alias("far"), m["start"].alias("start"), m["phone"].alias("phone"))), lambda m: m["far"] <= around))
         return F.struct(F.get(x["found"], F.lit(0))["phone"].alias("primary"), near["phone"].alias("reservation"))
 
-    return _let(F.struct(found.alias("found"), words.alias("words")), roles)
+    return let(F.struct(found.alias("found"), words.alias("words")), roles)
 
 
 def hours_by_day(text: Column) -> Column:
@@ -109,10 +105,10 @@ def hours_by_day(text: Column) -> Column:
         last = lambda d: F.try_element_at(F.filter(x["lines"], lambda h: covers(h, d)), F.lit(-1))
         closed = F.struct(F.lit(None).alias("open"), F.lit(None).alias("close"), F.lit(True).alias("closed")).cast(kind)
         opened = lambda h: F.struct(h["open"].alias("open"), h["close"].alias("close"), F.lit(False).alias("closed")).cast(kind)
-        each = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda d: F.when(F.array_contains(x["shut"], d), closed).otherwise(_let(last(d), lambda h: F.when(h.isNotNull(), opened(h)))))
+        each = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda d: F.when(F.array_contains(x["shut"], d), closed).otherwise(let(last(d), lambda h: F.when(h.isNotNull(), opened(h)))))
         return F.map_filter(F.map_from_arrays(week, each), lambda _, h: h.isNotNull())
 
-    return _let(F.struct(lines.alias("lines"), shut.alias("shut")), days)
+    return let(F.struct(lines.alias("lines"), shut.alias("shut")), days)
 
 
 def valid_handle(handle: Column, network: str) -> Column:

@@ -79,7 +79,7 @@ FROM said_x WHERE second = 12 AND first <> 1 UNION ALL
 SELECT seq, 'Happy Hour', 'happy hours monday-saturday: 11am-6:30pm', '11:00 AM', '6:30 PM', 0.6 FROM said_x WHERE first = 1 OR (second = 1 AND first <> 1)""", "said_x"))
 def x5_generic_deals(spark, sf_dir):
     """One deal of each text from the words happy hour or daily near a range of hours."""
-    rows = view(spark, sf_dir, "said_x").select("seq", X.generic_deal(F.col("text")).alias("d")).filter("d IS NOT NULL")
+    rows = view(spark, sf_dir, "said_x").select("seq", F.explode(F.array_compact(F.array(X.generic_deal(F.col("text"))))).alias("d"))
     return rows.select("seq", "d.*")
 
 
