@@ -1,10 +1,14 @@
 """Operator 10: conversations as budgeted, turn-aligned training windows with a loss mask.
 
-A fold over the turns of a conversation cuts it into spans that fit the budget whole (a longer turn
-is a span of its own). A window repeats the system turn and the last turns before its span, as far as
-the budget and a limit allow, then has its own turns; only its own assistant turns carry loss, so
-each assistant text is a target once. All else is a window function or a join on the conversation
-and a span; nothing needs a conversation in one place but its order and its fold, which are streamed.
+Prefix sums of the turns' tokens cut a conversation into spans that fit the budget whole (a longer
+turn is a span of its own): the end of a span is found by binary search in the sums. A window repeats
+the system turn and the last turns before its span, as far as the budget and a limit allow, then has
+its own turns; only its own assistant turns carry loss, so each assistant text is a target once.
+
+Turns are put in order by ranges, so a long conversation lies in many partitions. Its places and sums
+come from one count for each partition and one sum for each stretch of STRETCH turns, and spans are cut
+within stretches, so no task holds a conversation. Texts meet numbers by a key of each row. Only
+digests(), whose hash is sequential by its nature, streams the windows of a conversation in one task.
 
 Template: <|im_start|>role, line feed, text, <|im_end|>, line feed. Inside roles and texts a backslash
 becomes two, and "<|" becomes "<", backslash, "|": control strings cannot arise, and parse() reverses it.
@@ -17,14 +21,21 @@ import re
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dealloom.llm.annotate import small_batches
+from dealloom.llm.scratch import written
+from dealloom.llm.token_counts import token_counts
 
-BUDGET = 1024  # tokens of a window, counted as four characters each; room for the system turn and history is set aside
+BUDGET = 1024  # tokens of a window; room for the system turn and history is set aside
 HISTORY = 256  # most tokens of repeated turns besides the system turn
+STRETCH = 4096  # turns; a span ends with each stretch
+PREFIX = 64  # characters of a text in the bounds of ranges, which go to the driver
+_ROW_BITS = 33  # monotonically_increasing_id: the partition above, the row of the partition below
 START, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -37,69 +48,94 @@ def unescaped(text: str) -> str:
 
 
 def _spans(batches: Iterator[pa.RecordBatch], budget: int, history: int) -> Iterator[pa.RecordBatch]:
-    """Turns in order, with their span and the tokens of the conversation's system turn; only running sums are kept."""
-    system = span = used = before = 0
+    """Turns of stretches with the tokens before them and their span, which is named by its first turn."""
+    names = ["at", "seq", "tokens", "before", "span", "system"]
     for batch in batches:
-        out = []
-        for seq, role, tokens in zip(*(batch.column(c).to_pylist() for c in ("seq", "role", "tokens"))):
-            if seq == 1:
-                system, span, used, before = tokens if role == "system" else 0, 0, 0, 0
-            elif used + tokens > (budget - system - history if span else budget):
-                span, used = span + 1, 0
-            out.append((before, span, system))
-            used, before = used + tokens, before + tokens
-        added = [pa.array([o[i] for o in out], pa.int64()) for i in range(3)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "before", "span", "system"])
-
-
-def turn_spans(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+        turns = batch.column("turns")
+        sizes = pc.list_value_length(turns).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = pc.list_flatten(turns)
+        seq, at, tokens = (pc.struct_field(flat, k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("seq", "at", "tokens"))
+        before, system = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("before", "system"))
+        ends = np.cumsum(sizes)
+        sums = np.concatenate([[0], np.cumsum(tokens)])
+        span = np.empty(len(seq), np.int64)
+        for hi, size, of_system in zip(ends, sizes, system):
+            i = hi - size
+            while i < hi:
+                room = budget if seq[i] == 1 else budget - of_system - history
+                j = min(hi, max(i + 1, np.searchsorted(sums, sums[i] + room, "right") - 1))
+                span[i:j] = seq[i]
+                i = j
+        starts = np.repeat(before - sums[ends - sizes], sizes)
+        columns = [at, seq, tokens, starts + sums[:-1], span, np.repeat(system, sizes)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+
+def same(a: str, b: str) -> Column:
+    return F.col(a).eqNullSafe(F.col(b))
+
+
+def turn_spans(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokenizer: str | None = None, stretch: int = STRETCH) -> DataFrame:
     """Turns in order with their formatted text, its tokens, and the span of the conversation they are in.
 
     Order is by turn, then role and text, so ties and repeated rows have one defined order (a null
     turn comes first). A null role or text is an empty one. Rows without a conversation form one of
-    their own.
+    their own. Tokens are those of each formatted turn by the sentencepiece model at tokenizer, or
+    a quarter of its characters where none is given.
     """
     clean = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    clean = small_batches(clean).repartition("conv_id")
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     form = F.concat(F.lit(START), escaped(F.col("role")), F.lit("\n"), escaped(F.col("text")), F.lit(END + "\n"))
-    rows = clean.withColumn("seq", F.row_number().over(order)).withColumn("form", form).drop("text")
-    rows = rows.withColumn("tokens", F.ceil(F.length("form") / 4))
-    rows = rows.withColumn("tokens", F.ceil(F.length("form") / 4)).sortWithinPartitions("conv_id", "seq")
-    return rows.mapInArrow(partial(_spans, budget=budget, history=history), "conv_id long, turn long, role string, seq int, form string, tokens long, before long, span long, system long")
-
-
-def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+    rows = small_batches(clean).repartitionByRange("conv_id", "turn", "role", F.substring("text", 1, PREFIX)).sortWithinPartitions("conv_id", "turn", "role", "text")
+    placed = written(rows.select(F.monotonically_increasing_id().alias("at"), "conv_id", "turn", "role", form.alias("form")))
+    sized = placed.select("at", "conv_id", "role", F.ceil(F.length("form") / 4).alias("tokens"))
+    if tokenizer:
+        texts = placed.select("at", "conv_id", "role", F.col("form").alias("text"))
+        sized = token_counts(texts, tokenizer, ["at", "conv_id", "role"]).select("row.*", F.col("n_tokens").alias("tokens"))
+    # A conversation's rows of a partition have consecutive keys: its place there is a difference of keys.
+    part = F.shiftright("at", _ROW_BITS)
+    counts = placed.groupBy(F.col("conv_id").alias("c"), part.alias("part")).agg(F.count("*").alias("n"), F.min("at").alias("first_at"))
+    counts = counts.withColumn("placed", F.sum("n").over(Window.partitionBy("c").orderBy("part")) - F.col("n"))
+    sized = sized.join(counts, same("conv_id", "c") & (part == F.col("part"))).withColumn("seq", F.col("placed") + F.col("at") - F.col("first_at") + 1)
+    head = F.max(F.when((F.col("seq") == 1) & (F.col("role") == "system"), F.col("tokens")))
+    stretches = sized.groupBy("conv_id", F.floor((F.col("seq") - 1) / stretch).alias("stretch")).agg(F.array_sort(F.collect_list(F.struct("seq", "at", "tokens"))).alias("turns"), F.sum("tokens").alias("total"), head.alias("head"))
+    stretches = written(stretches)
+    along = Window.partitionBy("c").orderBy("s")
+    sums = stretches.select(F.col("conv_id").alias("c"), F.col("stretch").alias("s"), "total", "head")
+    sums = sums.select("c", "s", (F.sum("total").over(along) - F.col("total")).alias("before"), F.coalesce(F.first("head").over(along), F.lit(0)).alias("system"))
+    cut = stretches.join(sums, same("conv_id", "c") & (F.col("stretch") == F.col("s"))).select("turns", "before", "system")
+    spans = written(cut.mapInArrow(partial(_spans, budget=budget, history=history), "at long, seq long, tokens long, before long, span long, system long"))
+    return placed.join(spans, "at").drop("at")
+
+
+def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokenizer: str | None = None, stretch: int = STRETCH) -> DataFrame:
     """Rows of windows in order: conv_id, span, place, form, repeated and target.
 
     A window is the rows of one (conv_id, span) by place. repeated marks the system turn and history,
     target the turns with loss: the window's own assistant turns.
     """
-    rows = turn_spans(turns, budget, history)
+    rows = turn_spans(turns, budget, history, tokenizer, stretch)
     own = rows.withColumns({"repeated": F.lit(False), "target": F.col("role") == "assistant"})
     first = rows.groupBy("conv_id", "span").agg(F.min("seq").alias("first_seq"), F.min("before").alias("first_before"), F.greatest(F.lit(0), F.least(F.lit(history), budget - F.max("system") - F.sum("tokens"))).alias("room"))
     later = first.filter("first_seq > 1")
     # The system turn of a conversation is its first turn, if it has that role.
     system = rows.filter("seq = 1 AND role = 'system'")
-    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     system = later.select(F.col("conv_id").alias("c"), F.col("span").alias("s")).join(system.drop("span"), same("c", "conv_id")).select("conv_id", F.col("s").alias("span"), "seq", "role", "form")
-    # History: turns that start within the room before the span's start; they lie in the stretches of the budget next to it.
-    reach = -(-history // budget)
-    old = rows.drop("span").withColumn("stretch", F.floor(F.col("before") / budget)).filter(F.col("tokens") <= history).filter(~((F.col("seq") == 1) & (F.col("role") == "system")))
-    near = later.withColumn("near", F.explode(F.sequence(F.floor((F.col("first_before") - history) / budget), F.floor(F.col("first_before") / budget)))) if reach else None
-    old = near.select(F.col("conv_id").alias("c"), F.col("span").alias("s"), "near", "first_seq", "first_before", "room").join(old, same("c", "conv_id") & (F.col("near") == F.col("stretch")))
+    # History: turns that start within the room before the span's start; they lie in the blocks of the budget next to it.
+    old = rows.drop("span").withColumn("block", F.floor(F.col("before") / budget)).filter(F.col("tokens") <= history).filter(~((F.col("seq") == 1) & (F.col("role") == "system")))
+    near = later.withColumn("near", F.explode(F.sequence(F.floor((F.col("first_before") - history) / budget), F.floor(F.col("first_before") / budget))))
+    old = near.select(F.col("conv_id").alias("c"), F.col("span").alias("s"), "near", "first_seq", "first_before", "room").join(old, same("c", "conv_id") & (F.col("near") == F.col("block")))
     old = old.filter("seq < first_seq AND before >= first_before - room").select("conv_id", F.col("s").alias("span"), "seq", "role", "form")
     again = system.unionByName(old).withColumns({"repeated": F.lit(True), "target": F.lit(False)})
     names = ["conv_id", "span", F.col("seq").alias("place"), "form", "repeated", "target"]
     return own.select(*names).unionByName(again.select(*names))
 
 
-def formatted(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+def formatted(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokenizer: str | None = None, stretch: int = STRETCH) -> DataFrame:
     """One row per window: its text, and the character ranges [start, end) of its turns and of the loss mask.
 
     A window is bounded by its budget, its history and its longest turn, so it is put together in one row.
     """
-    parts = windows(turns, budget, history).groupBy("conv_id", "span").agg(F.array_sort(F.collect_list(F.struct("place", "form", "repeated", "target"))).alias("parts"))
+    parts = windows(turns, budget, history, tokenizer, stretch).groupBy("conv_id", "span").agg(F.array_sort(F.collect_list(F.struct("place", "form", "repeated", "target"))).alias("parts"))
     text = F.array_join("parts.form", "")
     ends = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda k: F.struct(F.aggregate(F.slice("parts.form", F.lit(1), k), F.lit(0), lambda a, x: a + F.length(x)).alias("end"), F.element_at("parts", k).alias("p")))
     turn = F.transform(ends, lambda e: F.struct((e["end"] - F.length(e["p"]["form"])).alias("start"), e["end"].alias("end"), e["p"]["repeated"].alias("repeated"), e["p"]["target"].alias("target")))
@@ -149,7 +185,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch_of()
 
 
-def digests(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+def digests(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokenizer: str | None = None, stretch: int = STRETCH) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars, read back from the windows."""
-    rows = formatted(turns, budget, history).repartition("conv_id").sortWithinPartitions("conv_id", "span")
+    rows = formatted(turns, budget, history, tokenizer, stretch).repartition("conv_id").sortWithinPartitions("conv_id", "span")
     return rows.mapInArrow(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
