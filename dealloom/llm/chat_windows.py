@@ -7,7 +7,8 @@ its own turns; only its own assistant turns carry loss, so each assistant text i
 
 Turns are put in order by ranges, so a long conversation lies in many partitions. Its places and sums
 come from one count for each partition and one sum for each stretch of STRETCH turns, and spans are cut
-within stretches, so no task holds a conversation. Texts meet numbers by a key of each row. Only
+within stretches, so no task holds a conversation. Windows are made of numbers alone, and texts join
+them once, by a key of each row. Only
 digests(), whose hash is sequential by its nature, streams the windows of a conversation in one task.
 
 Template: <|im_start|>role, line feed, text, <|im_end|>, line feed. Inside roles and texts a backslash
@@ -35,6 +36,7 @@ BUDGET = 1024  # tokens of a window; room for the system turn and history is set
 HISTORY = 256  # most tokens of repeated turns besides the system turn
 STRETCH = 4096  # turns; a span ends with each stretch
 PREFIX = 64  # characters of a text in the bounds of ranges, which go to the driver
+OTHER, SYSTEM, ASSISTANT = range(3)  # kinds of roles
 _ROW_BITS = 33  # monotonically_increasing_id: the partition above, the row of the partition below
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -49,12 +51,12 @@ def unescaped(text: str) -> str:
 
 def _spans(batches: Iterator[pa.RecordBatch], budget: int, history: int) -> Iterator[pa.RecordBatch]:
     """Turns of stretches with the tokens before them and their span, which is named by its first turn."""
-    names = ["at", "seq", "tokens", "before", "span", "system"]
+    names = ["conv_id", "at", "seq", "tokens", "kind", "before", "span", "system"]
     for batch in batches:
         turns = batch.column("turns")
         sizes = pc.list_value_length(turns).to_numpy(zero_copy_only=False).astype(np.int64)
         flat = pc.list_flatten(turns)
-        seq, at, tokens = (pc.struct_field(flat, k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("seq", "at", "tokens"))
+        seq, at, tokens, kind = (pc.struct_field(flat, k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("seq", "at", "tokens", "kind"))
         before, system = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("before", "system"))
         ends = np.cumsum(sizes)
         sums = np.concatenate([[0], np.cumsum(tokens)])
@@ -67,22 +69,17 @@ def _spans(batches: Iterator[pa.RecordBatch], budget: int, history: int) -> Iter
                 span[i:j] = seq[i]
                 i = j
         starts = np.repeat(before - sums[ends - sizes], sizes)
-        columns = [at, seq, tokens, starts + sums[:-1], span, np.repeat(system, sizes)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+        conv = batch.column("conv_id").take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+        columns = [at, seq, tokens, kind, starts + sums[:-1], span, np.repeat(system, sizes)]
+        yield pa.RecordBatch.from_arrays([conv, *map(pa.array, columns)], names)
 
 
 def same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
-def turn_spans(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokenizer: str | None = None, stretch: int = STRETCH) -> DataFrame:
-    """Turns in order with their formatted text, its tokens, and the span of the conversation they are in.
-
-    Order is by turn, then role and text, so ties and repeated rows have one defined order (a null
-    turn comes first). A null role or text is an empty one. Rows without a conversation form one of
-    their own. Tokens are those of each formatted turn by the sentencepiece model at tokenizer, or
-    a quarter of its characters where none is given.
-    """
+def _placed(turns: DataFrame, budget: int, history: int, tokenizer: str | None, stretch: int) -> tuple[DataFrame, DataFrame]:
+    """Turns with a key and their formatted text, and the numbers of each key: conversation, place, tokens, kind and span."""
     clean = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     form = F.concat(F.lit(START), escaped(F.col("role")), F.lit("\n"), escaped(F.col("text")), F.lit(END + "\n"))
     rows = small_batches(clean).repartitionByRange("conv_id", "turn", "role", F.substring("text", 1, PREFIX)).sortWithinPartitions("conv_id", "turn", "role", "text")
@@ -96,15 +93,29 @@ def turn_spans(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, t
     counts = placed.groupBy(F.col("conv_id").alias("c"), part.alias("part")).agg(F.count("*").alias("n"), F.min("at").alias("first_at"))
     counts = counts.withColumn("placed", F.sum("n").over(Window.partitionBy("c").orderBy("part")) - F.col("n"))
     sized = sized.join(counts, same("conv_id", "c") & (part == F.col("part"))).withColumn("seq", F.col("placed") + F.col("at") - F.col("first_at") + 1)
-    head = F.max(F.when((F.col("seq") == 1) & (F.col("role") == "system"), F.col("tokens")))
-    stretches = sized.groupBy("conv_id", F.floor((F.col("seq") - 1) / stretch).alias("stretch")).agg(F.array_sort(F.collect_list(F.struct("seq", "at", "tokens"))).alias("turns"), F.sum("tokens").alias("total"), head.alias("head"))
+    kind = F.when(F.col("role") == "system", SYSTEM).when(F.col("role") == "assistant", ASSISTANT).otherwise(OTHER).cast("long")
+    sized = sized.withColumn("kind", kind)
+    head = F.max(F.when((F.col("seq") == 1) & (F.col("kind") == SYSTEM), F.col("tokens")))
+    stretches = sized.groupBy("conv_id", F.floor((F.col("seq") - 1) / stretch).alias("stretch")).agg(F.array_sort(F.collect_list(F.struct("seq", "at", "tokens", "kind"))).alias("turns"), F.sum("tokens").alias("total"), head.alias("head"))
     stretches = written(stretches)
     along = Window.partitionBy("c").orderBy("s")
     sums = stretches.select(F.col("conv_id").alias("c"), F.col("stretch").alias("s"), "total", "head")
     sums = sums.select("c", "s", (F.sum("total").over(along) - F.col("total")).alias("before"), F.coalesce(F.first("head").over(along), F.lit(0)).alias("system"))
-    cut = stretches.join(sums, same("conv_id", "c") & (F.col("stretch") == F.col("s"))).select("turns", "before", "system")
-    spans = written(cut.mapInArrow(partial(_spans, budget=budget, history=history), "at long, seq long, tokens long, before long, span long, system long"))
-    return placed.join(spans, "at").drop("at")
+    cut = stretches.join(sums, same("conv_id", "c") & (F.col("stretch") == F.col("s"))).select("conv_id", "turns", "before", "system")
+    spans = written(cut.mapInArrow(partial(_spans, budget=budget, history=history), "conv_id long, at long, seq long, tokens long, kind long, before long, span long, system long"))
+    return placed, spans
+
+
+def turn_spans(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokenizer: str | None = None, stretch: int = STRETCH) -> DataFrame:
+    """Turns in order with their formatted text, its tokens, and the span of the conversation they are in.
+
+    Order is by turn, then role and text, so ties and repeated rows have one defined order (a null
+    turn comes first). A null role or text is an empty one. Rows without a conversation form one of
+    their own. Tokens are those of each formatted turn by the sentencepiece model at tokenizer, or
+    a quarter of its characters where none is given.
+    """
+    placed, spans = _placed(turns, budget, history, tokenizer, stretch)
+    return placed.join(spans.drop("conv_id", "kind"), "at").drop("at")
 
 
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokenizer: str | None = None, stretch: int = STRETCH) -> DataFrame:
@@ -113,21 +124,23 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, toke
     A window is the rows of one (conv_id, span) by place. repeated marks the system turn and history,
     target the turns with loss: the window's own assistant turns.
     """
-    rows = turn_spans(turns, budget, history, tokenizer, stretch)
-    own = rows.withColumns({"repeated": F.lit(False), "target": F.col("role") == "assistant"})
+    placed, rows = _placed(turns, budget, history, tokenizer, stretch)
+    own = rows.withColumns({"repeated": F.lit(False), "target": F.col("kind") == ASSISTANT})
     first = rows.groupBy("conv_id", "span").agg(F.min("seq").alias("first_seq"), F.min("before").alias("first_before"), F.greatest(F.lit(0), F.least(F.lit(history), budget - F.max("system") - F.sum("tokens"))).alias("room"))
     later = first.filter("first_seq > 1")
     # The system turn of a conversation is its first turn, if it has that role.
-    system = rows.filter("seq = 1 AND role = 'system'")
-    system = later.select(F.col("conv_id").alias("c"), F.col("span").alias("s")).join(system.drop("span"), same("c", "conv_id")).select("conv_id", F.col("s").alias("span"), "seq", "role", "form")
+    is_system = (F.col("seq") == 1) & (F.col("kind") == SYSTEM)
+    system = rows.filter(is_system)
+    system = later.select(F.col("conv_id").alias("c"), F.col("span").alias("s")).join(system.drop("span"), same("c", "conv_id")).select("conv_id", F.col("s").alias("span"), "seq", "at")
     # History: turns that start within the room before the span's start; they lie in the blocks of the budget next to it.
-    old = rows.drop("span").withColumn("block", F.floor(F.col("before") / budget)).filter(F.col("tokens") <= history).filter(~((F.col("seq") == 1) & (F.col("role") == "system")))
+    old = rows.drop("span").withColumn("block", F.floor(F.col("before") / budget)).filter(F.col("tokens") <= history).filter(~is_system)
     near = later.withColumn("near", F.explode(F.sequence(F.floor((F.col("first_before") - history) / budget), F.floor(F.col("first_before") / budget))))
     old = near.select(F.col("conv_id").alias("c"), F.col("span").alias("s"), "near", "first_seq", "first_before", "room").join(old, same("c", "conv_id") & (F.col("near") == F.col("block")))
-    old = old.filter("seq < first_seq AND before >= first_before - room").select("conv_id", F.col("s").alias("span"), "seq", "role", "form")
+    old = old.filter("seq < first_seq AND before >= first_before - room").select("conv_id", F.col("s").alias("span"), "seq", "at")
     again = system.unionByName(old).withColumns({"repeated": F.lit(True), "target": F.lit(False)})
-    names = ["conv_id", "span", F.col("seq").alias("place"), "form", "repeated", "target"]
-    return own.select(*names).unionByName(again.select(*names))
+    names = ["conv_id", "span", F.col("seq").alias("place"), "at", "repeated", "target"]
+    members = own.select(*names).unionByName(again.select(*names))
+    return members.join(placed.select("at", "form"), "at").select("conv_id", "span", "place", "form", "repeated", "target")
 
 
 def formatted(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokenizer: str | None = None, stretch: int = STRETCH) -> DataFrame:
