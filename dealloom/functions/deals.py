@@ -172,5 +172,15 @@ def display_line(days: Column, start: Column, end: Column, price: Column) -> Col
 
 def street_parts(text: Column) -> list[Column]:
     """Number, street and unit of an address line."""
-    part = lambda k: F.nullif(F.trim(F.regexp_extract(text, r"^\s*(\d+)\s+([^,#]+?)(?:\s*(?:#|unit|suite)\s*(\w+))?\s*(?:,|$)", k)), F.lit(""))
+    part = lambda k: F.nullif(F.trim(F.regexp_extract(text, r"(?i)^\s*(\d+)\s+([^,#]+?)(?:(?:\s*#\s*|\s+(?:unit|suite|apt)\.?\s+)(\w+))?\s*(?:,|$)", k)), F.lit(""))
     return [part(1).alias("number"), part(2).alias("street"), part(3).alias("unit")]
+
+
+def formatted_address(number: Column, street: Column, unit: Column, city: Column, state: Column, zip_code: Column) -> Column:
+    """'12 Main Street 4B, Denver, CO 80202' of the parts that are there; the street needs its number; null without parts."""
+    had = lambda c: F.nullif(F.trim(c), F.lit(""))
+    line = F.when(had(number).isNotNull() & had(street).isNotNull(), F.concat_ws(" ", had(number), had(street), had(unit)))
+    places = F.array_compact(F.array(had(city), had(state), had(zip_code)))
+    # The first of the parts that are there stands before a comma, the others follow with spaces.
+    place = F.concat_ws(", ", F.get(places, F.lit(0)), F.nullif(F.array_join(F.slice(places, 2, 2), " "), F.lit("")))
+    return F.nullif(F.concat_ws(", ", line, F.nullif(place, F.lit(""))), F.lit(""))

@@ -160,6 +160,24 @@ def hours_map(periods: Column) -> Column:
     return F.map_from_entries(F.transform(last, lambda p: F.struct(name(p).alias("day"), F.struct(clock(p["open"]).alias("open"), clock(p["close"]).alias("close")).alias("hours"))))
 
 
+def period_hours(periods: Column) -> Column:
+    """Map of day to (open, close) of periods (open and close with day, time as HHMM, hour and minute; day 0 is Sunday).
+
+    Both ends of a period are told by time, or else both by hour and minute (a missing minute is 0).
+    Other periods, and those of no day of the week, are left out; of a day's periods the last counts. Null has no hours.
+    """
+    four = lambda e: F.concat(F.lpad(e["hour"].cast("string"), 2, "0"), F.lpad(F.coalesce(e["minute"], F.lit(0)).cast("string"), 2, "0"))
+
+    def ends(p: Column) -> Column:
+        a, b = p["open"], p["close"]
+        timed, told = a["time"].isNotNull() & b["time"].isNotNull(), a["hour"].isNotNull() & b["hour"].isNotNull()
+        of = lambda e: F.when(timed, e["time"]).when(told, four(e))
+        return F.struct(a["day"].alias("day"), of(a).alias("open"), of(b).alias("close"))
+
+    whole = F.filter(F.transform(periods, ends), lambda p: p["day"].between(0, 6) & p["open"].isNotNull() & p["close"].isNotNull())
+    return hours_map(F.coalesce(whole, F.filter(F.array(F.struct(F.lit(0).alias("day"), F.lit("").alias("open"), F.lit("").alias("close"))), lambda p: F.lit(False))))
+
+
 def ago(then: Column, now: Column) -> Column:
     """'3 hours ago' and the like."""
     m = F.floor((now.cast("timestamp").cast("double") - then.cast("timestamp").cast("double")) / 60)

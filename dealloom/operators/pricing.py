@@ -77,3 +77,61 @@ def deals_in_range(deals: DataFrame, low: float = 3, high: float = 50, column: s
     signed = F.transform(column, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lit("$"), p)).otherwise(p))
     value = lambda p: F.regexp_replace(p, r"[$,]", "").try_cast("double")
     return deals.withColumn(column, F.filter(signed, lambda p: value(p).isNull() | value(p).between(low, high)))
+
+
+# Estimates by price range ("" stands for any other) and what a cuisine adds, where the first hit counts.
+ESTIMATES = {
+    "drink": ({"$$$$": 14.0, "$$$": 11.0, "$$": 8.0, "": 6.0}, ((("steakhouse", "brazilian", "japanese"), 2.0), (("cocktail", "bar"), 1.0), (("mexican", "asian"), -0.5))),
+    "food": ({"$$$$": 18.0, "$$$": 14.0, "$$": 11.0, "": 8.0}, ((("steakhouse", "brazilian"), 3.0), (("japanese", "sushi"), 2.0), (("italian", "mediterranean"), 1.0), (("mexican", "asian"), -1.0))),
+}
+LIGHT_FOOD = (("cocktail", "bar"), -2.0)
+# Words that tell a drink or food, words of a deal's type, and the highest price of a drink that nothing tells.
+DRINK_WORDS = ("drink", "cocktail", "beer", "wine", "beverage", "martini", "margarita", "spirits", "liquor", "bourbon", "whiskey", "vodka", "rum", "gin")
+FOOD_WORDS = ("food", "appetizer", "plate", "dish", "entree", "meal", "burger", "sandwich", "salad", "pizza", "wings", "tacos", "nachos", "fries")
+DRINK_TYPES, FOOD_TYPES = ("drink", "beverage"), ("food", "appetizer")
+DRINK_PRICE = 10
+
+
+def _holds(text: Column, words: tuple[str, ...]) -> Column:
+    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
+
+
+def estimated_price(kind: str, price_range: Column, cuisine: Column, name: Column | None = None, names: tuple[tuple[tuple[str, ...], float], ...] = ()) -> Column:
+    """A price of a drink or of food (kind) by price range and cuisine; names holds (words of a restaurant's name, change). A null range is '$$'."""
+    base, changes = ESTIMATES[kind]
+    shown = F.coalesce(price_range, F.lit("$$"))
+    price = F.coalesce(*[F.when(shown == k, v) for k, v in base.items() if k], F.lit(base[""]))
+    change = lambda text, table: F.coalesce(*[F.when(_holds(text, words), v) for words, v in table], F.lit(0.0))
+    low = F.lower(F.coalesce(cuisine, F.lit("")))
+    price = price + change(low, changes)
+    if kind == "food":
+        price = price + change(low, (LIGHT_FOOD,))
+    return price + change(F.lower(F.coalesce(name, F.lit(""))), names) if names else price
+
+
+def deal_kinds(deals: DataFrame) -> DataFrame:
+    """deals (price, title, description, deal_type) with amount, is_drink and is_food.
+
+    The amount is the first dollar price of the first of price, title and description that is not
+    empty. Words of the title and description tell the kind (both, if both occur), else the deal's type, else the amount.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    said = F.coalesce(*[F.nullif(c, F.lit("")) for c in ("price", "title", "description")])
+    amount_ = F.regexp_extract(said, r"\$([0-9]+(?:\.[0-9]{2})?)", 1).try_cast("double")
+    words, kind = F.lower(F.concat_ws(" ", text("description"), text("title"))), F.lower(text("deal_type"))
+    drink, food = _holds(words, DRINK_WORDS), _holds(words, FOOD_WORDS)
+    by_type = F.when(_holds(kind, DRINK_TYPES), True).when(_holds(kind, FOOD_TYPES), False).otherwise(amount_ <= DRINK_PRICE)
+    none = ~drink & ~food
+    return deals.withColumn("amount", amount_).withColumns({"is_drink": drink | (none & by_type), "is_food": food | (none & ~by_type)})
+
+
+def average_prices(restaurants: DataFrame, deals: DataFrame, key: str = "slug") -> DataFrame:
+    """Each restaurant's mean drink and food price over its deals; one with deals but without such a price has an estimate, one without deals null.
+
+    restaurants has the key, price_range, cuisine and name. Deals are summed before they join.
+    """
+    priced = deal_kinds(deals)
+    n = priced.groupBy(key).agg(F.count("*").alias("n_deals"), *[F.round(F.avg(F.when(F.col(f"is_{k}"), F.col("amount"))), 2).alias(f"_{k}") for k in ESTIMATES])
+    out = restaurants.join(n, key, "left").withColumn("n_deals", F.coalesce("n_deals", F.lit(0)))
+    price = lambda k: F.when(F.col("n_deals") > 0, F.coalesce(f"_{k}", estimated_price(k, F.col("price_range"), F.col("cuisine"))))
+    return out.select(key, "n_deals", *[price(k).alias(f"{k}_price") for k in ESTIMATES])

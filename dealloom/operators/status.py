@@ -48,6 +48,25 @@ def stale(rows: DataFrame, as_of: Column, updated: str, days: int = 7) -> DataFr
     return rows.filter(F.col(updated).isNull() | (F.col(updated) <= as_of - F.make_dt_interval(F.lit(days))))
 
 
+# Days after which a class of data is due.
+UPDATE_DAYS = {"daily": 1, "weekly": 7, "monthly": 30, "quarterly": 90}
+
+
+def due(rows: DataFrame, as_of: Column, updated: str, kind: Column | None = None, hours: Column | None = None) -> DataFrame:
+    """Rows that are due again: by their class of data (any other is weekly), or after their own number of hours where they have one. Rows never updated are due."""
+    days = F.coalesce(*[F.when(kind == k, d) for k, d in UPDATE_DAYS.items()], F.lit(UPDATE_DAYS["weekly"])) if kind is not None else F.lit(UPDATE_DAYS["weekly"])
+    wait = F.coalesce(hours.cast("double"), days * F.lit(24.0)) if hours is not None else days * F.lit(24.0)
+    age = (as_of.cast("timestamp").cast("double") - F.col(updated).cast("timestamp").cast("double")) / 3600
+    return rows.filter(F.col(updated).isNull() | (age >= wait))
+
+
+def status_rollup(status: DataFrame, *by: str) -> DataFrame:
+    """Number of places, of active and upcoming ones, and a message, for each group; a place without status counts in the total."""
+    n = status.groupBy(*by).agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in ("active", "upcoming")])
+    some = lambda c, text: F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(text)))
+    return n.withColumn("message", F.coalesce(some("active", " happy hours active now"), some("upcoming", " starting soon"), F.lit("No active happy hours")))
+
+
 def freshness(rows: DataFrame, as_of: Column, updated: str, fresh_days: int = 2) -> DataFrame:
     """One row of counts and shares: rows, with an update, fresh ones."""
     fresh = F.col(updated) > as_of - F.make_dt_interval(F.lit(fresh_days))

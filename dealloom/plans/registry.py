@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("deal_queries", "page_queries", "report_queries", "text_queries", "more_queries", "prose_queries", "form_queries", "venue_queries", "rule_queries", "valid_queries", "display_queries")
+MODULES = ("deal_queries", "page_queries", "report_queries", "text_queries", "more_queries", "prose_queries", "form_queries", "venue_queries", "rule_queries", "valid_queries", "display_queries", "place_queries")
 
 
 def query(sql: str | None = None, name: str | None = None):
