@@ -39,9 +39,10 @@ DELIVERY = {"doordash_url": ("doordash",), "ubereats_url": ("ubereats", "uber.co
 OFFERS = {"offers_delivery": ("delivery", "deliver"), "offers_takeout": ("takeout", "take out", "pickup", "take away", "to-go"), "offers_curbside": ("curbside", "curb side")}
 STYLES = {"fast_casual": ("fast casual", "counter service", "quick service"), "food_truck": ("food truck", "truck", "mobile"), "bar": ("bar", "tavern", "pub", "brewery")}
 RESERVATION_WORDS = ("reservation", "booking", "table")
-STREET = r"(?i)\d+\s+[A-Za-z ]+?\b(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Way|Place|Pl)\b"
+_NAMED = r"\s+[A-Za-z ]+?\b(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Way|Place|Pl)\b"
+STREET = rf"(?i)\d+{_NAMED}"
 CITY = r"(?i)\d+\s+[A-Za-z ]+,\s*Denver"
-ZIP = r"\b80\d{3}\b"
+ZIP = rf"(?i)\b80\d{{3}}\b(?!{_NAMED})"  # a number that begins a street is no code
 SEATS = (r"(\d+)\s*seats?", r"capacity:?\s*(\d+)", r"accommodates?\s*(\d+)")
 _DAY = "monday|tuesday|wednesday|thursday|friday|saturday|sunday|mon|tues|tue|wed|thurs|thur|thu|fri|sat|sun"
 _TIME = r"\d{1,2}(?::?\d{2})?\s*(?:am|pm)"
