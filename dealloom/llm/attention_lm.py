@@ -6,9 +6,8 @@ ids before each place, attends to the earlier places of its window and predicts
 steps: one of CLASSES classes, then one of the class's MEMBERS ids. Ids beyond the CLASSES * MEMBERS - 1
 most frequent ones share a last place, and have their share of its counts there.
 
-Weights are learned in one pass over windows from every training text, one for each started STRETCH
-of its bytes. Equal windows count once, with a weight that grows with their number. Windows are dealt
-by hash to rounds and to shards of about SHARD windows; in each round all shards learn from the
+Weights are learned in one pass over all windows of every training text; each id is a target once. Equal
+windows count once, with a weight that grows with their number. Windows are dealt by hash to rounds and to shards of about SHARD windows; in each round all shards learn from the
 same weights, and their results are averaged. So the weights depend on the texts only, not on how
 rows are spread over tasks. Texts are scored in windows of WINDOW ids that overlap by CONTEXT, many
 windows at a time; each id counts once.
@@ -17,7 +16,7 @@ windows at a time; each id counts once.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from hashlib import blake2b
 from itertools import chain
 
@@ -34,8 +33,8 @@ CLASSES, MEMBERS, WIDTH, HIDDEN = 40, 40, 16, 32
 ACTIVE = CLASSES * MEMBERS - 1  # ids with an embedding of their own; then come the rare ones, and a text's start
 RARE, START = ACTIVE, ACTIVE + 1
 WINDOW, CONTEXT = 40, 10
-STRETCH = 4096  # bytes of a text that give one training window
-ROUNDS, SHARD, BATCH, RATE = 12, 1024, 16, 0.03
+STRETCH = 4096  # bytes of a text whose words are cut into training windows together
+ROUNDS, SHARD, BATCH, RATE = 12, 1024, 64, 0.03
 SUMS = 8  # tasks that add up the weights of shards
 TOP_WORDS = 200_000  # words that are broadcast with counts and ids; the rest are joined
 CACHE = 200_000  # other words that a worker keeps
@@ -406,23 +405,29 @@ def id_counts(counted: DataFrame, path: str, texts: int) -> np.ndarray:
 
 
 def training_windows(texts: list[bytes]) -> Iterator[tuple[bool, list[bytes], bool]]:
-    """For each started stretch of each text: words from a place drawn by the text's own bytes, whether they begin the text, and whether they end it."""
-    most = WINDOW * 6  # bytes that are encoded for a window
+    """For each started stretch of each text: the words that begin in it, whether it begins the text, and whether it ends it."""
     for text in texts:
+        done = 0
         for k in range(0, max(1, len(text)), STRETCH):
-            stretch = text[k : k + STRETCH]
-            draw = int.from_bytes(stretch[-8:], "little") * 0x9E3779B97F4A7C15 >> 20 & 0xFFFFFFFF
-            at = 0 if k == 0 and draw % 8 == 0 else k + (draw >> 3) * len(stretch) >> 29
-            if at:
-                at = next((i for i in range(at, min(at + most, len(text))) if text[i] in b" \t\n\r\x0b\x0c"), k)
-            piece = text[at : at + most]
-            last = at + most >= len(text)
-            words = piece.lower().split()
-            yield at == 0, words if last else words[:-1], last
+            end = min(k + STRETCH, len(text))
+            # A word that crosses the end belongs to the stretch in which it begins.
+            stop = end if end == len(text) else next((i for i in range(max(end - 1, done), len(text)) if text[i] in b" \t\n\r\x0b\x0c"), len(text)) if done < end else done
+            yield k == 0, text[done:stop].lower().split(), end == len(text)
+            done = stop
+
+
+def cut_windows(rows: Iterable[tuple[bool, np.ndarray, bool]], end: int) -> Iterator[np.ndarray]:
+    """Windows of two ids and the WINDOW ids after them, so that each id of a text, its end included, comes after others once; a text's last window may be shorter."""
+    for first, row, last in rows:
+        held = np.concatenate([[end + 1] * 2 if first else held, row, [end] * last]).astype(np.int64)
+        whole = len(held) if last else len(held) - (len(held) - 2) % WINDOW
+        for at in range(0, whole - 2, WINDOW):
+            yield held[at : at + WINDOW + 2]
+        held = held[whole - 2 :]
 
 
 def train(texts: DataFrame, path: str, vocabulary: Vocabulary) -> Attention:
-    """Weights from windows of all texts."""
+    """Weights from all windows of all texts."""
     spark = texts.sparkSession
     model = Attention(vocabulary.mass)
     known = spark.sparkContext.broadcast(vocabulary.number)
@@ -435,12 +440,8 @@ def train(texts: DataFrame, path: str, vocabulary: Vocabulary) -> Attention:
                 found = list(training_windows(part))
                 distinct = list(dict.fromkeys(chain.from_iterable(w for _, w, _ in found)))
                 ids = dict(zip(distinct, bpe.encode_raw(distinct), strict=True))
-                out = []
-                for first, words, last in found:
-                    row = np.frombuffer(b"".join(map(ids.__getitem__, words)), "<i4")
-                    row = np.concatenate([[end + 1] * 2 * first, row, [end] * last]).astype(np.int64)[: WINDOW + 2]
-                    if len(row) > 2:
-                        out.append(np.append(number[row], np.full(WINDOW + 2 - len(row), -1)).astype("<i4").tobytes())
+                rows = ((first, np.frombuffer(b"".join(map(ids.__getitem__, words)), "<i4"), last) for first, words, last in found)
+                out = [np.append(number[row], np.full(WINDOW + 2 - len(row), -1)).astype("<i4").tobytes() for row in cut_windows(rows, end)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["window"])
 
     drawn = texts.select("text").mapInArrow(cut, "window binary").groupBy("window").agg(F.count("*").alias("n")).withColumn("h", F.xxhash64("window"))

@@ -142,3 +142,22 @@ def test_weights_do_not_depend_on_partitions_and_copies_are_dealt_out(spark):
     assert np.abs(one - two).max() < 1e-5 and np.abs(one - lm.Attention(vocabulary.mass).flat).max() > 0.01
     found = list(lm.training_windows([b"", b"a b", b"word " * 5000]))
     assert len(found) == 2 + -(-25000 // lm.STRETCH) and found[0] == (True, [], True) or found[0][1] == []
+
+
+def test_every_id_of_a_text_is_a_target_once():
+    bpe = WordBpe(WORDS)
+    end = len(bpe.names)
+    texts = [b"", b" ", b"A b", b"one two three four " * 2000, b"x" * 9000 + b" tail of the text", b"a\tlong " + b"y" * 4090 + b"\nline " * 900, "Ünion süß ".encode() * 1500]
+    found = list(lm.training_windows(texts))
+    rows = [(first, np.frombuffer(b"".join(bpe.encode_raw(words)), "<i4"), last) for first, words, last in found]
+    windows = list(lm.cut_windows(rows, end))
+    got, at = [], -1
+    for w in windows:
+        if w[0] == w[1] == end + 1:
+            got.append([])
+            at += 1
+        assert 2 < len(w) <= lm.WINDOW + 2
+        before = ([end + 1] * 2 + got[at])[-2:]
+        assert w[:2].tolist() == before
+        got[at] += w[2:].tolist()
+    assert got == [np.frombuffer(b"".join(bpe.encode_raw(t.lower().split())), "<i4").tolist() + [end] for t in texts]
