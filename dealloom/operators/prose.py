@@ -51,6 +51,8 @@ PRICED = (
     (r"([A-Z][A-Z\s&'-]{3,30})\s{2,}(\d{1,2})(?:\s|$)", 1, 2, 0, 0),
     (r"(expertly\s+crafted|artfully\s+prepared|chef's\s+selection)\s+([a-z\s]{3,30})\s+for\s+\$(\d+(?:\.\d{2})?)", 2, 3, 0, 1),
 )
+# What a line has to hold for a form, by the form's number: forms that begin with words are slow to fail.
+NEEDED = {2: r"(?i)\soff\s", 6: r"-\$", 7: r"\s\s\d", 8: "—", 9: "—", 10: "(?i)each", 11: r"\s\$\d", 13: r"\s\s\d", 14: r"(?i)\sfor\s+\$"}
 
 
 def keyword_contexts(docs: DataFrame, key: Sequence[str], text: str = "text", words: Sequence[str] = KEYWORDS, around: int = 2) -> DataFrame:
@@ -105,18 +107,21 @@ def priced_forms(lines: DataFrame, key: Sequence[str], line: str = "line", secti
     tells the kind, else the words do.
     """
     rows = lines.select(*key, F.trim(line).alias("_line"), (F.col(section) if section else F.lit(None).cast("string")).alias("_section")).filter(F.length("_line") >= 5)
-    found = lambda k: F.transform(F.regexp_extract_all("_line", F.lit("(?i)" + PRICED[k][0]), F.lit(0)), lambda m: F.struct(F.lit(k + 1).alias("form"), m.alias("match")))
-    rows = rows.select(*key, "_section", F.explode(F.flatten(F.array(*map(found, range(len(PRICED)))))).alias("f")).select(*key, "_section", "f.*")
+    kind = "array<struct<form:int,title:string,_one:string,_two:string,description:string>>"
+
+    def found(k: int) -> Column:
+        """The matches of a form with their parts; lines without what the form needs are not searched for it."""
+        pattern, *places = "(?i)" + PRICED[k][0], *PRICED[k][1:]
+        part = lambda m, g: F.trim(F.regexp_extract(m, pattern, g)) if g else F.lit(None).cast("string")
 
-    def group(place: int) -> Column:
-        """The group that holds a part, by the form."""
-        out = F.lit(None).cast("string")
-        for k, form in enumerate(PRICED):
-            if form[place]:
-                out = F.when(F.col("form") == k + 1, F.trim(F.regexp_extract("match", "(?i)" + form[0], form[place]))).otherwise(out)
-        return out
+        def read(m: Column) -> Column:
+            title, one, two, description = (part(m, g) for g in places)
+            return F.struct(F.lit(k + 1).alias("form"), title.alias("title"), one.alias("_one"), two.alias("_two"), F.nullif(description, F.lit("")).alias("description"))
 
-    rows = rows.withColumns({"title": group(1), "_one": group(2), "_two": group(3), "description": F.nullif(group(4), F.lit(""))})
+        all_of = F.transform(F.regexp_extract_all("_line", F.lit(pattern), F.lit(0)), read).cast(kind)
+        return F.when(F.col("_line").rlike(NEEDED[k + 1]), all_of).otherwise(F.array().cast(kind)) if k + 1 in NEEDED else all_of
+
+    rows = rows.select(*key, "_section", F.explode(F.flatten(F.array(*map(found, range(len(PRICED)))))).alias("f")).select(*key, "_section", "f.*")
     share = F.col("_one").rlike("(?i)%|half")
     one, two = F.col("_one").try_cast("double"), F.col("_two").try_cast("double")
     good = share | ((one >= low) & (F.coalesce(two, one) <= high))
