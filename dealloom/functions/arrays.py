@@ -23,7 +23,11 @@ def _appended(values: Column) -> Column:
 
 def running_sums(values: Column, block: int = BLOCK) -> Column:
     """Sums of an array of ints up to each value. Blocks are summed by themselves and then moved, so long arrays take little more than their length."""
-    n = F.size(values)
-    blocks = F.transform(F.sequence(F.lit(0), F.ceil(n / block).cast("int") - 1), lambda b: _appended(F.slice(values, b * block + 1, F.lit(block))))
-    moved = lambda blocks: F.zip_with(blocks, _appended(F.transform(blocks, lambda b: F.element_at(b, -1))), lambda b, end: F.transform(b, lambda s: s + end - F.element_at(b, -1)))
-    return F.when(n > 0, F.flatten(F.get(F.transform(F.array(blocks), moved), F.lit(0)))).otherwise(F.array().cast("array<int>"))
+
+    def sums(values: Column) -> Column:
+        n = F.size(values)
+        blocks = F.transform(F.sequence(F.lit(0), F.ceil(n / block).cast("int") - 1), lambda b: _appended(F.slice(values, b * block + 1, F.lit(block))))
+        moved = lambda blocks: F.zip_with(blocks, _appended(F.transform(blocks, lambda b: F.element_at(b, -1))), lambda b, end: F.transform(b, lambda s: s + end - F.element_at(b, -1)))
+        return F.when(n > block, F.flatten(let(blocks, moved))).when(n > 0, _appended(values)).otherwise(F.array().cast("array<int>"))
+
+    return let(values, sums)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from dealloom.functions.arrays import let
+
 WEEK = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 
 
@@ -24,28 +26,33 @@ def day_list(days: Column) -> Column:
 
 def minute_of_day(time: Column) -> Column:
     """Minutes since midnight of '3pm', '3:30 PM', '12 am' or '15:00'; null for anything else."""
-    t = F.lower(F.trim(time))
-    half = F.regexp_extract(t, r"^(\d{1,2})(?::(\d{2}))?\s*(am|pm)$", 1)
-    full = F.regexp_extract(t, r"^(\d{2}):(\d{2})$", 1)
-    hour, minute, noon = half.try_cast("int"), F.regexp_extract(t, r"^(\d{1,2})(?::(\d{2}))?\s*(am|pm)$", 2), F.regexp_extract(t, r"^(\d{1,2})(?::(\d{2}))?\s*(am|pm)$", 3)
-    minute = F.when(minute == "", 0).otherwise(minute.try_cast("int"))
-    twelve = F.when(hour.between(1, 12) & (minute < 60), (hour % 12 + F.when(noon == "pm", 12).otherwise(0)) * 60 + minute)
-    late = F.regexp_extract(t, r"^(\d{2}):(\d{2})$", 2).try_cast("int")
-    return F.coalesce(twelve, F.when((full.try_cast("int") < 24) & (late < 60), full.try_cast("int") * 60 + late))
+    one, two = r"^(\d{1,2})(?::(\d{2}))?\s*(am|pm)$", r"^(\d{2}):(\d{2})$"
+
+    def twelve(x: Column) -> Column:
+        return F.when(x["hour"].between(1, 12) & (x["minute"] < 60), (x["hour"] % 12 + F.when(x["noon"] == "pm", 12).otherwise(0)) * 60 + x["minute"])
+
+    def minutes(t: Column) -> Column:
+        part = lambda p, k: F.regexp_extract(t, p, k)
+        halves = F.struct(part(one, 1).try_cast("int").alias("hour"), F.coalesce(F.nullif(part(one, 2), F.lit("")), F.lit("0")).try_cast("int").alias("minute"), part(one, 3).alias("noon"))
+        whole = F.struct(part(two, 1).try_cast("int").alias("hour"), part(two, 2).try_cast("int").alias("minute"))
+        return F.when(t.rlike(one), let(halves, twelve)).when(t.rlike(two), let(whole, lambda x: F.when((x["hour"] < 24) & (x["minute"] < 60), x["hour"] * 60 + x["minute"])))
+
+    return let(F.lower(F.trim(time)), minutes)
 
 
 def time_24h(time: Column) -> Column:
     """A time as HH:MM, or null."""
-    m = minute_of_day(time)
-    return F.when(m.isNotNull(), F.concat(F.lpad(F.floor(m / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((m % 60).cast("string"), 2, "0")))
+    return let(minute_of_day(time), lambda m: F.when(m.isNotNull(), F.concat(F.lpad(F.floor(m / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((m % 60).cast("string"), 2, "0"))))
 
 
 def time_12h(time: Column) -> Column:
     """HH:MM as '3:05 PM'; other text as it is."""
-    m = minute_of_day(time)
-    hour = F.floor(m / 60)
-    label = F.concat(F.when(hour % 12 == 0, 12).otherwise(hour % 12).cast("string"), F.lit(":"), F.lpad((m % 60).cast("string"), 2, "0"), F.when(hour < 12, " AM").otherwise(" PM"))
-    return F.coalesce(F.when(m.isNotNull(), label), time)
+
+    def label(m: Column) -> Column:
+        hour = F.floor(m / 60)
+        return F.when(m.isNotNull(), F.concat(F.when(hour % 12 == 0, 12).otherwise(hour % 12).cast("string"), F.lit(":"), F.lpad((m % 60).cast("string"), 2, "0"), F.when(hour < 12, " AM").otherwise(" PM")))
+
+    return F.coalesce(let(minute_of_day(time), label), time)
 
 
 def _all_of(days: Column, wanted: Sequence[str]) -> Column:
@@ -127,9 +134,12 @@ def loose_time_24h(time: Column) -> Column:
 
 def shown_time(time: Column) -> Column:
     """'3pm' as '3:00 PM'; a bare hour from 2 to 11 is in the afternoon; other text stays."""
-    t = F.trim(time)
-    bare = F.when(t.rlike(r"^\d{1,2}$"), t.try_cast("int"))
-    return F.coalesce(F.when(bare.between(2, 11), F.concat(bare.cast("string"), F.lit(":00 PM"))), time_12h(t))
+
+    def shown(t: Column) -> Column:
+        bare = F.when(t.rlike(r"^\d{1,2}$"), t.try_cast("int"))
+        return F.coalesce(F.when(bare.between(2, 11), F.concat(bare.cast("string"), F.lit(":00 PM"))), time_12h(t))
+
+    return let(F.trim(time), shown)
 
 
 def timeframe(text: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dealloom.functions.arrays import running_sums
+from dealloom.functions.arrays import let, running_sums
 from dealloom.functions.deals import first_match
 from dealloom.functions.times import WEEK, day_name
 
@@ -19,23 +19,28 @@ PRICE = r"\$\d+(?:\.\d{2})?"
 DEAL_WORDS = {"drink": ("beer", "wine", "cocktail", "drink", "margarita", "martini"), "food": ("taco", "burger", "oyster", "pizza", "appetizer", "wings")}
 
 
+def unmarked(text: Column) -> Column:
+    """The text with spaces for the two marks."""
+    return F.when(F.contains(text, F.lit("\u0001")) | F.contains(text, F.lit("\u0002")), F.translate(text, "\u0001\u0002", "  ")).otherwise(text)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """All matches with their places (from 0): array of (start, text).
 
     Matches are put between two marks (those already in the text become spaces), the text is split at
-    the first, and the places are running sums of the lengths.
+    the first, and the places are running sums of the lengths. A text without a match is only searched once.
     """
-    parts = F.split(F.regexp_replace(F.translate(text, "\u0001\u0002", "  "), f"({pattern})" if not pattern.startswith("(?i)") else f"(?i)({pattern[4:]})", "\u0001$1\u0002"), "\u0001")
+    parts = F.split(F.regexp_replace(unmarked(text), f"({pattern})" if not pattern.startswith("(?i)") else f"(?i)({pattern[4:]})", "\u0001$1\u0002"), "\u0001")
     kind = "array<struct<start:int,text:string>>"
 
     def placed(parts: Column) -> Column:
         # Each part but the first begins with a match and one mark behind it.
-        sizes = F.transform(parts, lambda part, i: F.length(part) - F.when(i > 0, 1).otherwise(0))
-        ends = running_sums(F.slice(sizes, F.lit(1), F.size(sizes) - 1))
-        return F.zip_with(ends, F.slice(parts, F.lit(2), F.size(parts) - 1), lambda at, part: F.struct(at.alias("start"), F.get(F.split(part, "\u0002"), F.lit(0)).alias("text"))).cast(kind)
+        ends = running_sums(F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda part, i: F.length(part) - F.when(i > 0, 1).otherwise(0)))
+        return F.zip_with(ends, F.slice(parts, F.lit(2), F.size(parts) - 1), lambda at, part: F.struct(at.alias("start"), F.substring_index(part, "\u0002", 1).alias("text"))).cast(kind)
 
-    found = F.get(F.transform(F.array(parts), lambda p: F.when(F.size(p) > 1, placed(p))), F.lit(0))
-    return F.coalesce(found, F.array().cast(kind))
+    found = let(parts, lambda p: F.when(F.size(p) > 1, placed(p)))
+    some = text.rlike(pattern) | F.contains(text, F.lit("\u0001")) | F.contains(text, F.lit("\u0002"))
+    return F.coalesce(F.when(some, found), F.array().cast(kind))
 
 
 def mentions(sections: DataFrame, key: Sequence[str], patterns: dict[str, str], text: str = "text") -> DataFrame:

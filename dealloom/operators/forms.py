@@ -44,7 +44,7 @@ DEAL = "struct<form:string,place:int,title:string,description:string,days:array<
 def _span(text: Column, pattern: str) -> tuple[Column, Column, Column]:
     """Whether a range of hours is there, and both ends; ends without am or pm are in the afternoon."""
     end = lambda k: shown_time(F.when(F.regexp_extract(text, pattern, k).rlike("[ap]m$"), F.regexp_extract(text, pattern, k)).otherwise(F.concat(F.regexp_extract(text, pattern, k), F.lit("pm"))))
-    return text.rlike(pattern), end(1), end(2)
+    return (text.contains("every") if "every" in pattern else F.lit(True)) & text.rlike(pattern), end(1), end(2)
 
 
 def read(form: Column, text: Column, place: Column) -> Column:
@@ -57,30 +57,30 @@ def read(form: Column, text: Column, place: Column) -> Column:
     before, before_start, before_end = _span(text, rf"every\s+day\s+({H})\s*-\s*({H})\s*pm")
     bare, bare_start, bare_end = _span(text, rf"({H})\s*-\s*({H})\s*pm")
     full, full_start, full_end = _span(text, rf"({T})\s*-\s*({T})")
-    late = text.rlike(FORMS[7][1])
+    late = text.contains("close") & text.rlike(FORMS[7][1])
     share = F.regexp_replace(F.initcap(F.regexp_extract(text, r"(\d+%\s*off|half-off)", 1)), "-off$", "-Off")
     named = F.regexp_extract(text, rf"every\s+({ANY_DAY})", 1)
     share_title = F.when(text.contains("vegan") & text.contains("maki"), "Vegan Maki Special").when(text.contains("sake"), "Sake Special").otherwise(F.concat(share, F.lit(" Special")))
     edge = lambda k: F.array_position(week, F.regexp_extract(text, FORMS[1][1], k)).cast("int")
-    ranged = text.rlike(FORMS[1][1]) & (edge(1) <= edge(2)) & (F.regexp_extract(text, FORMS[1][1], 4) != "")
+    ranged = text.contains("happy") & text.rlike(FORMS[1][1]) & (edge(1) <= edge(2)) & (F.regexp_extract(text, FORMS[1][1], 4) != "")
     mentioned = F.array_distinct(F.regexp_extract_all(text, F.lit(DAY), F.lit(0)))
     label = F.when(F.size(mentioned) <= 3, F.concat(F.array_join(F.transform(mentioned, F.initcap), ", "), F.lit(" Happy Hour"))).otherwise("Weekly Happy Hour")
     weekdays, weekend = F.slice(week, 1, 5), F.slice(week, 6, 2)
     # Condition, title, days, start, end, all day, confidence.
     readings = (
-        (prices != "", text_of("Happy Hour"), days_none, none, none, False, PRICED),
+        (text.contains("$") & (prices != ""), text_of("Happy Hour"), days_none, none, none, False, PRICED),
         (after, text_of("Daily Happy Hour"), week, after_start, after_end, False, SURE),
         (before, text_of("Daily Happy Hour"), week, before_start, before_end, False, SURE),
         (late, text_of("Late Night Happy Hour"), F.slice(week, 4, 3), shown_time(F.concat(F.regexp_extract(text, FORMS[7][1], 1), F.lit("pm"))), text_of("Close"), False, SURE),
-        (text.rlike(FORMS[8][1]), share_title, F.array(day_name(named)), none, none, True, SURE),
-        (named != "", F.concat(F.initcap(named), F.lit(" Special")), F.array(day_name(named)), none, none, True, SURE),
+        (text.contains("every") & text.rlike(FORMS[8][1]), share_title, F.array(day_name(named)), none, none, True, SURE),
+        (text.contains("every") & (named != ""), F.concat(F.initcap(named), F.lit(" Special")), F.array(day_name(named)), none, none, True, SURE),
         (text.contains("weekdays") & bare, text_of("Weekday Happy Hour"), weekdays, bare_start, bare_end, False, SURE),
         (text.contains("weekends") & bare, text_of("Weekend Happy Hour"), weekend, bare_start, bare_end, False, SURE),
         (text.rlike(FORMS[12][1]), text_of("All Day Happy Hour"), week, none, none, True, SURE),
         (ranged, text_of("Weekly Happy Hour"), F.slice(week, edge(1), edge(2) - edge(1) + 1), full_start, full_end, False, SURE),
         (full & (F.size(mentioned) > 0), label, mentioned, full_start, full_end, False, SURE),
     )
-    described = F.when(prices != "", F.concat(F.lit("Happy hour with items at "), prices, F.lit(" pricing"))).otherwise(text)
+    described = F.when(text.contains("$") & (prices != ""), F.concat(F.lit("Happy hour with items at "), prices, F.lit(" pricing"))).otherwise(text)
     deal = lambda title, days, start, end, all_day, sure: F.struct(title.alias("title"), days.alias("days"), start.alias("start_time"), end.alias("end_time"), F.lit(all_day).alias("is_all_day"), F.lit(sure).alias("confidence"))
     first = F.coalesce(*[F.when(condition, deal(*values)) for condition, *values in readings])
     whole = lambda d: F.when(d.isNotNull(), F.struct(form.alias("form"), place.alias("place"), d["title"].alias("title"), described.alias("description"), *[d[c].alias(c) for c in ("days", "start_time", "end_time", "is_all_day", "confidence")]).cast(DEAL))

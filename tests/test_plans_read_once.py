@@ -16,6 +16,21 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_shown_times_read_the_text_once(spark):
+    df = spark.createDataFrame([("3pm",), ("7",), ("13:05",), ("12:30 AM",), ("25:00",), ("soon",), (None,), ("13pm",)], "t string")
+    got = df.select(F.transform(F.array("t"), T.shown_time)[0])
+    assert [r[0] for r in got.collect()] == ["3:00 PM", "7:00 PM", "1:05 PM", "12:30 AM", "25:00", "soon", None, "13pm"]
+    assert len(re.findall("regexp_extract", plan(got))) <= 12
+
+
+def test_matches_with_marks_in_the_text(spark):
+    df = spark.createDataFrame([("a1 b22",), ("none",), ("",), (None,), ("\u00011\u0002x 3",), ("\u0001\u0002",), ("9" * 3 + " x" * 200 + " 7",)], "t string")
+    got = [[tuple(m) for m in r[0]] for r in df.select(matches(F.col("t"), r"\d+")).collect()]
+    assert got == [[(1, "1"), (4, "22")], [], [], [], [(1, "1"), (5, "3")], [], [(0, "999"), (404, "7")]]
+    sums = spark.createDataFrame([([1] * 64,), ([2] * 65,), ([],), (None,)], "v array<int>").select(running_sums(F.col("v"))).collect()
+    assert [r[0] for r in sums] == [list(range(1, 65)), list(range(2, 131, 2)), [], []]
+
+
 def test_priced_forms_extract_within_the_match(spark):
     df = spark.createDataFrame([(1, "OYSTERS IN BUTTER  12"), (2, "20% off tacos"), (3, "DUCK — $9.50"), (4, "$4 Big Plate"), (5, "fish and chips $12")], "doc int, line string")
     got = X.priced_forms(df, ("doc",))
