@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dealloom.functions.arrays import let
+from dealloom.operators.extract import unmarked
+
 # Headings of lists that are no areas, words that tell times, addresses and other lines.
 SKIPPED = ("Swanky Happy Hour", "Speakeasy", "Taco Tuesday", "Classic bar", "Service Industry", "Other Awesome")
 TIME_WORDS = ("mon", "tue", "wed", "thu", "fri", "sat", "sun", "am", "pm", "close", "all day", "night", "open")
@@ -24,14 +27,25 @@ def _count(text: Column, words: Sequence[str]) -> Column:
     return sum((F.when(text.contains(w), 1).otherwise(0) for w in words), F.lit(0))
 
 
+def _any(text: Column, words: Sequence[str]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | text.contains(w)
+    return out
+
+
 def is_name(text: Column) -> Column:
     """Whether bold text is a name rather than a schedule."""
-    low, n = F.lower(text), _count(F.lower(text), NAME_TIME_WORDS)
-    return (n < 2) & ~((F.length(text) > 60) & (n > 0)) & ~text.rlike(r"\d+\s*[-|]\s*\d+") & ~low.rlike(r"(mon|tue|wed|thu|fri|sat|sun)\s*[|&]")
+
+    def named(low: Column) -> Column:
+        n = _count(low, NAME_TIME_WORDS)
+        return (n < 2) & ~((F.length(text) > 60) & (n > 0)) & ~text.rlike(r"\d+\s*[-|]\s*\d+") & ~low.rlike(r"(mon|tue|wed|thu|fri|sat|sun)\s*[|&]")
+
+    return let(F.lower(text), named)
 
 
 def is_schedule(text: Column) -> Column:
-    return (_count(F.lower(text), TIME_WORDS) > 0) & text.rlike("[-|:]")
+    return let(F.lower(text), lambda low: _any(low, TIME_WORDS)) & text.rlike("[-|:]")
 
 
 def _bare(line: Column) -> Column:
@@ -58,68 +72,76 @@ def neighbourhood(area: Column, location: Column, address: Column) -> Column:
     return F.when((area == "Central") & address.isNotNull(), central).otherwise(location)
 
 
-def guide_lines(guides: DataFrame, key: Sequence[str], text: str = "text") -> DataFrame:
-    """key, area, block, line, text and class of every line of every place.
-
-    Areas stand between three stars; a place begins at a bold line after an empty one. The classes, of
-    which the first that fits counts: name, schedule, cuisine, link, address, location, note, other.
-    A place's first bold line that is a name is its name; of addresses and locations only the first
-    counts, later ones fall to the next class. Everything is decided within the row of a place.
-    """
-    marked = F.regexp_replace(F.translate(F.col(text), "\u0001\u0002", "  "), r"\*{3}([^*]+)\*{3}", "\u0001$1\u0002")
+def guide_blocks(guides: DataFrame, key: Sequence[str], text: str = "text") -> DataFrame:
+    """key, part, block, area, name and lines (text, class) of every place; the classes are those of guide_lines."""
+    marked = F.regexp_replace(unmarked(F.col(text)), r"\*{3}([^*]+)\*{3}", "\u0001$1\u0002")
     parts = F.transform(F.split(marked, "\u0001"), lambda part: F.struct(F.trim(F.split_part(part, F.lit("\u0002"), F.lit(1))).alias("area"), F.split_part(part, F.lit("\u0002"), F.lit(2)).alias("body")))
     # What stands before the first area is no place's.
-    rows = guides.select(*key, F.posexplode(parts).alias("_part", "_a")).filter("_part > 0").select(*key, "_part", "_a.*")
-    rows = rows.filter(_count(F.col("area"), SKIPPED) == 0)
+    rows = guides.select(*key, F.posexplode(parts).alias("part", "_a")).filter("part > 0").select(*key, "part", "_a.*")
+    rows = rows.filter(~_any(F.col("area"), SKIPPED))
     blocks = F.split(F.col("body"), r"\n\n(?=\*\*[^*\n]*\*\*)")
-    rows = rows.select(*key, "_part", "area", F.posexplode(blocks).alias("_block", "_text")).filter(F.length(F.trim(F.regexp_replace("_text", r"^\s+|\s+$", ""))) >= LEAST_BLOCK)
+    rows = rows.select(*key, "part", "area", F.posexplode(blocks).alias("block", "_text")).filter(F.length(F.trim(F.regexp_replace("_text", r"^\s+|\s+$", ""))) >= LEAST_BLOCK)
     lines = F.filter(F.transform(F.split("_text", "\n"), lambda line: F.regexp_replace(line, r"^\s+|\s+$", "")), lambda line: line != "")
-    rows = rows.select(*key, "_part", "area", "_block", lines.alias("_lines"))
     bold = lambda line: line.startswith("**") & line.endswith("**") & (F.length(line) > 4)
-    named = F.filter("_lines", lambda line: bold(line) & is_name(_bare(line)))
-    rows = rows.withColumn("_name", F.get(named, F.lit(0))).filter(F.col("_name").isNotNull())
-
-    def class_of(line: Column, has_address: Column, has_location: Column) -> Column:
-        low, plain = F.lower(line), _bare(line)
-        address = line.rlike(r"\d") & (_count(low, ADDRESS_WORDS) > 0) & ~has_address
-        location = ~line.rlike(r"\d") & ~line.startswith("[") & ~low.contains("http") & (F.length(line) > 2) & (F.length(line) < LONGEST_LOCATION) & ~has_location & (_count(low, NO_LOCATION) == 0)
-        return (
-            F.when(line == F.col("_name"), "name").when(bold(line) & is_schedule(plain), "schedule")
-            .when(line.startswith("*") & line.endswith("*") & ~line.startswith("**") & (F.length(line) > 2) & (_count(F.lower(plain), NO_CUISINE) == 0), "cuisine")
-            .when(line.rlike(r"\[") & line.rlike(r"\]\([^)]*http[^)]*\)"), "link")
-            .when(address, "address").when(location, "location").when(low.contains("🥕") | low.contains("plant") | low.contains("vegan"), "note").otherwise("other")
-        )
+    name = lambda lines: F.get(F.filter(lines, lambda line: bold(line) & let(_bare(line), is_name)), F.lit(0))
+    # Blocks without a name go as rows are made, so no line is read twice.
+    named = F.filter(F.array(let(lines, lambda x: F.struct(x.alias("_lines"), name(x).alias("_name")))), lambda b: b["_name"].isNotNull())
+    rows = rows.select(*key, "part", "block", "area", F.explode(named).alias("_b")).select(*key, "part", "block", "area", "_b.*")
+
+    def class_of(line: Column) -> Column:
+        """The line's class, and the one it falls to if the place has an address, or a location, already. An address has a digit, a location has none."""
+
+        def of(x: Column) -> Column:
+            low, plain = x["low"], x["plain"]
+            later = F.when(_any(low, ("🥕", "plant", "vegan")), "note").otherwise("other")
+            digit = line.rlike(r"\d")
+            address = digit & _any(low, ADDRESS_WORDS)
+            location = ~digit & ~line.startswith("[") & ~low.contains("http") & (F.length(line) > 2) & (F.length(line) < LONGEST_LOCATION) & ~_any(low, NO_LOCATION)
+            first = (
+                F.when(line == F.col("_name"), "name").when(bold(line) & is_schedule(plain), "schedule")
+                .when(line.startswith("*") & line.endswith("*") & ~line.startswith("**") & (F.length(line) > 2) & ~_any(F.lower(plain), NO_CUISINE), "cuisine")
+                .when(line.contains("[") & line.rlike(r"\]\([^)]*http[^)]*\)"), "link")
+                .when(address, "address").when(location, "location").otherwise(later)
+            )
+            return F.struct(line.alias("text"), first.alias("class"), later.alias("later"))
+
+        return let(F.struct(F.lower(line).alias("low"), _bare(line).alias("plain")), of)
+
+    def settled(found: Column) -> Column:
+        classes = F.transform(found, lambda x: x["class"])
+        firsts = F.struct(F.array_position(classes, "address").alias("address"), F.array_position(classes, "location").alias("location"))
+        again = lambda x, i, at: ((x["class"] == "address") & (i + 1 > at["address"])) | ((x["class"] == "location") & (i + 1 > at["location"]))
+        return let(firsts, lambda at: F.transform(found, lambda x, i: F.struct(x["text"].alias("text"), F.when(again(x, i, at), x["later"]).otherwise(x["class"]).alias("class"))))
+
+    return rows.select(*key, "part", "block", "area", _unescaped(_bare(F.col("_name"))).alias("name"), let(F.transform("_lines", class_of), settled).alias("lines"))
 
-    # A line's class depends on the lines before it only by two facts: an address, and a location, have been.
-    kind = "struct<has_address:boolean,has_location:boolean,found:array<string>>"
 
-    def step(state: Column, line: Column) -> Column:
-        one = class_of(line, state["has_address"], state["has_location"])
-        return F.struct((state["has_address"] | (one == "address")).alias("has_address"), (state["has_location"] | (one == "location")).alias("has_location"), F.array_append(state["found"], one).alias("found")).cast(kind)
+def guide_lines(guides: DataFrame, key: Sequence[str], text: str = "text") -> DataFrame:
+    """key, area, block, line, text and class of every line of every place.
 
-    begin = F.struct(F.lit(False).alias("has_address"), F.lit(False).alias("has_location"), F.array().cast("array<string>").alias("found")).cast(kind)
-    rows = rows.withColumn("_classes", F.aggregate("_lines", begin, step, lambda state: state["found"]))
-    out = rows.select(*key, "_part", "_block", "area", _unescaped(_bare(F.col("_name"))).alias("name"), F.posexplode(F.arrays_zip(F.col("_lines").alias("text"), F.col("_classes").alias("class"))).alias("line", "l"))
-    return out.select(*key, F.col("_part").alias("part"), F.col("_block").alias("block"), "area", "name", "line", "l.text", "l.class")
+    Areas stand between three stars; a place begins at a bold line after an empty one. The classes, of
+    which the first that fits counts: name, schedule, cuisine, link, address, location, note, other.
+    A place's first bold line that is a name is its name; of addresses and locations only the first
+    counts, later ones fall to the next class. Everything is decided within the row of a place.
+    """
+    return guide_blocks(guides, key, text).select(*key, "part", "block", "area", "name", F.posexplode("lines").alias("line", "l")).select(*key, "part", "block", "area", "name", "line", "l.*")
 
 
 def guide_places(guides: DataFrame, key: Sequence[str], text: str = "text") -> DataFrame:
     """One row per area and slug: name, neighbourhood, address, cuisine, schedules in order, website, whether plant-based.
 
-    Of places with the same slug in an area the last counts. Guides of any number are read at once.
+    Of places with the same slug in an area the last counts. Guides of any number are read at once; a place is
+    read within its row, and only whole places are grouped.
     """
-    lines = guide_lines(guides, key, text)
-    one = lambda name, value, pick: pick(F.when(F.col("class") == name, value), F.when(F.col("class") == name, F.col("line")))
-    schedules = F.array_sort(F.collect_list(F.when(F.col("class") == "schedule", F.struct("line", _unescaped(_bare(F.col("text"))).alias("text")))))
-    places = lines.groupBy(*key, "part", "block", "area", "name").agg(
-        one("location", F.col("text"), F.min_by).alias("location"), one("address", F.col("text"), F.min_by).alias("address"),
-        one("cuisine", _bare(F.col("text")), F.max_by).alias("cuisine"), F.transform(schedules, lambda s: s["text"]).alias("schedules"),
-        one("link", F.regexp_extract("text", r"\(([^)]*http[^)]*)\)", 1), F.max_by).alias("website"), F.coalesce(F.bool_or(F.col("class") == "note"), F.lit(False)).alias("plant_based"),
+    of = lambda name: F.transform(F.filter("lines", lambda x: x["class"] == name), lambda x: x["text"])
+    first, last = (lambda name: F.get(of(name), F.lit(0))), (lambda name: F.try_element_at(of(name), F.lit(-1)))
+    places = guide_blocks(guides, key, text).select(
+        *key, "part", "block", "area", "name", slug(F.col("name")).alias("slug"), first("location").alias("location"), first("address").alias("address"), _bare(last("cuisine")).alias("cuisine"),
+        F.transform(of("schedule"), lambda x: _unescaped(_bare(x))).alias("schedules"), F.regexp_extract(last("link"), r"\(([^)]*http[^)]*)\)", 1).alias("website"), F.exists("lines", lambda x: x["class"] == "note").alias("plant_based"),
     )
-    places = places.withColumn("slug", slug(F.col("name")))
     values = F.struct("name", neighbourhood(F.col("area"), F.col("location"), F.col("address")).alias("neighbourhood"), "address", "cuisine", "schedules", "website", "plant_based")
-    last = places.groupBy(*key, "area", "slug").agg(F.max_by(values, F.struct("part", "block")).alias("p"))
-    return last.select(*key, "area", "slug", "p.*")
+    last_of = places.groupBy(*key, "area", "slug").agg(F.max_by(values, F.struct("part", "block")).alias("p"))
+    return last_of.select(*key, "area", "slug", "p.*")
 
 
 def guide_districts(places: DataFrame, key: Sequence[str]) -> DataFrame:

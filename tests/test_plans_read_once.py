@@ -31,6 +31,16 @@ def test_matches_with_marks_in_the_text(spark):
     assert [r[0] for r in sums] == [list(range(1, 65)), list(range(2, 131, 2)), [], []]
 
 
+def test_places_are_read_within_their_row(spark):
+    text = "***LoHi***\n\n**Cafe A**\n*Thai*\n12 First St\n7 Other Street vegan\nOld Town\nBy the river\n*Greek*\n[a](http://x)\n[b](http://y)\n\n**Cafe A**\n**Mon | 3 pm**\nvegan menu"
+    df = spark.createDataFrame([(1, text), (2, None)], "seq int, text string")
+    got = G.guide_places(df, ("seq",))
+    assert [tuple(r) for r in got.collect()] == [(1, "LoHi", "cafe-a", "Cafe A", None, None, None, ["Mon | 3 pm"], None, True)]
+    lines = [(r.block, r["class"]) for r in G.guide_lines(df, ("seq",)).orderBy("block", "line").collect()]
+    assert lines == [(1, c) for c in ("name", "cuisine", "address", "note", "location", "other", "cuisine", "link", "link")] + [(2, c) for c in ("name", "schedule", "note")]
+    assert plan(got).count("Aggregate") == 1
+
+
 def test_priced_forms_extract_within_the_match(spark):
     df = spark.createDataFrame([(1, "OYSTERS IN BUTTER  12"), (2, "20% off tacos"), (3, "DUCK — $9.50"), (4, "$4 Big Plate"), (5, "fish and chips $12")], "doc int, line string")
     got = X.priced_forms(df, ("doc",))
