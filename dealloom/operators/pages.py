@@ -103,21 +103,21 @@ def containers(pages: DataFrame, key: Sequence[str], selectors: Sequence[str], h
             return F.transform(F.filter(pairs, lambda p: p["step"] > 0), lambda p: F.struct(p["open"].alias("open"), p["close"].alias("close")))
 
         once = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
-        return once(named, lambda marks: F.when(F.size(marks) > 0, once(F.array_sort(levels(marks)), closed)))
+        return F.when(F.array_contains("_names", tag), once(named, lambda marks: once(F.array_sort(levels(marks)), closed)))
 
     none = F.array().cast("array<struct<open:int,close:int>>")
     rows = rows.withColumns({f"_{t}": F.coalesce(elements(t), none) for t in tags})
     piece = lambda e: F.element_at("_pieces", e["open"])
 
     def meant(selector: str) -> Column:
-        some = [F.filter(f"_{t}", _one(lambda e, t=t: _selected(piece(e), t, selector))) for t in tags]
-        found = F.array_sort(F.concat(*some))
+        some = [F.filter(f"_{t}", _one(lambda e, t=t: _selected(piece(e), t, selector))) for t in tags if t == selector.lower() or not re.fullmatch(r"[A-Za-z][\w-]*", selector)]
+        found = F.array_sort(F.concat(*some)) if some else none
         return F.slice(found, 1, first) if first else found
 
     inner = lambda e: visible_text(F.concat(F.lit("<"), F.array_join(F.slice("_pieces", e["open"], e["close"] - e["open"]), "<")))
-    each = F.flatten(F.array(*[F.transform(meant(s), _pair(lambda e, i, s=s: F.struct(F.lit(s).alias("selector"), i.alias("pos"), e["open"].alias("open"), e["close"].alias("close")))) for s in selectors]))
-    out = rows.select(*key, "_pieces", F.explode(each).alias("e")).select(*key, "e.selector", "e.pos", inner(F.col("e")).alias("text"))
-    return out.filter(F.length("text") > longer_than)
+    each = F.flatten(F.array(*[F.transform(meant(s), _pair(lambda e, i, s=s: F.struct(F.lit(s).alias("selector"), i.alias("pos"), inner(e).alias("text")))) for s in selectors]))
+    # Short texts go before rows are made, so a text is read once.
+    return rows.select(*key, F.explode(F.filter(each, lambda e: F.length(e["text"]) > longer_than)).alias("e")).select(*key, "e.*")
 
 
 def _one(f):

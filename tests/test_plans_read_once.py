@@ -31,6 +31,13 @@ def test_matches_with_marks_in_the_text(spark):
     assert [r[0] for r in sums] == [list(range(1, 65)), list(range(2, 131, 2)), [], []]
 
 
+def test_containers_read_a_text_once(spark):
+    df = spark.createDataFrame([(1, "<div>short</div><DIV>words that are long enough to stay</DIV>"), (2, None), (3, "no tags")], "page_id int, html string")
+    got = P.containers(df, ("page_id",), ("div", "nav"))
+    assert [tuple(r) for r in got.collect()] == [(1, "div", 1, "words that are long enough to stay")]
+    assert "Filter (length(" not in plan(got)
+
+
 def test_places_are_read_within_their_row(spark):
     text = "***LoHi***\n\n**Cafe A**\n*Thai*\n12 First St\n7 Other Street vegan\nOld Town\nBy the river\n*Greek*\n[a](http://x)\n[b](http://y)\n\n**Cafe A**\n**Mon | 3 pm**\nvegan menu"
     df = spark.createDataFrame([(1, text), (2, None)], "seq int, text string")
