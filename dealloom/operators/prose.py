@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dealloom.functions.arrays import let
 from dealloom.functions.deals import has_any
 from dealloom.operators.extract import DAYS, matches, nearest_day
 from dealloom.operators.rules import rule_errors
@@ -135,18 +136,23 @@ def priced_forms(lines: DataFrame, key: Sequence[str], line: str = "line", secti
 
 def without_noise(text: Column, noise: Sequence[str] = NOISE, keep: Sequence[str] = KEYWORDS, around: int = 50) -> Column:
     """Text without the noise words, and without opening hours, in any of their forms, that have no keyword within so many characters."""
+    less = text
     for word in noise:
-        text = F.regexp_replace(text, f"(?i){word}", "")
+        less = F.regexp_replace(less, f"(?i){word}", "")
 
-    def cut(left: Column, m: Column) -> Column:
-        near = F.substring(text, F.greatest(m["start"] - around, F.lit(0)) + 1, F.least(m["start"], F.lit(around)) + F.length(m["text"]) + around)
-        return F.when(has_any(F.lower(near), tuple(keep)), left).otherwise(F.replace(left, m["text"], F.lit("")))
+    def without_hours(text: Column) -> Column:
+        def cut(left: Column, m: Column) -> Column:
+            near = F.substring(text, F.greatest(m["start"] - around, F.lit(0)) + 1, F.least(m["start"], F.lit(around)) + F.length(m["text"]) + around)
+            return F.when(has_any(F.lower(near), tuple(keep)), left).otherwise(F.replace(left, m["text"], F.lit("")))
 
-    # Of "Kitchen hours ..." and the "hours ..." in it only the whole counts.
-    end = lambda m: m["start"] + F.length(m["text"])
-    outer = lambda all_: F.filter(all_, lambda m: ~F.exists(all_, lambda x: (x["start"] < m["start"]) & (end(x) >= end(m))))
-    found = F.get(F.transform(F.array(F.concat(*[matches(text, "(?i)" + p) for p in OPENING])), lambda all_: F.array_sort(outer(all_))), F.lit(0))
-    return F.trim(F.aggregate(found, text, cut))
+        # Of "Kitchen hours ..." and the "hours ..." in it only the whole counts.
+        end = lambda m: m["start"] + F.length(m["text"])
+        outer = lambda all_: F.filter(all_, lambda m: ~F.exists(all_, lambda x: (x["start"] < m["start"]) & (end(x) >= end(m))))
+        found = let(F.concat(*[matches(text, "(?i)" + p) for p in OPENING]), lambda all_: F.array_sort(outer(all_)))
+        return F.trim(F.aggregate(found, text, cut))
+
+    # The words go one after the other, in texts that hold any; the rest is read from the shorter text, which is made once.
+    return let(F.when(text.rlike("(?i)" + "|".join(noise)), less).otherwise(text) if noise else text, without_hours)
 
 
 def ruled_deals(texts: DataFrame, rules: DataFrame, key: Sequence[str], text: str = "text") -> DataFrame:

@@ -31,6 +31,13 @@ def test_matches_with_marks_in_the_text(spark):
     assert [r[0] for r in sums] == [list(range(1, 65)), list(range(2, 131, 2)), [], []]
 
 
+def test_noise_is_removed_once(spark):
+    df = spark.createDataFrame([("About us: x",), ("Open 9:00 am - 5:00 pm",), ("none",), (None,)], "t string")
+    got = df.select(X.without_noise(F.col("t")).alias("x"))
+    assert [r[0] for r in got.collect()] == [": x", "", "none", None]
+    assert len(re.findall(r"\(\?i\)newsletter,", plan(got))) == 1
+
+
 def test_containers_read_a_text_once(spark):
     df = spark.createDataFrame([(1, "<div>short</div><DIV>words that are long enough to stay</DIV>"), (2, None), (3, "no tags")], "page_id int, html string")
     got = P.containers(df, ("page_id",), ("div", "nav"))
