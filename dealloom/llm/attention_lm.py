@@ -8,8 +8,8 @@ most frequent ones share a last place, and have their share of its counts there.
 
 Weights are learned in one pass over all windows of every training text; each id is a target once. Equal
 windows count once, with a weight that grows with their number. Windows are dealt by hash to rounds and to shards of about SHARD windows; in each round all shards learn from the
-same weights, and their results are averaged. So the weights depend on the texts only, not on how
-rows are spread over tasks. Texts are scored in windows of WINDOW ids that overlap by CONTEXT, many
+same weights, and their results are averaged. So the weights depend, but for rounding, on the texts only,
+not on how rows are spread over tasks. Texts are scored in windows of WINDOW ids that overlap by CONTEXT, many
 windows at a time; each id counts once.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealloom.llm.annotate import annotate, small_batches
-from dealloom.llm.scratch import written
+from dealloom.llm.scratch import discard, written
 from dealloom.llm.word_bpe import load, text_blocks
 
 CLASSES, MEMBERS, WIDTH, HIDDEN = 40, 40, 16, 32
@@ -34,7 +34,7 @@ ACTIVE = CLASSES * MEMBERS - 1  # ids with an embedding of their own; then come
 RARE, START = ACTIVE, ACTIVE + 1
 WINDOW, CONTEXT = 40, 10
 STRETCH = 4096  # bytes of a text whose words are cut into training windows together
-ROUNDS, SHARD, BATCH, RATE = 12, 1024, 64, 0.03
+ROUNDS, SHARD, BATCH, LEAST, RATE = 12, 4096, 128, 32, 0.03
 SUMS = 8  # tasks that add up the weights of shards
 TOP_WORDS = 200_000  # words that are broadcast with counts and ids; the rest are joined
 CACHE = 200_000  # other words that a worker keeps
@@ -60,6 +60,18 @@ def log_sum(x: np.ndarray) -> np.ndarray:
     return np.log(np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype))
 
 
+def cross_entropy(x: np.ndarray, own: np.ndarray, part: np.ndarray) -> float:
+    """Weighted loss of rows of logits for each row's own place. Changes x to the loss's gradient."""
+    rows = np.arange(len(x))
+    if x.size and (x.max() > 60 or x.min() < -60):
+        x -= x.max(axis=1, keepdims=True)
+    loss = -float(x[rows, own] @ part)
+    total = np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype)
+    x *= (part / total)[:, None]
+    x[rows, own] -= part
+    return loss + float(np.log(total) @ part)
+
+
 class Vocabulary:
     """The network's number of each id, and the log10 share of a rare id among the rare ones. The last id is the end of a text."""
 
@@ -94,81 +106,92 @@ class Attention:
         cut = np.cumsum([0, *(x.size for x in w.values())])
         self.w = {n: self.flat[a:b].reshape(x.shape) for (n, x), a, b in zip(w.items(), cut, cut[1:], strict=False)}
 
-    def forward(self, windows: np.ndarray) -> tuple[np.ndarray, ...]:
-        w = self.w
-        e = w["one"][windows[:, 1:-1]] + w["two"][windows[:, :-2]]
-        q, k, v = e @ w["q"], e @ w["k"], e @ w["v"]
-        a = q @ k.transpose(0, 2, 1) * np.float32(WIDTH**-0.5) + w["far"][_DISTANCE]
-        a[:, _LATER] = -np.inf
-        a = np.exp(a - a.max(axis=-1, keepdims=True))
-        a /= a.sum(axis=-1, keepdims=True)
-        m = a @ v
-        h = e + m @ w["o"]
-        f = np.maximum(h @ w["in"] + w["in0"], 0)
-        return e, q, k, v, a, m, h, f, h + f @ w["out"]
-
     def gradients(self, windows: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean weighted loss over the targets, and its gradients. Rows of windows: two numbers before, then the targets; -1 is none."""
-        w = self.w
+        w, n = self.w, len(windows)
         inside = np.maximum(windows, 0)
-        e, q, k, v, a, m, h, f, g = self.forward(inside)
-        flat = lambda x: x.reshape(-1, x.shape[-1])
-        at = np.flatnonzero(windows[:, 2:].reshape(-1) >= 0)
-        target = inside[:, 2:].reshape(-1)[at]
-        kind, member = np.divmod(target, MEMBERS)
+        one, two = inside[:, 1:-1].reshape(-1), inside[:, :-2].reshape(-1)
+        e = w["one"].take(one, 0)
+        e += w["two"].take(two, 0)
+        scale = np.float32(WIDTH**-0.5)
+        into = np.hstack([w["q"] * scale, w["k"], w["v"]])
+        qkv = (e @ into).reshape(n, WINDOW, 3 * WIDTH)
+        q, k, v = (qkv[..., i * WIDTH : (i + 1) * WIDTH] for i in range(3))
+        a = q @ k.transpose(0, 2, 1)
+        a += np.where(_LATER, -np.inf, w["far"][_DISTANCE]).astype(a.dtype)
+        if a.max() > 30 or a.diagonal(axis1=1, axis2=2).min() < -30:
+            a -= a.max(axis=-1, keepdims=True)
+        np.exp(a, out=a)
+        a /= (a.reshape(-1, WINDOW) @ np.ones(WINDOW, a.dtype)).reshape(n, WINDOW, 1)
+        m = (a @ v).reshape(-1, WIDTH)
+        h = m @ w["o"]
+        h += e
+        f = h @ w["in"]
+        f += w["in0"]
+        np.maximum(f, 0, out=f)
+        g = f @ w["out"]
+        g += h
+        # Targets by class, so that each class's own layer takes its rows at once.
+        target = windows[:, 2:].reshape(-1)
+        at = np.flatnonzero(target >= 0)
+        kind, member = np.divmod(target[at], MEMBERS)
+        order = np.argsort(kind.astype(np.int16), kind="stable")
+        at, kind, member = at[order], kind[order], member[order]
+        cut = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
+        classes = [(c, slice(lo, hi)) for c, (lo, hi) in enumerate(zip(cut, cut[1:], strict=False)) if hi > lo]
         part = np.repeat(weight, WINDOW)[at].astype(g.dtype)
         part /= part.sum()
-        x, rows = flat(g)[at], np.arange(len(at))
-        p = log_softmax(x @ w["top"] + w["top0"])
-        loss = -float((p[rows, kind] * part).sum())
-        p = np.exp(p)
-        p[rows, kind] -= 1
-        p *= part[:, None]
+        x = g.take(at, 0)
+        p = x @ w["top"]
+        p += w["top0"]
+        loss = cross_entropy(p, kind, part)
         out = {"top": x.T @ p, "top0": p.sum(0), "sub": np.zeros_like(w["sub"]), "sub0": np.zeros_like(w["sub0"])}
         dx = p @ w["top"].T
-        order = np.argsort(kind, kind="stable")
-        cut = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for c in np.flatnonzero(np.diff(cut)):
-            r = order[cut[c] : cut[c + 1]]
-            p = log_softmax(x[r] @ w["sub"][c] + w["sub0"][c])
-            own = (np.arange(len(r)), member[r])
-            loss -= float((p[own] * part[r]).sum())
-            p = np.exp(p)
-            p[own] -= 1
-            p *= part[r][:, None]
-            out["sub"][c], out["sub0"][c] = x[r].T @ p, p.sum(0)
-            dx[r] += p @ w["sub"][c].T
-        dg = np.zeros_like(flat(g))
+        p = np.empty((len(at), MEMBERS), g.dtype)
+        for c, r in classes:
+            np.matmul(x[r], w["sub"][c], out=p[r])
+            p[r] += w["sub0"][c]
+        loss += cross_entropy(p, member, part)
+        for c, r in classes:
+            np.matmul(x[r].T, p[r], out=out["sub"][c])
+            p[r].sum(0, out=out["sub0"][c])
+            dx[r] += p[r] @ w["sub"][c].T
+        dg = np.zeros_like(g)
         dg[at] = dx
-        dg = dg.reshape(g.shape)
-        df = (dg @ w["out"].T) * (f > 0)
-        out |= {"out": flat(f).T @ flat(dg), "in": flat(h).T @ flat(df), "in0": flat(df).sum(0)}
-        dh = dg + df @ w["in"].T
+        df = dg @ w["out"].T
+        df *= f > 0
+        out |= {"out": f.T @ dg, "in": h.T @ df, "in0": df.sum(0)}
+        dh = df @ w["in"].T
+        dh += dg
         dm = dh @ w["o"].T
-        out["o"] = flat(m).T @ flat(dh)
-        da, dv = dm @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dm
-        ds = a * (da - (da * a).sum(-1, keepdims=True))
-        out["far"] = np.bincount(_DISTANCE.reshape(-1), ds.sum(0).reshape(-1), WINDOW).astype(g.dtype)
-        ds *= np.float32(WIDTH**-0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        out |= {"q": flat(e).T @ flat(dq), "k": flat(e).T @ flat(dk), "v": flat(e).T @ flat(dv)}
-        de = flat(dh + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T)
-        for name, index in (("one", inside[:, 1:-1]), ("two", inside[:, :-2])):
-            index = index.reshape(-1)
-            order = np.argsort(index, kind="stable")
+        out["o"] = m.T @ dh
+        mean = np.einsum("td,td->t", dm, m).reshape(n, WINDOW, 1)
+        dm = dm.reshape(n, WINDOW, WIDTH)
+        ds = dm @ v.transpose(0, 2, 1)
+        ds -= mean
+        ds *= a
+        out["far"] = np.bincount(_DISTANCE.reshape(-1), np.ones(n, ds.dtype) @ ds.reshape(n, -1), WINDOW).astype(g.dtype)
+        d = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dm], axis=2).reshape(-1, 3 * WIDTH)
+        back = e.T @ d
+        out |= {"q": back[:, :WIDTH] * scale, "k": back[:, WIDTH : 2 * WIDTH], "v": back[:, 2 * WIDTH :]}
+        de = d @ into.T
+        de += dh
+        for name, index in (("one", one), ("two", two)):
+            order = np.argsort(index.astype(np.int16), kind="stable")
             first = np.flatnonzero(np.diff(index[order], prepend=-1))
             out[name] = np.zeros_like(w[name])
-            out[name][index[order][first]] = np.add.reduceat(de[order], first)
+            out[name][index[order][first]] = np.add.reduceat(de.take(order, 0), first)
         return loss, out
 
     def learn(self, windows: np.ndarray, weight: np.ndarray, rate: float) -> None:
-        """One pass of Adam over windows in batches."""
+        """One pass of Adam over windows in batches, smaller ones where there are few windows."""
         n = len(self.flat)
         one, two = self.state[n : 2 * n], self.state[2 * n : 3 * n]
-        for b in range(0, len(windows), BATCH):
+        batch = min(BATCH, max(LEAST, len(windows) * BATCH // SHARD))
+        for b in range(0, len(windows), batch):
             self.state[-1] += 1
             step = float(self.state[-1])
-            _, g = self.gradients(windows[b : b + BATCH], weight[b : b + BATCH])
+            _, g = self.gradients(windows[b : b + batch], weight[b : b + batch])
             g = np.concatenate([g[n].reshape(-1) for n in self.w])
             one *= np.float32(0.9)
             one += np.float32(0.1) * g
@@ -190,6 +213,14 @@ class Attention:
         return self
 
 
+def in_a_row(numbers: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all texts with two places before each text and a window's length after the last one, and where each text begins, these places included."""
+    texts = np.arange(len(sizes))
+    out = np.full(len(numbers) + 2 * len(sizes) + WINDOW, START, np.int32)
+    out[np.arange(len(numbers)) + 2 * np.repeat(texts, sizes) + 2] = numbers
+    return out, np.cumsum(sizes) - sizes + 2 * texts
+
+
 class Scorer:
     """A trained model for scoring only: few passes over each small batch of windows, in single precision."""
 
@@ -255,12 +286,9 @@ class Scorer:
         step, texts = WINDOW - CONTEXT, np.arange(len(sizes))
         if not len(sizes):
             return np.zeros(0)
-        owner = np.repeat(texts, sizes)
-        rare = np.bincount(owner, self.vocabulary.share[ids], len(sizes))
-        # Two places before each text, and a window's length after the last one. What a window reads beyond its text's end comes later, so it has no effect.
-        numbers = np.full(len(ids) + 2 * len(sizes) + WINDOW, START, np.int32)
-        numbers[np.arange(len(ids)) + 2 * owner + 2] = self.vocabulary.number[ids]
-        begin = np.cumsum(sizes) - sizes + 2 * texts
+        rare = np.bincount(np.repeat(texts, sizes), self.vocabulary.share[ids], len(sizes))
+        # What a window reads beyond its text's end comes later, so it has no effect.
+        numbers, begin = in_a_row(self.vocabulary.number[ids], sizes)
         n = 1 + np.maximum(0, -(-(sizes - WINDOW) // step))
         owner = np.repeat(texts, n)
         part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -305,6 +333,12 @@ class Lexicon(dict):
         self.first = np.cumsum(sizes) - sizes
         self.fixed = (share, ids, sizes, self.first)
 
+    @classmethod
+    def of(cls, path: str, top) -> Lexicon:
+        """From broadcast frequent words; without any, all words are found here."""
+        words, share, ids, sizes = top.value if top else (b"", np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int64))
+        return cls(load(path), words.split(b" ") if words else [], share, ids, sizes)
+
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
         self.words.append(word)
@@ -342,6 +376,17 @@ class Lexicon(dict):
         return self.ids[shift + np.arange(len(shift))], sizes
 
 
+def ids_with_ends(lexicon: Lexicon, numbers: np.ndarray, n: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in a row, the end of each included, and how many each text has; numbers and n as from the lexicon."""
+    row, size = lexicon.ids_of(numbers)
+    each = np.bincount(np.repeat(np.arange(len(n)), n), size, len(n)).astype(np.int64) + 1
+    flat = np.full(each.sum(), end, np.int64)
+    inside = np.ones(len(flat), bool)
+    inside[np.cumsum(each) - 1] = False
+    flat[inside] = row
+    return flat, each
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """word and n of the lower-cased words of all texts, counted in each task before the shuffle."""
 
@@ -405,7 +450,7 @@ def id_counts(counted: DataFrame, path: str, texts: int) -> np.ndarray:
 
 
 def training_windows(texts: list[bytes]) -> Iterator[tuple[bool, list[bytes], bool]]:
-    """For each started stretch of each text: the words that begin in it, whether it begins the text, and whether it ends it."""
+    """The plain form of what windows_in cuts, with cut_windows (tests compare both). For each started stretch of each text: the words that begin in it, whether it begins the text, and whether it ends it."""
     for text in texts:
         done = 0
         for k in range(0, max(1, len(text)), STRETCH):
@@ -426,53 +471,91 @@ def cut_windows(rows: Iterable[tuple[bool, np.ndarray, bool]], end: int) -> Iter
         held = held[whole - 2 :]
 
 
-def train(texts: DataFrame, path: str, vocabulary: Vocabulary) -> Attention:
-    """Weights from all windows of all texts."""
+def windows_in(numbers: np.ndarray, sizes: np.ndarray, some: int = 4096) -> Iterator[np.ndarray]:
+    """The windows of cut_windows for many texts at once, ends filled with -1, in matrices of some rows; numbers holds the network's numbers of all texts, ends included."""
+    row, begin = in_a_row(numbers, sizes)
+    n = -(-sizes // WINDOW)
+    owner = np.repeat(np.arange(len(sizes)), n)
+    at = begin[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)) * WINDOW
+    end = (begin + sizes + 2)[owner]
+    for b in range(0, len(at), some):
+        place = at[b : b + some, None] + np.arange(WINDOW + 2)
+        yield np.where(place < end[b : b + some, None], row[place], -1)
+
+
+def learned(drawn: DataFrame, shards: int, weights, rate: float) -> DataFrame:
+    """Mean weights after learning from each shard of drawn windows, starting with the broadcast weights, with the number of windows: a few rows.
+
+    A task reads its shards one after the other, sorted, and adds their weights up as it goes, so it
+    has one Python worker that holds one shard.
+    """
+    mean = lambda total, n: pa.RecordBatch.from_arrays([pa.array([(total / n).astype("<f4").tobytes()] if n else [], pa.binary()), pa.array([n] if n else [], pa.int64())], ["weights", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, total, n = Attention(np.ones((CLASSES, MEMBERS))), 0.0, 0
+        for rows in runs(batches):
+            windows = np.frombuffer(b"".join(rows.column("window").to_pylist()), "<i2").reshape(-1, WINDOW + 2).astype(np.int64)
+            own.unpack(weights.value).learn(windows, 1 + np.log(rows.column("n").to_numpy()), rate)
+            total, n = total + own.state.astype("<f8") * len(windows), n + len(windows)
+        yield mean(total, n)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = 0.0, 0
+        for batch in batches:
+            for state, m in zip(batch.column("weights"), batch.column("n").to_pylist(), strict=True):
+                total, n = total + np.frombuffer(state.as_py(), "<f4").astype("<f8") * m, n + m
+        yield mean(total, n)
+
+    tasks = min(shards, 4 * drawn.sparkSession.sparkContext.defaultParallelism)
+    rows = drawn.withColumn("shard", F.pmod(F.shiftright("h", 20), F.lit(shards))).select("shard", "h", "window", "n")
+    rows = rows.repartition(tasks, "shard").sortWithinPartitions("shard", "h", "window").mapInArrow(run, "weights binary, n long")
+    return rows.repartition(SUMS).mapInArrow(summed, "weights binary, n long")
+
+
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each shard, from batches sorted by shard."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        shard = batch.column("shard").to_numpy()
+        cut = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+        for a, b in zip(cut, cut[1:], strict=False):
+            if a < b:
+                if held and held[0].column("shard")[0].as_py() != shard[a]:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def train(texts: DataFrame, path: str, vocabulary: Vocabulary, top=None) -> Attention:
+    """Weights from all windows of all texts. top: broadcast frequent words in a row, their shares, ids and numbers of ids, as the lexicon takes them."""
     spark = texts.sparkSession
     model = Attention(vocabulary.mass)
     known = spark.sparkContext.broadcast(vocabulary.number)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, number = load(path), known.value
+        number = known.value
         end = len(number) - 2
+        lexicon = Lexicon.of(path, top)
+        width = 2 * (WINDOW + 2)
         for batch in batches:
             for _, part in text_blocks(batch.column("text")):
-                found = list(training_windows(part))
-                distinct = list(dict.fromkeys(chain.from_iterable(w for _, w, _ in found)))
-                ids = dict(zip(distinct, bpe.encode_raw(distinct), strict=True))
-                rows = ((first, np.frombuffer(b"".join(map(ids.__getitem__, words)), "<i4"), last) for first, words, last in found)
-                out = [np.append(number[row], np.full(WINDOW + 2 - len(row), -1)).astype("<i4").tobytes() for row in cut_windows(rows, end)]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["window"])
+                ids, sizes = ids_with_ends(lexicon, *lexicon.numbers(part), end)
+                for out in windows_in(number[ids], sizes):
+                    at = np.arange(len(out) + 1, dtype=np.int32) * width
+                    yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(out), [None, pa.py_buffer(at), pa.py_buffer(out.astype("<i2").tobytes())])], ["window"])
 
     drawn = texts.select("text").mapInArrow(cut, "window binary").groupBy("window").agg(F.count("*").alias("n")).withColumn("h", F.xxhash64("window"))
     drawn = written(drawn.withColumn("round", F.pmod("h", F.lit(ROUNDS)).cast("int")), "round")
     shards = max(1, round(drawn.count() / ROUNDS / SHARD))
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = 0.0, 0
-        for batch in batches:
-            for weights, m in zip(batch.column("weights").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                total, n = total + np.frombuffer(weights, "<f8"), n + m
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()] if n else [], pa.binary()), pa.array([n] if n else [], pa.int64())], ["weights", "n"])
-
-    def learner(weights, rate: float):
-        def run(table: pa.Table) -> pa.Table:
-            table = table.sort_by("h")
-            windows = np.frombuffer(b"".join(table.column("window").to_pylist()), "<i4").reshape(-1, WINDOW + 2)
-            own = Attention(vocabulary.mass).unpack(weights.value)
-            own.learn(windows, 1 + np.log(table.column("n").to_numpy()), rate)
-            mean = np.frombuffer(own.packed(), "<f4").astype("<f8")
-            return pa.table({"weights": pa.array([(mean * len(windows)).tobytes()], pa.binary()), "n": pa.array([len(windows)], pa.int64())})
-
-        return run
-
     for k in range(ROUNDS):
-        run = learner(spark.sparkContext.broadcast(model.packed()), RATE * (1 - 0.9 * k / ROUNDS))
-        rows = drawn.filter(F.col("round") == k).withColumn("shard", F.pmod(F.shiftright("h", 20), F.lit(shards)))
-        rows = rows.select("shard", "h", "window", "n").groupBy("shard").applyInArrow(run, "weights binary, n long").mapInArrow(summed, "weights binary, n long")
-        rows = rows.repartition(SUMS).mapInArrow(summed, "weights binary, n long").collect()
+        weights = spark.sparkContext.broadcast(model.packed())
+        rows = learned(drawn.filter(F.col("round") == k), shards, weights, RATE * (1 - 0.9 * k / ROUNDS)).collect()
+        weights.destroy()
         if rows:
-            model.unpack((sum(np.frombuffer(r["weights"], "<f8") for r in rows) / sum(r["n"] for r in rows)).astype("<f4"))
+            model.unpack((sum(np.frombuffer(r["weights"], "<f4").astype("<f8") * r["n"] for r in rows) / sum(r["n"] for r in rows)).astype("<f4"))
+    discard(drawn)
     return model
 
 
@@ -492,15 +575,15 @@ def scores(docs: DataFrame, path: str, keep: list[str], learn: Column) -> DataFr
     floor = total + 0.5 * (distinct + 1)
     top = frequent(counted, path, TOP_WORDS)
     vocabulary = Vocabulary(id_counts(counted, path, texts))
-    model = train(seen, path, vocabulary)
     log = lambda c: np.log10((c + 0.5) / floor)
     words, ids = b" ".join(top.column("word").cast(pa.binary()).to_pylist()), top.column("ids").to_pylist()
-    shared = spark.sparkContext.broadcast((words, log(top.column("n").to_numpy()), np.frombuffer(b"".join(ids), "<i4"), np.array([len(x) // 4 for x in ids], np.int64), vocabulary, model.packed()))
+    top = spark.sparkContext.broadcast((words, log(top.column("n").to_numpy()), np.frombuffer(b"".join(ids), "<i4"), np.array([len(x) // 4 for x in ids], np.int64)))
+    shared = spark.sparkContext.broadcast((vocabulary, train(seen, path, vocabulary, top).packed()))
     end_known, end_score = int(texts > 0), float(log(texts))
 
     def compute():
-        words, share, ids, sizes, vocab, weights = shared.value
-        lexicon = Lexicon(load(path), words.split(b" ") if words else [], share, ids, sizes)
+        vocab, weights = shared.value
+        lexicon = Lexicon.of(path, top)
         scorer = Scorer(Attention(vocab.mass).unpack(weights), vocab)
         end = len(vocab.number) - 2
 
@@ -511,15 +594,7 @@ def scores(docs: DataFrame, path: str, keep: list[str], learn: Column) -> DataFr
                 gain = lexicon.share[numbers]
                 hit = ~np.isnan(gain)
                 known, base = np.bincount(owner[hit], minlength=len(part)), np.bincount(owner[hit], gain[hit], len(part))
-                # The ids of each text, its end included.
-                row, size = lexicon.ids_of(numbers)
-                each = np.bincount(owner, size, len(part)).astype(np.int64) + 1
-                stop = np.cumsum(each) - 1
-                flat = np.full(each.sum(), end, np.int64)
-                inside = np.ones(len(flat), bool)
-                inside[stop] = False
-                flat[inside] = row
-                score = scorer.log_probabilities(flat, each)
+                score = scorer.log_probabilities(*ids_with_ends(lexicon, numbers, n, end))
                 # Rarer words of each text, with their number.
                 rest = np.flatnonzero(~hit)
                 pair, often = np.unique(owner[rest] << 32 | numbers[rest], return_counts=True)

@@ -161,3 +161,32 @@ def test_every_id_of_a_text_is_a_target_once():
         assert w[:2].tolist() == before
         got[at] += w[2:].tolist()
     assert got == [np.frombuffer(b"".join(bpe.encode_raw(t.lower().split())), "<i4").tolist() + [end] for t in texts]
+
+
+def test_windows_of_many_texts_are_those_of_each():
+    bpe = WordBpe(WORDS)
+    vocabulary = some_vocabulary()
+    end = len(bpe.names)
+    texts = [b"", b" ", b"A b", b"one two three four " * 2000, b"", b"x" * 9000 + b" tail", "Ünion süß ".encode() * 1500, b"a " * 39, b"a " * 40]
+    lexicon = lm.Lexicon(bpe, [], np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int64))
+    ids, sizes = lm.ids_with_ends(lexicon, *lexicon.numbers(texts), end)
+    got = np.concatenate(list(lm.windows_in(vocabulary.number[ids], sizes, 7))).tolist()
+    rows = [(first, np.frombuffer(b"".join(bpe.encode_raw(words)), "<i4"), last) for first, words, last in lm.training_windows(texts)]
+    assert got == [vocabulary.number[w].tolist() + [-1] * (lm.WINDOW + 2 - len(w)) for w in lm.cut_windows(rows, end)]
+
+
+def test_a_task_that_learns_has_one_python_worker(spark, monkeypatch):
+    """Two Python operators in one stage hold two workers for each core of an executor; a window takes two bytes for each number."""
+    plans, tables = [], []
+    frame = type(spark.range(0))
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), collect(df))[1])
+    monkeypatch.setattr(lm, "written", lambda df, *by, f=lm.written: (tables.append(f(df, *by)), tables[-1])[1])
+    monkeypatch.setattr(lm, "discard", lambda *tables: None, raising=False)
+    docs = spark.createDataFrame([(f"text {i} of many " * 20,) for i in range(50)], "text string")
+    lm.train(docs, WORDS, some_vocabulary())
+    assert len(plans) == lm.ROUNDS and {len(r["window"]) for r in tables[0].select("window").limit(3).toArrow().to_pylist()} == {2 * (lm.WINDOW + 2)}
+    for plan in plans:
+        operators = re.findall(r"(Exchange|FlatMapGroupsInArrow|MapInArrow)", plan)
+        assert "MapInArrow" in operators
+        assert not any(a.endswith("InArrow") and b.endswith("InArrow") for a, b in zip(operators, operators[1:], strict=False)), plan
