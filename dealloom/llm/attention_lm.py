@@ -15,6 +15,7 @@ windows at a time; each id counts once.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from hashlib import blake2b
@@ -22,8 +23,10 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dealloom.llm.annotate import annotate, small_batches
 from dealloom.llm.scratch import discard, written
@@ -40,6 +43,7 @@ TOP_WORDS = 200_000  # words that are broadcast with counts and ids; the rest ar
 CACHE = 200_000  # other words that a worker keeps
 PIECE = 1 << 20  # bytes of a text that are split into words at a time
 TOGETHER = 512  # windows whose ids are scored by class together
+NEAR = 32  # windows whose numbers stay in a core's own cache
 _DISTANCE = np.arange(WINDOW)[:, None] - np.arange(WINDOW)
 _LATER = _DISTANCE < 0
 _DISTANCE = np.maximum(_DISTANCE, 0)
@@ -61,17 +65,28 @@ def log_sum(x: np.ndarray) -> np.ndarray:
 
 
 def cross_entropy(x: np.ndarray, own: np.ndarray, part: np.ndarray) -> float:
-    """Weighted loss of rows of logits for each row's own place. Changes x to the loss's gradient."""
-    rows = np.arange(len(x))
+    """Weighted loss of rows of logits, without gaps, for each row's own place. Changes x to the loss's gradient."""
+    flat, at = x.reshape(-1), np.arange(0, x.size, x.shape[1]) + own
     if x.size and (x.max() > 60 or x.min() < -60):
         x -= x.max(axis=1, keepdims=True)
-    loss = -float(x[rows, own] @ part)
+    loss = -float(flat.take(at) @ part)
     total = np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype)
     x *= (part / total)[:, None]
-    x[rows, own] -= part
+    flat[at] -= part
     return loss + float(np.log(total) @ part)
 
 
+class Rooms(dict):
+    """Arrays to write to, by name; their memory is kept for the next batch, so it stays in the CPU's caches."""
+
+    def __call__(self, name: str, kind: np.dtype, *shape: int) -> np.ndarray:
+        size = math.prod(shape)
+        held = self.get((name, kind))
+        if held is None or held.size < size:
+            held = self[name, kind] = np.empty(size, kind)
+        return held[:size].reshape(shape)
+
+
 class Vocabulary:
     """The network's number of each id, and the log10 share of a rare id among the rare ones. The last id is the end of a text."""
 
@@ -86,6 +101,10 @@ class Vocabulary:
         self.share[rest] = np.log10(mass / mass.sum())
         self.mass = np.append(counts[order[:ACTIVE]] + 0.5, mass.sum()).reshape(CLASSES, MEMBERS)
 
+    def rare(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Each text's sum of the shares of its rare ids."""
+        return np.bincount(np.repeat(np.arange(len(sizes)), sizes), self.share[ids], len(sizes))
+
 
 class Attention:
     """One causal attention layer with a bias for distance, and one hidden layer, over embeddings of the two ids before."""
@@ -103,86 +122,138 @@ class Attention:
         # Weights, then their first and second moments in Adam, and the number of steps.
         self.state = np.concatenate([flat, np.zeros(2 * len(flat) + 1)]).astype(np.float32)
         self.flat = self.state[: len(flat)]
+        self.rooms = Rooms()
         cut = np.cumsum([0, *(x.size for x in w.values())])
         self.w = {n: self.flat[a:b].reshape(x.shape) for (n, x), a, b in zip(w.items(), cut, cut[1:], strict=False)}
 
     def gradients(self, windows: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean weighted loss over the targets, and its gradients. Rows of windows: two numbers before, then the targets; -1 is none."""
+        """Mean weighted loss over the targets, and its gradients. Rows of windows: two numbers before, then the targets; -1 is none.
+
+        Attention and the hidden layer go over NEAR windows at a time, the output layers over rows of about as many.
+        A last column of ones in place of a bias gives sums, and gradients of biases, within the products.
+        """
         w, n = self.w, len(windows)
+        room = lambda name, *shape: self.rooms(name, w["one"].dtype, *shape)
         inside = np.maximum(windows, 0)
-        one, two = inside[:, 1:-1].reshape(-1), inside[:, :-2].reshape(-1)
-        e = w["one"].take(one, 0)
-        e += w["two"].take(two, 0)
+        one, two = inside[:, 1:-1], inside[:, :-2]
         scale = np.float32(WIDTH**-0.5)
         into = np.hstack([w["q"] * scale, w["k"], w["v"]])
-        qkv = (e @ into).reshape(n, WINDOW, 3 * WIDTH)
-        q, k, v = (qkv[..., i * WIDTH : (i + 1) * WIDTH] for i in range(3))
-        a = q @ k.transpose(0, 2, 1)
-        a += np.where(_LATER, -np.inf, w["far"][_DISTANCE]).astype(a.dtype)
-        if a.max() > 30 or a.diagonal(axis1=1, axis2=2).min() < -30:
-            a -= a.max(axis=-1, keepdims=True)
-        np.exp(a, out=a)
-        a /= (a.reshape(-1, WINDOW) @ np.ones(WINDOW, a.dtype)).reshape(n, WINDOW, 1)
-        m = (a @ v).reshape(-1, WIDTH)
-        h = m @ w["o"]
-        h += e
-        f = h @ w["in"]
-        f += w["in0"]
-        np.maximum(f, 0, out=f)
-        g = f @ w["out"]
-        g += h
+        near = np.where(_LATER, 0, np.exp(np.minimum(w["far"], 60))[_DISTANCE]).astype(into.dtype)
+        e, h, m, g = (room(x, n, WINDOW, WIDTH) for x in ("e", "h", "m", "g"))
+        qkv, a, total, f = room("qkv", n, WINDOW, 3 * WIDTH + 1), room("a", n, WINDOW, WINDOW), room("total", n, WINDOW, 1), room("f", n, WINDOW, HIDDEN)
+        qkv[..., 3 * WIDTH] = 1
+        q, k, v = (qkv[..., i * WIDTH : (i + 1) * WIDTH + (i == 2)] for i in range(3))
+        flat = lambda x: x.reshape(-1, x.shape[-1])
+        parts = [slice(c, min(c + NEAR, n)) for c in range(0, n, NEAR)]
+        for c in parts:
+            x, b, y = flat(e[c]), a[c], flat(h[c])
+            np.take(w["one"], one[c].reshape(-1), 0, out=x, mode="clip")
+            x += w["two"].take(two[c].reshape(-1), 0)
+            np.matmul(x, into, out=flat(qkv[c])[:, : 3 * WIDTH])
+            np.matmul(q[c], k[c].transpose(0, 2, 1), out=b)
+            if b.max() > 30 or b.diagonal(axis1=1, axis2=2).min() < -30:
+                b += np.where(_LATER, -np.inf, w["far"][_DISTANCE]).astype(b.dtype)
+                b -= b.max(axis=-1, keepdims=True)
+                np.exp(b, out=b)
+            else:
+                np.exp(b, out=b)
+                b *= near
+            mixed = np.matmul(b, v[c], out=room("mixed", len(b), WINDOW, WIDTH + 1))
+            np.divide(1, mixed[..., WIDTH:], out=total[c])
+            np.multiply(mixed[..., :WIDTH], total[c], out=m[c])
+            np.matmul(flat(m[c]), w["o"], out=y)
+            y += x
+            z = np.matmul(y, w["in"], out=flat(f[c]))
+            z += w["in0"]
+            np.maximum(z, 0, out=z)
+            z = np.matmul(z, w["out"], out=flat(g[c]))
+            z += y
         # Targets by class, so that each class's own layer takes its rows at once.
         target = windows[:, 2:].reshape(-1)
         at = np.flatnonzero(target >= 0)
-        kind, member = np.divmod(target[at], MEMBERS)
-        order = np.argsort(kind.astype(np.int16), kind="stable")
+        kind, member = np.divmod(target[at].astype(np.int16), np.int16(MEMBERS))
+        order = np.argsort(kind, kind="stable")
         at, kind, member = at[order], kind[order], member[order]
         cut = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
-        classes = [(c, slice(lo, hi)) for c, (lo, hi) in enumerate(zip(cut, cut[1:], strict=False)) if hi > lo]
         part = np.repeat(weight, WINDOW)[at].astype(g.dtype)
         part /= part.sum()
-        x = g.take(at, 0)
-        p = x @ w["top"]
-        p += w["top0"]
-        loss = cross_entropy(p, kind, part)
-        out = {"top": x.T @ p, "top0": p.sum(0), "sub": np.zeros_like(w["sub"]), "sub0": np.zeros_like(w["sub0"])}
-        dx = p @ w["top"].T
-        p = np.empty((len(at), MEMBERS), g.dtype)
-        for c, r in classes:
-            np.matmul(x[r], w["sub"][c], out=p[r])
-            p[r] += w["sub0"][c]
-        loss += cross_entropy(p, member, part)
-        for c, r in classes:
-            np.matmul(x[r].T, p[r], out=out["sub"][c])
-            p[r].sum(0, out=out["sub0"][c])
-            dx[r] += p[r] @ w["sub"][c].T
-        dg = np.zeros_like(g)
-        dg[at] = dx
-        df = dg @ w["out"].T
-        df *= f > 0
-        out |= {"out": f.T @ dg, "in": h.T @ df, "in0": df.sum(0)}
-        dh = df @ w["in"].T
-        dh += dg
-        dm = dh @ w["o"].T
-        out["o"] = m.T @ dh
-        mean = np.einsum("td,td->t", dm, m).reshape(n, WINDOW, 1)
-        dm = dm.reshape(n, WINDOW, WIDTH)
-        ds = dm @ v.transpose(0, 2, 1)
-        ds -= mean
-        ds *= a
-        out["far"] = np.bincount(_DISTANCE.reshape(-1), np.ones(n, ds.dtype) @ ds.reshape(n, -1), WINDOW).astype(g.dtype)
-        d = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dm], axis=2).reshape(-1, 3 * WIDTH)
-        back = e.T @ d
+        x, dx, loss = room("x", len(at), WIDTH + 1), room("dx", len(at), WIDTH), 0.0
+        x[:, :WIDTH] = flat(g).take(at, 0)
+        x[:, WIDTH] = 1
+        both, own, dboth = self.layers(), np.stack([kind, member], axis=1), np.zeros((CLASSES, WIDTH + 1, CLASSES + MEMBERS), g.dtype)
+        lo = 0
+        while lo < CLASSES:
+            hi = lo + 1
+            while hi < CLASSES and cut[hi + 1] - cut[lo] <= NEAR * WINDOW // 2:
+                hi += 1
+            r = slice(cut[lo], cut[hi])
+            p = room("p", cut[hi] - cut[lo], CLASSES + MEMBERS)
+            classes = [(c, slice(cut[c], cut[c + 1]), p[cut[c] - cut[lo] : cut[c + 1] - cut[lo]]) for c in range(lo, hi) if cut[c + 1] > cut[c]]
+            for c, rows, y in classes:
+                np.matmul(x[rows], both[c], out=y)
+            loss += cross_entropy(p.reshape(-1, MEMBERS), own[r].reshape(-1), np.repeat(part[r], 2))
+            for c, rows, y in classes:
+                np.matmul(x[rows].T, y, out=dboth[c])
+                np.matmul(y, both[c, :WIDTH].T, out=dx[rows])
+            lo = hi
+        dtop, dsub = dboth[..., :CLASSES].sum(0), dboth[..., CLASSES:]
+        out = {"top": dtop[:WIDTH], "top0": dtop[WIDTH], "sub": dsub[:, :WIDTH], "sub0": dsub[:, WIDTH]}
+        out |= {x: np.zeros_like(w[x]) for x in ("out", "in", "in0", "o")}
+        dg, back, far = room("dg", n, WINDOW, WIDTH), np.zeros_like(into), np.zeros(WINDOW * WINDOW, g.dtype)
+        if len(at) < n * WINDOW:
+            dg.fill(0)
+        flat(dg)[at] = dx
+        # For each id of the windows but the last: the gradients of its place as the nearer and as the farther one.
+        both = room("both", n, WINDOW + 1, 2 * WIDTH)
+        both[:, 0, :WIDTH] = 0
+        both[:, WINDOW, WIDTH:] = 0
+        for c in parts:
+            size = c.stop - c.start
+            y, z = flat(dg[c]), flat(f[c])
+            df = np.matmul(y, w["out"].T, out=room("df", size * WINDOW, HIDDEN))
+            df *= z > 0
+            out["out"] += z.T @ y
+            out["in"] += flat(h[c]).T @ df
+            out["in0"] += np.ones(len(df), df.dtype) @ df
+            dh = np.matmul(df, w["in"].T, out=room("dh", size * WINDOW, WIDTH))
+            dh += y
+            out["o"] += flat(m[c]).T @ dh
+            dm = room("dm", size, WINDOW, WIDTH + 1)
+            np.multiply((dh @ w["o"].T).reshape(size, WINDOW, WIDTH), total[c], out=dm[..., :WIDTH])
+            np.negative(np.einsum("ntd,ntd->nt", dm[..., :WIDTH], m[c]), out=dm[..., WIDTH])
+            ds = np.matmul(dm, v[c].transpose(0, 2, 1), out=room("ds", size, WINDOW, WINDOW))
+            ds *= a[c]
+            far += np.ones(size, ds.dtype) @ ds.reshape(size, -1)
+            d = room("d", size, WINDOW, 3 * WIDTH)
+            np.matmul(ds, k[c], out=d[..., :WIDTH])
+            np.matmul(ds.transpose(0, 2, 1), q[c], out=d[..., WIDTH : 2 * WIDTH])
+            np.matmul(a[c].transpose(0, 2, 1), dm[..., :WIDTH], out=d[..., 2 * WIDTH :])
+            d = flat(d)
+            back += flat(e[c]).T @ d
+            de = np.matmul(d, into.T, out=room("de", size * WINDOW, WIDTH))
+            de += dh
+            both[c, 1:, :WIDTH] = both[c, :WINDOW, WIDTH:] = de.reshape(size, WINDOW, WIDTH)
+        out["far"] = np.bincount(_DISTANCE.reshape(-1), far, WINDOW).astype(g.dtype)
         out |= {"q": back[:, :WIDTH] * scale, "k": back[:, WIDTH : 2 * WIDTH], "v": back[:, 2 * WIDTH :]}
-        de = d @ into.T
-        de += dh
-        for name, index in (("one", one), ("two", two)):
-            order = np.argsort(index.astype(np.int16), kind="stable")
-            first = np.flatnonzero(np.diff(index[order], prepend=-1))
+        index = inside[:, :-1].reshape(-1).astype(np.int16)
+        order = np.argsort(index, kind="stable")
+        index = index[order]
+        first = np.flatnonzero(np.diff(index, prepend=-1))
+        # Pairs of numbers are added as complex ones, in half as many steps.
+        both = flat(both).take(order, 0)
+        sums = np.add.reduceat(both.view(np.result_type(both, np.complex64)), first).view(both.dtype)
+        for name, part in (("one", sums[:, :WIDTH]), ("two", sums[:, WIDTH:])):
             out[name] = np.zeros_like(w[name])
-            out[name][index[order][first]] = np.add.reduceat(de.take(order, 0), first)
+            out[name][index[first]] = part
         return loss, out
 
+    def layers(self) -> np.ndarray:
+        """For each class, the weights of the classes and of its own members side by side, biases last; as both layers are as wide, rows of logits split in halves."""
+        w = self.w
+        out = np.empty((CLASSES, WIDTH + 1, CLASSES + MEMBERS), w["top"].dtype)
+        out[:, :WIDTH, :CLASSES], out[:, WIDTH, :CLASSES], out[:, :WIDTH, CLASSES:], out[:, WIDTH, CLASSES:] = w["top"], w["top0"], w["sub"], w["sub0"]
+        return out
+
     def learn(self, windows: np.ndarray, weight: np.ndarray, rate: float) -> None:
         """One pass of Adam over windows in batches, smaller ones where there are few windows."""
         n = len(self.flat)
@@ -224,14 +295,14 @@ def in_a_row(numbers: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
 class Scorer:
     """A trained model for scoring only: few passes over each small batch of windows, in single precision."""
 
-    def __init__(self, model: Attention, vocabulary: Vocabulary):
+    def __init__(self, model: Attention, vocabulary: Vocabulary | None = None):
         w = self.w = model.w
         self.vocabulary = vocabulary
         self.qkv = np.hstack([w["q"] * np.float32(WIDTH**-0.5), w["k"], w["v"]]).astype(np.float32)
         self.far = w["far"][_DISTANCE]
         self.near = np.where(_LATER, np.float32(0), np.exp(np.clip(self.far, -60, 60))).astype(np.float32)
-        self.own = (np.repeat(w["top"].T, MEMBERS, axis=0) + w["sub"].transpose(0, 2, 1).reshape(-1, WIDTH)).astype(np.float32)
-        self.own0 = (np.repeat(w["top0"], MEMBERS) + w["sub0"].reshape(-1)).astype(np.float32)
+        self.both = model.layers()
+        self.own = (np.repeat(self.both[0, :, :CLASSES].T, MEMBERS, axis=0) + self.both[..., CLASSES:].transpose(0, 2, 1).reshape(-1, WIDTH + 1)).astype(np.float32)
 
     def states(self, before: np.ndarray, earlier: np.ndarray, skip: int) -> np.ndarray:
         """The network's output for each place of the windows from skip on, given the numbers one and two places before."""
@@ -258,37 +329,31 @@ class Scorer:
 
     def values(self, states: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each target number."""
-        w = self.w
-        top = np.empty(len(target), np.float32)
-        for b in range(0, len(target), 1024):
-            y = states[b : b + 1024] @ w["top"]
-            y += w["top0"]
-            top[b : b + 1024] = log_sum(y)
         kind = (target // MEMBERS).astype(np.int16)
         order = np.argsort(kind, kind="stable")
         cut = np.searchsorted(kind[order], np.arange(CLASSES + 1)).tolist()
-        x, target = states.take(order, 0), target[order]
-        sub = np.empty(len(target), np.float32)
+        x, target = np.ones((len(target), WIDTH + 1), np.float32), target[order]
+        x[:, :WIDTH] = states.take(order, 0)
+        sums = np.empty((len(target), 2), np.float32)
         for c in range(CLASSES):
             for b in range(cut[c], cut[c + 1], 1024):
                 d = min(b + 1024, cut[c + 1])
-                y = x[b:d] @ w["sub"][c]
-                y += w["sub0"][c]
-                sub[b:d] = log_sum(y)
-        own = np.einsum("td,td->t", x, self.own.take(target, 0))
-        own += self.own0[target]
+                sums[b:d] = log_sum((x[b:d] @ self.both[c]).reshape(-1, MEMBERS)).reshape(-1, 2)
         out = np.empty(len(target), np.float32)
-        out[order] = own - top[order] - sub
+        out[order] = np.einsum("td,td->t", x, self.own.take(target, 0)) - sums.sum(1)
         return out
 
     def log_probabilities(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """log10 probability of each text: ids holds the ids of all texts in a row, sizes the number of each text (one at least)."""
+        return self.of_numbers(self.vocabulary.number[ids], sizes) + self.vocabulary.rare(ids, sizes)
+
+    def of_numbers(self, numbers: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """log10 probability of the network's numbers of each text."""
         step, texts = WINDOW - CONTEXT, np.arange(len(sizes))
         if not len(sizes):
             return np.zeros(0)
-        rare = np.bincount(np.repeat(texts, sizes), self.vocabulary.share[ids], len(sizes))
         # What a window reads beyond its text's end comes later, so it has no effect.
-        numbers, begin = in_a_row(self.vocabulary.number[ids], sizes)
+        numbers, begin = in_a_row(numbers, sizes)
         n = 1 + np.maximum(0, -(-(sizes - WINDOW) // step))
         owner = np.repeat(texts, n)
         part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -305,7 +370,7 @@ class Scorer:
                 if not counts.all():
                     states, target = states[counts], target[counts]
                 total += np.bincount(np.repeat(owner[k], WINDOW - skip)[counts], self.values(states, target), len(sizes))
-        return total / LN10 + rare
+        return total / LN10
 
 
 def words_of(text: bytes) -> Iterator[list[bytes]]:
@@ -528,25 +593,43 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def binaries(rows: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """16-bit numbers in a row as one binary value for each size."""
+    at = np.concatenate([[0], np.cumsum(2 * sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(at), pa.py_buffer(rows.astype("<i2").tobytes())])
+
+
+def numbers_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all values in a row, and how many each has: what binaries took."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<i2"), pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // 2
+
+
+def window_batches(numbers: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The windows of texts, of two bytes a number."""
+    for out in windows_in(numbers, sizes):
+        yield pa.RecordBatch.from_arrays([binaries(out, np.full(len(out), WINDOW + 2))], ["window"])
+
+
 def train(texts: DataFrame, path: str, vocabulary: Vocabulary, top=None) -> Attention:
     """Weights from all windows of all texts. top: broadcast frequent words in a row, their shares, ids and numbers of ids, as the lexicon takes them."""
-    spark = texts.sparkSession
-    model = Attention(vocabulary.mass)
-    known = spark.sparkContext.broadcast(vocabulary.number)
+    known = texts.sparkSession.sparkContext.broadcast(vocabulary.number)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = known.value
-        end = len(number) - 2
         lexicon = Lexicon.of(path, top)
-        width = 2 * (WINDOW + 2)
         for batch in batches:
             for _, part in text_blocks(batch.column("text")):
-                ids, sizes = ids_with_ends(lexicon, *lexicon.numbers(part), end)
-                for out in windows_in(number[ids], sizes):
-                    at = np.arange(len(out) + 1, dtype=np.int32) * width
-                    yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(out), [None, pa.py_buffer(at), pa.py_buffer(out.astype("<i2").tobytes())])], ["window"])
+                ids, sizes = ids_with_ends(lexicon, *lexicon.numbers(part), len(number) - 2)
+                yield from window_batches(number[ids], sizes)
+
+    return train_on(texts.select("text").mapInArrow(cut, "window binary"), vocabulary)
 
-    drawn = texts.select("text").mapInArrow(cut, "window binary").groupBy("window").agg(F.count("*").alias("n")).withColumn("h", F.xxhash64("window"))
+
+def train_on(windows: DataFrame, vocabulary: Vocabulary) -> Attention:
+    """Weights from all windows, in one pass."""
+    spark = windows.sparkSession
+    model = Attention(vocabulary.mass)
+    drawn = windows.groupBy("window").agg(F.count("*").alias("n")).withColumn("h", F.xxhash64("window"))
     drawn = written(drawn.withColumn("round", F.pmod("h", F.lit(ROUNDS)).cast("int")), "round")
     shards = max(1, round(drawn.count() / ROUNDS / SHARD))
     for k in range(ROUNDS):
@@ -578,13 +661,11 @@ def scores(docs: DataFrame, path: str, keep: list[str], learn: Column) -> DataFr
     log = lambda c: np.log10((c + 0.5) / floor)
     words, ids = b" ".join(top.column("word").cast(pa.binary()).to_pylist()), top.column("ids").to_pylist()
     top = spark.sparkContext.broadcast((words, log(top.column("n").to_numpy()), np.frombuffer(b"".join(ids), "<i4"), np.array([len(x) // 4 for x in ids], np.int64)))
-    shared = spark.sparkContext.broadcast((vocabulary, train(seen, path, vocabulary, top).packed()))
+    shared = spark.sparkContext.broadcast(vocabulary)
     end_known, end_score = int(texts > 0), float(log(texts))
 
     def compute():
-        vocab, weights = shared.value
-        lexicon = Lexicon.of(path, top)
-        scorer = Scorer(Attention(vocab.mass).unpack(weights), vocab)
+        vocab, lexicon = shared.value, Lexicon.of(path, top)
         end = len(vocab.number) - 2
 
         def of(column: pa.Array) -> Iterator[tuple[int, int, list]]:
@@ -594,7 +675,7 @@ def scores(docs: DataFrame, path: str, keep: list[str], learn: Column) -> DataFr
                 gain = lexicon.share[numbers]
                 hit = ~np.isnan(gain)
                 known, base = np.bincount(owner[hit], minlength=len(part)), np.bincount(owner[hit], gain[hit], len(part))
-                score = scorer.log_probabilities(*ids_with_ends(lexicon, numbers, n, end))
+                ids, sizes = ids_with_ends(lexicon, numbers, n, end)
                 # Rarer words of each text, with their number.
                 rest = np.flatnonzero(~hit)
                 pair, often = np.unique(owner[rest] << 32 | numbers[rest], return_counts=True)
@@ -602,16 +683,37 @@ def scores(docs: DataFrame, path: str, keep: list[str], learn: Column) -> DataFr
                 tail = pa.StructArray.from_arrays([names, pa.array(often)], ["word", "n"])
                 cut = np.searchsorted(pair >> 32, np.arange(len(part) + 1))
                 key = [int.from_bytes(blake2b(x, digest_size=8).digest(), "little", signed=True) for x in part]
-                yield lo, len(part), [pa.array(n + 1), pa.array(known + end_known, pa.int64()), pa.array(base + end_score), pa.array(key, pa.int64()), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), tail), pa.array(score)]
+                yield lo, len(part), [pa.array(n + 1), pa.array(known + end_known, pa.int64()), pa.array(base + end_score), pa.array(key, pa.int64()), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), tail), pa.array(vocab.rare(ids, sizes)), binaries(vocab.number[ids], sizes)]
 
         return of
 
-    out = annotate(docs, keep, compute, "n_tokens long, top_known long, top_score double, key long, tail array<struct<word:string,n:bigint>>, score double")
-    out = written(out)
+    # Each text is split into ids once, for learning and for scoring.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), learn.alias("learn"), "text")
+    coded = annotate(rows, ["row", "learn"], compute, "n_tokens long, top_known long, top_score double, key long, tail array<struct<word:string,n:bigint>>, rare double, numbers binary")
+    coded = written(coded.select("row.*", *coded.columns[1:]), codec="zstd")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from window_batches(*numbers_of(batch.column("numbers")))
+
+    model = train_on(coded.filter("learn").select("numbers").mapInArrow(cut, "window binary"), vocabulary)
+    weights = spark.sparkContext.broadcast((vocabulary.mass, model.packed()))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mass, state = weights.value
+        scorer = Scorer(Attention(mass).unpack(state))
+        for batch in batches:
+            found = scorer.of_numbers(*numbers_of(batch.column("numbers"))) + batch.column("rare").to_numpy()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(found)], [*batch.schema.names[:-2], "score"])
+
+    out = coded.select("row", "n_tokens", "top_known", "top_score", "key", "rare", "numbers")
+    out = written(out.mapInArrow(score, T.StructType([*out.schema.fields[:-2], T.StructField("score", T.DoubleType())])))
     # Rarer words: each text's own, once for equal texts, joined to their counts.
-    rare = out.select("key", "n_tokens", F.explode("tail").alias("t")).groupBy("key", "n_tokens", F.col("t.word").alias("word")).agg(F.max("t.n").alias("tf"))
+    rare = coded.groupBy("key", "n_tokens").agg(F.first("tail").alias("tail")).select("key", "n_tokens", F.explode("tail").alias("t")).select("key", "n_tokens", "t.word", F.col("t.n").alias("tf"))
     joined = rare.join(counted.select("word", F.col("n").alias("c")), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     sums = joined.groupBy("key", "n_tokens").agg(F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("rare_known"), F.sum(F.col("tf") * F.log10((F.col("c") + 0.5) / F.lit(floor))).alias("rare_score"))
-    out = out.drop("tail").join(sums, ["key", "n_tokens"], "left")
+    sums = written(sums)
+    discard(coded, counted)
+    out = out.join(sums, ["key", "n_tokens"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return out.select("row", "n_tokens", (F.col("top_known") + zero("rare_known")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("top_score") + zero("rare_score")).alias("base_score"), "score")

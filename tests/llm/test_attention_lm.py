@@ -95,6 +95,39 @@ def test_gradients():
         assert abs((up - down) / (2 * h) - g[name][at]) < 1e-6 + 1e-3 * abs(g[name][at]), name
 
 
+def test_gradients_of_a_batch_are_those_of_its_parts():
+    """Batches of several cache-sized parts, with rows of no target, and memory that is kept between batches."""
+    rng = np.random.default_rng(6)
+    net = lm.Attention(some_vocabulary().mass, seed=3)
+    net.w = {n: x.astype(np.float64) for n, x in net.w.items()}
+    windows = rng.integers(0, lm.START, (2 * lm.NEAR + 9, lm.WINDOW + 2))
+    windows[5, 20:] = windows[lm.NEAR + 1, 3:] = -1
+    weight = rng.uniform(1, 3, len(windows))
+    loss, whole = net.gradients(windows, weight)
+    parts = [net.gradients(windows[b : b + 11], weight[b : b + 11]) for b in range(0, len(windows), 11)]
+    share = np.array([((windows[b : b + 11, 2:] >= 0).sum(1) * weight[b : b + 11]).sum() for b in range(0, len(windows), 11)])
+    share /= share.sum()
+    assert abs(loss - sum(s * x for s, (x, _) in zip(share, parts, strict=True))) < 1e-9
+    for name, x in whole.items():
+        assert np.allclose(x, sum(s * g[name] for s, (_, g) in zip(share, parts, strict=True)), atol=1e-10), name
+
+
+def test_texts_are_split_into_ids_once(spark, monkeypatch):
+    """Texts are read to count their words and to split them into ids; learning and scoring read the ids."""
+    read = []
+    monkeypatch.setattr(lm, "written", lambda df, *by, f=lm.written, **how: (read.append([x for x in df.inputFiles() if "testdata" in x]), f(df, *by, **how))[1])
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    out = lm.scores(docs, WORDS, ["doc_id"], ~held_out("doc_id", 5, 1))
+    assert out.count() == 60 and not [x for x in out.inputFiles() if "testdata" in x]
+    assert sum(map(bool, read)) == 2, read
+
+
+def test_numbers_come_back():
+    rows, sizes = np.arange(-1, 8), np.array([3, 0, 1, 5])
+    back, n = lm.numbers_of(lm.binaries(rows, sizes).slice(1))
+    assert back.tolist() == rows[3:].tolist() and n.tolist() == [0, 1, 5]
+
+
 def test_scores_equal_the_definition():
     rng = np.random.default_rng(4)
     vocabulary = some_vocabulary()
